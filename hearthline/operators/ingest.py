@@ -51,17 +51,21 @@ def split_frames(log: DataFrame, text: str = "text") -> DataFrame:
 
 
 def parse_frames(frames: DataFrame, payload: str = "payload") -> DataFrame:
-    """Uniform JSON frames to columns; absent keys are NULL, ``bad_json`` marks what does not parse."""
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    parsed = F.from_json(F.col(payload), FRAME_SCHEMA + ", _corrupt STRING", options)
+    """Uniform JSON frames to columns.
+
+    Absent keys, and values that are no integers, are NULL; ``bad_json`` marks what does not parse or has no known key.
+    """
     others = [c for c in frames.columns if c != payload]
-    rows = frames.select(*others, payload, parsed.alias("_json"))
-    bad = F.col("_json").isNull() | F.col("_json._corrupt").isNotNull()
-    return rows.select(
-        *others,
-        bad.alias("bad_json"),
-        *[F.when(~bad, F.col(f"_json.{name}")).alias(name) for name in FRAME_FIELDS],
-    )
+    rows = frames.select(*others, _parsed(F.col(payload), FRAME_SCHEMA))
+    return rows.select(*others, F.coalesce(*FRAME_FIELDS).isNull().alias("bad_json"), *FRAME_FIELDS)
+
+
+def _parsed(text: Column, schema: str) -> Column:
+    """The keys of a JSON text as columns.
+
+    As a generator it is evaluated once; a plain column would be repeated in every later filter that names a key.
+    """
+    return F.inline(F.array(F.from_json(text, schema)))
 
 
 def parse_frames_legacy(frames: DataFrame, payload: str = "payload") -> DataFrame:
@@ -73,24 +77,24 @@ def parse_frames_legacy(frames: DataFrame, payload: str = "payload") -> DataFram
     keys = [key for by_field in LEGACY_KEYS.values() for key in by_field.values()]
     schema = "sensor INT, time INT, " + ", ".join(f"{key} DOUBLE" for key in keys)
     others = [c for c in frames.columns if c != payload]
-    rows = frames.select(*others, F.from_json(F.col(payload), schema).alias("_json"))
+    rows = frames.select(*others, _parsed(F.col(payload), schema))
 
     def of_sensor(values: dict[int, Column]) -> Column:
-        return F.coalesce(*[F.when(F.col("_json.sensor") == n, v) for n, v in values.items()])
+        return F.coalesce(*[F.when(F.col("sensor") == n, v) for n, v in values.items()])
 
     columns = {
-        field: of_sensor({n: F.col(f"_json.{k[field]}") for n, k in LEGACY_KEYS.items() if field in k})
+        field: of_sensor({n: F.col(k[field]) for n, k in LEGACY_KEYS.items() if field in k})
         for field in LEGACY_FIELDS
     }
     totals = {}
     for n, by_field in LEGACY_KEYS.items():
-        present = [F.coalesce(F.col(f"_json.{key}"), F.lit(float(NOT_RECEIVED))) for key in by_field.values()]
+        present = [F.coalesce(F.col(key), F.lit(float(NOT_RECEIVED))) for key in by_field.values()]
         totals[n] = sum(present[1:], present[0]).cast("int")
     accepted = F.coalesce(of_sensor(totals) < NOT_RECEIVED, F.lit(False))
     return rows.select(
         *others,
-        F.col("_json.sensor").alias("sensor"),
-        F.col("_json.time").alias("time"),
+        "sensor",
+        "time",
         accepted.alias("accepted"),
         *[F.when(accepted & (c < NOT_RECEIVED), c).alias(name) for name, c in columns.items()],
     )
