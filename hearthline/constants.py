@@ -109,6 +109,16 @@ MAX_POSITION = 5
 ERR_CLEARED_BY_RECONNECT = 4
 ERR_CLEARED_BY_DAC = 6
 
+# What a valve reports for an error code, blanks included (fixed values).
+ERROR_TEXTS = {
+    1: "1 DACnotFound ",
+    2: "2 No TempSens1   ",
+    3: "3 No TempSens2  ",
+    4: "4 MQTTFailure   ",
+    5: "5 No WLAN         ",
+    6: "6 DACnotFound",
+}
+
 PLACEHOLDER = "----------"
 
 # Retention tiers: tier, duration in hours (None keeps for ever), shard width in hours (fixed values).

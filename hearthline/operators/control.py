@@ -13,6 +13,7 @@ from hearthline.constants import (
     DEFAULT_SET_POINT,
     ERR_CLEARED_BY_DAC,
     ERR_CLEARED_BY_RECONNECT,
+    ERROR_TEXTS,
     PULSE_POSITION,
     TICK_S,
 )
@@ -296,19 +297,39 @@ def _expand(segments: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def valve_report(timeline: DataFrame) -> DataFrame:
-    """The messages a valve publishes each tick."""
-    pairs = {
-        "ActPos": fixed_decimals(F.col("dac"), 1, 0),
-        "Mode": fixed_decimals(F.col("set_point"), 1, 0),
-        "ManAuto": F.col("mode"),
+    """The messages a valve publishes each tick, with its own measurements where the timeline carries them."""
+    payloads = {
+        "ActPos": ("dac", lambda c: fixed_decimals(c, 1, 0)),
+        "Mode": ("set_point", lambda c: fixed_decimals(c, 1, 0)),
+        "TempIn": ("temp_in", lambda c: fixed_decimals(c, 3, 2)),
+        "TempOut": ("temp_out", lambda c: fixed_decimals(c, 3, 2)),
+        "Light": ("light", lambda c: fixed_decimals(c, 1, 0)),
+        "ManAuto": ("mode", lambda c: c),
+        "Err": ("error_text", lambda c: c),
     }
-    rows = F.array(*[F.struct(F.lit(n).alias("name"), p.alias("payload")) for n, p in pairs.items()])
-    messages = timeline.select("device", "ts", F.explode(rows).alias("_m"))
+    sent = [
+        F.when(F.col(column).isNotNull(), F.struct(F.lit(name).alias("name"), text(F.col(column)).alias("payload")))
+        for name, (column, text) in payloads.items()
+        if column in timeline.columns
+    ]
+    messages = timeline.select("device", "ts", F.explode(F.array_compact(F.array(*sent))).alias("_m"))
     return messages.select(
         "device", "ts", F.concat(F.lit("ValveControl/"), "_m.name").alias("topic"), F.col("_m.payload").alias("payload")
     )
 
 
+def error_messages(latch: DataFrame) -> DataFrame:
+    """What each tick publishes about errors: the text of the delayed code, empty at a device's first report."""
+    texts = F.create_map(*[x for code, text in ERROR_TEXTS.items() for x in (F.lit(code), F.lit(text))])
+    reports = latch.where((F.col("kind") == "tick") & F.col("active"))
+    return reports.select(
+        "device",
+        "ts",
+        F.lit("ValveControl/Err").alias("topic"),
+        F.coalesce(F.try_element_at(texts, F.col("published_code")), F.lit("")).alias("payload"),
+    )
+
+
 def error_latch(log: DataFrame, **options) -> DataFrame:
     """Error state after each row of a device log (device, ts, seq, kind, code), and the code each tick publishes.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthline.constants import COLOUR_FIELDS, FIELD_CAPABILITY, VALUE_FIELDS
-from hearthline.functions.scalar import has_capability
+from hearthline.functions.scalar import has_capability, topic
 from hearthline.operators.normalize import with_sensor
 from hearthline.operators.ordered import MAX_CELL_ROWS, carry_last, micros, order_key
 
@@ -43,14 +43,24 @@ def silence_gaps(
     )
 
 
-def stale_sensors(readings: DataFrame, sensors: DataFrame, as_of: Column, limit_s: int) -> DataFrame:
-    """Sensors of the registry whose last reading is older than the limit, or that were never seen."""
+def silence_alarms(gaps: DataFrame, limit_s: int, every_s: int, key: str = "channel") -> DataFrame:
+    """The alarm messages of each silence: the first when the limit has passed, repeated until the next reading."""
+    first = F.col("silent_from") + F.make_dt_interval(secs=F.lit(limit_s))
+    times = F.sequence(first, F.col("silent_to"), F.make_dt_interval(secs=F.lit(every_s)))
+    return gaps.select(key, F.explode(times).alias("ts")).select(
+        "ts", topic(F.col(key), F.lit("Err")).alias("topic"), F.lit("1").alias("payload")
+    )
+
+
+def stale_sensors(readings: DataFrame, sensors: DataFrame, as_of: Column, limits_s: dict[str, int]) -> DataFrame:
+    """Sensors of the registry whose last reading is older than a board's limit, or that were never seen."""
     last_seen = readings.groupBy("channel").agg(F.max("ts").alias("last_seen"))
     known = sensors.join(last_seen, "channel", "left")
     age = seconds_between(F.col("last_seen"), as_of)
-    return known.select("channel", "last_seen", age.alias("age_s")).where(
-        F.col("last_seen").isNull() | (F.col("age_s") > limit_s)
-    )
+    boards = F.array(*[F.struct(F.lit(b).alias("board"), F.lit(s).alias("limit_s")) for b, s in limits_s.items()])
+    judged = known.select("channel", "last_seen", age.alias("age_s"), F.inline(boards))
+    stale = judged.where(F.col("last_seen").isNull() | (F.col("age_s") > F.col("limit_s")))
+    return stale.select("board", "channel", "last_seen", "age_s")
 
 
 def first_seen(packets: DataFrame, identity: str = "mac", keys: Sequence[str] = ("channel",)) -> DataFrame:

@@ -114,6 +114,36 @@ def to_frames(readings: DataFrame, counter: Column) -> DataFrame:
     return valid.select("seq", "channel", F.concat(F.lit("%"), F.to_json(body), F.lit("$")).alias("text"))
 
 
+def to_frames_legacy(readings: DataFrame, counter: Column) -> DataFrame:
+    """Readings as frames of the older schema: floats under one set of key names per sensor, no checksum.
+
+    The writer misspells the humidity of sensor 4, so that the reader never finds it. Unknown sensors send nothing.
+    """
+    texts = []
+    for sensor, by_field in LEGACY_KEYS.items():
+        values = [F.col(f).alias("fHumi4]" if key == "fHumi4" else key) for f, key in by_field.items()]
+        body = F.struct(F.lit(sensor).alias("sensor"), counter.alias("time"), *values)
+        texts.append(F.when(F.col("channel") == sensor, F.to_json(body)))
+    framed = readings.withColumn("_json", F.coalesce(*texts)).where(F.col("_json").isNotNull())
+    return framed.select("seq", "channel", F.concat(F.lit("%"), "_json", F.lit("$")).alias("text"))
+
+
+def to_messages_legacy(readings: DataFrame) -> DataFrame:
+    """Readings of the older schema as (topic, payload); channel 0 reports as ``SensorLoc``."""
+    device = F.when(F.col("channel") == 0, F.lit("SensorLoc")).otherwise(
+        F.concat(F.lit("Sensor"), F.col("channel").cast("string"))
+    )
+    pairs = []
+    for field in LEGACY_FIELDS:
+        payload = fixed_decimals(F.col(field), 3, 0) if field == "iLight" else fixed_decimals(F.col(field), 4, 2)
+        senders = [sensor for sensor, by_field in LEGACY_KEYS.items() if field in by_field]
+        sent = F.col("channel").isin(senders) & F.col(field).isNotNull()
+        pair = F.struct(F.concat(device, F.lit(f"/{field}")).alias("topic"), payload.alias("payload"))
+        pairs.append(F.when(sent, pair))
+    messages = readings.select("seq", "ts", F.explode(F.array_compact(F.array(*pairs))).alias("_m"))
+    return messages.select("seq", "ts", "_m.topic", "_m.payload")
+
+
 def to_messages(readings: DataFrame) -> DataFrame:
     """Wide readings as (topic, payload), one row per supported and present field."""
     pairs = []

@@ -46,9 +46,15 @@ def rollup_distinct(points: DataFrame, width_s: int, by: Sequence[str] = SERIES)
     return points.select(*by, bucket(width_s).alias("time"), "value").distinct()
 
 
-def rollup_star(points: DataFrame, agg: str, width_s: int, by: Sequence[str] = SERIES) -> DataFrame:
-    """``min(*)`` / ``max(*)``: every field, under the name ``<agg>_<field>``."""
-    return rollup(points, agg, width_s, by).withColumn("field", F.concat(F.lit(f"{agg}_"), "field"))
+def rollup_star(points: DataFrame, aggs: Sequence[str], width_s: int, by: Sequence[str] = SERIES) -> DataFrame:
+    """``min(*)``, ``max(*)``: every field, under the names ``<agg>_<field>``; all aggregates in one pass."""
+    grouped = points.groupBy(*by, F.window("time", f"{width_s} seconds").alias("_bucket")).agg(
+        *[aggregate(a, F.col("value")).alias(f"_{a}") for a in aggs]
+    )
+    named = F.array(*[F.struct(F.lit(a).alias("agg"), F.col(f"_{a}").alias("value")) for a in aggs])
+    rows = grouped.select(*by, F.col("_bucket.start").alias("time"), F.explode(named).alias("_row"))
+    field = F.concat("_row.agg", F.lit("_"), "field")
+    return rows.withColumn("field", field).select(*by, "time", F.col("_row.value").alias("value"))
 
 
 def rollup_wide(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from hearthline.constants import ERROR_TEXTS
 from hearthline.operators import control as C
 from hearthline.plans.registry import query
 from hearthline.plans.views import COMMANDS, VALVE_LOG, Views
@@ -71,9 +72,7 @@ def valve_report(v: Views):
     return C.valve_report(_timeline(v))
 
 
-@query(
-    "error_latch",
-    """
+_LATCH = """
     WITH pos AS (SELECT *, row_number() OVER (PARTITION BY device ORDER BY ts, seq) AS i FROM {valve_log}),
     known AS (SELECT *,
         last_value(CASE WHEN kind = 'error' THEN i END IGNORE NULLS) OVER w AS e,
@@ -85,11 +84,36 @@ def valve_report(v: Views):
     state AS (SELECT *, e IS NOT NULL AND NOT (coalesce(a > e, FALSE) OR (c = 4 AND coalesce(r > e, FALSE))
                         OR (c = 6 AND coalesce(d > e, FALSE))) AS active FROM known),
     shown AS (SELECT *, CASE WHEN kind = 'tick' AND active THEN c END AS now_code FROM state)
+"""
+_PUBLISHED = (
+    "last_value(now_code IGNORE NULLS) OVER (PARTITION BY device ORDER BY i "
+    "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+)
+
+
+@query(
+    "error_latch",
+    _LATCH
+    + f"""
     SELECT device, seq, active, CASE WHEN active THEN c END AS error_code,
-           CASE WHEN now_code IS NOT NULL THEN last_value(now_code IGNORE NULLS) OVER (PARTITION BY device ORDER BY i
-                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS published_code
+           CASE WHEN now_code IS NOT NULL THEN {_PUBLISHED} END AS published_code
     FROM shown
     """,
 )
 def error_latch(v: Views):
     return C.error_latch(v.over_events(VALVE_LOG)).select("device", "seq", "active", "error_code", "published_code")
+
+
+_TEXTS = " ".join(f"WHEN {code} THEN '{text}'" for code, text in ERROR_TEXTS.items())
+
+
+@query(
+    "error_messages",
+    _LATCH
+    + f"""
+    SELECT device, ts, 'ValveControl/Err' AS topic, CASE p {_TEXTS} ELSE '' END AS payload
+    FROM (SELECT *, {_PUBLISHED} AS p FROM shown) WHERE now_code IS NOT NULL
+    """,
+)
+def error_messages(v: Views):
+    return C.error_messages(C.error_latch(v.over_events(VALVE_LOG)))

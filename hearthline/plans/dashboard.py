@@ -37,7 +37,8 @@ def _dashboard(v: Views, agg: str, width_s: int, how: str):
         buckets = rollup.rollup_distinct(points, width_s, SERIES)
     else:
         buckets = rollup.rollup(points, agg, width_s, SERIES)
-    return fill(buckets, SERIES, width_s, instant(t0), instant(t1), how)
+    # the result of a dashboard query is listed by time; nothing before this edge is sorted
+    return fill(buckets, SERIES, width_s, instant(t0), instant(t1), how).orderBy("time")
 
 
 def _bucket_sql(aggregate: str, width: str) -> str:

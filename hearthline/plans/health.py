@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from hearthline.constants import SCALED_FIELDS, STALE_BRIDGE_S, STALE_DISPLAY_S, STALE_HUB_S
 from hearthline.functions import scalar as S
 from hearthline.operators import health as H
+from hearthline.operators.normalize import gate
 from hearthline.plans.normalize import REGISTRY_SQL
 from hearthline.plans.registry import query
 from hearthline.plans.views import RAW_READINGS, Views
@@ -51,6 +52,19 @@ def silence_gaps(v: Views):
     return H.silence_gaps(v.readings.select("seq", "ts", "channel"), STALE_BRIDGE_S)
 
 
+@query(
+    "silence_alarms",
+    f"""
+    SELECT unnest(generate_series(silent_from + INTERVAL '{STALE_BRIDGE_S} seconds', silent_to, INTERVAL '10 minutes')) AS ts,
+           'Sensor' || CAST(channel AS STRING) || '/Err' AS topic, '1' AS payload
+    FROM ({_gaps_sql(STALE_BRIDGE_S)})
+    """,
+)
+def silence_alarms(v: Views):
+    gaps = H.silence_gaps(v.readings.select("seq", "ts", "channel"), STALE_BRIDGE_S)
+    return H.silence_alarms(gaps, STALE_BRIDGE_S, every_s=600)
+
+
 @query(
     "stale_sensors",
     " UNION ALL ".join(
@@ -67,17 +81,8 @@ def silence_gaps(v: Views):
 def stale_sensors(v: Views):
     readings = v.readings.where("caps % 8 <> 0").select("channel", "ts")
     as_of = v.events.agg(F.max("ts")).scalar()
-    sensors = dims.sensors(v.spark)
-
-    def board(name: str, limit_s: int):
-        stale = H.stale_sensors(readings, sensors, as_of, limit_s)
-        return stale.select(F.lit(name).alias("board"), "*")
-
-    return (
-        board("hub", STALE_HUB_S)
-        .unionByName(board("bridge", STALE_BRIDGE_S))
-        .unionByName(board("display", STALE_DISPLAY_S))
-    )
+    limits_s = {"hub": STALE_HUB_S, "bridge": STALE_BRIDGE_S, "display": STALE_DISPLAY_S}
+    return H.stale_sensors(readings, dims.sensors(v.spark), as_of, limits_s)
 
 
 @query(
@@ -132,6 +137,20 @@ def capability_lag(v: Views):
     return gated.select("seq", "channel", "gate_caps", "iTempA", "iTempB", "iHumi", "iVolt")
 
 
+@query(
+    "capability_gate",
+    """
+    SELECT seq, channel, CASE WHEN (caps & 1) <> 0 THEN iTempA END AS "iTempA",
+           CASE WHEN (caps & 2) <> 0 THEN iTempB END AS "iTempB", CASE WHEN (caps & 8) <> 0 THEN iHumi END AS "iHumi",
+           CASE WHEN (caps & 4) <> 0 THEN iVolt END AS "iVolt"
+    FROM {raw_readings}
+    """,
+)
+def capability_gate(v: Views):
+    """Gated by the packet's own capabilities; ``capability_lag`` is the radio hub's way."""
+    return gate(v.over_events(RAW_READINGS), F.col("caps")).drop("ts", "caps")
+
+
 @query(
     "sample_last_15s",
     """

@@ -10,7 +10,7 @@ from hearthline.operators import ingest as I
 from hearthline.operators.health import wide_snapshot as snapshot
 from hearthline.operators.normalize import plausible
 from hearthline.plans.registry import query
-from hearthline.plans.views import CONTROL_MESSAGES, LEGACY_FRAMES, MESSAGES, Views
+from hearthline.plans.views import CONTROL_MESSAGES, LEGACY_FRAMES, LEGACY_READINGS, MESSAGES, Views
 from hearthline.sources import packets as P
 
 _FRAME_RE = r"%([^$]*)\$"
@@ -102,6 +102,53 @@ def to_frames(v: Views):
     return I.to_frames(v.readings, F.col("seq"))
 
 
+def _legacy_sql(sensor: int, keys: dict[str, str]) -> str:
+    body = " || ".join(f"coalesce(',\"{key}\":' || CAST({field} AS STRING), '')" for field, key in keys.items())
+    return f"WHEN {sensor} THEN {body}"
+
+
+_LEGACY_SENT = {
+    0: {"iLight": "iLightLoc", "fAtmo": "fAtmoLoc"},
+    1: {"fTempA": "fTemp1A", "fHumi": "fHumi1", "fVolt": "fVolt1"},
+    2: {"fTempA": "fTemp2A", "fVolt": "fVolt2"},
+    3: {"fTempA": "fTemp3A", "fVolt": "fVolt3"},
+    4: {"fTempA": "fTemp4A", "fHumi": "fHumi4]", "fVolt": "fVolt4"},
+    5: {"fTempA": "fTemp5A", "fHumi": "fHumi5", "fVolt": "fVolt5"},
+}
+
+
+@query(
+    "to_frames_legacy",
+    f"""
+    SELECT seq, channel, '%{{"sensor":' || CAST(channel AS STRING) || ',"time":' || CAST(seq AS STRING) || CASE channel
+           {' '.join(_legacy_sql(s, k) for s, k in _LEGACY_SENT.items())} END || '}}$' AS text
+    FROM {{legacy_readings}} WHERE channel <= 5
+    """,
+)
+def to_frames_legacy(v: Views):
+    return I.to_frames_legacy(v.over_events(LEGACY_READINGS), F.col("seq"))
+
+
+def _legacy_message_sql(field: str) -> str:
+    channels = ", ".join(str(s) for s, keys in _LEGACY_SENT.items() if field in keys)
+    payload = f"CAST(CAST({field} AS DECIMAL(12, 2)) AS STRING)"
+    if field == "iLight":
+        payload = f"lpad(CAST({field} AS STRING), CAST(greatest(3, length(CAST({field} AS STRING))) AS INT), ' ')"
+    return (
+        "SELECT seq, ts, CASE channel WHEN 0 THEN 'SensorLoc' ELSE 'Sensor' || CAST(channel AS STRING) END "
+        f"|| '/{field}' AS topic, {payload} AS payload FROM {{legacy_readings}} "
+        f"WHERE channel IN ({channels}) AND {field} IS NOT NULL"
+    )
+
+
+@query(
+    "to_messages_legacy",
+    " UNION ALL ".join(_legacy_message_sql(f) for f in ("fTempA", "fHumi", "fVolt", "iLight", "fAtmo")),
+)
+def to_messages_legacy(v: Views):
+    return I.to_messages_legacy(v.over_events(LEGACY_READINGS))
+
+
 def _message_sql(field: str, name: str) -> str:
     sign = f"CASE WHEN {field} < 0 THEN '-' ELSE '' END"
     digits = f"CAST(abs({field}) // 100 AS STRING) || '.' || lpad(CAST(abs({field}) % 100 AS STRING), 2, '0') || '0'"

@@ -54,8 +54,7 @@ def rollup_min(v: Views):
     ),
 )
 def rollup_star(v: Views):
-    points = v.points
-    return R.rollup_star(points, "min", 86400).unionByName(R.rollup_star(points, "max", 86400))
+    return R.rollup_star(v.points, ("min", "max"), 86400)
 
 
 @query(

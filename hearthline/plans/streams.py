@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hearthline.constants import STALE_BRIDGE_S
 from hearthline.plans.registry import query
 from hearthline.plans.rollups import DIGITS, rounded
-from hearthline.plans.views import POINTS, READINGS, Views
+from hearthline.plans.views import COMMANDS, POINTS, READINGS, Views
 from hearthline.session import work_dir
 from hearthline.sources.tables import event_time
 from hearthline.streaming import jobs
@@ -78,6 +78,25 @@ def stream_silence(v: Views):
     return _run(v, "stream_silence", jobs.silence_stream(v.stream(READINGS, "ts"), STALE_BRIDGE_S))
 
 
+@query(
+    "stream_setpoint",
+    """
+    SELECT device, max(ts) AS ts, CASE WHEN max(m) < 6 THEN max(m) ELSE coalesce(max(s), 5) END AS set_point FROM (
+        SELECT device, ts, first_value(manual IGNORE NULLS) OVER w AS m, first_value(set_pos IGNORE NULLS) OVER w AS s
+        FROM {commands}
+        WINDOW w AS (PARTITION BY device ORDER BY ts DESC, seq DESC
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+    GROUP BY device
+    """,
+)
+def stream_setpoint(v: Views):
+    """The set-points in force after all commands have arrived."""
+    folder = work_dir(v.spark, "stream_setpoint")
+    stream = jobs.setpoint_stream(v.stream(COMMANDS, "ts"))
+    jobs.run_changes(stream, f"{folder}/out", f"{folder}/checkpoint")
+    return _without_zone(jobs.read_state(v.spark, stream, f"{folder}/out", "device"))
+
+
 # Every thirteenth point arrives a run late; a run brings a quarter of the points.
 _RUNS = 5
 _ARRIVAL = (

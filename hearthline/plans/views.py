@@ -68,6 +68,18 @@ RAW_READINGS = {
     "iVolt": f"CAST({_V} % 600 AS INT)",
 }
 
+# Readings of the older schema, in floats.
+LEGACY_READINGS = {
+    "seq": "event_id",
+    "ts": "ts",
+    "channel": "CAST(user_id % 7 AS INT)",
+    "fTempA": "CAST((floor(value * 100) - 25000) / 100.0 AS DOUBLE)",
+    "fHumi": "CAST(floor(value * 25) / 100.0 AS DOUBLE)",
+    "fVolt": "CAST(CASE WHEN event_id % 11 <> 0 THEN (200 + event_id % 150) / 100.0 END AS DOUBLE)",
+    "iLight": "CAST(floor(value * 10) AS INT)",
+    "fAtmo": "CAST((90000 + floor(value * 25)) / 100.0 AS DOUBLE)",
+}
+
 # The keys of a uniform frame as text; a key whose value is NULL is left out.
 _JSON_PARTS = " || ".join(
     f"coalesce(',\"{f}\":' || CAST({f} AS STRING), '')"
@@ -202,6 +214,7 @@ SQL = {
     "raw_readings": sql(RAW_READINGS, "events"),
     "frames": sql(FRAMES, sql(READINGS, "events") + " r"),
     "legacy_frames": sql(LEGACY_FRAMES, "events"),
+    "legacy_readings": sql(LEGACY_READINGS, "events"),
     "messages": sql(MESSAGES, "events"),
     "control_messages": sql(CONTROL_MESSAGES, "events"),
     "radio": sql(RADIO, "events"),

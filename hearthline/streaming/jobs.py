@@ -7,8 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from hearthline.operators.control import set_point_in_force
 from hearthline.operators.health import sample_last
+from hearthline.operators.ordered import micros, order_key
 from hearthline.operators.rollup import SERIES, rollup
 
 
@@ -75,6 +78,42 @@ def silence_stream(readings: DataFrame, limit_s: int, late: str = "10 minutes",
     )
 
 
+def setpoint_stream(commands: DataFrame) -> DataFrame:
+    """The set-point in force per device, kept up to date; one row per changed device and trigger."""
+    at = order_key(micros(F.col("ts")), F.col("seq"))
+    latest = commands.groupBy("device").agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in ("set_pos", "manual")],
+        F.max("ts").alias("ts"),
+    )
+    return latest.select(
+        "device", "ts", set_point_in_force(F.col("manual"), F.col("set_pos")).alias("set_point")
+    )
+
+
+def run_changes(stream: DataFrame, output: str, checkpoint: str) -> None:
+    """Store the changed rows of each trigger under its number; a repeated trigger replaces its own folder."""
+
+    def store(changed: DataFrame, number: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{output}/batch={number}")
+
+    query = (
+        stream.writeStream.outputMode("update")
+        .foreachBatch(store)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+
+
+def read_state(spark: SparkSession, stream: DataFrame, output: str, key: str) -> DataFrame:
+    """The newest stored row of each key."""
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    stored = spark.read.schema(schema).parquet(output)
+    others = [c for c in stream.columns if c != key]
+    return stored.groupBy(key).agg(*[F.max_by(c, "batch").alias(c) for c in others])
+
+
 def combine_sessions_early(spark: SparkSession) -> None:
     """Merge sessions inside each task before the shuffle, so that a busy sensor sends few rows to its task."""
     spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")

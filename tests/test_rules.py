@@ -220,7 +220,7 @@ def test_stale_limits(spark):
         [(1, as_of - timedelta(seconds=240)), (2, as_of - timedelta(seconds=241))], "channel int, ts timestamp_ntz"
     )
     sensors = dims.sensors(spark).where("channel IN (1, 2, 3)")
-    stale = H.stale_sensors(readings, sensors, T.instant(as_of), 240).collect()
+    stale = H.stale_sensors(readings, sensors, T.instant(as_of), {"hub": 240}).collect()
     assert sorted((r["channel"], r["age_s"]) for r in stale) == [(2, 241.0), (3, None)]
 
 
