@@ -85,7 +85,7 @@ def temperature_text(scaled: Column) -> Column:
 
 
 def humidity_text(scaled: Column) -> Column:
-    return _text_or_placeholder(F.concat(_one_truncated_decimal(scaled), F.lit(" %")), scaled)
+    return _text_or_placeholder(F.concat(_one_truncated_decimal(scaled), F.lit("  %")), scaled)
 
 
 def pressure_text(pascal: Column) -> Column:

@@ -148,7 +148,7 @@ def _truncated_text(column: str, unit: str) -> str:
 
 @query(
     "display_text",
-    f"SELECT seq, {_TEMP_TEXT} AS temp_text, {_truncated_text('iHumi', '%')} AS humi_text, "
+    f"SELECT seq, {_TEMP_TEXT} AS temp_text, {_truncated_text('iHumi', ' %')} AS humi_text, "
     f"{_truncated_text('iAtmo', 'hPA')} AS atmo_text FROM {{readings}}",
 )
 def display_text(v: Views):

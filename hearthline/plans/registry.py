@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,13 +29,5 @@ def query(name: str, check: str | None = None):
 
 
 def load_all() -> None:
-    from hearthline.plans import (  # noqa: F401
-        control,
-        dashboard,
-        health,
-        ingest,
-        normalize,
-        rollups,
-        streams,
-        tiers,
-    )
+    for module in ("rollups", "tiers", "dashboard", "ingest", "normalize", "health", "control", "streams"):
+        import_module(f"hearthline.plans.{module}")

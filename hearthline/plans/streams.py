@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthline.constants import STALE_BRIDGE_S
-from hearthline.plans.registry import query
+from hearthline.operators.ingest import frames_to_points
+from hearthline.plans.registry import CHECKS, query
 from hearthline.plans.rollups import DIGITS, rounded
-from hearthline.plans.views import COMMANDS, POINTS, READINGS, Views
+from hearthline.plans.views import COMMANDS, FRAMES, POINTS, READINGS, Views
 from hearthline.session import work_dir
+from hearthline.sources.points_store import read_points
 from hearthline.sources.tables import event_time
 from hearthline.streaming import jobs
 
@@ -42,6 +44,30 @@ def stream_rollup(v: Views):
     return rounded(_run(v, "stream_rollup", jobs.rollup_stream(v.stream(POINTS, "time"), "mean", 3600)))
 
 
+@query(
+    "stream_into_tier",
+    f"""
+    SELECT 'forever' AS tier, measurement, time_bucket(INTERVAL '1 hour', time) AS time, field,
+           round(avg(value), {DIGITS}) AS value
+    FROM {{points}} GROUP BY ALL
+    """,
+)
+def stream_into_tier(v: Views):
+    """A rollup that keeps a tier of the store up to date, open buckets included."""
+    folder = work_dir(v.spark, "stream_into_tier")
+    stream = jobs.rollup_stream(v.stream(POINTS, "time"), "mean", 3600, by=("measurement", "field"))
+    jobs.run_into_tier(stream, f"{folder}/points", "forever", f"{folder}/checkpoint")
+    return rounded(read_points(v.spark, f"{folder}/points").drop("write_seq"))
+
+
+@query("stream_ingest", CHECKS["frames_to_points"])
+def stream_ingest(v: Views):
+    """The way from serial text to stored points as a stream."""
+    readings = v.stream(READINGS, "ts")
+    frames = readings.selectExpr(*[f"{expr} AS {name}" for name, expr in FRAMES.items()])
+    return _run(v, "stream_ingest", frames_to_points(frames))
+
+
 @query(
     "stream_sample_15s",
     f"""

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.operators.tiers import delete_range, expire, instant, upsert
+from hearthline.operators.tiers import delete_range, expire, instant, last_write, upsert
 
 PARTITION = ("tier", "day")
 
@@ -61,7 +61,7 @@ def write_points(points: DataFrame, root: str) -> None:
     """``SELECT .. INTO``: store points, the last write of a key wins; other days are left alone."""
     spark = points.sparkSession
     if not _exists(spark, root):
-        _replace_days(upsert(points, points.limit(0)), root)
+        _replace_days(last_write(points), root)
         return
     stored = spark.read.parquet(root)
     touched = _with_day(points).select(*PARTITION).distinct()

@@ -13,6 +13,8 @@ from hearthline.operators.control import set_point_in_force
 from hearthline.operators.health import sample_last
 from hearthline.operators.ordered import micros, order_key
 from hearthline.operators.rollup import SERIES, rollup
+from hearthline.operators.tiers import into
+from hearthline.sources.points_store import write_points
 
 
 def run_available(stream: DataFrame, output: str, checkpoint: str) -> None:
@@ -50,6 +52,36 @@ def rollup_stream(points: DataFrame, agg: str, width_s: int, late: str = "2 hour
     return rollup(points.withWatermark("time", late), agg, width_s, by)
 
 
+def run_into_tier(stream: DataFrame, root: str, tier: str, checkpoint: str) -> None:
+    """Store what each trigger changed as points of a tier, newest write first in force.
+
+    A bucket that late points changed is written again under a higher number, and a repeated trigger under the same.
+    """
+
+    def store(changed: DataFrame, number: int) -> None:
+        rows = into(changed, tier).select(
+            "tier",
+            "measurement",
+            F.col("time").cast("timestamp_ntz").alias("time"),
+            "field",
+            "value",
+            F.lit(number).cast("bigint").alias("write_seq"),
+        )
+        # the store looks at the rows several times; the state must be read only once
+        rows.persist()
+        write_points(rows, root)
+        rows.unpersist()
+
+    query = (
+        stream.writeStream.outputMode("update")
+        .foreachBatch(store)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+
+
 def sample_stream(readings: DataFrame, width_s: int = 15, late: str = "1 minute") -> DataFrame:
     return sample_last(readings.withWatermark("ts", late), width_s)
 

@@ -162,7 +162,7 @@ def test_display_texts(spark):
     assert one(spark, S.temperature_text(F.lit(2105))) == "21.05 °C"
     assert one(spark, S.temperature_text(F.lit(-50))) == "-0.50 °C"
     assert one(spark, S.temperature_text(F.lit(None).cast("int"))) == "----------"
-    assert one(spark, S.humidity_text(F.lit(4567))) == "45.6 %"
+    assert one(spark, S.humidity_text(F.lit(4567))) == "45.6  %"
     assert one(spark, S.pressure_text(F.lit(101329))) == "1013.2 hPA"
     assert one(spark, S.age_text(F.lit(125.9))) == "2:05"
     assert one(spark, S.mac_text(F.unhex(F.lit("5ccf7f0102ab")))) == "5C:CF:7F:01:02:AB"

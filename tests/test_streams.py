@@ -10,6 +10,7 @@ from hearthline.operators import ingest as I
 from hearthline.operators.health import silence_gaps
 from hearthline.operators.rollup import rollup
 from hearthline.sources import messages as M
+from hearthline.sources.points_store import read_points
 from hearthline.streaming import jobs
 
 T0 = datetime(2024, 1, 1)
@@ -36,6 +37,20 @@ def test_late_points(spark, tmp_path):
     assert got == {hour(0): 2.0, hour(1): 9.0, hour(2): 1.0, hour(6): 1.0, hour(16): 1.0}
 
 
+def test_late_points_rewrite_a_tier(spark, tmp_path):
+    source, root, checkpoint = (str(tmp_path / n) for n in ("in", "points", "checkpoint"))
+    seen = []
+    for rows in ([(0, 1), (30, 3), (61, 7)], [(50, 5), (200, 1)], [(10, 100)]):
+        frame = late_points(spark, rows)
+        frame.write.mode("append").parquet(source)
+        arriving = spark.readStream.schema(frame.schema).parquet(source)
+        jobs.run_into_tier(jobs.rollup_stream(arriving, "mean", 3600), root, "one_year", checkpoint)
+        stored = read_points(spark, root).where(F.col("tier") == "one_year").collect()
+        seen.append({r["time"].hour: r["value"] for r in stored})
+    # minute 50 came in time, minute 10 two hours after hour 0 had been closed
+    assert seen == [{0: 2.0, 1: 7.0}, {0: 3.0, 1: 7.0, 3: 1.0}, {0: 3.0, 1: 7.0, 3: 1.0}]
+
+
 def test_stream_equals_batch_once_closed(spark, tmp_path):
     source = str(tmp_path / "in")
     rows = [(m, m % 7) for m in range(0, 600, 3)] + [(10_000, 0)]
