@@ -19,7 +19,7 @@ from hearthline.constants import (
 )
 from hearthline.functions.scalar import dac_value, fixed_decimals, mode_label
 from hearthline.operators.ordered import MAX_CELL_ROWS, carry_last, micros, order_key
-from hearthline.session import cut_lineage
+from hearthline.session import cut_lineage, spread
 
 # Ticks sort after everything that was received at the same instant.
 _AFTER = 2**62
@@ -52,6 +52,7 @@ def minute_ticks(spans: DataFrame, key: str, tick_s: int = TICK_S) -> DataFrame:
     day = F.expr("INTERVAL 1 DAY")
     midnight = F.date_trunc("day", "first_ts").cast("timestamp_ntz")
     days = spans.select("*", F.explode(F.sequence(midnight, F.col("last_ts"), day)).alias("_day"))
+    days = spread(days, key, "_day")
     steps = F.sequence(F.lit(0), F.lit(86_400 - tick_s), F.lit(tick_s))
     return (
         days.select("*", F.explode(steps).alias("_s"))
@@ -270,6 +271,7 @@ def _expand(segments: DataFrame, spans: DataFrame) -> DataFrame:
     off_ticks = F.when(F.col("set_point") == 1, F.col("on_ticks") * 2).otherwise(F.col("on_ticks"))
     on_len, off_len = F.greatest("on_ticks", F.lit(1)), F.greatest(off_ticks, F.lit(1))
     first_turn = F.greatest(F.when(on, F.col("on_ticks")).otherwise(off_ticks) - F.col("count"), F.lit(0))
+    segments = spread(segments, "device", "from_tick")
     ticks = segments.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("ticks") - 1)).alias("_j"))
     phase = F.when(on, off_len).otherwise(on_len)
     since = F.pmod(F.col("_j") - first_turn, on_len + off_len)

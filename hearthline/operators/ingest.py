@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ from hearthline.functions.scalar import (
     with_unit,
 )
 from hearthline.operators.normalize import plausible, row_sum, with_channel_check, with_checksum
+from hearthline.operators.ordered import carry_last
+from hearthline.session import cut_lineage
 
 FRAME_SCHEMA = ", ".join(f"{name} INT" for name in FRAME_FIELDS)
 
@@ -50,6 +54,65 @@ def split_frames(log: DataFrame, text: str = "text") -> DataFrame:
     return frames.where(F.length("payload") < FRAME_BUFFER)
 
 
+def split_frames_across_rows(
+    log: DataFrame, keys: Sequence[str], position: Column, text: str = "text", **options
+) -> DataFrame:
+    """Payloads of frames that may begin in one row of a port's log and end in a later one, with the row they end in.
+
+    Rows of a port (``keys``) are ordered by ``position`` and ``seq``. Whether a frame is open when a row begins
+    follows from the last marker before the row, for after a start marker a frame is open and after an end marker
+    none is. The parts of a frame share the last row with an end marker before them.
+    """
+    keys = list(keys)
+    whole = F.col(text)
+    known = carry_last(
+        log.select(*keys, "seq", text, position.alias("_at")),
+        keys,
+        F.col("_at"),
+        F.col("seq"),
+        {
+            "_marker": F.nullif(F.regexp_extract(whole, r"([%$])[^%$]*$", 1), F.lit("")),
+            "_ended": F.when(whole.contains("$"), F.col("seq")),
+        },
+        strict=True,
+        **options,
+    )
+    is_open = F.coalesce(F.col("_marker") == "%", F.lit(False))
+    ends = whole.contains("$")
+    after_first = F.when(is_open, F.regexp_extract(whole, r"(?s)^[^$]*\$(.*)$", 1)).otherwise(whole)
+    after_last = F.regexp_extract(whole, r"(?s)([^$]*)$", 1)
+    opened = F.regexp_extract(F.when(~ends & is_open, F.lit("")).otherwise(after_last), r"(?s)^[^%]*%(.*)$", 1)
+    complete = known.select(
+        *keys, "seq", F.explode(F.regexp_extract_all(after_first, F.lit(r"%([^$]*)\$"), F.lit(1))).alias("payload")
+    )
+    part = "STRUCT<group: BIGINT, part: STRING, ends_at: BIGINT>"
+    continuing = F.struct(
+        F.col("_ended"), F.regexp_extract(whole, r"^([^$]*)", 1), F.when(ends, F.col("seq"))
+    ).cast(part)
+    opening = F.struct(F.when(ends, F.col("seq")).otherwise(F.col("_ended")), opened, F.lit(None)).cast(part)
+    pieces = known.select(
+        *keys,
+        "_at",
+        "seq",
+        F.inline(F.array_compact(F.array(F.when(is_open, continuing), F.when(opened != "", opening)))),
+    )
+    # only what lies at the edges of rows
+    pieces = cut_lineage(pieces.withColumn("group", F.coalesce("group", F.lit(-1))))
+    # a frame is put together only if it is complete and fits the buffer, so each group is small
+    frames = (
+        pieces.groupBy(*keys, "group")
+        .agg(F.sum(F.length("part")).alias("_n"), F.max("ends_at").alias("_end"))
+        .where((F.col("_n") < FRAME_BUFFER) & F.col("_end").isNotNull())
+    )
+    texts = pieces.where(F.col("part") != "").join(frames, [*keys, "group"], "left_semi")
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("_at", "seq", "part"))), lambda p: p["part"])
+    joined = texts.groupBy(*keys, "group").agg(F.concat_ws("", in_order).alias("payload"))
+    spanning = frames.join(joined, [*keys, "group"], "left").select(
+        *keys, F.col("_end").alias("seq"), F.coalesce("payload", F.lit("")).alias("payload")
+    )
+    return complete.where(F.length("payload") < FRAME_BUFFER).unionByName(spanning)
+
+
 def parse_frames(frames: DataFrame, payload: str = "payload") -> DataFrame:
     """Uniform JSON frames to columns.
 

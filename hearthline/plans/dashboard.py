@@ -38,7 +38,7 @@ def _dashboard(v: Views, agg: str, width_s: int, how: str):
     else:
         buckets = rollup.rollup(points, agg, width_s, SERIES)
     # the result of a dashboard query is listed by time; nothing before this edge is sorted
-    return fill(buckets, SERIES, width_s, instant(t0), instant(t1), how).orderBy("time")
+    return fill(buckets, SERIES, width_s, instant(t0), instant(t1), how, agg == "distinct").orderBy("time")
 
 
 def _bucket_sql(aggregate: str, width: str) -> str:

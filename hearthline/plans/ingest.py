@@ -9,6 +9,7 @@ from hearthline.functions.scalar import fixed_point
 from hearthline.operators import ingest as I
 from hearthline.operators.health import wide_snapshot as snapshot
 from hearthline.operators.normalize import plausible
+from hearthline.operators.ordered import micros
 from hearthline.plans.registry import query
 from hearthline.plans.views import CONTROL_MESSAGES, LEGACY_FRAMES, LEGACY_READINGS, MESSAGES, Views
 from hearthline.sources import packets as P
@@ -24,7 +25,19 @@ _FRAME_RE = r"%([^$]*)\$"
     """,
 )
 def split_frames(v: Views):
-    return I.split_frames(v.frames)
+    return I.split_frames(v.frames).drop("channel")
+
+
+@query(
+    "split_frames_across_rows",
+    f"""
+    WITH whole AS (SELECT port, string_agg(text, '' ORDER BY seq) AS text FROM {{frame_parts}} GROUP BY port)
+    SELECT * FROM (SELECT port, unnest(regexp_extract_all(text, '{_FRAME_RE}', 1)) AS payload FROM whole)
+    WHERE length(payload) < 256
+    """,
+)
+def split_frames_across_rows(v: Views):
+    return I.split_frames_across_rows(v.frame_parts, ["port"], micros(F.col("ts"))).drop("seq")
 
 
 _SENT = ("iTempA", "iTempB", "iHumi", "iVolt", "iLight", "iAtmo")
@@ -44,7 +57,7 @@ _ABSENT = ("nLux", "nRed", "nGreen", "nBlue", "nClear", "nColor")
     """,
 )
 def parse_frames(v: Views):
-    return I.parse_frames(I.split_frames(v.frames)).drop("ts", "frame_no")
+    return I.parse_frames(I.split_frames(v.frames)).drop("ts", "channel", "frame_no")
 
 
 _LEGACY_KEYS = {

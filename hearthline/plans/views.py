@@ -6,6 +6,7 @@ Each view is a SELECT list that both Spark SQL and the checking SQL engine evalu
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hearthline.session import configure
 from hearthline.sources.tables import event_time, read_table, stream_table
@@ -91,6 +92,7 @@ _SUM = " + ".join(["caps"] + [f"coalesce({f}, 0)" for f in ("iTempA", "iTempB",
 FRAMES = {
     "seq": "seq",
     "ts": "ts",
+    "channel": "channel",
     "text": "'xx%{\"sensor\":' || CAST(channel AS STRING) || ',\"time\":' || CAST(seq AS STRING) || ',\"SensCap\":' "
     f"|| CAST(caps AS STRING) || {_JSON_PARTS} || ',\"iCSum\":' "
     f"|| CAST({_SUM} + CASE WHEN seq % 17 = 0 THEN 1 ELSE 0 END AS STRING) "
@@ -98,6 +100,16 @@ FRAMES = {
 }
 
 
+# The same text as a serial port delivers it, each frame cut somewhere in two rows.
+FRAME_PARTS = {
+    "port": "channel",
+    "ts": "ts",
+    "seq": "2 * seq + half",
+    "text": "CASE WHEN half = 0 THEN substr(text, 1, CAST(3 + seq % 40 AS INT)) "
+    "ELSE substr(text, CAST(4 + seq % 40 AS INT)) END",
+}
+
+
 def _two_decimals(expr: str) -> str:
     return f"CAST(CAST({expr} AS DECIMAL(12, 2)) AS STRING)"
 
@@ -213,6 +225,12 @@ SQL = {
     "readings": sql(READINGS, "events"),
     "raw_readings": sql(RAW_READINGS, "events"),
     "frames": sql(FRAMES, sql(READINGS, "events") + " r"),
+    "frame_parts": sql(
+        FRAME_PARTS,
+        "(SELECT * FROM "
+        + sql(FRAMES, sql(READINGS, "events") + " r")
+        + " f, (VALUES (CAST(0 AS BIGINT)), (CAST(1 AS BIGINT))) h(half)) parts",
+    ),
     "legacy_frames": sql(LEGACY_FRAMES, "events"),
     "legacy_readings": sql(LEGACY_READINGS, "events"),
     "messages": sql(MESSAGES, "events"),
@@ -263,6 +281,11 @@ class Views:
     def frames(self) -> DataFrame:
         return _select(self.readings, FRAMES)
 
+    @property
+    def frame_parts(self) -> DataFrame:
+        halves = self.frames.withColumn("half", F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))))
+        return _select(halves, FRAME_PARTS)
+
     @property
     def radio(self) -> DataFrame:
         return self.over_events(RADIO)

@@ -34,6 +34,14 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/hearthline/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash rows over all shuffle partitions before each is multiplied into many.
+
+    Adaptive execution would merge partitions by what they hold before that.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the result survives lost executors and is computed once for all its readers."""
     shared_root(df.sparkSession)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -16,6 +18,7 @@ from hearthline.operators import normalize as N
 from hearthline.operators import rollup as R
 from hearthline.operators import tiers as T
 from hearthline.operators.fill import fill
+from hearthline.operators.ordered import micros
 from hearthline.sources import dims
 from hearthline.sources import packets as P
 
@@ -68,6 +71,27 @@ def test_split_frames(spark):
     assert got == [(0, 0, "one"), (0, 1, "two"), (3, 1, long[:255]), (4, 0, "x")]
 
 
+@pytest.mark.parametrize("max_rows", [1, 1000])
+def test_frames_split_across_rows(spark, max_rows):
+    """Random cuts of a random text give the frames of the whole text, whatever the slices."""
+    rng = random.Random(5)
+    rows, expected = [], []
+    for port in (1, 2):
+        text = "".join(rng.choice(["%", "$", "a", "b", "{}", "", "c" * 90]) for _ in range(900))
+        at = seq = 0
+        while at < len(text):
+            size = rng.choice([0, 1, 1, 2, 3, 40, 200])
+            # numbers decide only between rows of one instant
+            number = 10_000 - 3 * (seq // 3) + seq % 3
+            rows.append((port, T0 + timedelta(minutes=7 * (seq // 3)), number, text[at : at + size]))
+            at, seq = at + size, seq + 1
+        expected += [(port, p) for p in re.findall(r"%([^$]*)\$", text) if len(p) < 256]
+    rng.shuffle(rows)
+    log = spark.createDataFrame(rows, "port int, ts timestamp_ntz, seq bigint, text string")
+    got = I.split_frames_across_rows(log, ["port"], micros(F.col("ts")), max_rows=max_rows)
+    assert sorted((r["port"], r["payload"]) for r in got.collect()) == sorted(expected)
+
+
 def test_parse_frames(spark):
     payloads = [
         '{"sensor":1,"time":7,"SensCap":5,"iTempA":-250,"iCSum":-245}',
