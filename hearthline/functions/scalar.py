@@ -23,8 +23,8 @@ def has_capability(caps: Column, name: str) -> Column:
 
 
 def fixed_point(value: Column) -> Column:
-    """Two decimals as an integer, halves rounded away from zero."""
-    return F.round(value * F.lit(100.0)).cast("int")
+    """Two decimals as an integer, halves rounded away from zero; NULL if that is no 32-bit number."""
+    return F.round(value * F.lit(100.0)).try_cast("int")
 
 
 def from_fixed_point(value: Column) -> Column:
@@ -49,11 +49,11 @@ def light_count(high: Column, low: Column) -> Column:
 
 
 def light_scaled(count: Column) -> Column:
-    return (count * F.lit(100)).cast("int")
+    return F.try_multiply(count, F.lit(100)).cast("int")
 
 
 def light_legacy(count: Column) -> Column:
-    return (count / F.lit(LEGACY_LUX_DIVISOR)).cast("int")
+    return (count / F.lit(LEGACY_LUX_DIVISOR)).try_cast("int")
 
 
 def load_voltage(bus_volt: Column, shunt_millivolt: Column) -> Column:
@@ -62,12 +62,12 @@ def load_voltage(bus_volt: Column, shunt_millivolt: Column) -> Column:
 
 def dac_value(position: Column) -> Column:
     """Valve position 0..5 on the converter's scale, integer division."""
-    scaled = position.cast("int") * F.lit(DAC_MAX)
-    return ((scaled - scaled % F.lit(MAX_POSITION)) / F.lit(MAX_POSITION)).cast("int")
+    scaled = position.cast("bigint") * F.lit(DAC_MAX)
+    return ((scaled - scaled % F.lit(MAX_POSITION)) / F.lit(MAX_POSITION)).try_cast("int")
 
 
 def truncated(value: Column) -> Column:
-    return value.cast("int")
+    return value.try_cast("int")
 
 
 def lenient_int(text: Column) -> Column:

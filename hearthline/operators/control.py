@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -118,13 +120,25 @@ def _run_segment(on, count, position, set_point: int, on_ticks: int, ticks: int)
     )
 
 
+def _start_counts(segments: pd.DataFrame) -> np.ndarray:
+    """The counter values at which a slice's outcome can change.
+
+    A counter below ``threshold - ticks`` never reaches the threshold, one at or above it is there at once, and none
+    exceeds the ticks since the start.
+    """
+    ticks, elapsed = int(segments["ticks"].sum()), int(segments["from_tick"].iloc[0])
+    cycling = segments.loc[segments["set_point"].isin([1, 2]), "on_ticks"].to_numpy(dtype=np.int64)
+    thresholds = np.unique(np.concatenate([cycling, 2 * cycling]))
+    ranges = [np.arange(max(0, t - ticks), min(t, elapsed) + 1) for t in thresholds if t > 0]
+    return np.unique(np.concatenate([np.zeros(1, dtype=np.int64), *ranges]))
+
+
 def _slice_map(segments: pd.DataFrame) -> pd.DataFrame:
-    """What a slice makes of every start state. The counter matters only up to the largest threshold met."""
+    """What a slice makes of every start state: for each counter value from which the outcome differs, off and on."""
     segments = segments.sort_values("from_tick")
-    # nor can it exceed the ticks since the start
-    top = int(min(max(0, 2 * segments["on_ticks"].max()), segments["from_tick"].iloc[0]))
-    on = np.repeat([False, True], top + 1)
-    count = np.tile(np.arange(top + 1, dtype=np.int64), 2)
+    starts = _start_counts(segments)
+    on = np.repeat([False, True], len(starts))
+    count = np.tile(starts, 2)
     position = np.full(len(on), -1, dtype=np.int64)  # -1: as at the start
     restarted = np.zeros(len(on), bool)
     for set_point, on_ticks, ticks in zip(segments["set_point"], segments["on_ticks"], segments["ticks"]):
@@ -135,6 +149,7 @@ def _slice_map(segments: pd.DataFrame) -> pd.DataFrame:
             "device": [segments["device"].iloc[0]],
             "slice": [segments["slice"].iloc[0]],
             "ticks": [int(segments["ticks"].sum())],
+            "starts": [starts.tolist()],
             "on": [on.tolist()],
             "count": [count.tolist()],
             "position": [position.tolist()],
@@ -150,8 +165,7 @@ def _chain(maps: pd.DataFrame) -> pd.DataFrame:
     starts = []
     for row in maps.itertuples():
         starts.append((row.device, row.slice, on, count, position))
-        top = len(row.on) // 2 - 1
-        state = (top + 1 if on else 0) + min(count, top)
+        state = bisect_right(row.starts, count) - 1 + (len(row.starts) if on else 0)
         count = int(row.count_[state]) if row.restarted[state] else count + int(row.ticks)
         position = int(row.position[state]) if row.position[state] >= 0 else position
         on = bool(row.on[state])
@@ -232,7 +246,7 @@ def segments_of(commands: DataFrame, spans: DataFrame, **options) -> DataFrame:
         start.alias("from_tick"),
         (F.col("tick") - start).alias("ticks"),
         F.coalesce("_set", F.lit(DEFAULT_SET_POINT)).cast("int").alias("set_point"),
-        F.coalesce("_on", F.lit(DEFAULT_ON_TICKS)).cast("int").alias("on_ticks"),
+        F.coalesce("_on", F.lit(DEFAULT_ON_TICKS)).cast("bigint").alias("on_ticks"),
         F.coalesce("_mode", F.lit(AUTO_MODE)).cast("int").alias("manual"),
     )
 
@@ -245,8 +259,8 @@ def valve_timeline(commands: DataFrame, spans: DataFrame, slice_ticks: int = SLI
     key_type = segments.schema["device"].dataType.simpleString()
     maps = segments.groupBy("device", "slice").applyInPandas(
         _slice_map,
-        f"device {key_type}, slice bigint, ticks bigint, on array<boolean>, count array<bigint>, "
-        "position array<bigint>, restarted array<boolean>",
+        f"device {key_type}, slice bigint, ticks bigint, starts array<bigint>, on array<boolean>, "
+        "count array<bigint>, position array<bigint>, restarted array<boolean>",
     )
     starts = (
         maps.withColumnRenamed("count", "count_")
@@ -258,7 +272,7 @@ def valve_timeline(commands: DataFrame, spans: DataFrame, slice_ticks: int = SLI
         .groupBy("device", "slice")
         .applyInPandas(
             _replay,
-            f"device {key_type}, slice bigint, from_tick bigint, ticks bigint, set_point int, on_ticks int, "
+            f"device {key_type}, slice bigint, from_tick bigint, ticks bigint, set_point int, on_ticks bigint, "
             "manual int, on boolean, count bigint, position bigint",
         )
     )

@@ -152,7 +152,7 @@ def parse_frames_legacy(frames: DataFrame, payload: str = "payload") -> DataFram
     totals = {}
     for n, by_field in LEGACY_KEYS.items():
         present = [F.coalesce(F.col(key), F.lit(float(NOT_RECEIVED))) for key in by_field.values()]
-        totals[n] = sum(present[1:], present[0]).cast("int")
+        totals[n] = sum(present[1:], present[0]).try_cast("int")
     accepted = F.coalesce(of_sensor(totals) < NOT_RECEIVED, F.lit(False))
     return rows.select(
         *others,

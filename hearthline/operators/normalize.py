@@ -53,11 +53,11 @@ def null_sentinels(readings: DataFrame) -> DataFrame:
 
 
 def row_sum(readings: DataFrame, caps: str) -> Column:
-    """Checksum of a reading: the capability mask plus all values present."""
+    """Checksum of a reading: the capability mask plus all values present; NULL if no 32-bit number can hold it."""
     total = F.col(caps).cast("int")
     for field in VALUE_FIELDS:
         if field in readings.columns:
-            total = total + F.coalesce(F.col(field), F.lit(0))
+            total = F.try_add(total, F.coalesce(F.col(field), F.lit(0)))
     return total
 
 

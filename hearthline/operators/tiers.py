@@ -85,7 +85,7 @@ def delete_range(points: DataFrame, measurement: str, t0, t1) -> DataFrame:
 def expire(points: DataFrame, tiers: DataFrame, as_of: Column) -> DataFrame:
     """Drop points older than their tier's duration; no duration, or an unknown tier, keeps them."""
     kept = F.col("duration_hours").isNull() | (
-        F.col("time") >= as_of - F.make_dt_interval(hours=F.col("duration_hours").cast("int"))
+        F.col("time") >= as_of - F.make_dt_interval(hours=F.col("duration_hours").try_cast("int"))
     )
     return points.join(tiers.select("tier", "duration_hours"), "tier", "left").where(kept).select(*points.columns)
 
@@ -100,7 +100,7 @@ def duration_hours(text: Column) -> Column:
     factor = (
         F.when(text.rlike(r"^\d+w"), 168).when(text.rlike(r"^\d+d"), 24).when(text.rlike(r"^\d+h"), 1)
     )
-    hours = number * factor
+    hours = F.try_multiply(number, factor.cast("bigint"))
     return F.when(hours > 0, hours)
 
 

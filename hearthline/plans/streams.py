@@ -123,10 +123,10 @@ def stream_setpoint(v: Views):
     return _without_zone(jobs.read_state(v.spark, stream, f"{folder}/out", "device"))
 
 
-# Every thirteenth point arrives a run late; a run brings a quarter of the points.
-_RUNS = 5
+# Every thirteenth point arrives a run late; a run brings half of the points.
+_RUNS = 3
 _ARRIVAL = (
-    "CAST(floor(4 * write_seq / ((SELECT max(event_id) FROM events) + 1)) AS INT) "
+    "CAST(floor(2 * write_seq / ((SELECT max(event_id) FROM events) + 1)) AS INT) "
     "+ CASE WHEN write_seq % 13 = 0 THEN 1 ELSE 0 END"
 )
 
@@ -134,7 +134,7 @@ _ARRIVAL = (
 @query(
     "stream_late",
     f"""
-    WITH arrived AS (SELECT *, {_ARRIVAL.replace('4 * write_seq /', 'CAST(4 * write_seq AS DOUBLE) /')} AS run,
+    WITH arrived AS (SELECT *, {_ARRIVAL.replace('2 * write_seq /', 'CAST(2 * write_seq AS DOUBLE) /')} AS run,
                             time_bucket(INTERVAL '1 hour', time) + INTERVAL '1 hour' AS bucket_end FROM {{points}}),
     marks AS (SELECT run, max(max(time)) OVER (ORDER BY run) AS newest FROM arrived GROUP BY run),
     kept AS (SELECT a.* FROM arrived a LEFT JOIN marks m ON m.run = a.run - 1
@@ -147,7 +147,7 @@ def stream_late(v: Views):
     """Points arrive in several runs, some of them late: those up to two hours late count, later ones are dropped."""
     folder = work_dir(v.spark, "stream_late")
     newest_id = v.events.agg(F.max("event_id")).first()[0]
-    arrival = F.floor(F.col("write_seq") * 4 / (newest_id + 1)) + F.when(F.col("write_seq") % 13 == 0, 1).otherwise(0)
+    arrival = F.floor(F.col("write_seq") * 2 / (newest_id + 1)) + F.when(F.col("write_seq") % 13 == 0, 1).otherwise(0)
     points = event_time(v.points, "time").withColumn("run", arrival)
     for run in range(_RUNS):
         points.where(F.col("run") == run).drop("run").write.mode("append").parquet(f"{folder}/in")

@@ -80,7 +80,7 @@ def delete_points(spark: SparkSession, root: str, measurement: str, t0: datetime
 def expire_points(spark: SparkSession, root: str, tiers: DataFrame, as_of: datetime) -> None:
     """Enforce retention: days wholly past their tier's duration go as folders, only the border day is rewritten."""
     stored = spark.read.parquet(root)
-    horizon = instant(as_of) - F.make_dt_interval(hours=F.col("duration_hours").cast("int"))
+    horizon = instant(as_of) - F.make_dt_interval(hours=F.col("duration_hours").try_cast("int"))
     old = stored.join(tiers.select("tier", "duration_hours"), "tier", "left").where(
         F.col("day") <= F.to_date(horizon)
     )

@@ -54,7 +54,7 @@ def random_commands(seed, n, horizon_s, device=1):
                 seq,
                 rng.choice([0, 1, 1, 2, 2, 3, 5, -2]) if kind == 0 else None,
                 rng.choice([0, 1, 2, 4, 6, 6]) if kind == 1 else None,
-                rng.choice([0, 1, 2, 4, 7, 30, -3]) if kind == 2 else None,
+                rng.choice([0, 1, 2, 4, 7, 30, 500, -3]) if kind == 2 else None,
             )
         )
     return commands

@@ -343,6 +343,25 @@ def test_packets_round_trip(spark):
     assert sorted(r["id"] for r in P.undecodable(packets, "payload", [P.RADIO_V1, P.RADIO_V0]).collect()) == [3, 4]
 
 
+def test_garbage_does_not_stop_a_job(spark):
+    """Numbers no field can hold become NULL or a failed check."""
+    assert one(spark, S.fixed_point(F.lit(1e30))) is None
+    assert one(spark, S.fixed_point(F.lit(math.inf))) is None
+    assert one(spark, S.truncated(F.lit(math.nan))) is None
+    assert one(spark, T.duration_hours(F.lit("9000000000000000000w"))) is None
+    huge = '{"sensor":1,"SensCap":2147483647,"iTempA":2147483647,"iHumi":99999999999,"iCSum":5}'
+    frames = N.with_checksum(I.parse_frames(spark.createDataFrame([(huge,)], "payload string"))).first()
+    assert (frames["iHumi"], frames["checksum"], frames["checksum_ok"]) == (None, None, False)
+    legacy = '{"sensor":2,"fTemp2A":1e300,"fVolt2":3.0}'
+    row = I.parse_frames_legacy(spark.createDataFrame([(legacy,)], "payload string")).first()
+    assert row["accepted"] is False
+    packets = spark.createDataFrame(
+        [(1, 1e30, -math.inf, math.nan, 3.0)], "channel int, temp_a double, temp_b double, humi double, volt double"
+    )
+    row = N.calibrate(packets, dims.sensors(spark)).first()
+    assert (row["iTempA"], row["iTempB"], row["iHumi"], row["iVolt"]) == (None, None, None, 289)
+
+
 def test_first_seen_takes_the_earliest_packet(spark):
     packets = spark.createDataFrame(
         [(1, T0, 4, "b"), (1, T0, 3, "a"), (1, T0 + timedelta(1), 1, "c")],
