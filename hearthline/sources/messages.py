@@ -32,6 +32,18 @@ def stream_kafka(spark: SparkSession, servers: str, kafka_topic: str) -> DataFra
     )
 
 
+def publish_kafka(messages: DataFrame, servers: str, kafka_topic: str, checkpoint: str):
+    """The way back: a stream of messages to Kafka; returns the running query."""
+    records = messages.select(F.col("topic").alias("key"), F.col("payload").alias("value"))
+    return (
+        records.writeStream.format("kafka")
+        .option("kafka.bootstrap.servers", servers)
+        .option("topic", kafka_topic)
+        .option("checkpointLocation", checkpoint)
+        .start()
+    )
+
+
 def write_messages(messages: DataFrame, folder: str) -> None:
     messages.write.mode("append").json(folder)
 
