@@ -56,7 +56,7 @@ def slice_rows(
     widths: Sequence[int] = (DAY_US, 300_000_000, 1_000_000),
     max_rows: int | None = MAX_CELL_ROWS,
 ) -> DataFrame:
-    """Add ``_slice`` and ``_block``: together with the keys they name a bounded run of consecutive rows.
+    """Add ``_slice`` and, where needed, ``_block``: with the keys they name a bounded run of consecutive rows.
 
     The cells of the first width are slices, except those with more than ``max_rows`` rows, which are cut at the
     next width, and so on down to single positions and blocks of sequence numbers. ``max_rows=None`` skips the
@@ -64,7 +64,7 @@ def slice_rows(
     """
     keys = list(keys)
     slice_ = _cell(position, widths[0])
-    block = F.lit(0).cast("bigint")
+    block = None
     limit = None
     scope = df.select(*keys, position)
     finer = [*widths[1:], 1]
@@ -87,8 +87,10 @@ def slice_rows(
         is_hot = F.col(f"_hot{level}").isNotNull()
         slice_ = F.when(is_hot, _cell(position, finer[level])).otherwise(slice_)
         if finer[level] == 1:
-            block = F.when(is_hot, F.shiftright(F.col(seq).cast("bigint"), BLOCK_BITS)).otherwise(block)
-    marked = df.withColumn("_slice", slice_).withColumn("_block", block)
+            block = F.when(is_hot, F.shiftright(F.col(seq).cast("bigint"), BLOCK_BITS)).otherwise(F.lit(0))
+    marked = df.withColumn("_slice", slice_)
+    if block is not None:
+        marked = marked.withColumn("_block", block)
     return marked.drop(*[f"_hot{level}" for level in range(len(widths))])
 
 
@@ -99,12 +101,14 @@ def carry_last(
     seq: Column,
     values: dict[str, Column],
     strict: bool = False,
+    rising: bool = False,
     widths: Sequence[int] = (DAY_US, 300_000_000, 1_000_000),
     max_rows: int | None = MAX_CELL_ROWS,
 ) -> DataFrame:
     """Add, for each name in ``values``, the last non-NULL value at or before the row (before it, if ``strict``).
 
-    ``position`` is a BIGINT along which rows of a key are ordered; ``seq`` decides between equal positions.
+    ``position`` is a BIGINT along which rows of a key are ordered; ``seq`` decides between equal positions. Values
+    that never fall along the order (``rising``), such as the time itself, are cheaper: a slice ends with the largest.
     """
     keys = list(keys)
     columns = df.columns
@@ -117,21 +121,26 @@ def carry_last(
     )
     rows = slice_rows(rows, keys, "_pos", "_seq", widths, max_rows)
     at = order_key(F.col("_pos"), F.col("_seq"))
-    slice_key = [*keys, "_slice", "_block"]
+    slice_order = [c for c in ("_slice", "_block") if c in rows.columns]
+    slice_key = [*keys, *slice_order]
     # every slice takes part, also one without values, for it needs a seed
     ends = rows.groupBy(*slice_key).agg(
-        *[F.max_by(s, F.when(F.col(s).isNotNull(), at)).alias(s) for s in sources.values()]
+        *[
+            (F.max(s) if rising else F.max_by(s, F.when(F.col(s).isNotNull(), at))).alias(s)
+            for s in sources.values()
+        ]
     )
-    earlier = W.partitionBy(*keys).orderBy("_slice", "_block").rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy(*keys).orderBy(*slice_order).rowsBetween(W.unboundedPreceding, -1)
     seeds = ends.select(
         *slice_key, *[F.last(s, ignorenulls=True).over(earlier).alias(s) for s in sources.values()]
     ).where(reduce(or_, [F.col(s).isNotNull() for s in sources.values()]))
     seeded = rows.withColumn("_real", F.lit(True)).unionByName(
         seeds.withColumn("_real", F.lit(False)), allowMissingColumns=True
     )
+    # a seed has no position, so it sorts before the rows of its slice
     upto = (
         W.partitionBy(*slice_key)
-        .orderBy("_real", "_pos", "_seq")
+        .orderBy(F.col("_pos").asc_nulls_first(), "_seq")
         .rowsBetween(W.unboundedPreceding, -1 if strict else W.currentRow)
     )
     carried = seeded.select(

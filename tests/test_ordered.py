@@ -57,6 +57,7 @@ def test_carry_last_equals_window(rows, strict, max_rows):
 
 def test_slices_are_small_and_in_order(rows):
     sliced = slice_rows(rows, ["key"], "position", "seq", max_rows=20)
+    assert "_block" in sliced.columns and "_block" not in slice_rows(rows, ["key"], "position", "seq").columns
     runs = sliced.groupBy("key", "_slice", "_block").agg(
         F.count("*").alias("n"), F.min("position").alias("first"), F.max("position").alias("last")
     )
@@ -82,6 +83,16 @@ def test_sequence_blocks_cut_one_instant(spark):
     assert [got[s] for s in ordered] == [None, *ordered[:-1]]
 
 
+@pytest.mark.parametrize("max_rows", [1, 20, 10_000])
+def test_rising_values(rows, max_rows):
+    value = {"p": F.col("position")}
+    got = carry_last(
+        rows, ["key"], F.col("position"), F.col("seq"), value, strict=True, rising=True, max_rows=max_rows
+    )
+    plain = rows.withColumn("p", F.lag("position").over(W.partitionBy("key").orderBy("position", "seq")))
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+
+
 def test_micros_of_times_before_the_epoch(spark):
     row = spark.sql("SELECT TIMESTAMP_NTZ'1969-12-31 23:59:59.5' AS t").select(micros(F.col("t")).alias("u")).first()
     assert row["u"] == -500_000
