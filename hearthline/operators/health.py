@@ -18,7 +18,14 @@ def with_previous_time(
 ) -> DataFrame:
     """Add ``previous``: the time of the reading before, NULL for a sensor's first."""
     return carry_last(
-        readings, keys, micros(F.col(time)), F.col(seq), {"previous": F.col(time)}, strict=True, rising=True, max_rows=max_rows
+        readings,
+        keys,
+        micros(F.col(time)),
+        F.col(seq),
+        {"previous": F.col(time)},
+        strict=True,
+        rising=True,
+        max_rows=max_rows,
     )
 
 

@@ -2,43 +2,23 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
-
 from pyspark.sql import functions as F
 
 from hearthline.constants import PLACEHOLDER, SENSORS, STALE_HUB_S
 from hearthline.functions import scalar as S
-from hearthline.operators import health, rollup
-from hearthline.operators.fill import fill
+from hearthline.operators import health
+from hearthline.operators.dashboard import dashboard, whole_days
 from hearthline.operators.normalize import plausible
-from hearthline.operators.tiers import instant, scan_tiers, time_range
 from hearthline.plans.registry import query
 from hearthline.plans.rollups import DIGITS, rounded
 from hearthline.plans.views import Views
 from hearthline.sources import dims
 
-SERIES = ("measurement", "field")
 TIERS = ("autogen", "two_month", "one_year", "forever")
 
 
-def _span(v: Views, width_s: int) -> tuple[datetime, datetime]:
-    """The dashboard's time range: whole days around all points, as first and last bucket start."""
-    first, last = v.points.agg(F.min("time"), F.max("time")).first()
-    t0 = datetime(first.year, first.month, first.day)
-    end = datetime(last.year, last.month, last.day) + timedelta(days=1)
-    return t0, end - timedelta(seconds=width_s)
-
-
 def _dashboard(v: Views, agg: str, width_s: int, how: str):
-    """``SELECT agg(field) FROM <tiers> WHERE $timeFilter GROUP BY time($__interval) fill(how)``."""
-    t0, t1 = _span(v, width_s)
-    points = time_range(scan_tiers(v.points, TIERS), t0, t1 + timedelta(seconds=width_s))
-    if agg == "distinct":
-        buckets = rollup.rollup_distinct(points, width_s, SERIES)
-    else:
-        buckets = rollup.rollup(points, agg, width_s, SERIES)
-    # the result of a dashboard query is listed by time; nothing before this edge is sorted
-    return fill(buckets, SERIES, width_s, instant(t0), instant(t1), how, agg == "distinct").orderBy("time")
+    return dashboard(v.points, agg, TIERS, *whole_days(v.points), width_s, how)
 
 
 def _bucket_sql(aggregate: str, width: str) -> str:

@@ -6,8 +6,6 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
-
 from hearthline.operators import control as C
 
 START = datetime(2024, 1, 1, 0, 0, 30)

@@ -7,7 +7,6 @@ import pytest
 import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.001"
-STATEFUL = ("stream_", "valve_timeline", "valve_report")
 
 
 def plan_of(spark, name):

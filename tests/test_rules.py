@@ -17,6 +17,7 @@ from hearthline.operators import ingest as I
 from hearthline.operators import normalize as N
 from hearthline.operators import rollup as R
 from hearthline.operators import tiers as T
+from hearthline.operators.dashboard import dashboard
 from hearthline.operators.fill import fill
 from hearthline.operators.ordered import micros
 from hearthline.sources import dims
@@ -277,6 +278,27 @@ def test_fill(spark):
     assert filled("linear") == [None, None, 10.0, 12.0, 14.0, 16.0, None, None]
 
 
+def test_dashboard_over_tiers(spark):
+    at = [T0 + timedelta(hours=h) for h in range(5)]
+    rows = [
+        ("two_month", "sSens1", at[0], "fTempA", 1.0, 0),
+        ("one_year", "sSens1", at[0] + timedelta(minutes=59), "fTempA", 2.0, 1),
+        ("one_year", "sSens1", at[3], "fTempA", 8.0, 2),
+        ("one_year", "sSens1", at[4], "fTempA", 9.0, 3),
+        ("forever", "sSens1", at[1], "fTempA", 100.0, 4),
+        ("one_year", "sSens2", at[1], "fTempA", 100.0, 5),
+        ("one_year", "sSens1", at[1], "fHumi", 100.0, 6),
+    ]
+    frame, tiers = points(spark, rows), ["two_month", "one_year"]
+
+    def shown(agg):
+        out = dashboard(frame, agg, tiers, at[0], at[4], 3600, "linear", "sSens1", ["fTempA"])
+        return [r["value"] for r in out.collect()]
+
+    assert shown("last") == [2.0, 4.0, 6.0, 8.0]
+    assert sorted(shown("distinct")[:2]) == [1.0, 2.0] and shown("distinct")[2:] == [4.0, 6.0, 8.0]
+
+
 def test_last_write_wins(spark):
     rows = [("forever", "Tom", T0, "TempIn", 1.0, 5), ("forever", "Tom", T0, "TempIn", 2.0, 9), ("forever", "Tom", T0, "TempIn", 3.0, 7)]
     assert [(r["value"], r["write_seq"]) for r in T.last_write(points(spark, rows)).collect()] == [(2.0, 9)]
