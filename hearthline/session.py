@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,9 +13,34 @@ from pyspark.sql import DataFrame, SparkSession
 def configure(spark: SparkSession) -> SparkSession:
     """Pin UTC, the zone in which buckets are aligned."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship(spark)
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers once, and bound the Arrow batches they get.
+
+    Workers may run anywhere, while the driver finds the package by its own ``sys.path``.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "") in ("", "64m", "67108864b"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    here = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="hearthline-"), "hearthline_package.zip")
+    with zipfile.ZipFile(target, "w") as packed:
+        for folder, _, names in os.walk(here):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                packed.write(path, os.path.relpath(path, os.path.dirname(here)))
+    context.addPyFile(target)
+
+
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach, taken from ``spark.checkpoint.dir``.
 
