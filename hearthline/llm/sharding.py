@@ -4,9 +4,9 @@ Every shard owns ``virtual_nodes`` points of a ring; a document hashes to a plac
 clockwise. No shard takes more than ``(1 + slack)`` of the mean load in bytes: what finds its shard full goes on clockwise to the
 next shard with room. So loads are near equal, and a change of shards moves little.
 
-Documents of one arc of the ring see the shards in the same order. An arc is cut by hash into cells, at most ``MOST_CELLS``
-in all whatever the data, and cells are what is placed, the heaviest first: only their loads, a bounded table, meet on the
-driver, and each document looks its cell up.
+The ring has a fixed number of places. Documents of one place see the shards in the same order, so places are what is
+dealt out, the heaviest first: only their loads, a table of bounded size whatever the data, meet on the driver, and each
+document looks its place up.
 """
 
 from __future__ import annotations
@@ -19,18 +19,17 @@ from pyspark.sql import functions as F
 
 from hearthline.llm.common import stored
 
-#: Places of the ring, and most cells of all arcs together.
-RING = 1 << 32
-MOST_CELLS = 1 << 15
+#: Places of the ring: 2 to this power.
+RING_BITS = 15
 
 
 def ring_points(shards: int, virtual_nodes: int) -> list[tuple[int, int]]:
-    """(place, shard) of every virtual node, in ring order. A shard's points do not depend on how many shards there are."""
+    """(place, shard) of every virtual node, in ring order. A further shard moves no point of the others."""
     found = {}
     for shard in range(shards):
         for k in range(virtual_nodes):
-            place = int.from_bytes(hashlib.md5(f"shard {shard} node {k}".encode()).digest()[:4], "big")
-            found.setdefault(place, shard)
+            digest = hashlib.md5(f"shard {shard} node {k}".encode()).digest()
+            found.setdefault(int.from_bytes(digest[:4], "big") >> (32 - RING_BITS), shard)
     return sorted(found.items())
 
 
@@ -42,22 +41,24 @@ def clockwise(points: list[tuple[int, int]], arc: int) -> list[int]:
     return list(seen)
 
 
-def place_cells(loads: list[tuple[int, int, int]], shards: int, virtual_nodes: int, slack: float) -> dict[int, int]:
-    """Shard of each cell, from (cell, arc, load): the first clockwise that still has room.
+def deal(loads: list[tuple[int, int]], shards: int, virtual_nodes: int, slack: float) -> dict[int, int]:
+    """Shard of each place, from (place, load): the first clockwise that still has room.
 
-    Heavier cells come first, equal ones by number. A cell for which no shard has room (it is larger than what is
-    left anywhere, as a few huge documents can be) goes to the shard with the least load, the first of these clockwise.
+    Heavier places come first, equal ones in ring order. If no shard has room (a few huge documents can do that), the
+    place goes to the shard with the least load, the first of these clockwise.
     """
     points = ring_points(shards, virtual_nodes)
-    room = (1 + slack) * sum(load for _, _, load in loads) / shards
+    starts = [p for p, _ in points]
+    room = (1 + slack) * sum(load for _, load in loads) / shards
     held, out, orders = [0] * shards, {}, {}
-    for cell, arc, load in sorted(loads, key=lambda x: (-x[2], x[0])):
+    for place, load in sorted(loads, key=lambda x: (-x[1], x[0])):
+        arc = bisect.bisect_left(starts, place) % len(points)
         order = orders.get(arc) or orders.setdefault(arc, clockwise(points, arc))
         shard = next((s for s in order if held[s] + load <= room), None)
         if shard is None:
             shard = min(order, key=lambda s: held[s])
         held[shard] += load
-        out[cell] = shard
+        out[place] = shard
     return out
 
 
@@ -69,51 +70,28 @@ def shard(
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
-    """(doc_id, size, text_crc32, cell, shard, slot) of every row; slots run from 0 without a gap in each shard.
+    """(doc_id, size, text_crc32, place, shard, slot) of every row; slots run from 0 without a gap in each shard.
 
     Size is the text's UTF-8 bytes plus 1 (a null text has none; its checksum is that of no bytes). The place on the ring
     comes from id, size and checksum, so null or repeated ids spread too; fully equal rows share a place. Empty table: no rows.
     """
-    points = ring_points(shards, virtual_nodes)
-    slices = max(1, MOST_CELLS // len(points))
-    text = F.encode(F.coalesce(F.col(text_column).cast("string"), F.lit("")), "utf-8")
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit("")).cast("binary")
     rows = documents.select(
         F.col(id_column).alias("doc_id"),
         (F.octet_length(text) + 1).cast("bigint").alias("size"),
         F.crc32(text).alias("text_crc32"),
-    ).withColumn("hash", F.xxhash64("doc_id", "size", "text_crc32"))
-    places = F.array(*(F.lit(p) for p, _ in points))
-    # the arc is the number of points before the place; after the last point the ring begins anew
-    at = F.pmod("hash", F.lit(RING))
-    arc = F.pmod(_points_before(at, places, len(points)), F.lit(len(points)))
-    cell = arc * slices + F.pmod(F.shiftright("hash", 32), F.lit(slices))
-    held = stored(rows.withColumn("cell", cell.cast("int")).select("doc_id", "size", "text_crc32", "cell"), "cells")
-    loads = held.groupBy("cell").agg(F.sum("size").alias("load"), F.count("*").alias("n")).collect()
-    placed = place_cells([(r.cell, r.cell // slices, r.load) for r in loads], shards, virtual_nodes, slack)
-    offsets, used = [], [0] * shards
-    for r in sorted(loads, key=lambda r: r.cell):
-        s = placed[r.cell]
-        offsets.append((r.cell, s, used[s]))
+    )
+    place = F.shiftrightunsigned(F.xxhash64("doc_id", "size", "text_crc32"), 64 - RING_BITS).cast("int")
+    held = stored(rows.withColumn("place", place), "places")
+    loads = held.groupBy("place").agg(F.sum("size").alias("load"), F.count("*").alias("n")).orderBy("place").collect()
+    dealt = deal([(r.place, r.load) for r in loads], shards, virtual_nodes, slack)
+    firsts, used = [], [0] * shards
+    for r in loads:
+        s = dealt[r.place]
+        firsts.append((r.place, s, used[s]))
         used[s] += r.n
-    # at most MOST_CELLS rows of 16 bytes
-    lookup = documents.sparkSession.createDataFrame(offsets, "cell int, shard int, first bigint")
-    own = Window.partitionBy("cell").orderBy("doc_id", "text_crc32", "size")
-    numbered = held.withColumn("__n", F.row_number().over(own) - 1).join(F.broadcast(lookup), "cell")
-    return numbered.select("doc_id", "size", "text_crc32", "cell", "shard", (F.col("first") + F.col("__n")).cast("bigint").alias("slot"))
-
-
-def _points_before(at, places, n: int):
-    """Number of ring points below a place, by halving: a few comparisons in generated code."""
-    found = F.lit(0)
-    step = 1 << (n.bit_length() - 1)
-    while step:
-        ahead = found + step
-        value = F.try_element_at(places, ahead.cast("int"))
-        found = F.when((ahead <= n) & (value < at), ahead).otherwise(found)
-        step //= 2
-    return found
-
-
-def arc_of(place: int, points: list[tuple[int, int]]) -> int:
-    """The same for one place on the driver."""
-    return bisect.bisect_left([p for p, _ in points], place) % len(points)
+    # one row of 16 bytes for each place of the ring at most
+    lookup = documents.sparkSession.createDataFrame(firsts, "place int, shard int, first bigint")
+    own = Window.partitionBy("place").orderBy("doc_id", "text_crc32", "size")
+    numbered = held.withColumn("__n", F.row_number().over(own) - 1).join(F.broadcast(lookup), "place")
+    return numbered.select("doc_id", "size", "text_crc32", "place", "shard", (F.col("first") + F.col("__n")).cast("bigint").alias("slot"))

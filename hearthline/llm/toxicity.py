@@ -403,3 +403,14 @@ def score(documents: DataFrame, model: Model, text_column: str = "text") -> Data
 
     schema = kept.limit(0).selectExpr("*", "0D AS score", f"from_json('[]', '{SCORED.split('spans ')[1]}') AS spans").schema
     return map_arrow(kept, batch, schema)
+
+
+def keep_clean(documents: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
+    """Rows of ``documents`` with a score below one half, unchanged, with all their columns. One narrow pass."""
+    at = documents.columns.index(text_column)
+
+    def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
+        found = log_odds(model, rows.column(at).to_pylist())
+        return rows.filter(pa.array([document_score(model, odds) < 0.5 for odds in found], pa.bool_()))
+
+    return map_arrow(documents, batch, documents.schema)
