@@ -29,7 +29,7 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     _shipped.add(context.applicationId)
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "") in ("", "64m", "67108864b"):
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":  # the default
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     here = os.path.dirname(os.path.abspath(__file__))
     target = os.path.join(tempfile.mkdtemp(prefix="hearthline-"), "hearthline_package.zip")
