@@ -258,6 +258,13 @@ def _candidates(found: DataFrame, s: Settings) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, waiting = None, []
+        above: dict[int, int] = {}  # groups that pairs of this task have connected
+
+        def top(group: int) -> int:
+            while group in above:
+                group = above[group]
+            return group
+
         for part in batches:
             out = []
             columns = {n: part.column(k).to_pylist() for k, n in enumerate(part.schema.names)}
@@ -265,7 +272,10 @@ def _candidates(found: DataFrame, s: Settings) -> DataFrame:
                 if key != shingle:
                     shingle, waiting = key, []
                 own = np.frombuffer(bits, dtype=np.uint8)
-                out += [(node, o) for o, g, m, b in waiting if g != group and 100 * min(n, m) >= s.percent * max(n, m) and may_match(n, own, m, b, s.percent)]
+                for other, g, m, b in waiting:
+                    if 100 * min(n, m) >= s.percent * max(n, m) and top(g) != top(group) and may_match(n, own, m, b, s.percent):
+                        out.append((node, other))
+                        above[max(top(g), top(group))] = min(top(g), top(group))
                 if not late:
                     waiting.append((node, group, n, own))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
