@@ -18,7 +18,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import map_arrow
+from hearthline.llm.common import map_arrow, stored
+
+
+#: Hosts with more than 1 / HEAVY of all pages are treated one by one.
+HEAVY = 1024
 
 
 @dataclass(frozen=True)
@@ -316,7 +320,17 @@ def extract(
         host_of(F.col(url_column)).alias("host"),
         F.col(html_column).cast("string").alias("html"),
     )
-    joined = rows.join(templates.withColumnRenamed("host", "of"), F.col("host") == F.col("of"), "left").select("page_id", "url", "host", "html", "keys")
+    named = templates.withColumnRenamed("host", "of")
+    # a host with more than one page in HEAVY is one of HEAVY at most: their keys are broadcast and their pages stay where
+    # they are; no other host is large enough to be a burden to one task of a join
+    total = pages.count()
+    sizes = rows.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") * HEAVY > total).select(F.col("host").alias("big"))
+    heavy = stored(sizes.join(named, F.col("big") == F.col("of"), "left").select("big", "keys"), "heavy-hosts")
+    columns = ["page_id", "url", "host", "html", "keys"]
+    large = rows.join(F.broadcast(heavy), F.col("host") == F.col("big")).select(*columns)
+    small = rows.join(F.broadcast(heavy.select("big")), F.col("host") == F.col("big"), "left_anti")
+    light = named.join(F.broadcast(heavy.select("big")), F.col("of") == F.col("big"), "left_anti")
+    joined = large.unionByName(small.join(light, F.col("host") == F.col("of"), "left").select(*columns))
 
     def batch(part: pa.RecordBatch) -> pa.RecordBatch:
         texts = [main_text(page, set(keys or ()), settings) if page else "" for page, keys in zip(part.column(3).to_pylist(), part.column(4).to_pylist())]
