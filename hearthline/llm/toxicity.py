@@ -358,25 +358,19 @@ def training_sample(documents: DataFrame, labels: DataFrame, settings: Settings
     Only documents with a label and a text, and outside the held-out fold, can be in it.
     """
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("__toxic"))
-    usable = (
-        documents.where("doc_id IS NOT NULL AND text IS NOT NULL")
-        .where(crc_fold(F.col("doc_id"), 5) != 0)
-        .select("doc_id", "text")
-        .join(known, "doc_id")
-    )
+    usable = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").where(crc_fold(F.col("doc_id"), 5) != 0)
+    # ids and lengths first: no text is shuffled or sorted
+    sizes = usable.select("doc_id", F.length("text").alias("n")).join(known, "doc_id")
     texts, toxic = [], []
     for label in (0, 1):
-        # ids and lengths first, so that choosing moves no texts
-        own = usable.where(F.col("__toxic") == label)
-        sizes = own.select("doc_id", F.length("text").alias("n"))
-        ids, room = [], settings.sample_chars
-        for row in bounded_sample(sizes, settings.sample_rows, F.col("doc_id")).collect():
+        ids, room = set(), settings.sample_chars
+        for row in bounded_sample(sizes.where(F.col("__toxic") == label), settings.sample_rows, F.col("doc_id")).collect():
             if row.n <= room:
                 room -= row.n
-                ids.append(row.doc_id)
+                ids.add(row.doc_id)
         if not ids:
             continue
-        found = sorted({(r.doc_id, r.text) for r in own.where(F.col("doc_id").isin(sorted(set(ids)))).select("doc_id", "text").collect()})
+        found = sorted({(r.doc_id, r.text) for r in usable.where(F.col("doc_id").isin(sorted(ids))).select("doc_id", "text").collect()})
         texts += [t for _, t in found]
         toxic += [label] * len(found)
     return texts, toxic
