@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthline.llm import wordhash
-from hearthline.llm.common import map_arrow, stored
+from hearthline.llm.common import give_back, map_arrow, stored
 from hearthline.llm.components import components
 from hearthline.llm.neardup_vectors import _runs
 from hearthline.session import ship
@@ -225,6 +225,7 @@ def profiles(documents: DataFrame, frequent: tuple[np.ndarray, np.ndarray], s: S
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
             names = [c.split()[0] for c in PROFILE.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], names)
+        give_back()
 
     ship(documents.sparkSession)
     text = F.col(text_column).cast("string")

@@ -46,10 +46,10 @@ _EDGE_POINT = 0x110000
 #: White space of the vocabulary's pattern. Fixed values.
 _BLANKS = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Pieces whose ids a worker remembers.
-REMEMBERED = 1_000_000
-SLOT_BITS = 22
+REMEMBERED = 300_000
+SLOT_BITS = 20
 #: Code points tokenized at once; a longer text is a block of its own.
-BLOCK_POINTS = 1 << 19
+BLOCK_POINTS = 1 << 18
 
 
 @lru_cache(1)

@@ -17,6 +17,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,7 @@ class Settings:
     least_share: float = 0.01
     plain_share: float = 0.05
     least_log_odds: float = 3.0
+    chance: float = 1e-6
 
 
 @dataclass
@@ -130,6 +132,18 @@ class Chains:
 # ---------------------------------------------------------------- fitting, on a bounded sample
 
 
+@lru_cache(10_000)
+def least_count(mean: float, chance: float) -> int:
+    """Smallest count that a Poisson variable of this mean reaches with at most this chance."""
+    term = left = math.exp(-mean)
+    k = 1
+    while 1 - left > chance and k < 10_000:
+        term *= mean / k
+        left += term
+        k += 1
+    return k
+
+
 def marked_features(texts: list[str], toxic: list[int], settings: Settings) -> set[str]:
     """Features that explain why documents are offending.
 
@@ -149,6 +163,7 @@ def marked_features(texts: list[str], toxic: list[int], settings: Settings) -> s
         if k >= settings.least_documents
         and seen[0][m] <= 0.05 * k
         and math.log((k + 0.5) / (n1 + 1)) - math.log((seen[0][m] + 0.5) / (n0 + 1)) >= settings.least_log_odds
+        and k >= least_count((seen[0][m] + 1) / (n0 + 1) * n1, settings.chance)
     }
     taken = {m for m, k in able.items() if k >= max(least, settings.plain_share * n1)}
     rest = [marks & able.keys() for marks, label in zip(kinds, toxic) if label and not marks & taken]
@@ -254,9 +269,9 @@ def _fit_document(model: Model, texts: list[str], toxic: list[int]) -> tuple[flo
 
 #: Words a worker remembers, as rows of a table of emissions, for the model it scores with; forgotten beyond REMEMBERED.
 _known: dict[str, tuple[dict[str, int], np.ndarray]] = {}
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Characters scored at once; a longer text is scored alone.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 19
 
 
 def summary(odds: np.ndarray) -> tuple[float, float]:

@@ -21,7 +21,7 @@ _rng = np.random.Generator(np.random.PCG64(20240517))
 _BYTE = _rng.integers(1, 1 << 63, size=256, dtype=np.uint64)
 _PLACE = _rng.integers(1, 1 << 63, size=64, dtype=np.uint64) | np.uint64(1)
 #: Bytes of text hashed together; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 _powers: dict[int, np.ndarray] = {}
 
 
