@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import bounded_sample, crc_fold, map_arrow
+from hearthline.llm.common import bounded_sample, crc_fold, give_back, map_arrow
 
 _TOKEN = re.compile(r"\w+|[.!?\n]")
 _STOPS = (".", "!", "?", "\n")
@@ -144,6 +144,10 @@ def least_count(mean: float, chance: float) -> int:
     return k
 
 
+def _features_of(text: str) -> set[str]:
+    return {m for w in set(_TOKEN.findall(text)) for m in word_features(w)[:-1]}
+
+
 def marked_features(texts: list[str], toxic: list[int], settings: Settings) -> set[str]:
     """Features that explain why documents are offending.
 
@@ -151,11 +155,18 @@ def marked_features(texts: list[str], toxic: list[int], settings: Settings) -> s
     then, again and again, the one that occurs in most offending documents without a taken one (of equals the longest).
     Words that merely come along, as in copies of one document, explain nothing more and are left out.
     """
-    kinds = [{m for w in set(_TOKEN.findall(t)) for m in word_features(w)[:-1]} for t in texts]
-    seen = (Counter(), Counter())
-    for marks, label in zip(kinds, toxic):
-        seen[label].update(marks)
-    n1, n0 = sum(toxic), len(toxic) - sum(toxic)
+    n1 = sum(1 for label in toxic if label)
+    n0 = len(toxic) - n1
+    seen: tuple[Counter, Counter] = (Counter(), Counter())
+    for text, label in zip(texts, toxic):
+        if label:
+            seen[1].update(_features_of(text))
+    for m in [m for m, k in seen[1].items() if k < settings.least_documents]:
+        del seen[1][m]
+    # elsewhere only what is left is counted, so that the driver holds little
+    for text, label in zip(texts, toxic):
+        if not label:
+            seen[0].update(_features_of(text) & seen[1].keys())
     least = max(settings.least_documents, settings.least_share * n1)
     able = {
         m: k
@@ -166,7 +177,7 @@ def marked_features(texts: list[str], toxic: list[int], settings: Settings) -> s
         and k >= least_count((seen[0][m] + 1) / (n0 + 1) * n1, settings.chance)
     }
     taken = {m for m, k in able.items() if k >= max(least, settings.plain_share * n1)}
-    rest = [marks & able.keys() for marks, label in zip(kinds, toxic) if label and not marks & taken]
+    rest = [marks & able.keys() for text, label in zip(texts, toxic) if label and not (marks := _features_of(text)) & taken]
     while rest:
         left = Counter(m for marks in rest for m in marks)
         best = max(left, key=lambda m: (left[m], len(m), m), default=None)
@@ -392,7 +403,9 @@ def training_sample(documents: DataFrame, labels: DataFrame, settings: Settings
 
 
 def train(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
-    return fit(*training_sample(documents, labels, settings), settings)
+    model = fit(*training_sample(documents, labels, settings), settings)
+    give_back()
+    return model
 
 
 def score(documents: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
