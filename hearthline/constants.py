@@ -90,9 +90,6 @@ ADC_VOLT = 0.01076923073
 SEA_LEVEL_PA = 3400
 LEGACY_LUX_DIVISOR = 1.2
 
-# Frames longer than the receive buffer are dropped (fixed value).
-FRAME_BUFFER = 256
-
 # Stale limits in seconds: hub display, bridge alarm, remote display (fixed values).
 STALE_HUB_S = 240
 STALE_BRIDGE_S = 180

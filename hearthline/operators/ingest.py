@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from hearthline.constants import (
     COLOUR_FIELDS,
     FIELD_CAPABILITY,
-    FRAME_BUFFER,
     FRAME_FIELDS,
     NOT_RECEIVED,
     SCALED_FIELDS,
@@ -46,12 +45,12 @@ LEGACY_FIELDS = ["fTempA", "fHumi", "fVolt", "iLight", "fAtmo"]
 def split_frames(log: DataFrame, text: str = "text") -> DataFrame:
     """Payloads between the start and end markers, one row each, with their place in the text.
 
-    Bytes before a start marker are skipped, a frame without an end is dropped, and so is one beyond the buffer.
+    Bytes before a start marker are skipped, and a frame without an end is dropped. Frames may be of any length.
     """
     found = F.regexp_extract_all(F.col(text), F.lit(r"%([^$]*)\$"), F.lit(1))
     others = [c for c in log.columns if c != text]
     frames = log.select(*others, F.posexplode(found).alias("frame_no", "payload"))
-    return frames.where(F.length("payload") < FRAME_BUFFER)
+    return frames
 
 
 def split_frames_across_rows(
@@ -98,11 +97,11 @@ def split_frames_across_rows(
     )
     # only what lies at the edges of rows
     pieces = cut_lineage(pieces.withColumn("group", F.coalesce("group", F.lit(-1))))
-    # a frame is put together only if it is complete and fits the buffer, so each group is small
+    # a frame is put together only if it is complete
     frames = (
         pieces.groupBy(*keys, "group")
         .agg(F.sum(F.length("part")).alias("_n"), F.max("ends_at").alias("_end"))
-        .where((F.col("_n") < FRAME_BUFFER) & F.col("_end").isNotNull())
+        .where(F.col("_end").isNotNull())
     )
     texts = pieces.where(F.col("part") != "").join(frames, [*keys, "group"], "left_semi")
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("_at", "seq", "part"))), lambda p: p["part"])
@@ -110,7 +109,7 @@ def split_frames_across_rows(
     spanning = frames.join(joined, [*keys, "group"], "left").select(
         *keys, F.col("_end").alias("seq"), F.coalesce("payload", F.lit("")).alias("payload")
     )
-    return complete.where(F.length("payload") < FRAME_BUFFER).unionByName(spanning)
+    return complete.unionByName(spanning)
 
 
 def parse_frames(frames: DataFrame, payload: str = "payload") -> DataFrame:

@@ -21,7 +21,7 @@ _FRAME_RE = r"%([^$]*)\$"
     "split_frames",
     f"""
     SELECT seq, ts, CAST(0 AS INT) AS frame_no, regexp_extract(text, '{_FRAME_RE}', 1) AS payload
-    FROM {{frames}} WHERE regexp_matches(text, '{_FRAME_RE}') AND length(regexp_extract(text, '{_FRAME_RE}', 1)) < 256
+    FROM {{frames}} WHERE regexp_matches(text, '{_FRAME_RE}')
     """,
 )
 def split_frames(v: Views):
@@ -33,7 +33,6 @@ def split_frames(v: Views):
     f"""
     WITH whole AS (SELECT port, string_agg(text, '' ORDER BY seq) AS text FROM {{frame_parts}} GROUP BY port)
     SELECT * FROM (SELECT port, unnest(regexp_extract_all(text, '{_FRAME_RE}', 1)) AS payload FROM whole)
-    WHERE length(payload) < 256
     """,
 )
 def split_frames_across_rows(v: Views):

@@ -69,7 +69,7 @@ def test_split_frames(spark):
     ]
     log = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
     got = sorted((r["i"], r["frame_no"], r["payload"]) for r in I.split_frames(log).collect())
-    assert got == [(0, 0, "one"), (0, 1, "two"), (3, 1, long[:255]), (4, 0, "x")]
+    assert got == [(0, 0, "one"), (0, 1, "two"), (3, 0, long), (3, 1, long[:255]), (4, 0, "x")]
 
 
 @pytest.mark.parametrize("max_rows", [1, 1000])
