@@ -89,7 +89,7 @@ class Trie:
 
     def __init__(self, sets: list[np.ndarray]):
         # any order that keeps equal beginnings together will do
-        order = sorted(range(len(sets)), key=lambda i: sets[i].tolist())
+        order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
         self.sets = sets
         #: shingles of the edge, depth at its end, children, names of sets that end here, least and greatest size below, parent
         self.root = self._build(order, 0)
@@ -122,8 +122,8 @@ class Trie:
 
     def similar(self, probe: np.ndarray, percent: int, skip) -> Iterator[int]:
         """Names of the sets similar to ``probe``. ``skip(name)`` tells that a set is not wanted any more."""
-        sorted_probe = np.sort(probe)
-        place = {int(x): k for k, x in enumerate(probe.tolist())}
+        place = np.argsort(probe)
+        sorted_probe = probe[place]
         todo = [(self.root, 0, 0)]
         while todo:
             (edge, end, children, here, low, high, _), overlap, used = todo.pop()
@@ -133,11 +133,11 @@ class Trie:
             for begin in range(0, len(edge), 64):
                 part = edge[begin : begin + 64]
                 at = np.minimum(np.searchsorted(sorted_probe, part), len(sorted_probe) - 1)
-                hit = part[sorted_probe[at] == part]
-                overlap += len(hit)
-                if len(hit):
+                met = at[sorted_probe[at] == part]
+                overlap += len(met)
+                if len(met):
                     # shingles of the probe up to the last one met cannot be met again
-                    used = place[int(hit[-1])] + 1
+                    used = int(place[met[-1]]) + 1
                 depth = end - len(edge) + begin + len(part)
                 if overlap + min(len(probe) - used, high - depth) < needed(len(probe), low, percent):
                     lost = True
@@ -194,10 +194,10 @@ def frequent_shingles(documents: DataFrame, s: Settings, text_column: str) -> tu
         return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts.astype(np.int64))], ["shingle", "n"])
 
     counted = map_arrow(drawn, batch, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 1")
-    rows = counted.orderBy(F.desc("n"), "shingle").limit(s.frequent).toPandas()
-    values = rows["shingle"].to_numpy(dtype=np.int64).view(np.uint64)
+    rows = counted.orderBy(F.desc("n"), "shingle").limit(s.frequent).toArrow()
+    values = rows.column("shingle").to_numpy().view(np.uint64)
     order = np.argsort(values)
-    return values[order], rows["n"].to_numpy(dtype=np.int64)[order]
+    return values[order], rows.column("n").to_numpy()[order]
 
 
 PROFILE = "doc_id bigint, text_key bigint, n_shingles bigint, low bigint, high bigint, prefix array<bigint>, sketch binary"
@@ -280,6 +280,7 @@ def _candidates(found: DataFrame, s: Settings) -> DataFrame:
                 if not late:
                     waiting.append((node, group, n, own))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+        give_back()
 
     more = dealt.mapInArrow(compare, "a bigint, b bigint").distinct()
     return close.unionByName(more)
@@ -303,11 +304,12 @@ def _linked(cells: DataFrame, s: Settings) -> DataFrame:
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, part in _runs(batches, ("cell", "part")):
-            sets = [np.array(b, dtype=np.int64).view(np.uint64) for b in part["body"]]
+            sets = [np.frombuffer(b, dtype=np.uint64) for b in part["body"]]
             rows = range(len(sets))
             edges = join_sets(part["node"], sets, [i for i in rows if part["kept"][i]], [i for i in rows if part["probe"][i]], s.percent)
             if edges:
                 yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
+        give_back()
 
     key = cells.withColumn("__deal", F.xxhash64("cell", "part")).repartition("__deal").sortWithinPartitions("__deal", "cell", "part", "node")
     return key.mapInArrow(join, "a bigint, b bigint")
@@ -352,10 +354,10 @@ def _join(documents: DataFrame, found: DataFrame, groups: DataFrame, frequent: t
             low = int(np.bitwise_xor.reduce(wordhash.mix(own ^ np.uint64(0x9E3779B97F4A7C15)))) if len(own) else 0
             if _signed(low) == key:  # another row may share the id
                 keys.append(key)
-                bodies.append(in_order(own, *frequent).view(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(bodies, pa.list_(pa.int64()))], ["node", "body"])
+                bodies.append(in_order(own, *frequent).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(bodies, pa.binary())], ["node", "body"])
 
-    bodies = stored(map_arrow(chosen.select("low", "text"), batch, "node bigint, body array<bigint>"), "bodies")
+    bodies = stored(map_arrow(chosen.select("low", "text"), batch, "node bigint, body binary"), "bodies")
     placed = bodies.join(cells, "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     first = placed.where("node = component").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     own = placed.where("node <> component").unionByName(first).select(F.col("component").alias("cell"), "part", "node", F.lit(True).alias("probe"), F.lit(True).alias("kept"), "body")

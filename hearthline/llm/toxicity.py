@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from array import array
 from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
@@ -204,7 +205,7 @@ def fit(texts: list[str], toxic: list[int], settings: Settings = Settings()) ->
                 count[kind] += 1
                 chosen.append((words, tags))
     index: dict[str, int] = {}
-    at, what = [], []
+    at, what = array("q"), array("q")  # plain numbers: the driver holds little
     place = 0
     for words, _ in chosen:
         for t, w in enumerate(words):
@@ -220,7 +221,7 @@ def fit(texts: list[str], toxic: list[int], settings: Settings = Settings()) ->
                 what.append(index.setdefault("a" + named[0], len(index)))
         place += len(words)
     size = len(index)
-    at, what = np.array(at, dtype=np.int64), np.array(what, dtype=np.int64)
+    at, what = np.frombuffer(at, dtype=np.int64), np.frombuffer(what, dtype=np.int64)
     chains = Chains(np.array([len(w) for w, _ in chosen], dtype=np.int64))
     tags = np.array([t for _, own in chosen for t in own], dtype=float)
     theta, memory = np.zeros(size + 6), np.full(size + 6, 1e-3)

@@ -26,11 +26,14 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
+    usual = BLOCK_BYTES + 4096
     have = _powers.get(base)
-    if have is None or len(have) < n:
-        factors = np.full(max(n, BLOCK_BYTES + 4096), base, dtype=np.uint64)
+    if have is None or n > usual:
+        factors = np.full(max(n, usual), base, dtype=np.uint64)
         factors[0] = 1
-        have = _powers[base] = np.cumprod(factors, dtype=np.uint64)
+        have = np.cumprod(factors, dtype=np.uint64)
+        if n <= usual:  # those of a longer text are not kept
+            _powers[base] = have
     return have[:n]
 
 
