@@ -20,7 +20,7 @@ from hearthline.constants import (
     TICK_S,
 )
 from hearthline.functions.scalar import dac_value, fixed_decimals, mode_label
-from hearthline.operators.ordered import MAX_CELL_ROWS, carry_last, micros, order_key
+from hearthline.operators.ordered import HOUR_US, carry_last, micros, order_key
 from hearthline.session import cut_lineage, spread
 
 # Ticks sort after everything that was received at the same instant.
@@ -28,7 +28,7 @@ _AFTER = 2**62
 
 
 def asof(
-    ticks: DataFrame, settings: DataFrame, keys: list[str], values: list[str], max_rows: int = MAX_CELL_ROWS
+    ticks: DataFrame, settings: DataFrame, keys: list[str], values: list[str], width: int = HOUR_US
 ) -> DataFrame:
     """At each tick (keys, ts) the last setting (keys, ts, seq, values) received at or before it.
 
@@ -43,7 +43,7 @@ def asof(
         micros(F.col("ts")),
         F.col("seq"),
         {f"_now_{v}": F.col(v) for v in values},
-        max_rows=max_rows,
+        width=width,
     )
     at_ticks = carried.where(F.col("seq") == _AFTER)
     return at_ticks.select(*ticks.columns, *[F.col(f"_now_{v}").alias(v) for v in values])
@@ -237,8 +237,7 @@ def segments_of(commands: DataFrame, spans: DataFrame, **options) -> DataFrame:
             "_mode": F.col("manual"),
         },
         strict=True,
-        widths=(SLICE_TICKS,),
-        max_rows=None,
+        width=SLICE_TICKS,
     )
     start = F.coalesce("_from", F.lit(0))
     return linked.where(F.col("tick") > start).select(

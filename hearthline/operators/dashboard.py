@@ -24,6 +24,10 @@ def whole_days(points: DataFrame) -> tuple[datetime, datetime]:
     )
 
 
+def _bucket_of(time: datetime, interval_s: int) -> datetime:
+    return time - (time - datetime(1970, 1, 1)) % timedelta(seconds=interval_s)
+
+
 def dashboard(
     points: DataFrame,
     agg: str,
@@ -37,8 +41,8 @@ def dashboard(
 ) -> DataFrame:
     """``SELECT agg(field) FROM <tiers> WHERE $timeFilter GROUP BY time($__interval) fill(how)``.
 
-    ``t0`` (included) and ``t1`` (excluded) are multiples of the interval. The points of all tiers
-    count together. Only the result is sorted.
+    ``t0`` is included, ``t1`` excluded; the range may cut its first and last bucket, which then hold the points inside
+    it. The points of all tiers count together. Only the result is sorted.
     """
     found = scan_tiers(points, tiers, measurement)
     found = found.where((F.col("time") >= instant(t0)) & (F.col("time") < instant(t1)))
@@ -48,6 +52,6 @@ def dashboard(
         buckets = rollup_distinct(found, interval_s, SERIES)
     else:
         buckets = rollup(found, agg, interval_s, SERIES)
-    last = t1 - timedelta(seconds=interval_s)
-    filled = fill(buckets, SERIES, interval_s, instant(t0), instant(last), how, several=agg == "distinct")
+    first, last = _bucket_of(t0, interval_s), _bucket_of(t1 - timedelta(microseconds=1), interval_s)
+    filled = fill(buckets, SERIES, interval_s, instant(first), instant(last), how, several=agg == "distinct")
     return filled.orderBy("time")

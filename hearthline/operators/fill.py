@@ -57,8 +57,7 @@ def fill_gaps(
         F.lit(0),
         {"_before": time, "_value": F.col("last_value")},
         strict=True,
-        widths=(_SLICE_BUCKETS * width_s * 1_000_000,),
-        max_rows=None,
+        width=_SLICE_BUCKETS * width_s * 1_000_000,
     )
     gaps = linked.select(
         *series,

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from hearthline.constants import COLOUR_FIELDS, FIELD_CAPABILITY, VALUE_FIELDS
 from hearthline.functions.scalar import has_capability, topic
 from hearthline.operators.normalize import with_sensor
-from hearthline.operators.ordered import MAX_CELL_ROWS, carry_last, micros, order_key
+from hearthline.operators.ordered import HOUR_US, carry_last, micros, order_key
+from hearthline.session import spread
 
 
 def with_previous_time(
-    readings: DataFrame, keys: Sequence[str], time: str = "ts", seq: str = "seq", max_rows: int = MAX_CELL_ROWS
+    readings: DataFrame, keys: Sequence[str], time: str = "ts", seq: str = "seq", width: int = HOUR_US
 ) -> DataFrame:
     """Add ``previous``: the time of the reading before, NULL for a sensor's first."""
     return carry_last(
@@ -25,7 +26,7 @@ def with_previous_time(
         {"previous": F.col(time)},
         strict=True,
         rising=True,
-        max_rows=max_rows,
+        width=width,
     )
 
 
@@ -40,21 +41,43 @@ def since_last(readings: DataFrame, keys: Sequence[str] = ("channel",), time: st
 
 
 def silence_gaps(
-    readings: DataFrame, limit_s: int, keys: Sequence[str] = ("channel",), time: str = "ts", **options
+    readings: DataFrame,
+    limit_s: int,
+    keys: Sequence[str] = ("channel",),
+    time: str = "ts",
+    as_of: Column | None = None,
+    **options,
 ) -> DataFrame:
-    """Each silence longer than the limit: the readings on both sides of it."""
+    """Each silence longer than the limit: the readings on both sides of it.
+
+    With ``as_of`` also the silences that have not ended by then; they have no ``silent_to``.
+    """
     linked = with_previous_time(readings, keys, time, **options)
     gap = seconds_between(F.col("previous"), F.col(time))
-    return linked.where(gap > limit_s).select(
+    ended = linked.where(gap > limit_s).select(
         *keys, F.col("previous").alias("silent_from"), F.col(time).alias("silent_to"), gap.alias("gap_s")
     )
+    if as_of is None:
+        return ended
+    newest = readings.groupBy(*keys).agg(F.max(time).alias("silent_from"))
+    so_far = seconds_between(F.col("silent_from"), as_of)
+    never = F.lit(None).cast(readings.schema[time].dataType)
+    return ended.unionByName(
+        newest.where(so_far > limit_s).select(*keys, "silent_from", never.alias("silent_to"), so_far.alias("gap_s"))
+    )
 
 
-def silence_alarms(gaps: DataFrame, limit_s: int, every_s: int, key: str = "channel") -> DataFrame:
-    """The alarm messages of each silence: the first when the limit has passed, repeated until the next reading."""
+def silence_alarms(
+    gaps: DataFrame, limit_s: int, every_s: int, key: str = "channel", as_of: Column | None = None
+) -> DataFrame:
+    """The alarm messages of each silence: the first when the limit has passed, repeated until the next reading.
+
+    A silence that has not ended is repeated up to ``as_of``.
+    """
     first = F.col("silent_from") + F.make_dt_interval(secs=F.lit(limit_s))
-    times = F.sequence(first, F.col("silent_to"), F.make_dt_interval(secs=F.lit(every_s)))
-    return gaps.select(key, F.explode(times).alias("ts")).select(
+    until = F.col("silent_to") if as_of is None else F.coalesce("silent_to", as_of)
+    times = F.sequence(first, until, F.make_dt_interval(secs=F.lit(every_s)))
+    return spread(gaps, key, "silent_from").select(key, F.explode(times).alias("ts")).select(
         "ts", topic(F.col(key), F.lit("Err")).alias("topic"), F.lit("1").alias("payload")
     )
 

@@ -24,7 +24,7 @@ from hearthline.functions.scalar import (
     topic,
     with_unit,
 )
-from hearthline.operators.normalize import plausible, row_sum, with_channel_check, with_checksum
+from hearthline.operators.normalize import null_sentinels, plausible, row_sum, with_channel_check, with_checksum
 from hearthline.operators.ordered import carry_last
 from hearthline.session import cut_lineage
 
@@ -190,6 +190,11 @@ def to_frames_legacy(readings: DataFrame, counter: Column) -> DataFrame:
     return framed.select("seq", "channel", F.concat(F.lit("%"), "_json", F.lit("$")).alias("text"))
 
 
+def finite(value: Column) -> Column:
+    """The number, NULL for NaN and infinities: one of them would spoil every mean above it."""
+    return F.when(F.abs(value) < F.lit(float("inf")), value)
+
+
 def to_messages_legacy(readings: DataFrame) -> DataFrame:
     """Readings of the older schema as (topic, payload); channel 0 reports as ``SensorLoc``."""
     device = F.when(F.col("channel") == 0, F.lit("SensorLoc")).otherwise(
@@ -199,7 +204,7 @@ def to_messages_legacy(readings: DataFrame) -> DataFrame:
     for field in LEGACY_FIELDS:
         payload = fixed_decimals(F.col(field), 3, 0) if field == "iLight" else fixed_decimals(F.col(field), 4, 2)
         senders = [sensor for sensor, by_field in LEGACY_KEYS.items() if field in by_field]
-        sent = F.col("channel").isin(senders) & F.col(field).isNotNull()
+        sent = F.col("channel").isin(senders) & finite(F.col(field)).isNotNull()
         pair = F.struct(F.concat(device, F.lit(f"/{field}")).alias("topic"), payload.alias("payload"))
         pairs.append(F.when(sent, pair))
     messages = readings.select("seq", "ts", F.explode(F.array_compact(F.array(*pairs))).alias("_m"))
@@ -242,6 +247,7 @@ def route_messages(messages: DataFrame, device: str = "ValveControl") -> DataFra
 def messages_to_points(messages: DataFrame, tier: str = "autogen") -> DataFrame:
     """Sensor messages as points: ``Sensor3/fTempA`` is field ``fTempA`` of ``sSens3``, channel 0 is ``SensorLoc``."""
     device = F.split_part(F.col("topic"), F.lit("/"), F.lit(1))
+    # a payload that is no finite number makes no point, see message_rejects
     measurement = F.when(device.isin("Sensor0", "SensorLoc"), F.lit("SensorLoc")).otherwise(
         F.regexp_replace(device, r"^Sensor(\d+)$", "sSens$1")
     )
@@ -250,16 +256,67 @@ def messages_to_points(messages: DataFrame, tier: str = "autogen") -> DataFrame:
         measurement.alias("measurement"),
         F.col("ts").alias("time"),
         F.split_part(F.col("topic"), F.lit("/"), F.lit(2)).alias("field"),
-        F.col("payload").try_cast("double").alias("value"),
+        finite(F.col("payload").try_cast("double")).alias("value"),
         F.col("seq").alias("write_seq"),
     ).where(F.col("value").isNotNull())
 
 
-def frames_to_points(log: DataFrame, tier: str = "autogen") -> DataFrame:
-    """The whole ingest path: text log to stored points. Needs ``ts`` and ``seq`` columns beside ``text``."""
-    frames = with_channel_check(with_checksum(parse_frames(split_frames(log))), 0, 6, "sensor")
+def message_rejects(messages: DataFrame) -> DataFrame:
+    """Messages that ``messages_to_points`` leaves out: their payload is no finite number."""
+    lost = messages.where(finite(F.col("payload").try_cast("double")).isNull())
+    return lost.withColumn("reason", F.lit("number"))
+
+
+#: First and last channel of the sensors.
+CHANNELS = (0, 9)
+
+
+def _judged(log: DataFrame, channels: tuple[int, int]) -> DataFrame:
+    """Parsed frames with their text in ``frame`` and what speaks against them."""
+    split = split_frames(log).withColumn("frame", F.col("payload"))
+    return with_channel_check(with_checksum(parse_frames(split)), *channels, "sensor")
+
+
+def readings_to_points(readings: DataFrame, tier: str = "autogen") -> DataFrame:
+    """Wide readings (seq, ts, channel, caps, values) as points, one for each supported and present field."""
+    pairs = []
+    for field, name in TOPIC_FIELD.items():
+        if field in readings.columns:
+            number = F.col(field).cast("double")
+            value = number / F.lit(100.0) if field in SCALED_FIELDS else number
+            sent = has_capability(F.col("caps"), FIELD_CAPABILITY[field]) & F.col(field).isNotNull()
+            pairs.append(F.when(sent, F.struct(F.lit(name).alias("field"), value.alias("value"))))
+    points = readings.select("seq", "ts", "channel", F.inline(F.array_compact(F.array(*pairs))))
+    named = F.concat(F.lit("sSens"), F.col("channel").cast("string"))
+    return points.select(
+        F.lit(tier).alias("tier"),
+        F.when(F.col("channel") == 0, F.lit("SensorLoc")).otherwise(named).alias("measurement"),
+        F.col("ts").alias("time"),
+        "field",
+        "value",
+        F.col("seq").alias("write_seq"),
+    )
+
+
+def frames_to_points(log: DataFrame, tier: str = "autogen", channels: tuple[int, int] = CHANNELS) -> DataFrame:
+    """The whole ingest path: text log to stored points. Needs ``ts`` and ``seq`` columns beside ``text``.
+
+    Frames that do not parse, have a wrong sum or an unknown channel make no points; ``ingest_rejects`` lists them.
+    """
+    frames = _judged(log, channels)
     good = frames.where(F.col("checksum_ok") & F.col("accepted"))
     readings = good.select(
         "seq", "ts", F.col("sensor").alias("channel"), F.col("SensCap").alias("caps"), *SCALED_FIELDS, *COLOUR_FIELDS
     )
-    return messages_to_points(to_messages(plausible(readings)), tier)
+    return readings_to_points(plausible(null_sentinels(readings)), tier)
+
+
+def ingest_rejects(log: DataFrame, channels: tuple[int, int] = CHANNELS) -> DataFrame:
+    """Frames that ``frames_to_points`` leaves out, with the first reason: json, checksum or channel."""
+    reason = (
+        F.when(F.col("bad_json"), F.lit("json"))
+        .when(~F.col("checksum_ok"), F.lit("checksum"))
+        .when(~F.col("accepted"), F.lit("channel"))
+    )
+    frames = _judged(log, channels).withColumn("reason", reason).where(F.col("reason").isNotNull())
+    return frames.select("seq", "ts", "frame_no", F.col("frame").alias("payload"), "reason")

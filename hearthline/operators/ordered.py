@@ -1,12 +1,15 @@
 """Last-known-value operations along an order, for keys of any size.
 
-A window per sensor would put all rows of a sensor in one task. Here every key is cut into slices along its order:
+A window per sensor would put all rows of a sensor in one task. Here every key is cut along its order into slices of one
+fixed width, an hour by default:
 
 1. inside a slice a window gives the last value,
 2. one aggregate per slice (combined map-side) gives the value each slice ends with,
-3. a window over these few slice ends gives what each slice starts with, and that joins the slice as a seed row.
+3. a window over these slice ends (8,766 a year and key) gives what each slice starts with, and that joins the slice as a
+   seed row.
 
-The rows are shuffled once, by (key, slice), as for a plain window; no join and no Python is involved.
+The rows are shuffled once, by (key, slice), as for a plain window; nothing is counted first, no join and no Python is
+involved. Where the busiest key has too many rows in an hour for one task, give a smaller width.
 """
 
 from __future__ import annotations
@@ -20,13 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-DAY_US = 86_400_000_000
-# A cell of a key that holds more rows than this is cut at the next finer width.
-MAX_CELL_ROWS = 4_000_000
-# The list of cells to be cut stays below this length, whatever the size of the data.
-MAX_HOT_CELLS = 50_000
-# Rows that share one position are cut in blocks of 2**BLOCK_BITS sequence numbers.
-BLOCK_BITS = 20
+# Width of a slice.
+HOUR_US = 3_600_000_000
 # Above the span of a BIGINT, so that position * SEQ_SPAN + sequence orders by position first.
 SEQ_SPAN = Decimal(2 * 10**19)
 
@@ -44,54 +42,9 @@ def order_key(position: Column, seq: Column) -> Column:
     return position.cast("decimal(18,0)") * F.lit(SEQ_SPAN) + seq.cast("decimal(19,0)")
 
 
-def _cell(position: str, width: int) -> Column:
-    return F.col(position) - F.pmod(F.col(position), F.lit(width))
-
-
-def slice_rows(
-    df: DataFrame,
-    keys: Sequence[str],
-    position: str,
-    seq: str,
-    widths: Sequence[int] = (DAY_US, 300_000_000, 1_000_000),
-    max_rows: int | None = MAX_CELL_ROWS,
-) -> DataFrame:
-    """Add ``_slice`` and, where needed, ``_block``: with the keys they name a bounded run of consecutive rows.
-
-    The cells of the first width are slices, except those with more than ``max_rows`` rows, which are cut at the
-    next width, and so on down to single positions and blocks of sequence numbers. ``max_rows=None`` skips the
-    counting where the caller knows that a first-width cell is small.
-    """
-    keys = list(keys)
-    slice_ = _cell(position, widths[0])
-    block = None
-    limit = None
-    scope = df.select(*keys, position)
-    finer = [*widths[1:], 1]
-    for level, width in enumerate(widths if max_rows is not None else ()):
-        cells = scope.groupBy(*keys, _cell(position, width).alias("_cell")).agg(F.count("*").alias("_n"))
-        total, largest = cells.agg(F.sum("_n"), F.max("_n")).first()
-        if limit is None:
-            # fewer than MAX_HOT_CELLS cells can hold more than their share of all rows
-            limit = max(max_rows, (total or 0) // MAX_HOT_CELLS)
-        if (largest or 0) <= limit:
-            break
-        schema = cells.drop("_n").schema
-        hot_rows = cells.where(F.col("_n") > limit).drop("_n").collect()
-        hot = F.broadcast(df.sparkSession.createDataFrame(hot_rows, schema))
-        hot = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.col("_cell").alias(f"_hot{level}"))
-        same = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys] + [_cell(position, width) == F.col(f"_hot{level}")]
-        hot_keys = [f"_hot_{k}" for k in keys]
-        scope = scope.join(hot, same, "left_semi")
-        df = df.join(hot, same, "left").drop(*hot_keys)
-        is_hot = F.col(f"_hot{level}").isNotNull()
-        slice_ = F.when(is_hot, _cell(position, finer[level])).otherwise(slice_)
-        if finer[level] == 1:
-            block = F.when(is_hot, F.shiftright(F.col(seq).cast("bigint"), BLOCK_BITS)).otherwise(F.lit(0))
-    marked = df.withColumn("_slice", slice_)
-    if block is not None:
-        marked = marked.withColumn("_block", block)
-    return marked.drop(*[f"_hot{level}" for level in range(len(widths))])
+def slice_start(position: Column, width: int) -> Column:
+    """Start of the slice that a position lies in; slices of a key are runs of consecutive rows."""
+    return position - F.pmod(position, F.lit(width))
 
 
 def carry_last(
@@ -102,13 +55,13 @@ def carry_last(
     values: dict[str, Column],
     strict: bool = False,
     rising: bool = False,
-    widths: Sequence[int] = (DAY_US, 300_000_000, 1_000_000),
-    max_rows: int | None = MAX_CELL_ROWS,
+    width: int = HOUR_US,
 ) -> DataFrame:
     """Add, for each name in ``values``, the last non-NULL value at or before the row (before it, if ``strict``).
 
     ``position`` is a BIGINT along which rows of a key are ordered; ``seq`` decides between equal positions. Values
     that never fall along the order (``rising``), such as the time itself, are cheaper: a slice ends with the largest.
+    ``width`` of a slice, in units of ``position``, changes how the work is cut, never the result.
     """
     keys = list(keys)
     columns = df.columns
@@ -119,10 +72,9 @@ def carry_last(
         seq.cast("bigint").alias("_seq"),
         *[expr.alias(sources[name]) for name, expr in values.items()],
     )
-    rows = slice_rows(rows, keys, "_pos", "_seq", widths, max_rows)
+    rows = rows.withColumn("_slice", slice_start(F.col("_pos"), width))
     at = order_key(F.col("_pos"), F.col("_seq"))
-    slice_order = [c for c in ("_slice", "_block") if c in rows.columns]
-    slice_key = [*keys, *slice_order]
+    slice_key = [*keys, "_slice"]
     # every slice takes part, also one without values, for it needs a seed
     ends = rows.groupBy(*slice_key).agg(
         *[
@@ -130,7 +82,7 @@ def carry_last(
             for s in sources.values()
         ]
     )
-    earlier = W.partitionBy(*keys).orderBy(*slice_order).rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     seeds = ends.select(
         *slice_key, *[F.last(s, ignorenulls=True).over(earlier).alias(s) for s in sources.values()]
     ).where(reduce(or_, [F.col(s).isNotNull() for s in sources.values()]))

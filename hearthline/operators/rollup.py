@@ -140,11 +140,19 @@ def rollup_by_specs(points: DataFrame, specs: DataFrame) -> DataFrame:
 def resample(
     points: DataFrame, agg: str, width_s: int, every_s: int, span_s: int, by: Sequence[str] = SERIES
 ) -> DataFrame:
-    """``RESAMPLE EVERY .. FOR ..``: each run recomputes the buckets that lie in the span before it."""
-    run = F.window("time", f"{span_s} seconds", f"{every_s} seconds").end
+    """``RESAMPLE EVERY .. FOR ..``: each run recomputes the buckets that touch the span before it.
+
+    A bucket that the span's start cuts is computed from all its points, so that a run never replaces a good value by
+    that of a part. A run sees no point after it.
+    """
+    wider = span_s + -(-width_s // every_s) * every_s
+    run = F.window("time", f"{wider} seconds", f"{every_s} seconds").end
+    bucket_end = F.col("_start") + F.make_dt_interval(secs=F.lit(width_s))
     return (
         points.withColumn("run_at", run)
-        .groupBy(*by, "run_at", bucket(width_s).alias("time"))
+        .withColumn("_start", bucket(width_s))
+        .where(bucket_end > F.col("run_at") - F.make_dt_interval(secs=F.lit(span_s)))
+        .groupBy(*by, "run_at", F.col("_start").alias("time"))
         .agg(aggregate(agg, F.col("value")).alias("value"))
         .select(*by, "run_at", "time", "value")
     )

@@ -79,7 +79,8 @@ def backfill_chunks(points: DataFrame, src: str, dst: str, origin: datetime, wee
 def delete_range(points: DataFrame, measurement: str, t0, t1) -> DataFrame:
     """Points left after deleting a measurement between two instants, both inclusive."""
     gone = (F.col("measurement") == measurement) & F.col("time").between(instant(t0), instant(t1))
-    return points.where(~gone)
+    # a point without a measurement or a time is not in the range
+    return points.where(~F.coalesce(gone, F.lit(False)))
 
 
 def expire(points: DataFrame, tiers: DataFrame, as_of: Column) -> DataFrame:
@@ -91,7 +92,7 @@ def expire(points: DataFrame, tiers: DataFrame, as_of: Column) -> DataFrame:
 
 
 def drop_tier(points: DataFrame, tier: str) -> DataFrame:
-    return points.where(F.col("tier") != tier)
+    return points.where(F.col("tier").isNull() | (F.col("tier") != tier))
 
 
 def duration_hours(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from hearthline.constants import PLACEHOLDER, SENSORS, STALE_HUB_S
@@ -256,3 +258,25 @@ def capability_text(v: Views):
 @query("valve_mode", "SELECT event_id, CASE WHEN event_id % 7 < 6 THEN 'MAN' ELSE 'AUTO' END AS mode FROM events")
 def valve_mode(v: Views):
     return v.events.select("event_id", S.mode_label(F.col("event_id") % 7).alias("mode"))
+
+
+@query(
+    "dash_cut_range",
+    """
+    WITH found AS (SELECT * FROM {points}
+                   WHERE tier IN ('two_month', 'one_year') AND measurement = 'sSens1' AND field IN ('fTempA', 'fHumi')
+                     AND time >= TIMESTAMP '2024-01-05 22:10:00' AND time < TIMESTAMP '2024-01-09 09:35:00'),
+    b AS (SELECT measurement, field, time_bucket(INTERVAL '1 hour', time) AS time, avg(value) AS value FROM found GROUP BY ALL),
+    spine AS (SELECT s.measurement, s.field, unnest(generate_series(TIMESTAMP '2024-01-05 22:00:00',
+                  TIMESTAMP '2024-01-09 09:00:00', INTERVAL '1 hour')) AS time
+              FROM (SELECT DISTINCT measurement, field FROM b) s)
+    SELECT measurement, field, time, round(value, """
+    + str(DIGITS)
+    + """) AS value
+    FROM spine LEFT JOIN b USING (measurement, field, time)
+    """,
+)
+def dash_cut_range(v: Views):
+    """A range that cuts its first and last bucket, one measurement, two fields, some tiers."""
+    t0, t1 = datetime(2024, 1, 5, 22, 10), datetime(2024, 1, 9, 9, 35)
+    return rounded(dashboard(v.points, "mean", ("two_month", "one_year"), t0, t1, 3600, "null", "sSens1", ["fTempA", "fHumi"]))

@@ -65,22 +65,41 @@ def silence_alarms(v: Views):
     return H.silence_alarms(gaps, STALE_BRIDGE_S, every_s=600)
 
 
+@query(
+    "silence_open_alarms",
+    f"""
+    SELECT unnest(generate_series(silent_from + INTERVAL '{STALE_BRIDGE_S} seconds', silent_to, INTERVAL '10 minutes')) AS ts,
+           'Sensor' || CAST(channel AS STRING) || '/Err' AS topic, '1' AS payload
+    FROM (SELECT channel, silent_from, silent_to FROM ({_gaps_sql(STALE_BRIDGE_S)})
+          UNION ALL
+          SELECT channel, max(ts) AS silent_from, (SELECT max(ts) FROM events) + INTERVAL '1 hour' AS silent_to
+          FROM {{readings}} GROUP BY channel)
+    """,
+)
+def silence_open_alarms(v: Views):
+    """An hour after the newest reading every sensor is silent; alarms go on until then."""
+    as_of = v.events.agg(F.max("ts")).scalar() + F.expr("INTERVAL 1 HOUR")
+    gaps = H.silence_gaps(v.readings.select("seq", "ts", "channel"), STALE_BRIDGE_S, as_of=as_of)
+    return H.silence_alarms(gaps, STALE_BRIDGE_S, every_s=600, as_of=as_of)
+
+
 @query(
     "stale_sensors",
     " UNION ALL ".join(
         f"""
     SELECT '{board}' AS board, s.channel, l.last_seen,
-           (epoch_us((SELECT max(ts) FROM events)) - epoch_us(l.last_seen)) / CAST(1000000 AS DOUBLE) AS age_s
-    FROM {REGISTRY_SQL} LEFT JOIN (SELECT channel, max(ts) AS last_seen FROM {{readings}} WHERE caps % 8 <> 0
-                                   GROUP BY channel) l ON s.channel = l.channel
-    WHERE l.last_seen IS NULL OR epoch_us((SELECT max(ts) FROM events)) - epoch_us(l.last_seen) > {limit} * 1000000
+           (epoch_us((SELECT max(ts) FROM events)) + 150000000 - epoch_us(l.last_seen)) / CAST(1000000 AS DOUBLE) AS age_s
+    FROM {REGISTRY_SQL} LEFT JOIN (SELECT channel, max(ts) AS last_seen FROM {{readings}} GROUP BY channel) l
+         ON s.channel = l.channel
+    WHERE l.last_seen IS NULL
+       OR epoch_us((SELECT max(ts) FROM events)) + 150000000 - epoch_us(l.last_seen) > {limit} * 1000000
     """
         for board, limit in (("hub", STALE_HUB_S), ("bridge", STALE_BRIDGE_S), ("display", STALE_DISPLAY_S))
     ),
 )
 def stale_sensors(v: Views):
-    readings = v.readings.where("caps % 8 <> 0").select("channel", "ts")
-    as_of = v.events.agg(F.max("ts")).scalar()
+    readings = v.readings.select("channel", "ts")
+    as_of = v.events.agg(F.max("ts")).scalar() + F.expr("INTERVAL 150 SECONDS")
     limits_s = {"hub": STALE_HUB_S, "bridge": STALE_BRIDGE_S, "display": STALE_DISPLAY_S}
     return H.stale_sensors(readings, dims.sensors(v.spark), as_of, limits_s)
 

@@ -11,7 +11,7 @@ from hearthline.operators.health import wide_snapshot as snapshot
 from hearthline.operators.normalize import plausible
 from hearthline.operators.ordered import micros
 from hearthline.plans.registry import query
-from hearthline.plans.views import CONTROL_MESSAGES, LEGACY_FRAMES, LEGACY_READINGS, MESSAGES, Views
+from hearthline.plans.views import CONTROL_MESSAGES, LEGACY_FRAMES, LEGACY_READINGS, MESSAGES, NOISY_MESSAGES, Views
 from hearthline.sources import packets as P
 
 _FRAME_RE = r"%([^$]*)\$"
@@ -218,7 +218,7 @@ def messages_to_points(v: Views):
     "frames_to_points",
     f"""
     WITH plausible AS (SELECT * FROM {_PLAUSIBLE_SQL}
-                       WHERE seq % 17 <> 0 AND seq % 23 <> 0 AND seq % 29 <> 0 AND channel <= 6)
+                       WHERE seq % 17 <> 0 AND seq % 23 <> 0 AND seq % 29 <> 0)
     """
     + " UNION ALL ".join(
         f"SELECT 'autogen' AS tier, CASE WHEN channel = 0 THEN 'SensorLoc' ELSE 'sSens' || CAST(channel AS STRING) END "
@@ -239,6 +239,37 @@ def frames_to_points(v: Views):
     return I.frames_to_points(v.frames)
 
 
+@query(
+    "ingest_rejects",
+    f"""
+    SELECT seq, ts, CAST(0 AS INT) AS frame_no, regexp_extract(text, '{_FRAME_RE}', 1) AS payload,
+           CASE WHEN seq % 23 = 0 THEN 'json' WHEN seq % 17 = 0 THEN 'checksum' ELSE 'channel' END AS reason
+    FROM {{frames}} WHERE seq % 29 <> 0 AND (seq % 23 = 0 OR seq % 17 = 0 OR channel = 0)
+    """,
+)
+def ingest_rejects(v: Views):
+    """What the receiver of channels 1 to 9 does not take."""
+    return I.ingest_rejects(v.frames, (1, 9))
+
+
+@query(
+    "message_rejects",
+    "SELECT seq, ts, topic, payload, 'number' AS reason FROM {noisy_messages} WHERE seq % 31 < 4",
+)
+def message_rejects(v: Views):
+    return I.message_rejects(v.over_events(NOISY_MESSAGES))
+
+
+@query(
+    "noisy_messages_to_points",
+    "SELECT 'autogen' AS tier, measurement, time, field, round(value, 2) AS value, write_seq FROM {points} "
+    "WHERE write_seq % 31 >= 4",
+)
+def noisy_messages_to_points(v: Views):
+    """Payloads that are no finite numbers do not reach the points."""
+    return I.messages_to_points(v.over_events(NOISY_MESSAGES))
+
+
 _SLOTS = {
     "field1": (0, "iTempA"),
     "field2": (0, "iHumi"),

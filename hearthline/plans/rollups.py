@@ -228,3 +228,15 @@ def resample_window(v: Views):
 def resample_overlapping(v: Views):
     """``RESAMPLE EVERY 1h FOR 2h``: every bucket is computed by two runs."""
     return rounded(R.resample(v.points, "mean", 300, every_s=3600, span_s=7200))
+
+
+@query(
+    "resample_final",
+    f"""
+    SELECT tier, measurement, field, time_bucket(INTERVAL '1 hour', time) AS time, round(avg(value), {DIGITS}) AS value
+    FROM {{points}} GROUP BY ALL
+    """,
+)
+def resample_final(v: Views):
+    """``RESAMPLE EVERY 30m FOR 90m`` over hours: spans cut buckets, and after all runs the whole buckets are stored."""
+    return rounded(R.latest_only(R.resample(v.points, "mean", 3600, every_s=1800, span_s=5400)))

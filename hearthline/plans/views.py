@@ -148,6 +148,14 @@ MESSAGES = {
     "payload": _two_decimals(POINTS["value"]) + " || '0'",
 }
 
+# The same with payloads that are no finite numbers here and there.
+NOISY_MESSAGES = {
+    **MESSAGES,
+    "payload": "CASE event_id % 31 WHEN 0 THEN 'nan' WHEN 1 THEN '' WHEN 2 THEN '-Infinity' WHEN 3 THEN 'off' ELSE "
+    + MESSAGES["payload"]
+    + " END",
+}
+
 # Messages to the actuator and the display, with numbers as people send them.
 CONTROL_MESSAGES = {
     "seq": "event_id",
@@ -234,6 +242,7 @@ SQL = {
     "legacy_frames": sql(LEGACY_FRAMES, "events"),
     "legacy_readings": sql(LEGACY_READINGS, "events"),
     "messages": sql(MESSAGES, "events"),
+    "noisy_messages": sql(NOISY_MESSAGES, "events"),
     "control_messages": sql(CONTROL_MESSAGES, "events"),
     "radio": sql(RADIO, "events"),
     "commands": sql(COMMANDS, "events"),

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime
+from datetime import date, datetime, timedelta
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.operators.tiers import delete_range, expire, instant, last_write, upsert
+from hearthline.operators.tiers import delete_range, instant, last_write, upsert
 
 PARTITION = ("tier", "day")
 
@@ -63,11 +65,27 @@ def write_points(points: DataFrame, root: str) -> None:
     if not _exists(spark, root):
         _replace_days(last_write(points), root)
         return
-    stored = spark.read.parquet(root)
-    touched = _with_day(points).select(*PARTITION).distinct()
-    # a semi join on the partition columns prunes the scan at run time
-    affected = stored.join(touched, list(PARTITION), "left_semi").select(*points.columns)
-    _replace_days(upsert(affected, points), root)
+    _replace_days(upsert(touched_days(points, root).drop("day"), points), root)
+
+
+def touched_days(points: DataFrame, root: str) -> DataFrame:
+    """The stored points of the tiers and days that ``points`` falls in; no other folder is listed for reading."""
+    # one row per folder that is written
+    days = _with_day(points).select(*PARTITION).distinct().collect()
+    return points.sparkSession.read.parquet(root).where(_folders(days)).select(*points.columns, "day")
+
+
+def _folders(days: list[Row]) -> Column:
+    """A filter of literal tiers and days, which prunes folders before the scan."""
+    by_tier: dict[str | None, list[date | None]] = {}
+    for row in days:
+        by_tier.setdefault(row["tier"], []).append(row["day"])
+    parts = []
+    for tier, listed in by_tier.items():
+        known = F.col("day").isin([d for d in listed if d is not None])
+        found = known | F.col("day").isNull() if None in listed else known
+        parts.append((F.col("tier").isNull() if tier is None else F.col("tier") == tier) & found)
+    return reduce(or_, parts, F.lit(False))
 
 
 def delete_points(spark: SparkSession, root: str, measurement: str, t0: datetime, t1: datetime) -> None:
@@ -78,14 +96,37 @@ def delete_points(spark: SparkSession, root: str, measurement: str, t0: datetime
 
 
 def expire_points(spark: SparkSession, root: str, tiers: DataFrame, as_of: datetime) -> None:
-    """Enforce retention: days wholly past their tier's duration go as folders, only the border day is rewritten."""
-    stored = spark.read.parquet(root)
-    horizon = instant(as_of) - F.make_dt_interval(hours=F.col("duration_hours").try_cast("int"))
-    old = stored.join(tiers.select("tier", "duration_hours"), "tier", "left").where(
-        F.col("day") <= F.to_date(horizon)
-    )
-    old = old.select(*stored.columns)
-    _drop_emptied(spark, root, old, expire(old, tiers, instant(as_of)))
+    """Enforce retention: days wholly past their tier's duration go as folders, unread; only the border day is rewritten."""
+    horizons: dict[str, datetime] = {}
+    # one row per tier
+    for row in tiers.where("duration_hours IS NOT NULL").select("tier", "duration_hours").collect():
+        try:
+            horizons[row["tier"]] = as_of - timedelta(hours=int(row["duration_hours"]))
+        except OverflowError:  # longer than there are dates: kept
+            continue
+    border = border_days(spark, root, horizons)
+    kept = [(F.col("tier") == tier) & (F.col("time") >= instant(horizon)) for tier, horizon in horizons.items()]
+    _drop_emptied(spark, root, border, border.where(reduce(or_, kept, F.lit(False))))
+    for tier, horizon in horizons.items():
+        for day in _stored_days(spark, root, tier):
+            if day < horizon.date():
+                _remove(spark, f"{root}/tier={tier}/day={day}")
+
+
+def border_days(spark: SparkSession, root: str, horizons: dict[str, datetime]) -> DataFrame:
+    """The stored points of the day on which each tier's horizon lies."""
+    return spark.read.parquet(root).where(_folders([Row(tier=t, day=h.date()) for t, h in horizons.items()]))
+
+
+def _stored_days(spark: SparkSession, root: str, tier: str) -> list[date]:
+    """Days of a tier, by the names of its folders."""
+    folder = f"{root}/tier={tier}"
+    if not _exists(spark, folder):
+        return []
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    names = [s.getPath().getName() for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
+    # points without a time are in a folder that is no day
+    return [date.fromisoformat(n[4:]) for n in names if n.startswith("day=") and n[4:5].isdigit()]
 
 
 def _drop_emptied(spark: SparkSession, root: str, before: DataFrame, after: DataFrame) -> None:

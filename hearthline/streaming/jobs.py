@@ -5,6 +5,8 @@ The transformations are the batch operators; a job adds the watermark, the sink
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,7 +57,8 @@ def rollup_stream(points: DataFrame, agg: str, width_s: int, late: str = "2 hour
 def run_into_tier(stream: DataFrame, root: str, tier: str, checkpoint: str) -> None:
     """Store what each trigger changed as points of a tier, newest write first in force.
 
-    A bucket that late points changed is written again under a higher number, and a repeated trigger under the same.
+    Writes are numbered by the microsecond of their commit, so that a bucket which late points changed, or a repeated
+    trigger, replaces what was stored before, whoever wrote that. Batch writers number below that or by the same clock.
     """
 
     def store(changed: DataFrame, number: int) -> None:
@@ -65,7 +68,7 @@ def run_into_tier(stream: DataFrame, root: str, tier: str, checkpoint: str) -> N
             F.col("time").cast("timestamp_ntz").alias("time"),
             "field",
             "value",
-            F.lit(number).cast("bigint").alias("write_seq"),
+            F.lit(time.time_ns() // 1000).cast("bigint").alias("write_seq"),
         )
         # the store looks at the rows several times; the state must be read only once
         rows.persist()

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hearthline.operators.ordered import carry_last, micros, slice_rows
+from hearthline.operators.ordered import HOUR_US, carry_last, micros, slice_start
 
 US = 1_000_000
 
@@ -38,8 +38,8 @@ def rows(spark):
 
 
 @pytest.mark.parametrize("strict", [False, True])
-@pytest.mark.parametrize("max_rows", [1, 7, 50, 10_000, None])
-def test_carry_last_equals_window(rows, strict, max_rows):
+@pytest.mark.parametrize("width", [1, 7 * US, 300 * US, HOUR_US, 24 * HOUR_US, 10_000 * HOUR_US])
+def test_carry_last_equals_window(rows, strict, width):
     carried = carry_last(
         rows,
         ["key"],
@@ -47,7 +47,7 @@ def test_carry_last_equals_window(rows, strict, max_rows):
         F.col("seq"),
         {"v": F.col("value"), "o": F.col("other")},
         strict=strict,
-        max_rows=max_rows,
+        width=width,
     )
     frame = W.partitionBy("key").orderBy("position", "seq")
     frame = frame.rowsBetween(W.unboundedPreceding, -1 if strict else W.currentRow)
@@ -55,39 +55,32 @@ def test_carry_last_equals_window(rows, strict, max_rows):
     assert sorted(map(str, carried.collect())) == sorted(map(str, plain.collect()))
 
 
-def test_slices_are_small_and_in_order(rows):
-    sliced = slice_rows(rows, ["key"], "position", "seq", max_rows=20)
-    assert "_block" in sliced.columns and "_block" not in slice_rows(rows, ["key"], "position", "seq").columns
-    runs = sliced.groupBy("key", "_slice", "_block").agg(
-        F.count("*").alias("n"), F.min("position").alias("first"), F.max("position").alias("last")
-    )
-    listed = sorted(runs.collect(), key=lambda r: (r["key"] or "", r["_slice"], r["_block"]))
-    hot = [r for r in listed if r["n"] > 20]
-    # only an instant cannot be cut by time; it is cut by sequence number, here less than one block
-    assert all(r["first"] == r["last"] for r in hot)
+def test_slices_are_runs_of_bounded_length(rows):
+    """The key that holds two thirds of the rows is cut as any other: no slice is longer than its width."""
+    sliced = rows.withColumn("_slice", slice_start(F.col("position"), HOUR_US))
+    runs = sliced.groupBy("key", "_slice").agg(F.min("position").alias("first"), F.max("position").alias("last"))
+    listed = sorted(runs.collect(), key=lambda r: (r["key"] or "", r["_slice"]))
+    assert all(r["_slice"] <= r["first"] and r["last"] < r["_slice"] + HOUR_US for r in listed)
+    assert sum(r["key"] == "a" for r in listed) > 100
     for before, after in zip(listed, listed[1:]):
         if before["key"] == after["key"]:
-            assert before["last"] <= after["first"]
+            assert before["last"] < after["first"]
 
 
-def test_sequence_blocks_cut_one_instant(spark):
-    rows = spark.range(0, 3 << 20, 1 << 18).selectExpr("'a' AS key", "BIGINT(5) AS position", "id AS seq")
-    sliced = slice_rows(rows, ["key"], "position", "seq", max_rows=2)
-    counts = [r["count"] for r in sliced.groupBy("_slice", "_block").count().collect()]
-    assert counts == [4, 4, 4]
-    carried = carry_last(
-        rows, ["key"], F.col("position"), F.col("seq"), {"p": F.col("seq")}, strict=True, max_rows=2
-    )
-    got = {r["seq"]: r["p"] for r in carried.collect()}
-    ordered = sorted(got)
-    assert [got[s] for s in ordered] == [None, *ordered[:-1]]
+def test_building_starts_no_job(spark, rows):
+    rows.count()
+    spark.sparkContext.setJobGroup("building", "carry_last")
+    carry_last(rows, ["key"], F.col("position"), F.col("seq"), {"v": F.col("value")})
+    started = spark.sparkContext.statusTracker().getJobIdsForGroup("building")
+    spark.sparkContext.setJobGroup("tests", "")
+    assert list(started) == []
 
 
-@pytest.mark.parametrize("max_rows", [1, 20, 10_000])
-def test_rising_values(rows, max_rows):
+@pytest.mark.parametrize("width", [1, US, HOUR_US])
+def test_rising_values(rows, width):
     value = {"p": F.col("position")}
     got = carry_last(
-        rows, ["key"], F.col("position"), F.col("seq"), value, strict=True, rising=True, max_rows=max_rows
+        rows, ["key"], F.col("position"), F.col("seq"), value, strict=True, rising=True, width=width
     )
     plain = rows.withColumn("p", F.lag("position").over(W.partitionBy("key").orderBy("position", "seq")))
     assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))

@@ -72,8 +72,8 @@ def test_split_frames(spark):
     assert got == [(0, 0, "one"), (0, 1, "two"), (3, 0, long), (3, 1, long[:255]), (4, 0, "x")]
 
 
-@pytest.mark.parametrize("max_rows", [1, 1000])
-def test_frames_split_across_rows(spark, max_rows):
+@pytest.mark.parametrize("width", [60_000_000, 10**12])
+def test_frames_split_across_rows(spark, width):
     """Random cuts of a random text give the frames of the whole text, whatever the slices."""
     rng = random.Random(5)
     rows, expected = [], []
@@ -89,7 +89,7 @@ def test_frames_split_across_rows(spark, max_rows):
         expected += [(port, p) for p in re.findall(r"%([^$]*)\$", text)]
     rng.shuffle(rows)
     log = spark.createDataFrame(rows, "port int, ts timestamp_ntz, seq bigint, text string")
-    got = I.split_frames_across_rows(log, ["port"], micros(F.col("ts")), max_rows=max_rows)
+    got = I.split_frames_across_rows(log, ["port"], micros(F.col("ts")), width=width)
     assert sorted((r["port"], r["payload"]) for r in got.collect()) == sorted(expected)
 
 
@@ -400,3 +400,67 @@ def test_dropped_definitions(spark):
     got = T.current_specs(created, dropped).collect()
     # a was created anew after its drop
     assert sorted((r["name"], r["width_s"]) for r in got) == [("a", 600), ("c", 300)]
+
+
+def test_sentinels_and_bad_numbers_make_no_points(spark):
+    rows = [
+        (1, T0, '%{"sensor":8,"time":1,"SensCap":65,"iTempA":2150,"nLux":-99,"nRed":12,"iCSum":2128}$'),
+        (2, T0, '%{"sensor":2,"time":1,"SensCap":9,"iTempA":999999,"iHumi":5000,"iCSum":1005008}$'),
+        (3, T0, '%{"sensor":12,"time":1,"SensCap":1,"iTempA":100,"iCSum":101}$%broken$'),
+        (4, T0, '%{"sensor":1,"time":1,"SensCap":1,"iTempA":100,"iCSum":102}$'),
+    ]
+    log = spark.createDataFrame(rows, "seq bigint, ts timestamp_ntz, text string")
+    got = sorted((p["measurement"], p["field"], p["value"]) for p in I.frames_to_points(log).collect())
+    assert got == [("sSens2", "fHumi", 50.0), ("sSens8", "fTempA", 21.5), ("sSens8", "nRed", 12.0)]
+    lost = sorted((r["seq"], r["frame_no"], r["reason"]) for r in I.ingest_rejects(log).collect())
+    assert lost == [(3, 0, "channel"), (3, 1, "json"), (4, 0, "checksum")]
+
+
+def test_messages_without_finite_numbers(spark):
+    texts = ["21.5", "nan", "-inf", "Infinity", "x", "", None]
+    rows = [(i, T0, "Sensor1/fTempA", t) for i, t in enumerate(texts)]
+    messages = spark.createDataFrame(rows, "seq bigint, ts timestamp_ntz, topic string, payload string")
+    assert [p["value"] for p in I.messages_to_points(messages).collect()] == [21.5]
+    assert sorted(r["seq"] for r in I.message_rejects(messages).collect()) == [1, 2, 3, 4, 5, 6]
+    legacy = spark.createDataFrame(
+        [(1, T0, 1, math.nan, 50.0, math.inf, None, None)],
+        "seq bigint, ts timestamp_ntz, channel int, fTempA double, fHumi double, fVolt double, iLight int, fAtmo double",
+    )
+    assert [m["topic"] for m in I.to_messages_legacy(legacy).collect()] == ["Sensor1/fHumi"]
+
+
+def test_runs_replace_whole_buckets(spark):
+    rows = [("t", "m", T0 + timedelta(minutes=at), "f", v, i) for i, (at, v) in enumerate([(10, 0.0), (40, 10.0)])]
+    points = spark.createDataFrame(rows, "tier string, measurement string, time timestamp_ntz, field string, value double, write_seq bigint")
+    runs = R.resample(points, "mean", 3600, every_s=1800, span_s=5400)
+    got = {r["run_at"]: r["value"] for r in runs.collect()}
+    half = timedelta(minutes=30)
+    # the first run sees one point; the last one whose span touches the hour begins within it
+    assert got == {T0 + half: 0.0, **{T0 + k * half: 5.0 for k in (2, 3, 4)}}
+    assert [r["value"] for r in R.latest_only(runs).collect()] == [5.0]
+
+
+def test_dashboard_range_that_cuts_buckets(spark):
+    points = spark.createDataFrame(
+        [("t", "m", T0 + timedelta(hours=22, minutes=m), "f", float(m), m) for m in (5, 20)],
+        "tier string, measurement string, time timestamp_ntz, field string, value double, write_seq bigint",
+    )
+    t0 = T0 + timedelta(hours=22, minutes=10)
+    got = dashboard(points, "mean", ["t"], t0, t0 + timedelta(hours=1, minutes=30), 3600, "null").collect()
+    assert [(r["time"], r["value"]) for r in got] == [(T0 + timedelta(hours=22), 20.0), (T0 + timedelta(hours=23), None)]
+
+
+def test_silence_that_has_not_ended(spark):
+    rows = spark.createDataFrame([(1, T0, 1), (2, T0 + timedelta(minutes=1), 1)], "seq bigint, ts timestamp_ntz, channel int")
+    as_of = F.lit(T0 + timedelta(hours=5)).cast("timestamp_ntz")
+    gaps = H.silence_gaps(rows, 180, as_of=as_of)
+    assert [(g["silent_to"], g["gap_s"]) for g in gaps.collect()] == [(None, 299 * 60.0)]
+    alarms = H.silence_alarms(gaps, 180, every_s=3600, as_of=as_of).collect()
+    assert sorted(a["ts"] for a in alarms) == [T0 + timedelta(minutes=4, hours=h) for h in range(5)]
+    assert H.silence_gaps(rows, 180).count() == 0
+
+
+def test_points_without_names_survive_deletion(spark):
+    points = spark.sql("SELECT CAST(NULL AS STRING) AS tier, CAST(NULL AS STRING) AS measurement, TIMESTAMP_NTZ'2024-01-01 00:00:00' AS time")
+    assert T.delete_range(points, "m", T0, T0 + timedelta(days=1)).count() == 1
+    assert T.drop_tier(points, "t").count() == 1

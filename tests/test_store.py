@@ -88,3 +88,24 @@ def test_read_prunes_partitions(spark, root):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(day" in plan or "tier#" in plan.split("PartitionFilters")[1]
     assert found.count() == 2 * 5
+
+
+def partition_filters(df):
+    return df._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_upsert_and_expiry_read_only_touched_folders(spark, root):
+    new = spark.createDataFrame([("autogen", "sSens1", T0 + timedelta(days=1), "fTempA", 9.0, 99)], SCHEMA)
+    touched = store.touched_days(new, root)
+    assert all(x in partition_filters(touched) for x in ("tier#", "autogen", "day#", "2024-01-02"))
+    assert touched.count() == 8
+    border = store.border_days(spark, root, {"two_month": T0 + timedelta(days=3, hours=1)})
+    assert all(x in partition_filters(border) for x in ("tier#", "two_month", "day#", "2024-01-04"))
+    assert border.count() == 8
+
+
+def test_points_without_a_tier_are_upserted(spark, tmp_path):
+    path = str(tmp_path / "nameless")
+    for value in (1.0, 2.0):
+        store.write_points(spark.createDataFrame([(None, "m", T0, "f", value, int(value))], SCHEMA), path)
+    assert [r["value"] for r in store.read_points(spark, path).collect()] == [2.0]
