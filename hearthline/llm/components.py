@@ -7,35 +7,47 @@ from pyspark.sql import functions as F
 
 from hearthline.session import cut_lineage
 
+#: Partitions of the edges kept between rounds: some, and one more for each so many edges.
+LEAST_PARTS, PART_EDGES = 8, 100_000
+
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) of every node that has an edge to another one; component is its smallest reachable node.
 
-    Each round links larger neighbours of a node to its smallest neighbour, then smaller ones. Every step is a minimum
-    (combined before the shuffle) and a join back (a hot node is split by adaptive execution), so no neighbourhood is ever
-    gathered. Rounds grow with the logarithm of a component's size. Null nodes and loops have no edge. No edges: no rows.
+    Each round links larger neighbours of a node to its smallest neighbour, then smaller ones, until all edges are stars.
+    Every step is a minimum (combined before the shuffle) and a join back (a hot node is split by adaptive execution), so no
+    neighbourhood is ever gathered. Rounds grow with the logarithm of a component's size. Edges never become more, so what is
+    kept between rounds has partitions by their number. Null nodes and loops have no edge. No edges: no rows.
     """
     held = cut_lineage(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .where("u IS NOT NULL AND v IS NOT NULL AND u <> v AND u > v")
         .distinct()
     )
-    mark = _mark(held)
-    while mark[0]:
-        either = held.unionByName(held.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    while True:
+        count, waiting = _open(held)
+        if not waiting:
+            break
+        parts = LEAST_PARTS + count // PART_EDGES
+        few = held.coalesce(parts)
+        either = few.unionByName(few.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = either.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("low"))
-        large = held.join(least, "v").select("u", F.least("v", "low").alias("v")).where("u <> v").distinct()
+        large = few.join(least, "v").select("u", F.least("v", "low").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("low"))
-        down = large.join(low, "u").where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        held = cut_lineage(down.unionByName(low.select("u", F.col("low").alias("v"))).distinct())
-        before, mark = mark, _mark(held)
-        if mark == before:
-            break
-    stars = held.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+        down = large.join(low, "u").select("low", F.explode(F.array("u", "v")).alias("u")).where("u <> low")
+        held = cut_lineage(down.select("u", F.col("low").alias("v")).distinct().coalesce(parts))
+    members = held.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return members.unionByName(members.select(F.col("component").alias("node"), "component").distinct())
+
+
+def stars(groups: DataFrame, a: str, b: str) -> DataFrame:
+    """Edges from the members of groups (node, component) to their components: found groups go on from here in few rounds."""
+    return groups.where("node <> component").select(F.col("node").alias(a), F.col("component").alias(b))
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """Number and checksum of the edges; equal marks mean that nothing changed."""
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+def _open(edges: DataFrame) -> tuple[int, int]:
+    """Number of edges, and of nodes with two smaller neighbours or with a smaller and a larger one: none if all are stars."""
+    either = F.array(*[F.struct(F.col(c).alias("node"), F.lit(up).alias("up")) for c, up in (("u", 1), ("v", 0))])
+    nodes = edges.select(F.inline(either)).groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("least"))
+    row = nodes.agg(F.coalesce(F.sum("up"), F.lit(0)), F.count_if((F.col("up") > 1) | (F.col("up") == 1) & (F.col("least") == 0))).first()
     return row[0], row[1]

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from hearthline.llm import wordhash
 from hearthline.llm.common import give_back, map_arrow, stored
-from hearthline.llm.components import components
+from hearthline.llm.components import components, stars
 from hearthline.llm.neardup_vectors import _runs
 from hearthline.session import ship
 
@@ -238,7 +238,7 @@ def _signed(x: int) -> int:
 
 
 def _candidates(found: DataFrame, s: Settings) -> DataFrame:
-    """(a, b): pairs of sets (by low key) that connect all sets which may be similar. See step 2."""
+    """(a, b): pairs of sets (by low key) that connect all sets which may be similar, as stars where known. See step 2."""
     bodies = stored(found.where("prefix IS NOT NULL").select(F.col("low").alias("node"), F.col("n_shingles").alias("n"), "sketch").groupBy("node", "n").agg(F.first("sketch").alias("sketch")), "sketches")
     entries = found.where("prefix IS NOT NULL").select(F.col("low").alias("node"), F.explode("prefix").alias("shingle"))
     ends = entries.groupBy("shingle").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last")
@@ -283,7 +283,7 @@ def _candidates(found: DataFrame, s: Settings) -> DataFrame:
         give_back()
 
     more = dealt.mapInArrow(compare, "a bigint, b bigint").distinct()
-    return close.unionByName(more)
+    return stars(groups, "a", "b").unionByName(more)
 
 
 def _sketched(pairs: DataFrame, s: Settings) -> DataFrame:
@@ -328,8 +328,7 @@ def jaccard_groups(documents: DataFrame, settings: Settings = Settings(), id_col
     found = stored(profiles(documents, frequent, s, id_column, text_column), "profiles")
     pairs = stored(_candidates(found, s), "candidates")
     groups = stored(components(pairs, "a", "b"), "groups")
-    links = _join(documents, found, groups, frequent, s, id_column, text_column)
-    member = components(links, "a", "b")
+    member = _join(documents, found, groups, frequent, s, id_column, text_column)
     some = found.where("n_shingles > 0").groupBy("low", "high", "n_shingles").agg(F.min("doc_id").alias("id"))
     named = some.join(member.withColumnRenamed("node", "low"), "low", "left").withColumn("component", F.coalesce("component", "low"))
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))
@@ -340,7 +339,7 @@ def jaccard_groups(documents: DataFrame, settings: Settings = Settings(), id_col
 
 
 def _join(documents: DataFrame, found: DataFrame, groups: DataFrame, frequent: tuple, s: Settings, id_column: str, text_column: str) -> DataFrame:
-    """Step 3: exact links among the sets of each candidate group."""
+    """Step 3: (node, component) by the exact links among the sets of each candidate group."""
     counts = groups.groupBy("component").agg(F.count("*").alias("members"))
     cells = groups.join(counts, "component").withColumn("parts", F.ceil(F.col("members") / s.block).cast("int"))
     # one document for each set that is in a group
@@ -363,19 +362,19 @@ def _join(documents: DataFrame, found: DataFrame, groups: DataFrame, frequent: t
     own = placed.where("node <> component").unionByName(first).select(F.col("component").alias("cell"), "part", "node", F.lit(True).alias("probe"), F.lit(True).alias("kept"), "body")
     links = stored(_linked(own, s), "links")
     # sets of large groups that are not connected with the group's first one visit the other blocks
-    member = components(links, "a", "b").withColumnRenamed("component", "linked")
-    large = cells.where("parts > 1").join(member, "node", "left").withColumn("linked", F.coalesce("linked", "node"))
+    member = components(links, "a", "b")
+    large = cells.where("parts > 1").join(member.withColumnRenamed("component", "linked"), "node", "left").withColumn("linked", F.coalesce("linked", "node"))
     main = large.where("node = component").select("component", F.col("linked").alias("main"))
     apart = large.join(main, "component").where("linked <> main").select("node", "component", "parts")
     if apart.isEmpty():
-        return links
+        return member
     visits = bodies.join(apart, "node").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     needed_cells = apart.select("component").distinct()
     hosts = placed.join(needed_cells, "component", "left_semi")
     rows = visits.select(F.col("component").alias("cell"), "part", "node", F.lit(True).alias("probe"), F.lit(False).alias("kept"), "body").unionByName(
         hosts.select(F.col("component").alias("cell"), "part", "node", F.lit(False).alias("probe"), F.lit(True).alias("kept"), "body")
     )
-    return links.unionByName(_linked(rows, s))
+    return components(stars(member, "a", "b").unionByName(_linked(rows, s)), "a", "b")
 
 
 def keep_one(documents: DataFrame, settings: Settings = Settings(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
