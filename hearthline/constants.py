@@ -157,3 +157,12 @@ ROLLUP_SPECS = [
     ("cq_1hour_Humi", "mean", "fHumi", "fHumi", "one_year", "forever", "sSens1", 3600),
     ("cq_5min_Humi", "mean", "fHumi", "fHumi", "two_month", "one_year", "sSens1", 300),
 ]
+
+# Definitions that skip a tier (fixed values), columns as above.
+LONG_HOP_SPECS = [
+    ("cq_1_hour_LG_S1_fTempA", "mean", "fTempA", "fTempA", "two_years", "forever", "sSens1", 3600),
+    ("cq_1_hour_LG_S2_fTempA", "mean", "fTempA", "fTempA", "two_years", "forever", "sSens2", 3600),
+    ("cq_1_hour_LG_S3_fTempA", "mean", "fTempA", "fTempA", "two_years", "forever", "sSens3", 3600),
+    ("cq_5min_LG_S5_fTempA", "mean", "fTempA", "fTempA", "autogen", "two_month", "sSens5", 300),
+    ("cq_5min_LG_S5_fHumi", "mean", "fHumi", "fHumi", "autogen", "two_month", "sSens5", 300),
+]

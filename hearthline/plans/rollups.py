@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hearthline.constants import ROLLUP_SPECS
+from hearthline.constants import LONG_HOP_SPECS, ROLLUP_SPECS
 from hearthline.operators import rollup as R
 from hearthline.plans.registry import query
 from hearthline.plans.views import TAGGED_POINTS, Views
@@ -181,26 +181,36 @@ def rollup_self_field(v: Views):
     return points.drop("write_seq").unionByName(means)
 
 
-def _spec_values() -> str:
-    return ", ".join("(" + ", ".join(repr(x) for x in row) + ")" for row in ROLLUP_SPECS)
-
-
-@query(
-    "rollup_all_specs",
-    f"""
+def _by_specs(view: str, specs: list[tuple]) -> str:
+    values = ", ".join("(" + ", ".join(repr(x) for x in row) + ")" for row in specs)
+    return f"""
     SELECT s.name, s.dst_tier AS tier, p.measurement, s.dst_field AS field,
            make_timestamp((epoch_us(p.time) // (CAST(s.width_s AS BIGINT) * 1000000)) * s.width_s * 1000000) AS time,
            round(avg(p.value), {DIGITS}) AS value
-    FROM {{points}} p JOIN (VALUES {_spec_values()})
+    FROM {{{view}}} p JOIN (VALUES {values})
          s(name, agg, src_field, dst_field, src_tier, dst_tier, measurement, width_s)
       ON p.tier = s.src_tier AND p.measurement = s.measurement AND p.field = s.src_field
     GROUP BY ALL
-    """,
-)
+    """
+
+
+@query("rollup_all_specs", _by_specs("points", ROLLUP_SPECS))
 def rollup_all_specs(v: Views):
     return rounded(R.rollup_by_specs(v.points, dims.rollup_specs(v.spark)))
 
 
+@query("rollup_definitions", _by_specs("spec_points", ROLLUP_SPECS))
+def rollup_definitions(v: Views):
+    """The same over points that feed every definition."""
+    return rounded(R.rollup_by_specs(v.spec_points, dims.rollup_specs(v.spark)))
+
+
+@query("rollup_long_hop", _by_specs("spec_points", LONG_HOP_SPECS))
+def rollup_long_hop(v: Views):
+    """Definitions that skip a tier."""
+    return rounded(R.rollup_by_specs(v.spec_points, dims.rollup_specs(v.spark, LONG_HOP_SPECS)))
+
+
 @query(
     "resample_window",
     f"""

@@ -35,6 +35,20 @@ POINTS = {
 # Points with a tag beside the measurement.
 TAGGED_POINTS = {**POINTS, "node": "user_id"}
 
+# Points in every tier, measurement and field that a rollup definition reads.
+SPEC_POINTS = {
+    "tier": "CASE event_id % 5 WHEN 0 THEN 'autogen' WHEN 1 THEN 'two_month' WHEN 2 THEN 'one_year' "
+    "WHEN 3 THEN 'two_years' ELSE 'half_year' END",
+    "measurement": "CASE user_id % 10 WHEN 0 THEN 'SensorLoc' WHEN 9 THEN 'ValveControl' "
+    "ELSE 'sSens' || CAST(user_id % 10 AS STRING) END",
+    "time": "ts",
+    "field": "CASE event_type WHEN 'click' THEN CASE user_id % 10 WHEN 9 THEN 'TempIn' ELSE 'fTempA' END "
+    "WHEN 'view' THEN CASE user_id % 10 WHEN 9 THEN 'TempOut' ELSE 'fHumi' END "
+    "WHEN 'purchase' THEN 'fVolt' WHEN 'signup' THEN 'iLight' ELSE 'fAtmo' END",
+    "value": "CAST(value AS DOUBLE)",
+    "write_seq": "event_id",
+}
+
 POINTS_LONG = {
     "tier": "CASE l_linenumber % 4 WHEN 0 THEN 'autogen' WHEN 1 THEN 'two_month' WHEN 2 THEN 'one_year' "
     "ELSE 'two_years' END",
@@ -229,6 +243,7 @@ def sql(view: dict[str, str], source: str) -> str:
 SQL = {
     "points": sql(POINTS, "events"),
     "tagged_points": sql(TAGGED_POINTS, "events"),
+    "spec_points": sql(SPEC_POINTS, "events"),
     "points_long": sql(POINTS_LONG, "lineitem"),
     "readings": sql(READINGS, "events"),
     "raw_readings": sql(RAW_READINGS, "events"),
@@ -278,6 +293,10 @@ class Views:
     def points(self) -> DataFrame:
         return self.over_events(POINTS)
 
+    @property
+    def spec_points(self) -> DataFrame:
+        return self.over_events(SPEC_POINTS)
+
     @property
     def points_long(self) -> DataFrame:
         return _select(self.table("lineitem"), POINTS_LONG)

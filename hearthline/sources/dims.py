@@ -38,9 +38,9 @@ def tiers(spark: SparkSession) -> DataFrame:
     return literal_table(spark, ["tier", "duration_hours", "shard_hours"], TIERS)
 
 
-def rollup_specs(spark: SparkSession) -> DataFrame:
+def rollup_specs(spark: SparkSession, rows: list[tuple] = ROLLUP_SPECS) -> DataFrame:
     return literal_table(
         spark,
         ["name", "agg", "src_field", "dst_field", "src_tier", "dst_tier", "measurement", "width_s"],
-        ROLLUP_SPECS,
+        rows,
     )
