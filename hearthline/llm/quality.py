@@ -1,9 +1,10 @@
 """Quality rules: compression bands.
 
 zstandard compresses a whole document and its fixed chunks on their own. A document whose ratio (bytes before / after)
-leaves the band of its length is rejected: above it the text repeats itself, below it it is noise. Chunks catch a
-repetitive or random stretch inside an otherwise ordinary long document. Base counts of words, symbols, repeated lines
-and repeated word windows come along, with two plain limits on them.
+leaves the band of its length is rejected: above it the text repeats itself, below it it is noise. The lower limits come
+from the corpus itself: quartiles of the ratio in each length class, over all documents. Chunks catch a repetitive or
+random stretch inside an otherwise ordinary long document. Base counts of words, symbols, repeated lines and repeated word
+windows come along, with two plain limits on them.
 """
 
 from __future__ import annotations
@@ -12,12 +13,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthline.llm import wordhash
-from hearthline.llm.common import map_arrow
+from hearthline.llm.common import map_arrow, stored
 
 WINDOW = 8
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -29,8 +31,11 @@ class Bands:
     """Limits by UTF-8 length: (from bytes, least ratio, greatest ratio), in rising order.
 
     Short texts hardly compress, and ratios of ordinary prose rise with length. ``chunk`` bytes are compressed at a time
-    (a last part of at least half a chunk counts); with more than ``bad_share`` of the chunks outside ``chunk_band``
-    the document is rejected.
+    (the last chunk of a longer text is its last ``chunk`` bytes); with more than ``bad_share`` of the chunks outside
+    ``chunk_band``, or ``bad_run`` of them in a row, the document is rejected.
+
+    The least ratios hold where the corpus tells nothing. Elsewhere the limit is the lower quartile less ``fence`` times the
+    distance of the quartiles (``chunk_fence`` for chunks), taken from classes of ``least_texts`` different texts or more.
     """
 
     whole: tuple[tuple[int, float, float], ...] = (
@@ -44,7 +49,11 @@ class Bands:
     )
     chunk: int = 4096
     chunk_band: tuple[float, float] = (1.25, 6.0)
-    bad_share: float = 0.5
+    bad_share: float = 0.1
+    bad_run: int = 2
+    fence: float = 2.5
+    chunk_fence: float = 4.0
+    least_texts: int = 30
     level: int = 3
     min_words: int = 20
     max_repeat_percent: int = 30
@@ -52,8 +61,12 @@ class Bands:
 
 SCHEMA = (
     "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
-    "n_bytes bigint, ratio double, n_chunks bigint, n_bad_chunks bigint"
+    "n_bytes bigint, ratio double, chunk_ratios array<double>, text_key bigint"
 )
+#: First lengths of the length classes, four to each doubling.
+CLASSES = np.unique(np.ceil(2.0 ** (np.arange(4 * 40) / 4)).astype(np.int64))
+#: Ratios are counted in steps of 1 / STEPS.
+STEPS = 200
 
 
 def measure(documents: DataFrame, bands: Bands = Bands(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -71,7 +84,7 @@ def measure(documents: DataFrame, bands: Bands = Bands(), id_column: str = "doc_
         for i, t in enumerate(texts):
             out["lines"][i] = _repeated_lines(t)
         columns = [rows.column(0), *(pa.array(out[k]) for k in ("words", "chars", "symbols", "lines", "repeats"))]
-        columns += [pa.array([r[k] for r in ratios], kind) for k, kind in enumerate((pa.int64(), pa.float64(), pa.int64(), pa.int64()))]
+        columns += [pa.array([r[k] for r in ratios], kind) for k, kind in enumerate(_KINDS)]
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         return pa.RecordBatch.from_arrays(columns, names)
 
@@ -119,41 +132,139 @@ def _repeated_lines(text: str | None) -> int:
 _compressors: dict[int, zstandard.ZstdCompressor] = {}
 
 
-def _ratios(text: str | None, bands: Bands) -> tuple[int, float, int, int]:
+_KINDS = (pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.int64())
+
+
+def _ratios(text: str | None, bands: Bands) -> tuple[int, float, list[float], int]:
+    """Bytes, ratio, ratios of the chunks and a key of a text. A text of one chunk or less has no chunks."""
     if not text:
-        return 0, 0.0, 0, 0
+        return 0, 0.0, [], 0
     raw = text.encode("utf-8", "surrogatepass")
     squeeze = _compressors.setdefault(bands.level, zstandard.ZstdCompressor(level=bands.level)).compress
-    parts = [raw[i : i + bands.chunk] for i in range(0, len(raw), bands.chunk)]
-    parts = [p for p in parts if 2 * len(p) >= bands.chunk] if len(parts) > 1 else []
+    last = len(raw) - bands.chunk
+    parts = [raw[i : i + bands.chunk] for i in [*range(0, last, bands.chunk), last]] if last > 0 else []
+    key = int.from_bytes(xxhash.xxh3_64_digest(raw), "big", signed=True)
+    return len(raw), len(raw) / len(squeeze(raw)), [len(p) / len(squeeze(p)) for p in parts], key
+
+
+# ---------------------------------------------------------------- limits
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Limits in force: (from bytes, least ratio, greatest ratio) in rising order, and the band of chunks."""
+
+    whole: tuple[tuple[int, float, float], ...]
+    chunk_band: tuple[float, float]
+
+
+def limits(documents: DataFrame, bands: Bands = Bands(), text_column: str = "text") -> Limits:
+    """The limits that all texts of ``documents`` give. One narrow pass and a count of steps per length class."""
+
+    def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
+        ratios = [_ratios(t, bands) for t in rows.column(0).to_pylist()]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in ratios], kind) for k, kind in enumerate(_KINDS)], names)
+
+    names = ["n_bytes", "ratio", "chunk_ratios", "text_key"]
+    texts = documents.select(F.col(text_column).cast("string").alias("text"))
+    return _derived(map_arrow(texts, batch, "n_bytes bigint, ratio double, chunk_ratios array<double>, text_key bigint"), bands)
+
+
+def _derived(measured: DataFrame, bands: Bands) -> Limits:
+    """Limits from ``n_bytes``, ``ratio``, ``chunk_ratios`` and ``text_key`` of every text; copies of a text count once.
+
+    What repeats itself is left out, as it is rejected anyway. The driver gets one row per length class and step.
+    """
+    once = measured.where("n_bytes > 0").select("text_key", "n_bytes", "ratio", "chunk_ratios").distinct()
+    starts = F.array(*[F.lit(int(x)) for x in CLASSES])
+    # chunks are class -1
+    place = F.size(F.filter(starts, lambda x: x <= F.col("n_bytes"))) - 1
+    whole = F.struct(place.alias("at"), F.col("ratio"), _greatest(bands).alias("most"))
+    chunks = F.transform("chunk_ratios", lambda r: F.struct(F.lit(-1).alias("at"), r.alias("ratio"), F.lit(bands.chunk_band[1]).alias("most")))
+    rows = once.select(F.explode(F.concat(F.array(whole), chunks)).alias("x")).select("x.*").where("ratio <= most")
+    counted = rows.groupBy("at", F.floor(F.col("ratio") * STEPS).alias("step")).count().collect()
+    steps: dict[int, list[tuple[int, int]]] = {}
+    for r in counted:
+        steps.setdefault(r["at"], []).append((r["step"], r["count"]))
+    return _limits(steps, bands)
+
+
+def _limits(steps: dict[int, list[tuple[int, int]]], bands: Bands) -> Limits:
+    def fence(own: list[tuple[int, int]], times: float) -> float | None:
+        at, n = (np.array(x) for x in zip(*sorted(own)))
+        upto = np.cumsum(n)
+        if upto[-1] < bands.least_texts:
+            return None
+        low, high = at[np.searchsorted(upto, np.array([0.25, 0.75]) * upto[-1])]
+        return float(low - times * (high - low)) / STEPS
+
+    found = [(int(CLASSES[k]), f) for k in sorted(steps) if k >= 0 and (f := fence(steps[k], bands.fence)) is not None]
+    own = [f for _, f in found]
+    # the median of five classes: one that a group of near copies fills does not decide its own limit
+    smooth = [float(np.median(own[max(0, i - 2) : i + 3])) for i in range(len(own))]
+    smooth[:2] = [min(a, b) for a, b in zip(smooth[:2], own)]
+    # ratios rise with length, so a limit also holds for longer texts of which there are too few
+    known = [(start, f) for (start, _), f in zip(found, smooth)]
+    whole = []
+    for start in sorted({b[0] for b in bands.whole} | {k for k, _ in known}):
+        _, low, high = [b for b in bands.whole if start >= b[0]][-1]
+        whole.append((start, max([low, *[f for k, f in known if k <= start][-1:]]), high))
     low, high = bands.chunk_band
-    bad = sum(not low <= len(p) / len(squeeze(p)) <= high for p in parts)
-    return len(raw), len(raw) / len(squeeze(raw)), len(parts), bad
+    of_chunks = fence(steps[-1], bands.chunk_fence) if -1 in steps else None
+    if of_chunks is not None:
+        low = max(low, of_chunks)
+    return Limits(tuple(whole), (low, high))
+
+
+def _greatest(bands: Bands):
+    most = F.lit(bands.whole[0][2])
+    for start, _, high in bands.whole[1:]:
+        most = F.when(F.col("n_bytes") >= start, F.lit(high)).otherwise(most)
+    return most
+
+
+def _bad_chunks(ratios: list[float], band: tuple[float, float], bands: Bands) -> bool:
+    """Whether too many of the chunks, or too many in a row, leave the band."""
+    bad = [not band[0] <= r <= band[1] for r in ratios]
+    run = longest = 0
+    for b in bad:
+        run = run + 1 if b else 0
+        longest = max(longest, run)
+    return longest >= bands.bad_run or sum(bad) > bands.bad_share * len(bad)
+
+
+def _band(size: int, ratio: float, chunks: list[float], found: Limits, bands: Bands) -> str:
+    _, low, high = [b for b in found.whole if size >= b[0]][-1]
+    if ratio < low:
+        return "low"
+    if ratio > high:
+        return "high"
+    return "chunks" if _bad_chunks(chunks, found.chunk_band, bands) else "ok"
 
 
 def quality_rules(documents: DataFrame, bands: Bands = Bands(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``measure`` and the verdicts ``base_failed``, ``band`` (low, high, chunks or ok) and ``kept``."""
-    least, most = F.lit(bands.whole[0][1]), F.lit(bands.whole[0][2])
-    for start, low, high in bands.whole[1:]:
-        least = F.when(F.col("n_bytes") >= start, F.lit(low)).otherwise(least)
-        most = F.when(F.col("n_bytes") >= start, F.lit(high)).otherwise(most)
+    rows = stored(measure(documents, bands, id_column, text_column), "quality")
+    found = _derived(rows, bands)
+    at = rows.columns.index("n_bytes")
+
+    def batch(part: pa.RecordBatch) -> pa.RecordBatch:
+        measured = zip(*(part.column(at + k).to_pylist() for k in range(3)))
+        return part.append_column("band", pa.array([_band(*m, found, bands) for m in measured], pa.string()))
+
     failed = (F.col("n_words") < bands.min_words) | (100 * F.col("n_repeat_words") > bands.max_repeat_percent * F.col("n_words"))
-    band = (
-        F.when(F.col("ratio") < least, "low")
-        .when(F.col("ratio") > most, "high")
-        .when(F.col("n_bad_chunks") > bands.bad_share * F.col("n_chunks"), "chunks")
-        .otherwise("ok")
-    )
-    rows = measure(documents, bands, id_column, text_column)
-    return rows.withColumns({"base_failed": failed, "band": band}).withColumn("kept", ~F.col("base_failed") & (F.col("band") == "ok"))
+    judged = map_arrow(rows, batch, SCHEMA + ", band string").withColumn("base_failed", failed)
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("band") == "ok"))
 
 
 def keep_good(documents: DataFrame, bands: Bands = Bands(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Rows of ``documents`` that pass, unchanged, with all their columns. One narrow pass without a join."""
+    """Rows of ``documents`` that pass, unchanged, with all their columns. Two narrow passes without a join: the first
+    one gives the limits."""
     at = documents.columns.index(text_column)
+    found = limits(documents, bands, text_column)
 
     def batch(part: pa.RecordBatch) -> pa.RecordBatch:
-        return part.filter(pa.array([_passes(t, bands) for t in _with_counts(part.column(at).to_pylist())], pa.bool_()))
+        return part.filter(pa.array([_passes(t, found, bands) for t in _with_counts(part.column(at).to_pylist())], pa.bool_()))
 
     return map_arrow(documents, batch, documents.schema)
 
@@ -165,10 +276,8 @@ def _with_counts(texts: list[str | None]) -> list[tuple[str | None, int, int]]:
     return list(zip(texts, out["words"].tolist(), out["repeats"].tolist()))
 
 
-def _passes(measured: tuple[str | None, int, int], bands: Bands) -> bool:
+def _passes(measured: tuple[str | None, int, int], found: Limits, bands: Bands) -> bool:
     text, words, repeats = measured
     if words < bands.min_words or 100 * repeats > bands.max_repeat_percent * words:
         return False
-    size, ratio, chunks, bad = _ratios(text, bands)
-    _, low, high = [b for b in bands.whole if size >= b[0]][-1]
-    return low <= ratio <= high and bad <= bands.bad_share * chunks
+    return _band(*_ratios(text, bands)[:3], found, bands) == "ok"

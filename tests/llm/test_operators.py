@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import base64
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
+import zstandard
 
 from hearthline.llm import extraction, langid, mixing, neardup_vectors, ngram_join, packing, quality, sharding, toxicity, warc, wordhash
 from hearthline.llm.components import components
@@ -132,6 +135,54 @@ def test_quality_counts_and_verdicts(spark):
     assert kept == {r.doc_id for r in quality.quality_rules(frame).where("kept").collect()} and 8 in kept and 3 not in kept
 
 
+def noise_documents():
+    """(name, length, text): words of random letters, base64, and prose whose second half is random letters."""
+    rng = random.Random(7)
+    docs = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text", "lang"]).to_pylist()
+    prose = {}
+    for d in docs:
+        # two languages of plain prose, without the texts that repeat themselves
+        t = d["text"] or ""
+        if len(t) > 500 and len(t.encode()) / len(zstandard.ZstdCompressor(level=3).compress(t.encode())) < 2.4:
+            prose[d["lang"]] = prose.get(d["lang"], "") + t + " "
+    out = []
+    for length in (600, 1200, 2000, 6000, 20_000, 100_000):
+        letters = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 10))) for _ in range(length // 4))[:length]
+        out += [("letters", length, letters), ("base64", length, base64.b64encode(rng.randbytes(length)).decode()[:length])]
+        out += [("half", length, (prose["en"][: length // 2] + " " + letters[: length // 2]))]
+    return out
+
+
+def test_quality_limits_follow_the_corpus(spark):
+    """Noise of a length is rejected by what other documents of that length have, and hardly any prose is."""
+    corpus = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    planted = noise_documents()
+    frame = corpus.unionByName(spark.createDataFrame([(-1 - i, t) for i, (_, _, t) in enumerate(planted)], "doc_id bigint, text string"))
+    rows = quality.quality_rules(frame).select("doc_id", "band", "kept").collect()
+    band = {r.doc_id: r.band for r in rows}
+    for i, (name, length, _) in enumerate(planted):
+        # below 1,200 bytes letters compress as prose does; half of them show from 2,000 on
+        if length >= {"letters": 1200, "base64": 600, "half": 2000}[name]:
+            assert band[-1 - i] in ("low", "chunks"), (name, length)
+    assert sum(b in ("low", "chunks") for i, b in band.items() if i is not None and i >= 0) <= 0.02 * len(band)
+    kept = {r.doc_id for r in quality.keep_good(frame).collect()}
+    assert kept == {r.doc_id for r in rows if r.kept}
+
+
+def test_quality_limits_and_copies():
+    """Limits where texts are few, and where near copies fill one length class."""
+    bands = quality.Bands()
+    plain = {k: [(int(200 * (1 + k / 40)) + d, 20) for d in range(-5, 6)] for k in range(20, 50)}
+    found = quality._limits(plain, bands)
+    heavy = quality._limits(plain | {35: [(int(200 * 2.9), 50_000)]}, bands)
+    assert heavy.whole == pytest.approx(np.array(found.whole), abs=0.1)
+    assert quality._limits({40: [(400, 3)]}, bands).whole == bands.whole
+    chunks = [2.1] * 20
+    assert not quality._bad_chunks(chunks, (2.0, 6.0), bands)
+    assert not quality._bad_chunks([1.7, *chunks], (2.0, 6.0), bands)
+    assert quality._bad_chunks([*chunks[:10], 1.7, 1.7, *chunks], (2.0, 6.0), bands)
+
+
 def test_tokens_are_the_librarys():
     import public_tokenizers
     from tokenizers import Tokenizer
