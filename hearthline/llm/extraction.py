@@ -2,8 +2,8 @@
 
 Pages become trees. Every element with text gets a hash of its whole subtree; Spark counts, for each host, on how many of its
 pages a subtree occurs, and subtrees that recur on many of them are the site's template. A second pass deletes these, along
-with elements that are no article by their tag, class or role (menus, adverts, forms, notices, comments ...), takes the
-article if the page marks one, and joins its blocks.
+with elements that are no article by their tag, class or role (menus, adverts, forms, notices, comments ...) unless they hold
+most of the text, takes the article if the page marks one, and joins its blocks.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import html as entities
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -42,12 +43,20 @@ _BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul".split()
 )
-_DROP = set("aside button canvas datalist dialog footer form head input label menu nav object select svg template audio video math".split()) | _RAW
+_DROP = set("button canvas datalist head input label select svg template audio video math".split()) | _RAW
+#: Dropped unless they hold most of the text: some sites wrap a whole page in a form.
+_SOFT = set("aside dialog footer form menu nav object".split())
 _WORDS = set(
     "ad ads adsense advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies "
     "disqus donate footer login menu modal nav navbar navigation newsletter notice overlay paywall pagination pager popup promo promoted "
     "promotion recommended related search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: Words that, with one of the above, make up a class such as site-footer or related-posts; has-sidebar or cookie-free is none.
+_BESIDE = set(
+    "area article articles bar block bottom box btn button buttons container content entry form global group header icon icons inner item items "
+    "left link links list main media outer page panel post posts primary right row secondary section site slot stories top unit wp wrap wrapper".split()
+)
+_HEADINGS = set("h1 h2 h3 h4 h5 h6 hgroup".split())
 _ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Site headers; an article's own header holds its title.
 _HEADS = set("header masthead topbar".split())
@@ -67,7 +76,8 @@ _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>""",
     re.S,
 )
-_NAMED = re.compile(r"""(?:^|[\s"'/])(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I | re.S)
+#: One attribute after the other, so that nothing is found inside a value.
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?|"[^"]*+"|'[^']*+'""", re.S)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
@@ -78,10 +88,13 @@ class Node:
     #: Strings and nodes in page order.
     inside: list = field(default_factory=list)
     key: int = 0
+    #: Hidden, and named as no part of an article.
     dropped: bool = False
+    aside: bool = False
     main: bool = False
-    #: Length of the text in it, of that in links, and the number of links.
+    #: Length of the text in it, of that outside of named or dropped elements, of that in links, and the number of links.
     size: int = 0
+    plain: int = 0
     linked: int = 0
     links: int = 0
 
@@ -159,23 +172,36 @@ def _make_room(stack: list[Node], tag: str) -> None:
 
 
 def _read_marks(node: Node, extra: str) -> None:
+    seen: set[str] = set()
     words: set[str] = set()
-    for m in _NAMED.finditer(extra):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+    for m in _ATTRIBUTE.finditer(extra):
+        name, value = (m[1] or "").lower(), (m[2] or m[3] or m[4] or "").lower()
+        if name in seen:
+            continue  # the first one counts
+        seen.add(name)
         if name in ("class", "id"):
             node.marks += value + " "
-            words.update(_SPLIT.split(value))
+            # the id of a heading or section is made of its title
+            if node.tag not in ("html", "body", "article", "main") and (name == "class" or node.tag != "section" and node.tag not in _HEADINGS):
+                tokens = value.split()
+                node.aside |= any(_names_aside(x) for x in tokens)
+                words.update(tokens)
         elif name == "role":
-            node.dropped |= value in _ROLES
+            node.aside |= value in _ROLES
             node.main |= value in ("main", "article")
         elif name == "itemprop":
             node.main |= value == "articlebody"
-        elif name == "hidden" or value == "true":
+        elif name == "hidden" or name == "aria-hidden" and value == "true":
             node.dropped = True
-    if node.tag not in ("html", "body", "article", "main"):
-        node.dropped |= bool(words & _WORDS)
-        if words & _HEADS:
-            node.marks += "#head"
+    if any(w in _HEADS or (parts := set(_SPLIT.split(w))) & _HEADS and parts <= _HEADS | _BESIDE for w in words):
+        node.marks += "#head"
+
+
+@lru_cache(1 << 14)
+def _names_aside(token: str) -> bool:
+    """Whether a class or id says that an element is no article: all its words must belong to such a name."""
+    parts = [x for x in _SPLIT.split(token) if x and not x[0].isdigit()]
+    return any(x in _WORDS for x in parts) and all(x in _WORDS or x in _BESIDE for x in parts)
 
 
 def _finish(node: Node, parent: Node) -> None:
@@ -185,6 +211,7 @@ def _finish(node: Node, parent: Node) -> None:
         if isinstance(x, str):
             even = " ".join(x.split())
             node.size += len(even)
+            node.plain += len(even)
             parts.append(even)
         else:
             parts.append(str(x.key))
@@ -193,6 +220,8 @@ def _finish(node: Node, parent: Node) -> None:
         node.linked = node.size
     node.key = xxhash.xxh3_64_intdigest("\x1f".join(parts).encode("utf-8", "surrogatepass"))
     parent.size += node.size
+    if not (node.dropped or node.aside or node.tag in _DROP or node.tag in _SOFT):
+        parent.plain += node.plain
     parent.linked += node.linked
     parent.links += node.links
 
@@ -224,21 +253,31 @@ def main_text(page: str, template: set[int], s: Settings = Settings()) -> str:
 
 
 def _article(root: Node) -> Node:
-    """The largest of the elements marked as article, else as main part, else everything."""
-    articles, mains = [], []
-    waiting = [root]
+    """The largest of the elements marked as article, or as main part if that holds over twice as much, else everything.
+
+    Elements inside of others that are named as no article count only where there are no others.
+    """
+    inner, outer = ([], []), ([], [])
+    waiting = [(root, outer)]
     while waiting:
-        node = waiting.pop()
+        node, found = waiting.pop()
         if node.dropped or node.tag in _DROP:
             continue
-        if node.size and node.tag == "article" or node.main:
-            (articles if node.tag == "article" or node.tag != "main" else mains).append(node)
+        if node.aside or node.tag in _SOFT:
+            found = inner
+        articles, mains = found
+        if node.size and (node.tag in ("article", "main") or node.main):
+            (mains if node.tag == "main" else articles).append(node)
             if node.tag == "article":
                 continue
-        if node.size and node.tag == "main":
-            mains.append(node)
-        waiting.extend(x for x in node.inside if not isinstance(x, str))
-    return max(articles or mains or [root], key=lambda x: x.size)
+        waiting.extend((x, found) for x in node.inside if not isinstance(x, str))
+    for articles, mains in (outer, inner):
+        article, main = (max(x, key=lambda n: (n.plain, n.size), default=None) for x in (articles, mains))
+        if article and main:
+            return article if 2 * article.plain >= main.plain else main
+        if article or main:
+            return article or main
+    return root
 
 
 def _blocks(start: Node, template: set[int], s: Settings) -> str:
@@ -265,7 +304,7 @@ def _blocks(start: Node, template: set[int], s: Settings) -> str:
                 end()
             elif x.tag in ("br", "td", "th"):
                 current.append(" ")
-            if x is not start and _removed(x, block, whole, template, s):
+            if x is not start and _removed(x, start, block, whole, template, s):
                 continue
             if block:
                 waiting.append(None)
@@ -274,8 +313,10 @@ def _blocks(start: Node, template: set[int], s: Settings) -> str:
     return "\n".join(blocks)
 
 
-def _removed(x: Node, block: bool, whole: bool, template: set[int], s: Settings) -> bool:
-    if x.dropped or x.tag in _DROP or whole and (x.tag == "header" or x.marks.endswith("#head")):
+def _removed(x: Node, start: Node, block: bool, whole: bool, template: set[int], s: Settings) -> bool:
+    if x.dropped or x.tag in _DROP:
+        return True
+    if (x.aside or x.tag in _SOFT or whole and (x.tag == "header" or x.marks.endswith("#head"))) and 2 * x.size <= start.size:
         return True
     if block and template and x.size and _signed(x.key) in template:
         return True

@@ -285,6 +285,27 @@ def test_extraction(spark):
     assert extraction.extract(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<div class='layout has-sidebar'><article><p>Long text</p></article></div><p>out", "Long text"),
+        ("<div class='no-sidebar with-comments cookie-free'><p>Long text</p></div>", "Long text"),
+        ("<article><h2 id='related-work'>Related</h2><p>a b</p><h2 id='search'>Search</h2><p>c d</p></article>", "Related\na b\nSearch\nc d"),
+        ("<article><p title='the hidden truth' data-x=\"class='ad'\">Text</p><p hidden>no</p><p aria-hidden=true>no</p></article>", "Text"),
+        ("<article><p aria-hidden=false aria-expanded=true>Text</p></article>", "Text"),
+        ("<form><div class='sidebar-right'><p>The whole page is in a form</p></div></form><p>end", "The whole page is in a form\nend"),
+        ("<div class='related'><article><p>The only article</p></article></div>", "The only article"),
+        ("<main><p>A long main part of the page with its text</p><article>teaser</article></main>", "A long main part of the page with its text\nteaser"),
+        ("<main><p>by x</p><article><p>The article of this page</p></article></main>", "The article of this page"),
+        ("<article><p>The text of this article</p><div class='related-posts'>no</div><ul class='share_buttons'><li>no</ul><div id='comments'>no</div></article>", "The text of this article"),
+        ("<article><p>Short</p></article><section class='comments'><article class='comment'>A comment that is longer than that</article></section>", "Short"),
+    ],
+)
+def test_extraction_keeps_the_article(page, want):
+    """Class names that only hold a listed word, attributes' values, and wrappers do not take the text away."""
+    assert extraction.main_text(page, set()) == want
+
+
 def test_toxicity_held_out(spark):
     rows = QUERIES["op1_toxicity"](spark, "/root/testdata/sf0.01").where("held_out").collect()
     truth = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
