@@ -1,7 +1,8 @@
 """Main text of web pages: site template removal.
 
 Pages become trees. Every element with text gets a hash of its whole subtree; Spark counts, for each host, on how many of its
-pages a subtree occurs, and subtrees that recur on many of them are the site's template. A second pass deletes these, along
+different pages a subtree occurs, and subtrees that recur on many of them are the site's template. Pages whose articles are
+copies or near copies of each other have one vote together. A second pass deletes these, along
 with elements that are no article by their tag, class or role (menus, adverts, forms, notices, comments ...) unless they hold
 most of the text, takes the article if the page marks one, and joins its blocks.
 """
@@ -14,21 +15,25 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hearthline.llm import wordhash
 from hearthline.llm.common import map_arrow, stored
 
 
 #: Hosts with more than 1 / HEAVY of all pages are treated one by one.
 HEAVY = 1024
+#: Words of a shingle by which near copies are known.
+VOTE_WORDS = 5
 
 
 @dataclass(frozen=True)
 class Settings:
-    """A subtree is template if it is on ``least_pages`` pages of a host and on ``least_share`` of all its pages."""
+    """A subtree is template if it is on ``least_pages`` different pages of a host and on ``least_share`` of all of them."""
 
     least_pages: int = 5
     least_share: float = 0.5
@@ -56,6 +61,7 @@ _BESIDE = set(
     "area article articles bar block bottom box btn button buttons container content entry form global group header icon icons inner item items "
     "left link links list main media outer page panel post posts primary right row secondary section site slot stories top unit wp wrap wrapper".split()
 )
+_WHOLE = {"#root", "html", "body"}
 _HEADINGS = set("h1 h2 h3 h4 h5 h6 hgroup".split())
 _ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Site headers; an article's own header holds its title.
@@ -234,22 +240,46 @@ def walk(root: Node) -> Iterator[Node]:
         waiting.extend(x for x in node.inside if not isinstance(x, str))
 
 
-def subtree_keys(page: str) -> set[int]:
+def subtree_keys(root: Node) -> set[int]:
     """Keys of the block elements with text, as signed 64-bit numbers; the page as a whole is none."""
-    whole = {"#root", "html", "body"}
-    return {_signed(x.key) for x in walk(parse(page)) if x.size and x.tag in _BLOCK and x.tag not in whole}
+    return {_signed(x.key) for x in walk(root) if x.size and x.tag in _BLOCK and x.tag not in _WHOLE}
+
+
+def voter(root: Node) -> tuple[str, bool]:
+    """The text that a page's vote is made of, and whether it is that of a marked article."""
+    start = _article(root)
+    return _blocks(start, set(), Settings()), start.tag not in _WHOLE
+
+
+def votes(voters: list[tuple[str, bool]]) -> list[int]:
+    """A number for each page, which copies share.
+
+    The least shingle of a marked article's text, which near copies share as well but for a few; without a mark the text
+    of the whole page, since template and near copies cannot be told apart there.
+    """
+    least = wordhash.shingle_sets([text if marked else None for text, marked in voters], VOTE_WORDS)
+    return [
+        _signed(int(own[0])) if len(own) else _signed(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")))
+        for own, (text, _) in zip(least, voters)
+    ]
 
 
 def _signed(key: int) -> int:
     return key - (1 << 64) if key >> 63 else key
 
 
-def main_text(page: str, template: set[int], s: Settings = Settings()) -> str:
-    """Text of the article, blocks joined by line ends. A page all of which is template keeps its text."""
+def main_text(page: str, template: set[int], s: Settings = Settings(), copies: bool = False) -> str:
+    """Text of the article, blocks joined by line ends. A page all of which is template keeps its text.
+
+    On a host that consists of ``copies``, what recurs may be the article: a marked one most of which is template stays whole.
+    """
     root = parse(page)
     start = _article(root)
     text = _blocks(start, template, s)
-    return text if text or not template else _blocks(start, set(), s)
+    if not template or text and not (copies and start.tag not in _WHOLE):
+        return text
+    everything = _blocks(start, set(), s)
+    return text if 2 * len(text) >= len(everything) else everything
 
 
 def _article(root: Node) -> Node:
@@ -281,7 +311,7 @@ def _article(root: Node) -> Node:
 
 
 def _blocks(start: Node, template: set[int], s: Settings) -> str:
-    whole = start.tag in ("#root", "html", "body")
+    whole = start.tag in _WHOLE
     blocks: list[str] = []
     current: list[str] = []
 
@@ -329,25 +359,33 @@ def host_of(url):
 
 
 def site_templates(pages: DataFrame, s: Settings = Settings(), url_column: str = "url", html_column: str = "html") -> DataFrame:
-    """(host, keys): subtrees that recur on many pages of each host.
+    """(host, keys, copies): subtrees that recur on many different pages of each host, and whether most of its pages are copies.
 
-    Counted by (host, subtree), so a large host is spread, and combined before the shuffle. A host's keys are few: all of them
-    are on a share of its pages, so there are at most 1 / share times as many as a page has elements on average.
+    Counted by (host, subtree, vote) and then by (host, subtree), so a large host is spread, and combined before each
+    shuffle. A host's keys are few: all of them are on a share of its different pages, so there are at most 1 / share times
+    as many as a page has elements on average.
     """
     rows = pages.select(host_of(F.col(url_column)).alias("host"), F.col(html_column).cast("string").alias("html"))
 
     def batch(part: pa.RecordBatch) -> pa.RecordBatch:
-        hosts, keys = [], []
+        hosts, keys, counts, voters = [], [], [], []
         for host, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-            found = subtree_keys(page) if page else ()
-            hosts.extend([host] * len(found))
+            root = parse(page or "")
+            found = subtree_keys(root)
+            voters.append(voter(root))
+            counts.append(len(found) + 1)
+            hosts.extend([host] * counts[-1])
+            keys.append(None)  # the page itself
             keys.extend(found)
-        return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64())], ["host", "key"])
+        own = np.repeat(np.array(votes(voters), dtype=np.int64), counts)
+        return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(own)], ["host", "key", "vote"])
 
-    counted = map_arrow(rows, batch, "host string, key bigint").groupBy("host", "key").agg(F.count("*").alias("n"))
-    sizes = rows.groupBy(F.col("host").alias("of")).agg(F.count("*").alias("pages"))
-    often = counted.where(F.col("n") >= s.least_pages).join(sizes, F.col("host") == F.col("of"))
-    return often.where(F.col("n") >= s.least_share * F.col("pages")).groupBy("host").agg(F.collect_set("key").alias("keys"))
+    single = map_arrow(rows, batch, "host string, key bigint, vote bigint").groupBy("host", "key", "vote").agg(F.count("*").alias("n"))
+    counted = single.groupBy("host", "key").agg(F.count("*").alias("n"), F.sum("n").alias("pages"))
+    kept = stored(counted.where((F.col("n") >= s.least_pages) | F.col("key").isNull()), "recurring")
+    sizes = kept.where("key IS NULL").select(F.col("host").alias("of"), F.col("n").alias("different"), F.col("pages").alias("all"))
+    often = kept.where("key IS NOT NULL").join(sizes, F.col("host") == F.col("of")).where(F.col("n") >= s.least_share * F.col("different"))
+    return often.groupBy("host").agg(F.collect_set("key").alias("keys"), F.first(2 * F.col("different") < F.col("all")).alias("copies"))
 
 
 def extract(
@@ -366,15 +404,16 @@ def extract(
     # they are; no other host is large enough to be a burden to one task of a join
     total = pages.count()
     sizes = rows.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") * HEAVY > total).select(F.col("host").alias("big"))
-    heavy = stored(sizes.join(named, F.col("big") == F.col("of"), "left").select("big", "keys"), "heavy-hosts")
-    columns = ["page_id", "url", "host", "html", "keys"]
+    heavy = stored(sizes.join(named, F.col("big") == F.col("of"), "left").select("big", "keys", "copies"), "heavy-hosts")
+    columns = ["page_id", "url", "host", "html", "keys", "copies"]
     large = rows.join(F.broadcast(heavy), F.col("host") == F.col("big")).select(*columns)
     small = rows.join(F.broadcast(heavy.select("big")), F.col("host") == F.col("big"), "left_anti")
     light = named.join(F.broadcast(heavy.select("big")), F.col("of") == F.col("big"), "left_anti")
     joined = large.unionByName(small.join(light, F.col("host") == F.col("of"), "left").select(*columns))
 
     def batch(part: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [main_text(page, set(keys or ()), settings) if page else "" for page, keys in zip(part.column(3).to_pylist(), part.column(4).to_pylist())]
+        html, keys, copies = (part.column(k).to_pylist() for k in (3, 4, 5))
+        texts = [main_text(page, set(own or ()), settings, bool(same)) if page else "" for page, own, same in zip(html, keys, copies)]
         columns = [*part.columns[:3], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
         return pa.RecordBatch.from_arrays(columns, ["page_id", "url", "host", "text", "n_chars"])
 

@@ -306,6 +306,28 @@ def test_extraction_keeps_the_article(page, want):
     assert extraction.main_text(page, set()) == want
 
 
+def test_copies_of_a_page_are_one_vote(spark):
+    """Copies and near copies of an article on a host do not make its paragraphs template; a box on all pages stays one."""
+    rng = random.Random(9)
+    some = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    box = "<div><p>Follow us everywhere</p></div>"
+    shared = [some(60) for _ in range(6)]
+    near = ["<article>" + "".join(f"<p>{p}</p>" for p in shared) + f"<p>On day {k} {some(4)}</p></article>" for k in range(40)]
+    other = [f"<article><p>{some(80)}</p>{box}</article>" for _ in range(30)]
+    exact = [f"<article>loose text<p>{shared[0]}</p><p>{shared[1]}</p></article>"] * 20
+    hosts = {"mixed": [box + p for p in near] + other, "alone": [box + p for p in near], "exact": exact}
+    rows = [(host, k, p) for host, pages in hosts.items() for k, p in enumerate(pages)]
+    frame = spark.createDataFrame([(i, f"http://{h}/{k}", f"<body>{p}</body>") for i, (h, k, p) in enumerate(rows)], "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in extraction.extract(frame).collect()}
+    for i, (host, k, page) in enumerate(rows):
+        if host == "exact":
+            assert got[i] == "\n".join(["loose text", *shared[:2]])
+        elif page in other:
+            assert got[i] == re.search("<p>(.*?)</p>", page)[1]
+        else:
+            assert got[i].startswith("\n".join(shared) + f"\nOn day {k} ")
+
+
 def test_toxicity_held_out(spark):
     rows = QUERIES["op1_toxicity"](spark, "/root/testdata/sf0.01").where("held_out").collect()
     truth = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
