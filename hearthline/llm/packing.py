@@ -13,6 +13,7 @@ pieces first; ``open_bins`` is about twice the sequences a packer fills, so bins
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -99,14 +100,35 @@ class Tokenizer:
         from tokenizers import Tokenizer as Vocabulary
 
         self._vocabulary = Vocabulary.from_file(vocabulary)
-        self._vocabulary.encode_special_tokens = True  # their strings in a text are ordinary text
+        self._vocabulary.encode_special_tokens = True  # ``ids`` has taken them out before
+        added = self._vocabulary.get_added_tokens_decoder()
+        self._added = {t.content: i for i, t in added.items()}
+        # at one place the longest one counts
+        either = "|".join(re.escape(c) for c in sorted(self._added, key=len, reverse=True))
+        self._marks = re.compile(f"({either})") if either else None
+        #: Tokens that take in blanks or look at their neighbours are left to the vocabulary.
+        plain = self._vocabulary.normalizer is None and not any(t.lstrip or t.rstrip or t.single_word for t in added.values())
+        self._whole = None if plain else Vocabulary.from_file(vocabulary)
         self._forget()
 
     def _forget(self) -> None:
         self._keys, self._at, self._used = np.zeros(1 << SLOT_BITS, dtype=np.uint64), np.zeros(1 << SLOT_BITS, dtype=np.int32), 0
         self._begin, self._count, self._pool = (np.zeros(0, dtype=np.int64) for _ in range(3))
 
+    def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids as the vocabulary gives them without added special tokens: its added tokens in a text have their own ids."""
+        parts = [self._marks.split(t) if self._marks else [t] for t in texts]  # odd ones are added tokens
+        between = self.encode([x for own in parts if len(own) == 1 or self._whole is None for x in own[::2]])
+        for text, own in zip(texts, parts):
+            if len(own) == 1:
+                yield next(between)
+            elif self._whole is not None:
+                yield np.array(self._whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
+            else:
+                yield np.concatenate([np.array([self._added[x]], dtype="<u4") if k % 2 else next(between) for k, x in enumerate(own)])
+
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of ordinary text, in which the strings of special tokens mean nothing."""
         held, size = [], 0
         for text in texts:
             if held and size + len(text) > BLOCK_POINTS:
@@ -204,7 +226,7 @@ def pieces(documents: DataFrame, settings: Settings = Settings(), ids: bool = Fa
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
         texts = [t or "" for t in rows.column(1).to_pylist()]
         out: list[tuple] = []
-        for owner, own in zip(rows.column(0).to_pylist(), tokenizer(settings.vocabulary).encode(texts)):
+        for owner, own in zip(rows.column(0).to_pylist(), tokenizer(settings.vocabulary).ids(texts)):
             whole = np.append(own, np.array([settings.end_id], dtype="<u4"))
             begin = 0
             for k, n in enumerate(cut_lengths(len(whole), settings.length)):

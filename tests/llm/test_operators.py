@@ -195,6 +195,22 @@ def test_tokens_are_the_librarys():
     assert [x.tolist() for x in packing.tokenizer("byte_bpe_50k.json").encode(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_ids_are_those_of_the_unchanged_library(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    rng = random.Random(2)
+    signs = ["'", " ", "  ", "s", "re", "\n", "é", "1", "!", "Z", "<|", "endoftext", "|>", "😀", "<|endoftext|>", "<|endoftext|>"]
+    texts = ["", "a<|endoftext|>b", "<|endoftext|>", "<|endoftext|>" * 3] + ["".join(rng.choice(signs) for _ in range(rng.randrange(14))) for _ in range(3000)]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert want[1] == [64, 50256, 65]
+    assert [x.tolist() for x in packing.tokenizer("byte_bpe_50k.json").ids(texts)] == want
+    frame = spark.createDataFrame(list(enumerate(texts[:200])), "doc_id bigint, text string")
+    got = {r.doc_id: r.ids for r in packing.pieces(frame, ids=True).collect()}
+    assert got == {i: [*own, 0] for i, own in enumerate(want[:200])}
+
+
 def test_packing(spark):
     settings = packing.Settings(length=64, open_bins=16, packer_tokens=4000)
     cut = packing.pieces(odd_documents(spark), settings, ids=True)
