@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.llm import extraction, langid, mixing, neardup_vectors, ngram_join, packing, quality, sharding, toxicity, warc
+from hearthline.llm import extraction, langid, line_dedup, mixing, neardup_vectors, ngram_join, packing, periodic, quality, sharding, toxicity, warc, whitening
 from hearthline.llm.common import crc_fold, table
 from hearthline.session import work_dir
 
@@ -74,10 +75,42 @@ def op10_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return extraction.extract(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.by_component(*whitening.whiten(table(spark, folder, "embeddings")))
+
+
+def with_run(identifier: object, words: list[bytes]) -> list[bytes]:
+    """The words with a run in them where the id's checksum ends in 0, as the contract of ``op12`` has it; a null id has none."""
+    h = zlib.crc32(str(identifier).encode()) if identifier is not None else 1
+    if h % 10 or not words:
+        return words
+    n, g = len(words), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + k % p] for k in range(n - a)]
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic.periodic_runs(table(spark, folder, "documents"), rewrite=with_run)
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    exponent = F.expr("1000 * best.length div best.period")
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period", exponent.alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    found = line_dedup.kept_text(documents, line_dedup.keep_bitmaps(documents))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_vector_neardup, op3_language, op4_ring_shards, op5_ngram_join, op6_mixing, op7_quality_rules, op8_packing, op9_warc, op10_extraction,
+        op11_whitening, op12_periodic_runs, op13_line_dedup,
     )
 }
 
@@ -154,4 +187,18 @@ CHECKS: dict[str, str] = {
             CASE WHEN page_id <> first THEN first END AS refers_to
         FROM f
     """,
+    "op13_line_dedup": """
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS at FROM d),
+        k AS (
+            SELECT *, translate(regexp_replace(regexp_replace(line, '^[\\x20\\x09-\\x0D]+', ''), '[\\x20\\x09-\\x0D]+$', ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+            FROM l
+        ),
+        n AS (SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+        m AS (SELECT k.*, top IS NOT NULL AND doc_id <> top AS dropped FROM k LEFT JOIN n ON k.key = n.key)
+        SELECT doc_id, count(*) AS n_lines, count_if(dropped)::BIGINT AS n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT dropped), '')) AS kept_sha256
+        FROM m GROUP BY doc_id
+    """,
 }
