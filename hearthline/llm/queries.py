@@ -189,7 +189,7 @@ CHECKS: dict[str, str] = {
     """,
     "op13_line_dedup": """
         WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-        l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS at FROM d),
+        l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM d),
         k AS (
             SELECT *, translate(regexp_replace(regexp_replace(line, '^[\\x20\\x09-\\x0D]+', ''), '[\\x20\\x09-\\x0D]+$', ''),
                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
@@ -198,7 +198,7 @@ CHECKS: dict[str, str] = {
         n AS (SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
         m AS (SELECT k.*, top IS NOT NULL AND doc_id <> top AS dropped FROM k LEFT JOIN n ON k.key = n.key)
         SELECT doc_id, count(*) AS n_lines, count_if(dropped)::BIGINT AS n_dropped,
-            sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT dropped), '')) AS kept_sha256
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT dropped), '')) AS kept_sha256
         FROM m GROUP BY doc_id
     """,
 }
