@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,7 @@ from hearthline.constants import (
     ERR_CLEARED_BY_DAC,
     ERR_CLEARED_BY_RECONNECT,
     ERROR_TEXTS,
+    MAX_POSITION,
     PULSE_POSITION,
     TICK_S,
 )
@@ -50,17 +51,17 @@ def asof(
 
 
 def minute_ticks(spans: DataFrame, key: str, tick_s: int = TICK_S) -> DataFrame:
-    """A row per device and tick from ``first_ts`` to ``last_ts``, first by day and then within it."""
-    day = F.expr("INTERVAL 1 DAY")
-    midnight = F.date_trunc("day", "first_ts").cast("timestamp_ntz")
-    days = spans.select("*", F.explode(F.sequence(midnight, F.col("last_ts"), day)).alias("_day"))
-    days = spread(days, key, "_day")
-    steps = F.sequence(F.lit(0), F.lit(86_400 - tick_s), F.lit(tick_s))
+    """A row per device and tick from ``first_ts`` to ``last_ts``, counted from ``first_ts``; first by day, then within it."""
+    day = 86_400 // tick_s
+    ticks = F.floor((micros(F.col("last_ts")) - micros(F.col("first_ts"))) / F.lit(tick_s * 1_000_000)) + 1
+    bounded = spans.select(key, "first_ts", ticks.alias("_n")).where("_n > 0")
+    runs = bounded.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / day).cast("int"))).alias("_day"))
+    first = F.col("_day").cast("bigint") * day
+    last = F.least(first + day, F.col("_n")) - 1
     return (
-        days.select("*", F.explode(steps).alias("_s"))
-        .withColumn("ts", F.col("_day") + F.make_dt_interval(secs=F.col("_s")))
-        .where(F.col("ts").between(F.col("first_ts"), F.col("last_ts")))
-        .select(key, "ts")
+        spread(runs, key, "_day")
+        .select("*", F.explode(F.sequence(first, last)).alias("_k"))
+        .select(key, (F.col("first_ts") + F.make_dt_interval(secs=F.col("_k") * tick_s)).alias("ts"))
     )
 
 
@@ -78,12 +79,83 @@ def effective_setpoint(ticks: DataFrame, commands: DataFrame, key: str = "device
     )
 
 
+# ---- key presses ----------------------------------------------------------------------------------------------
+#
+# A key adds one up to 5, takes one away down to 0, or sets 6 (automatic). Each is a function x -> min(max(x + add, lo), hi),
+# and so is each composition of them: (add, lo, hi) of many presses is one value. Slices of a device's presses are reduced to
+# one each, these to one per block of slices, and those are run through in order, which gives the mode that each block, each
+# slice and each press starts from. No level holds more than a block.
+
+#: Slices in a block: a quarter year of hours.
+BLOCK_SLICES = 2048
+_PRESSES = {"up": (1, 0, MAX_POSITION), "down": (-1, 0, AUTO_MODE), "auto": (0, AUTO_MODE, AUTO_MODE)}
+
+
+def _clamp(x: Column, m: Column) -> Column:
+    return F.least(F.greatest(x + m["add"], m["lo"]), m["hi"])
+
+
+def _then(a: Column, b: Column) -> Column:
+    """The function that does ``a`` first and then ``b``."""
+    within = lambda x: F.least(F.greatest(x + b["add"], b["lo"]), b["hi"])
+    return F.struct((a["add"] + b["add"]).alias("add"), within(a["lo"]).alias("lo"), within(a["hi"]).alias("hi"))
+
+
+def _function(add: Column, lo: Column, hi: Column) -> Column:
+    return F.struct(add.cast("bigint").alias("add"), lo.cast("bigint").alias("lo"), hi.cast("bigint").alias("hi"))
+
+
+def _in_order(df: DataFrame, keys: list[str], order: list[str], carried: list[str]) -> DataFrame:
+    """One row per key with ``m``, its functions in order, as an array of (order, carried, m)."""
+    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, *carried, "m"))).alias("own"))
+
+
+def _composed(own: Column) -> Column:
+    same = _function(F.lit(0), F.lit(0), F.lit(AUTO_MODE))
+    return F.aggregate(own, same, lambda done, x: _then(done, x["m"]))
+
+
+def _run_through(start: Column, own: Column) -> Column:
+    """The mode before each of the functions, as an array beside them, and after the last one."""
+    first = F.struct(start.alias("mode"), F.array().cast("array<bigint>").alias("before"))
+    step = lambda done, x: F.struct(_clamp(done["mode"], x["m"]).alias("mode"), F.concat(done["before"], F.array(done["mode"])).alias("before"))
+    return F.aggregate(own, first, step)
+
+
+def manual_from_presses(presses: DataFrame, key: str = "device", start: int = AUTO_MODE, width: int = HOUR_US) -> DataFrame:
+    """``manual``, the mode after each press of (device, ts, seq, press); ``press`` is up, down or auto.
+
+    At 5 and at 6 up gives 5, at 0 down gives 0. A press of another name changes nothing. ``width`` of a slice in microseconds
+    changes how the work is cut, never the result; presses of one device within one slice share a task.
+    """
+    add, lo, hi = (F.lit(0), F.lit(0), F.lit(AUTO_MODE))
+    for name, (a, low, high) in _PRESSES.items():
+        named = F.col("press") == name
+        add, lo, hi = F.when(named, a).otherwise(add), F.when(named, low).otherwise(lo), F.when(named, high).otherwise(hi)
+    at = micros(F.col("ts"))
+    rows = presses.select(key, "ts", "seq", "press", _function(add, lo, hi).alias("m"), F.floor(at / F.lit(width)).alias("slice"))
+    rows = rows.withColumn("block", F.floor(F.col("slice") / BLOCK_SLICES))
+    slices = _in_order(rows, [key, "block", "slice"], ["ts", "seq"], ["press"])
+    of_slices = slices.select(key, "block", "slice", _composed(F.col("own")).alias("m"))
+    blocks = _in_order(of_slices, [key, "block"], ["slice"], [])
+    of_blocks = _in_order(blocks.select(key, "block", _composed(F.col("own")).alias("m")), [key], ["block"], [])
+    mode = F.lit(start).cast("bigint")
+    zipped = lambda own, begin: F.explode(F.arrays_zip(own.alias("own"), _run_through(begin, own)["before"].alias("before")))
+    starts = of_blocks.select(key, zipped(F.col("own"), mode).alias("x")).select(key, F.col("x.own.block").alias("block"), F.col("x.before").alias("begin"))
+    begun = blocks.join(starts, [key, "block"]).select(key, "block", zipped(F.col("own"), F.col("begin")).alias("x"))
+    begun = begun.select(key, "block", F.col("x.own.slice").alias("slice"), F.col("x.before").alias("begin"))
+    # inside a slice each press knows the mode before it
+    out = slices.join(begun, [key, "block", "slice"]).select(key, zipped(F.col("own"), F.col("begin")).alias("x"))
+    x = F.col("x.own")
+    return out.select(key, x["ts"].alias("ts"), x["seq"].alias("seq"), x["press"].alias("press"), _clamp(F.col("x.before"), x["m"]).cast("int").alias("manual"))
+
+
 # ---- duty cycle -----------------------------------------------------------------------------------------------
 #
 # The tick counter runs on across set-point changes, so the state at a tick depends on the whole past of the device.
 # A segment is a run of ticks under one set-point; its end state follows from its start state by a formula. Slices of
 # segments are therefore worked in parallel: first each slice's map from every possible start state to its end state,
-# then the maps are chained per device, then each slice is run from its now known start. Ticks are only made at the
+# then the maps are composed and chained per device, then each slice is run from its now known start. Ticks are only made at the
 # end, by the same formula in SQL.
 
 # Ticks per slice; a segment lasts at least one tick, so this bounds the rows of a slice.
@@ -151,25 +223,80 @@ def _slice_map(segments: pd.DataFrame) -> pd.DataFrame:
             "ticks": [int(segments["ticks"].sum())],
             "starts": [starts.tolist()],
             "on": [on.tolist()],
-            "count": [count.tolist()],
+            "count_": [count.tolist()],
             "position": [position.tolist()],
             "restarted": [restarted.tolist()],
         }
     )
 
 
-def _chain(maps: pd.DataFrame) -> pd.DataFrame:
-    """State each slice starts from, given what the slices before it did."""
-    maps = maps.sort_values("slice")
-    on, count, position = True, 0, DEFAULT_SET_POINT
+class _Map:
+    """A slice's map, for looking up what becomes of a state."""
+
+    def __init__(self, row):
+        self.ticks, self.starts, self.restarted = int(row.ticks), np.asarray(row.starts), np.asarray(row.restarted)
+        self.on, self.count, self.position = np.asarray(row.on), np.asarray(row.count_), np.asarray(row.position)
+
+    def __call__(self, on, count, position):
+        """End states of arrays of start states, and where the counter was restarted."""
+        state = np.searchsorted(self.starts, count, side="right") - 1 + np.where(on, len(self.starts), 0)
+        restarted = self.restarted[state]
+        return (
+            self.on[state],
+            np.where(restarted, self.count[state], count + self.ticks),
+            np.where(self.position[state] >= 0, self.position[state], position),
+            restarted,
+        )
+
+
+def _compose(maps: pd.DataFrame, whole: str, part: str) -> pd.DataFrame:
+    """The map of several slices in a row: a counter matters where it does to one of them, less the ticks before that one."""
+    maps = maps.sort_values(part)
+    own = [_Map(row) for row in maps.itertuples()]
+    before = np.cumsum([0, *[m.ticks for m in own]])
+    starts = np.unique(np.concatenate([np.zeros(1, np.int64), *[m.starts - b for m, b in zip(own, before)]]))
+    starts = starts[starts >= 0]
+    on, count = np.repeat([False, True], len(starts)), np.tile(starts, 2)
+    position, restarted = np.full(len(on), -1, dtype=np.int64), np.zeros(len(on), bool)
+    for m in own:
+        on, count, position, turned = m(on, count, position)
+        restarted |= turned
+    # where two neighbouring counters come to the same, the larger need not be listed
+    half = len(starts)
+    differs = np.zeros(half, bool)
+    for k in (slice(0, half), slice(half, 2 * half)):
+        after = np.where(restarted[k], count[k], -1)
+        equal = (np.diff(after) == 0) & (np.diff(on[k]) == 0) & (np.diff(position[k]) == 0) & (np.diff(restarted[k]) == 0)
+        differs[1:] |= ~equal
+    differs[0] = True
+    chosen = np.tile(differs, 2)
+    return pd.DataFrame(
+        {
+            "device": [maps["device"].iloc[0]],
+            whole: [maps[whole].iloc[0]],
+            "ticks": [int(before[-1])],
+            "starts": [starts[differs].tolist()],
+            "on": [on[chosen].tolist()],
+            "count_": [count[chosen].tolist()],
+            "position": [position[chosen].tolist()],
+            "restarted": [restarted[chosen].tolist()],
+        }
+    )
+
+
+def _chain(maps: pd.DataFrame, part: str) -> pd.DataFrame:
+    """State each part starts from, given what the parts before it did; the first has ``begin`` or that of a new valve."""
+    maps = maps.sort_values(part)
+    first = maps.iloc[0]
+    known = "begin_on" in maps
+    on = np.array([bool(first["begin_on"]) if known else True])
+    count = np.array([int(first["begin_count"]) if known else 0])
+    position = np.array([int(first["begin_position"]) if known else DEFAULT_SET_POINT])
     starts = []
-    for row in maps.itertuples():
-        starts.append((row.device, row.slice, on, count, position))
-        state = bisect_right(row.starts, count) - 1 + (len(row.starts) if on else 0)
-        count = int(row.count_[state]) if row.restarted[state] else count + int(row.ticks)
-        position = int(row.position[state]) if row.position[state] >= 0 else position
-        on = bool(row.on[state])
-    return pd.DataFrame(starts, columns=["device", "slice", "on", "count", "position"])
+    for name, row in zip(maps[part], maps.itertuples()):
+        starts.append((row.device, name, bool(on[0]), int(count[0]), int(position[0])))
+        on, count, position, _ = _Map(row)(on, count, position)
+    return pd.DataFrame(starts, columns=["device", part, "begin_on", "begin_count", "begin_position"])
 
 
 def _replay(segments: pd.DataFrame) -> pd.DataFrame:
@@ -250,28 +377,37 @@ def segments_of(commands: DataFrame, spans: DataFrame, **options) -> DataFrame:
     )
 
 
-def valve_timeline(commands: DataFrame, spans: DataFrame, slice_ticks: int = SLICE_TICKS, **options) -> DataFrame:
-    """Valve position at every tick (device, ts, set_point, position, dac, mode)."""
+#: Slices in a part of the chain, and parts in one above it: ten days a slice, a year a part, 32 years the next.
+PART_SLICES, PART_PARTS = 36, 32
+_MAP = "ticks bigint, starts array<bigint>, on array<boolean>, count_ array<bigint>, position array<bigint>, restarted array<boolean>"
+_BEGIN = "begin_on boolean, begin_count bigint, begin_position bigint"
+
+
+def valve_timeline(commands: DataFrame, spans: DataFrame, slice_ticks: int = SLICE_TICKS, part_slices: int = PART_SLICES, **options) -> DataFrame:
+    """Valve position at every tick (device, ts, set_point, position, dac, mode).
+
+    The maps of slices are composed as a tree: slices to parts, parts to larger parts, and these are run through per device;
+    then each larger part gives its parts, and each part its slices, the state they start from. A device with a long past
+    is spread over as many tasks as it has parts.
+    """
     spans = cut_lineage(spans)
     slice_ = F.floor(F.col("from_tick") / slice_ticks).cast("bigint")
     segments = cut_lineage(segments_of(commands, spans, **options).withColumn("slice", slice_))
-    key_type = segments.schema["device"].dataType.simpleString()
-    maps = segments.groupBy("device", "slice").applyInPandas(
-        _slice_map,
-        f"device {key_type}, slice bigint, ticks bigint, starts array<bigint>, on array<boolean>, "
-        "count array<bigint>, position array<bigint>, restarted array<boolean>",
-    )
-    starts = (
-        maps.withColumnRenamed("count", "count_")
-        .groupBy("device")
-        .applyInPandas(_chain, f"device {key_type}, slice bigint, on boolean, count bigint, position bigint")
-    )
+    kind = segments.schema["device"].dataType.simpleString()
+    maps = segments.groupBy("device", "slice").applyInPandas(_slice_map, f"device {kind}, slice bigint, {_MAP}")
+    slices = cut_lineage(maps.withColumn("part", F.floor(F.col("slice") / part_slices)))
+    parts = slices.groupBy("device", "part").applyInPandas(lambda m: _compose(m, "part", "slice"), f"device {kind}, part bigint, {_MAP}")
+    parts = cut_lineage(parts.withColumn("top", F.floor(F.col("part") / PART_PARTS)))
+    tops = parts.groupBy("device", "top").applyInPandas(lambda m: _compose(m, "top", "part"), f"device {kind}, top bigint, {_MAP}")
+    of_tops = tops.groupBy("device").applyInPandas(lambda m: _chain(m, "top"), f"device {kind}, top bigint, {_BEGIN}")
+    of_parts = parts.join(of_tops, ["device", "top"]).groupBy("device", "top").applyInPandas(lambda m: _chain(m, "part"), f"device {kind}, part bigint, {_BEGIN}")
+    starts = slices.join(of_parts, ["device", "part"]).groupBy("device", "part").applyInPandas(lambda m: _chain(m, "slice"), f"device {kind}, slice bigint, {_BEGIN}")
     known = (
-        segments.join(starts, ["device", "slice"])
+        segments.join(starts.withColumnsRenamed({"begin_on": "on", "begin_count": "count", "begin_position": "position"}), ["device", "slice"])
         .groupBy("device", "slice")
         .applyInPandas(
             _replay,
-            f"device {key_type}, slice bigint, from_tick bigint, ticks bigint, set_point int, on_ticks bigint, "
+            f"device {kind}, slice bigint, from_tick bigint, ticks bigint, set_point int, on_ticks bigint, "
             "manual int, on boolean, count bigint, position bigint",
         )
     )
@@ -279,13 +415,16 @@ def valve_timeline(commands: DataFrame, spans: DataFrame, slice_ticks: int = SLI
 
 
 def _expand(segments: DataFrame, spans: DataFrame) -> DataFrame:
-    """One row per tick: the formula of ``_run_segment`` as columns."""
+    """One row per tick, by day and then within it: the formula of ``_run_segment`` as columns."""
     on, cycling = F.col("on"), F.col("set_point").isin(1, 2)
     off_ticks = F.when(F.col("set_point") == 1, F.col("on_ticks") * 2).otherwise(F.col("on_ticks"))
     on_len, off_len = F.greatest("on_ticks", F.lit(1)), F.greatest(off_ticks, F.lit(1))
     first_turn = F.greatest(F.when(on, F.col("on_ticks")).otherwise(off_ticks) - F.col("count"), F.lit(0))
-    segments = spread(segments, "device", "from_tick")
-    ticks = segments.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("ticks") - 1)).alias("_j"))
+    day = 86_400 // TICK_S
+    days = segments.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("ticks") - 1) / day))).alias("_day"))
+    days = spread(days, "device", "from_tick", "_day")
+    begin = F.col("_day") * day
+    ticks = days.select("*", F.explode(F.sequence(begin, F.least(begin + day, F.col("ticks")) - 1)).alias("_j"))
     phase = F.when(on, off_len).otherwise(on_len)
     since = F.pmod(F.col("_j") - first_turn, on_len + off_len)
     valve_on = F.when(since < phase, ~on).otherwise(on)
@@ -311,6 +450,30 @@ def _expand(segments: DataFrame, spans: DataFrame) -> DataFrame:
     )
 
 
+def report_state(timeline: DataFrame, measurements: DataFrame, log: DataFrame, **options) -> DataFrame:
+    """The timeline with what a valve knows at each tick: its last measurements, and the text of a standing error.
+
+    ``measurements`` has (device, ts, seq) and temp_in, temp_out and light, each NULL where not measured; ``log`` has (device,
+    ts, seq, kind, code) as in ``error_latch``, whose own ticks do not count: those of the timeline do. All three logs are one
+    stream of rows that is carried along together; what was received at the instant of a tick counts.
+    """
+    values = ["temp_in", "temp_out", "light"]
+    shown = [c for c in timeline.columns if c not in ("device", "ts")]
+    rows = (
+        timeline.withColumns({"seq": F.lit(_AFTER), "kind": F.lit("tick")})
+        .unionByName(measurements.select("device", "ts", "seq", *values), allowMissingColumns=True)
+        .unionByName(log.where("kind <> 'tick'").select("device", "ts", "seq", "kind", "code"), allowMissingColumns=True)
+    )
+    state = error_latch(rows, carried=values, **options).where("kind = 'tick'")
+    text = F.when(F.col("active"), F.coalesce(_error_text(F.col("published_code")), F.lit("")))
+    return state.select("device", "ts", *shown, *values, text.alias("error_text"))
+
+
+def _error_text(code: Column) -> Column:
+    texts = F.create_map(*[x for c, text in ERROR_TEXTS.items() for x in (F.lit(c), F.lit(text))])
+    return F.try_element_at(texts, code)
+
+
 def valve_report(timeline: DataFrame) -> DataFrame:
     """The messages a valve publishes each tick, with its own measurements where the timeline carries them."""
     payloads = {
@@ -335,22 +498,21 @@ def valve_report(timeline: DataFrame) -> DataFrame:
 
 def error_messages(latch: DataFrame) -> DataFrame:
     """What each tick publishes about errors: the text of the delayed code, empty at a device's first report."""
-    texts = F.create_map(*[x for code, text in ERROR_TEXTS.items() for x in (F.lit(code), F.lit(text))])
     reports = latch.where((F.col("kind") == "tick") & F.col("active"))
     return reports.select(
         "device",
         "ts",
         F.lit("ValveControl/Err").alias("topic"),
-        F.coalesce(F.try_element_at(texts, F.col("published_code")), F.lit("")).alias("payload"),
+        F.coalesce(_error_text(F.col("published_code")), F.lit("")).alias("payload"),
     )
 
 
-def error_latch(log: DataFrame, **options) -> DataFrame:
+def error_latch(log: DataFrame, carried: Sequence[str] = (), **options) -> DataFrame:
     """Error state after each row of a device log (device, ts, seq, kind, code), and the code each tick publishes.
 
     ``kind`` is error, ack, reconnect, dac_ok or tick. An error stays until acknowledged; code 4 is also cleared by a
     reconnect and code 6 by a working converter. A tick publishes the code that stood at the last tick with an error
-    before it, none at the first.
+    before it, none at the first. Columns named in ``carried`` keep their last value.
     """
     at = order_key(micros(F.col("ts")), F.col("seq"))
 
@@ -368,9 +530,10 @@ def error_latch(log: DataFrame, **options) -> DataFrame:
             "_ack": when_kind("ack"),
             "_reconnect": when_kind("reconnect"),
             "_dac": when_kind("dac_ok"),
+            **{f"_kept_{c}": F.col(c) for c in carried},
         },
         **options,
-    )
+    ).withColumns({c: F.col(f"_kept_{c}") for c in carried})
 
     def cleared(clear: str, only_code: int | None = None) -> Column:
         later = F.coalesce(F.col(clear) > F.col("_error"), F.lit(False))

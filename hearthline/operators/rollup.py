@@ -6,6 +6,7 @@ the rows is combined before the shuffle.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from hearthline.operators.ordered import micros, order_key
 
 SERIES = ("tier", "measurement", "field")
+#: What a rollup definition may compute.
+SPEC_AGGREGATES = ("mean", "min", "max", "last")
 
 
 def bucket(width_s: int, time: str = "time") -> Column:
@@ -124,9 +127,11 @@ def rollup_by_specs(points: DataFrame, specs: DataFrame) -> DataFrame:
         ["tier", "measurement", "field"],
     )
     grouped = matched.groupBy("name", "agg", "dst_tier", "measurement", "dst_field", start.alias("_start")).agg(
-        *[aggregate(a, F.when(F.col("agg") == a, F.col("value"))).alias(a) for a in ("mean", "min", "max", "last")]
+        *[aggregate(a, F.when(F.col("agg") == a, F.col("value"))).alias(a) for a in SPEC_AGGREGATES]
     )
-    chosen = F.coalesce(*[F.when(F.col("agg") == a, F.col(a)) for a in ("mean", "min", "max", "last")])
+    known = F.coalesce(*[F.when(F.col("agg") == a, F.col(a)) for a in SPEC_AGGREGATES])
+    unknown = F.raise_error(F.concat(F.lit("no such aggregate: "), F.coalesce("agg", F.lit("NULL")))).cast("double")
+    chosen = F.when(F.col("agg").isin(*SPEC_AGGREGATES), known).otherwise(unknown)
     return grouped.select(
         "name",
         F.col("dst_tier").alias("tier"),
@@ -143,21 +148,39 @@ def resample(
     """``RESAMPLE EVERY .. FOR ..``: each run recomputes the buckets that touch the span before it.
 
     A bucket that the span's start cuts is computed from all its points, so that a run never replaces a good value by
-    that of a part. A run sees no point after it.
+    that of a part. A run sees no point after it. Points are first combined into parts that no bucket and no run cuts, and
+    only these are given to each run that sees them.
     """
+    first, last = _PARTIAL[agg]
+    part_s = math.gcd(width_s, every_s)
+    parts = points.groupBy(*by, bucket(part_s).alias("_part")).agg(*first(F.col("value")))
     wider = span_s + -(-width_s // every_s) * every_s
-    run = F.window("time", f"{wider} seconds", f"{every_s} seconds").end
+    run = F.window("_part", f"{wider} seconds", f"{every_s} seconds").end
     bucket_end = F.col("_start") + F.make_dt_interval(secs=F.lit(width_s))
     return (
-        points.withColumn("run_at", run)
-        .withColumn("_start", bucket(width_s))
+        parts.withColumn("run_at", run)
+        .withColumn("_start", bucket(width_s, "_part"))
         .where(bucket_end > F.col("run_at") - F.make_dt_interval(secs=F.lit(span_s)))
         .groupBy(*by, "run_at", F.col("_start").alias("time"))
-        .agg(aggregate(agg, F.col("value")).alias("value"))
+        .agg(last().alias("value"))
         .select(*by, "run_at", "time", "value")
     )
 
 
+#: Aggregates in two steps: over the points of a part, and over parts.
+_PARTIAL = {
+    "mean": (lambda v: [F.sum(v).alias("_a"), F.count(v).alias("_b")], lambda: F.sum("_a") / F.nullif(F.sum("_b"), F.lit(0))),
+    "sum": (lambda v: [F.sum(v).alias("_a")], lambda: F.sum("_a")),
+    "count": (lambda v: [F.count(v).alias("_a")], lambda: F.sum("_a")),
+    "min": (lambda v: [F.min(v).alias("_a")], lambda: F.min("_a")),
+    "max": (lambda v: [F.max(v).alias("_a")], lambda: F.max("_a")),
+    "last": (
+        lambda v: [F.max_by(v, write_order()).alias("_a"), F.max(write_order()).alias("_b")],
+        lambda: F.max_by("_a", "_b"),
+    ),
+}
+
+
 def latest_only(runs: DataFrame, by: Sequence[str] = SERIES) -> DataFrame:
     """What the target tier holds after all runs: the last run of a bucket wins."""
     return runs.groupBy(*by, "time").agg(F.max_by("value", "run_at").alias("value"))

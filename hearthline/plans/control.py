@@ -7,12 +7,22 @@ from pyspark.sql import functions as F
 from hearthline.constants import ERROR_TEXTS
 from hearthline.operators import control as C
 from hearthline.plans.registry import query
-from hearthline.plans.views import COMMANDS, VALVE_LOG, Views
+from hearthline.plans.views import COMMANDS, PRESSES, VALVE_LOG, VALVE_MEASUREMENTS, Views
 
 _TICKS = """
     spans AS (SELECT device, min(ts) AS a, max(ts) AS b FROM {commands} GROUP BY device),
-    ticks AS (SELECT device, ts FROM (SELECT device, a, unnest(generate_series(date_trunc('day', a), b,
-              INTERVAL '1 minute')) AS ts FROM spans) WHERE ts >= a)
+    ticks AS (SELECT device, unnest(generate_series(a, b, INTERVAL '1 minute')) AS ts FROM spans)
+"""
+
+# What was received last before each tick.
+_IN_FORCE = f"""
+    {_TICKS},
+    remote AS (SELECT t.*, s.set_pos FROM ticks t
+               ASOF LEFT JOIN (SELECT device, ts, set_pos FROM {{commands}} WHERE set_pos IS NOT NULL) s
+                 ON t.device = s.device AND t.ts >= s.ts),
+    both_ AS (SELECT r.*, m.manual FROM remote r
+              ASOF LEFT JOIN (SELECT device, ts, manual FROM {{commands}} WHERE manual IS NOT NULL) m
+                ON r.device = m.device AND r.ts >= m.ts)
 """
 
 
@@ -38,13 +48,7 @@ def setpoint_asof(v: Views):
 @query(
     "effective_setpoint",
     f"""
-    WITH {_TICKS},
-    remote AS (SELECT t.*, s.set_pos FROM ticks t
-               ASOF LEFT JOIN (SELECT device, ts, set_pos FROM {{commands}} WHERE set_pos IS NOT NULL) s
-                 ON t.device = s.device AND t.ts >= s.ts),
-    both_ AS (SELECT r.*, m.manual FROM remote r
-              ASOF LEFT JOIN (SELECT device, ts, manual FROM {{commands}} WHERE manual IS NOT NULL) m
-                ON r.device = m.device AND r.ts >= m.ts)
+    WITH {_IN_FORCE}
     SELECT device, ts, CASE WHEN manual < 6 THEN manual ELSE coalesce(set_pos, 5) END AS set_point,
            CASE WHEN coalesce(manual, 6) < 6 THEN 'MAN' ELSE 'AUTO' END AS mode
     FROM both_
@@ -56,20 +60,64 @@ def effective_setpoint(v: Views):
     return C.effective_setpoint(ticks, commands).select("device", "ts", "set_point", "mode")
 
 
+@query(
+    "manual_from_presses",
+    """
+    WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY device ORDER BY ts, seq) AS i FROM {presses}),
+    r AS (SELECT device, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS TIMESTAMP) AS ts, '' AS press, 6 AS manual
+          FROM p WHERE i = 1
+          UNION ALL
+          SELECT p.device, p.i, p.seq, p.ts, p.press, CASE p.press WHEN 'auto' THEN 6 WHEN 'up' THEN least(r.manual + 1, 5)
+                 WHEN 'down' THEN greatest(r.manual - 1, 0) ELSE r.manual END
+          FROM r JOIN p ON p.device = r.device AND p.i = r.i + 1)
+    SELECT device, ts, seq, press, manual FROM r WHERE i > 0
+    """,
+)
+def manual_from_presses(v: Views):
+    """The mode after each key press."""
+    return C.manual_from_presses(v.over_events(PRESSES))
+
+
 def _timeline(v: Views):
     commands = v.over_events(COMMANDS).where("set_pos IS NOT NULL OR manual IS NOT NULL OR on_ticks IS NOT NULL")
     return C.valve_timeline(commands, _spans(v))
 
 
-@query("valve_timeline")
-def valve_timeline(v: Views):
-    """Depends on the whole past tick by tick; checked against a simulation in the tests."""
-    return _timeline(v)
+# Tick by tick, a list of 240 ticks in each step of the recursion.
+_STEP = 240
+_FREE = "x.sp NOT IN (1, 2) AND x.sp >= 0"
+_TURNS = "(x.sp IN (1, 2) AND a.c >= CASE WHEN x.sp = 1 AND NOT a.o THEN 2 * x.n ELSE x.n END)"
+_POSITION = f"CASE WHEN {_TURNS} THEN CASE WHEN a.o THEN 0 ELSE 3 END WHEN {_FREE} THEN x.sp ELSE a.p END"
+_TIMELINE = f"""
+    {_IN_FORCE},
+    ruled AS (SELECT b.device, b.ts, CASE WHEN manual < 6 THEN manual ELSE coalesce(set_pos, 5) END AS sp,
+                     coalesce(c.on_ticks, 4) AS n, CASE WHEN coalesce(manual, 6) < 6 THEN 'MAN' ELSE 'AUTO' END AS mode,
+                     row_number() OVER (PARTITION BY b.device ORDER BY b.ts) - 1 AS k
+              FROM both_ b ASOF LEFT JOIN (SELECT device, ts, on_ticks FROM {{commands}} WHERE on_ticks IS NOT NULL) c
+                ON b.device = c.device AND b.ts >= c.ts),
+    listed AS (SELECT device, k // {_STEP} AS chunk, list(struct_pack(sp := CAST(sp AS BIGINT), n := CAST(n AS BIGINT), o := FALSE,
+                      c := CAST(0 AS BIGINT), p := CAST(0 AS BIGINT), got := CAST([] AS BIGINT[])) ORDER BY k) AS l
+               FROM ruled GROUP BY ALL),
+    run AS (SELECT DISTINCT device, CAST(-1 AS BIGINT) AS chunk, struct_pack(sp := CAST(0 AS BIGINT), n := CAST(0 AS BIGINT), o := TRUE,
+                   c := CAST(0 AS BIGINT), p := CAST(5 AS BIGINT), got := CAST([] AS BIGINT[])) AS s FROM listed
+            UNION ALL
+            SELECT l.device, l.chunk, list_reduce(list_prepend(struct_pack(sp := r.s.sp, n := r.s.n, o := r.s.o, c := r.s.c, p := r.s.p,
+                   got := CAST([] AS BIGINT[])), l.l), lambda a, x: struct_pack(sp := x.sp, n := x.n,
+                   o := CASE WHEN {_TURNS} THEN NOT a.o WHEN {_FREE} THEN x.sp <> 0 ELSE a.o END,
+                   c := CASE WHEN {_TURNS} THEN 1 ELSE a.c + 1 END, p := {_POSITION},
+                   got := list_append(a.got, {_POSITION})))
+            FROM run r JOIN listed l ON l.device = r.device AND l.chunk = r.chunk + 1),
+    turned AS (SELECT device, chunk, unnest(s.got) AS position, generate_subscripts(s.got, 1) - 1 AS i FROM run),
+    timeline AS (SELECT u.device, u.ts, CAST(u.sp AS INT) AS set_point, CAST(t.position AS INT) AS position,
+                        CAST(t.position * 4095 // 5 AS INT) AS dac, u.mode
+                 FROM ruled u JOIN turned t ON u.device = t.device AND u.k = t.chunk * {_STEP} + t.i)
+"""
 
 
-@query("valve_report")
-def valve_report(v: Views):
-    return C.valve_report(_timeline(v))
+@query("valve_timeline", f"WITH RECURSIVE {_TIMELINE} SELECT * FROM timeline")
+def valve_timeline(v: Views):
+    """Depends on the whole past tick by tick."""
+    return _timeline(v)
 
 
 _LATCH = """
@@ -117,3 +165,36 @@ _TEXTS = " ".join(f"WHEN {code} THEN '{text}'" for code, text in ERROR_TEXTS.ite
 )
 def error_messages(v: Views):
     return C.error_messages(C.error_latch(v.over_events(VALVE_LOG)))
+
+
+def _measured(name: str) -> str:
+    return f"""
+    {name}_at AS (SELECT t.device, t.ts, m.{name} FROM timeline t
+                  ASOF LEFT JOIN (SELECT device, ts, {name} FROM {{valve_measurements}} WHERE {name} IS NOT NULL) m
+                    ON t.device = m.device AND t.ts >= m.ts)"""
+
+
+@query(
+    "valve_report",
+    f"""
+    WITH RECURSIVE {_TIMELINE}, {_measured('temp_in')}, {_measured('temp_out')}, {_measured('light')},
+    rows_ AS (SELECT device, ts, seq, kind, code FROM {{valve_log}} WHERE kind <> 'tick'
+              UNION ALL SELECT device, ts, 4611686018427387904 AS seq, 'tick' AS kind, NULL AS code FROM timeline),
+    {_LATCH[_LATCH.index('pos AS'):].replace('{valve_log}', 'rows_')},
+    failing AS (SELECT device, ts, CASE p {_TEXTS} ELSE '' END AS payload
+                FROM (SELECT *, {_PUBLISHED} AS p FROM shown) WHERE now_code IS NOT NULL)
+    SELECT device, ts, 'ValveControl/' || name AS topic, payload FROM (
+        SELECT device, ts, 'ActPos' AS name, CAST(dac AS STRING) AS payload FROM timeline
+        UNION ALL SELECT device, ts, 'Mode', CAST(set_point AS STRING) FROM timeline
+        UNION ALL SELECT device, ts, 'ManAuto', mode FROM timeline
+        UNION ALL SELECT device, ts, 'TempIn', CAST(CAST(temp_in AS DECIMAL(12, 2)) AS STRING) FROM temp_in_at
+        UNION ALL SELECT device, ts, 'TempOut', CAST(CAST(temp_out AS DECIMAL(12, 2)) AS STRING) FROM temp_out_at
+        UNION ALL SELECT device, ts, 'Light', CAST(CAST(light AS BIGINT) AS STRING) FROM light_at
+        UNION ALL SELECT device, ts, 'Err', payload FROM failing)
+    WHERE payload IS NOT NULL
+    """,
+)
+def valve_report(v: Views):
+    """Everything a valve publishes at each tick, from its commands, its measurements and its error log."""
+    state = C.report_state(_timeline(v), v.over_events(VALVE_MEASUREMENTS), v.over_events(VALVE_LOG))
+    return C.valve_report(state)

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from hearthline.constants import LONG_HOP_SPECS, ROLLUP_SPECS
 from hearthline.operators import rollup as R
+from hearthline.operators.definitions import run_definitions
 from hearthline.plans.registry import query
 from hearthline.plans.views import TAGGED_POINTS, Views
+from hearthline.session import work_dir
 from hearthline.sources import dims
+from hearthline.sources.points_store import append_points, read_newest
 
 # Means are compared to this many digits, since the order of a floating-point sum is free.
 DIGITS = 6
@@ -211,6 +216,87 @@ def rollup_long_hop(v: Views):
     return rounded(R.rollup_by_specs(v.spec_points, dims.rollup_specs(v.spark, LONG_HOP_SPECS)))
 
 
+_SPECS = [*ROLLUP_SPECS, *LONG_HOP_SPECS]
+#: Numbers of the writes of the first and of the second run, above those of all points.
+_RUN_1, _RUN_2 = 10**12, 2 * 10**12
+#: Seconds that a run looks back where a definition says so; the others take one bucket.
+_SCHEDULES = {"cq_5min_S2_fTempA": (3600, 21_600), "cq_1hour_S2_fTempA": (3600, 86_400), "cq_5min_S5_fHumi": (1800, 7200)}
+_SCHEDULED = [(*row, *_SCHEDULES.get(row[0], (None, None))) for row in _SPECS]
+
+
+def _levels() -> list[list[tuple]]:
+    """Definitions by the longest way from a source that no definition writes."""
+    written = {(s[5], s[6], s[3]): [t for t in _SPECS if (t[5], t[6], t[3]) == (s[5], s[6], s[3])] for s in _SPECS}
+
+    def level(s: tuple) -> int:
+        return 1 + max([level(t) for t in written.get((s[4], s[6], s[2]), [])], default=-1)
+
+    out: list[list[tuple]] = [[] for _ in range(max(map(level, _SPECS)) + 1)]
+    for s in sorted(_SCHEDULED):
+        out[level(s)].append(s)
+    return out
+
+
+def _into_tiers_sql() -> str:
+    """Two runs, each level after level: a store is a table of newest writes, to which a level adds its own."""
+    key = "tier, measurement, time, field"
+    store = f"SELECT {key}, arg_max(value, seq) AS value, max(seq) AS seq FROM ({{}}) GROUP BY ALL"
+    points = f"SELECT {key}, value, write_seq AS seq FROM {{spec_points}} WHERE write_seq % 13 {{}} 0"
+    steps = ["now_ AS (SELECT (epoch_us(max(ts)) // 3600000000 + 1) * 3600 AS s FROM events)"]
+    steps.append("s0 AS MATERIALIZED (" + store.format(points.replace("{}", "<>")) + ")")
+    at = 0
+
+    def add(rows: str) -> None:
+        nonlocal at
+        steps.append(f"s{at + 1} AS MATERIALIZED (" + store.format(f"SELECT * FROM s{at} UNION ALL {rows}") + ")")
+        at += 1
+
+    for first in (_RUN_1, _RUN_2):
+        number = first
+        if first == _RUN_2:
+            add(points.replace("{}", "="))
+        # numbers count the definitions that run, and which of them are due depends on the newest point
+        for level in _levels():
+            values = []
+            for row in level:
+                every = row[8] or row[7]
+                values.append("(" + ", ".join(repr(x) for x in (*row[:8], every, row[9] or max(every, row[7]), number)) + ")")
+                number += 1
+            window = ""
+            if first == _RUN_2:
+                window = (
+                    "AND (SELECT s FROM now_) % d.every_s = 0 AND epoch_us(p.time) < (SELECT s FROM now_) * 1000000 AND epoch_us(p.time) "
+                    "// 1000000 >= ((SELECT s FROM now_) - d.for_s) // d.width_s * d.width_s"
+                )
+            add(
+                f"""
+                SELECT d.dst_tier AS tier, p.measurement, make_timestamp((epoch_us(p.time) // (CAST(d.width_s AS BIGINT) * 1000000))
+                       * d.width_s * 1000000) AS time, d.dst_field AS field, avg(p.value) AS value, d.seq AS seq
+                FROM s{at} p JOIN (VALUES {', '.join(values)})
+                     d(name, agg, src_field, dst_field, src_tier, dst_tier, measurement, width_s, every_s, for_s, seq)
+                  ON p.tier = d.src_tier AND p.measurement = d.measurement AND p.field = d.src_field {window}
+                GROUP BY ALL
+                """
+            )
+    return f"WITH {', '.join(steps)} SELECT {key}, round(value, {DIGITS}) AS value FROM s{at}"
+
+
+@query("rollup_into_tiers", _into_tiers_sql())
+def rollup_into_tiers(v: Views):
+    """All definitions and long hops into the store, over everything; then late points and a run at the next full hour."""
+    root = work_dir(v.spark, "rollup_into_tiers") + "/points"
+    specs = dims.scheduled_specs(v.spark, _SCHEDULED)
+    late = F.col("write_seq") % 13 == 0
+    append_points(v.spec_points.where(~late), root)
+    run_definitions(v.spark, root, specs, write_seq=_RUN_1)
+    append_points(v.spec_points.where(late), root)
+    newest = v.events.agg(F.max("ts").alias("ts")).first()["ts"]
+    if newest is not None:
+        now = newest.replace(minute=0, second=0, microsecond=0) + timedelta(hours=1)
+        run_definitions(v.spark, root, specs, now=now, write_seq=_RUN_2)
+    return rounded(read_newest(v.spark, root).select("tier", "measurement", "time", "field", "value"))
+
+
 @query(
     "resample_window",
     f"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,27 +23,28 @@ def _without_zone(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in zoned})
 
 
-def _run(v: Views, name: str, stream: DataFrame) -> DataFrame:
+def _run_to_end(v: Views, name: str, source: DataFrame, time: str, transform, **options) -> DataFrame:
     folder = work_dir(v.spark, name)
-    jobs.run_available(stream, f"{folder}/out", f"{folder}/checkpoint")
+    stream = jobs.run_to_end(transform, source, time, f"{folder}/out", folder, **options)
     return _without_zone(jobs.read_output(v.spark, stream, f"{folder}/out"))
 
 
-# Watermarks have millisecond precision.
-_NEWEST = "date_trunc('milliseconds', (SELECT max(ts) FROM events))"
+def _run(v: Views, name: str, stream: DataFrame) -> DataFrame:
+    folder = work_dir(v.spark, name)
+    jobs.run_available(stream, f"{folder}/out", f"{folder}/checkpoint")
+    return _without_zone(jobs.read_output(v.spark, stream, f"{folder}/out"))
 
 
 @query(
     "stream_rollup",
     f"""
-    SELECT * FROM (
-        SELECT tier, measurement, field, time_bucket(INTERVAL '1 hour', time) AS time, round(avg(value), {DIGITS}) AS value
-        FROM {{points}} GROUP BY ALL)
-    WHERE time + INTERVAL '1 hour' <= {_NEWEST} - INTERVAL '2 hours'
+    SELECT tier, measurement, field, time_bucket(INTERVAL '1 hour', time) AS time, round(avg(value), {DIGITS}) AS value
+    FROM {{points}} GROUP BY ALL
     """,
 )
 def stream_rollup(v: Views):
-    return rounded(_run(v, "stream_rollup", jobs.rollup_stream(v.stream(POINTS, "time"), "mean", 3600)))
+    points = v.stream(POINTS, "time")
+    return rounded(_run_to_end(v, "stream_rollup", points, "time", lambda p: jobs.rollup_stream(p, "mean", 3600)))
 
 
 @query(
@@ -75,12 +78,12 @@ def stream_ingest(v: Views):
         SELECT *, time_bucket(INTERVAL '15 seconds', ts) + INTERVAL '15 seconds' AS sent_at,
                row_number() OVER (PARTITION BY channel, time_bucket(INTERVAL '15 seconds', ts)
                                   ORDER BY ts DESC, seq DESC) AS rn FROM {{readings}})
-    WHERE rn = 1 AND sent_at <= {_NEWEST} - INTERVAL '1 minute'
+    WHERE rn = 1
     """,
 )
 def stream_sample_15s(v: Views):
     readings = v.stream(READINGS, "ts").select("seq", "ts", "channel", "caps", "iTempA")
-    return _run(v, "stream_sample_15s", jobs.sample_stream(readings))
+    return _run_to_end(v, "stream_sample_15s", readings, "ts", jobs.sample_stream)
 
 
 @query(
@@ -92,16 +95,52 @@ def stream_sample_15s(v: Views):
                       AS opens FROM linked),
     numbered AS (SELECT *, sum(opens) OVER (PARTITION BY channel ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session
                  FROM marked)
-    SELECT channel, min(ts) AS cleared_at, max(ts) AS silent_from,
+    SELECT channel, min(ts) AS heard_from, max(ts) AS silent_from,
            max(ts) + INTERVAL '{STALE_BRIDGE_S} seconds' AS alarm_at, count(*) AS readings,
            'Sensor' || CAST(channel AS STRING) || '/Err' AS topic, '1' AS payload
     FROM numbered GROUP BY channel, session
-    HAVING max(ts) + INTERVAL '{STALE_BRIDGE_S} seconds' + INTERVAL '1 microsecond' <= {_NEWEST} - INTERVAL '10 minutes'
     """,
 )
 def stream_silence(v: Views):
     jobs.combine_sessions_early(v.spark)
-    return _run(v, "stream_silence", jobs.silence_stream(v.stream(READINGS, "ts"), STALE_BRIDGE_S))
+    # the row that ends the log has a capability, so that it passes the gate, and no sensor
+    return _run_to_end(
+        v, "stream_silence", v.stream(READINGS, "ts"), "ts", lambda r: jobs.silence_stream(r, STALE_BRIDGE_S), marker={"caps": 1}
+    )
+
+
+_ALARM_EVERY_S = 600
+
+
+@query(
+    "stream_alarms",
+    f"""
+    WITH heard AS (SELECT channel, ts, lead(ts) OVER (PARTITION BY channel ORDER BY ts, seq) AS n FROM {{readings}} WHERE caps <> 0),
+    silent AS (SELECT channel, ts AS silent_from, n AS silent_to, coalesce(n, date_trunc('milliseconds',
+                      (SELECT max(ts) FROM events) + INTERVAL '1 hour')) AS until FROM heard),
+    gaps AS (SELECT * FROM silent WHERE epoch_us(until) - epoch_us(silent_from) > {STALE_BRIDGE_S} * 1000000)
+    SELECT channel, unnest(generate_series(silent_from + INTERVAL '{STALE_BRIDGE_S} seconds', until,
+           INTERVAL '{_ALARM_EVERY_S} seconds')) AS ts, 'Sensor' || CAST(channel AS STRING) || '/Err' AS topic, '1' AS payload
+    FROM gaps
+    UNION ALL
+    SELECT channel, silent_to AS ts, 'Sensor' || CAST(channel AS STRING) || '/Err' AS topic, '0' AS payload
+    FROM gaps WHERE silent_to IS NOT NULL
+    """,
+)
+def stream_alarms(v: Views):
+    """Alarms as they fall due, up to an hour after the newest reading."""
+    late_s = 600
+    newest = v.events.agg(F.max("ts").alias("ts")).first()["ts"] or datetime(2000, 1, 1)
+    until = newest + timedelta(hours=1, seconds=late_s)
+    return _run_to_end(
+        v,
+        "stream_alarms",
+        v.stream(READINGS, "ts").select("channel", "caps", "ts"),
+        "ts",
+        lambda r: jobs.alarm_stream(r, STALE_BRIDGE_S, _ALARM_EVERY_S, f"{late_s} seconds"),
+        until=until,
+        marker={"caps": 1},
+    )
 
 
 @query(
@@ -140,7 +179,7 @@ _ARRIVAL = (
     kept AS (SELECT a.* FROM arrived a LEFT JOIN marks m ON m.run = a.run - 1
              WHERE m.run IS NULL OR a.bucket_end > date_trunc('milliseconds', m.newest) - INTERVAL '2 hours')
     SELECT tier, measurement, field, bucket_end - INTERVAL '1 hour' AS time, round(avg(value), {DIGITS}) AS value
-    FROM kept WHERE bucket_end <= {_NEWEST} - INTERVAL '2 hours' GROUP BY ALL
+    FROM kept GROUP BY ALL
     """,
 )
 def stream_late(v: Views):
@@ -149,9 +188,11 @@ def stream_late(v: Views):
     newest_id = v.events.agg(F.max("event_id")).first()[0]
     arrival = F.floor(F.col("write_seq") * 2 / (newest_id + 1)) + F.when(F.col("write_seq") % 13 == 0, 1).otherwise(0)
     points = event_time(v.points, "time").withColumn("run", arrival)
+    arriving = v.spark.readStream.schema(points.drop("run").schema).parquet
+    hourly = lambda p: jobs.rollup_stream(p, "mean", 3600, late="2 hours")
     for run in range(_RUNS):
         points.where(F.col("run") == run).drop("run").write.mode("append").parquet(f"{folder}/in")
-        arriving = v.spark.readStream.schema(points.drop("run").schema).parquet(f"{folder}/in")
-        stream = jobs.rollup_stream(arriving, "mean", 3600, late="2 hours")
-        jobs.run_available(stream, f"{folder}/out", f"{folder}/checkpoint")
+        if run < _RUNS - 1:
+            jobs.run_open(hourly, arriving(f"{folder}/in"), f"{folder}/out", folder)
+    stream = jobs.run_to_end(hourly, arriving(f"{folder}/in"), "time", f"{folder}/out", folder)
     return rounded(_without_zone(jobs.read_output(v.spark, stream, f"{folder}/out")))

@@ -10,7 +10,9 @@ from hearthline.constants import TIERS
 from hearthline.operators import tiers as T
 from hearthline.plans.registry import query
 from hearthline.plans.views import SPECS_CREATED, SPECS_DROPPED, TIER_LOG, Views
+from hearthline.session import work_dir
 from hearthline.sources import dims
+from hearthline.sources import points_store as store
 
 POINT = "tier, measurement, time, field, value, write_seq"
 
@@ -71,6 +73,42 @@ def upsert_points(v: Views):
     return T.upsert(points, again)
 
 
+_STORE_RUN = 10**12
+
+
+@query(
+    "store_upsert",
+    f"""
+    WITH written AS (
+        SELECT * FROM {{points}}
+        UNION ALL
+        SELECT tier, measurement, time, field, value + 1, write_seq + {_STORE_RUN} FROM {{points}} WHERE write_seq % 5 = 0
+        UNION ALL
+        SELECT tier, measurement, time, field, value + 2, write_seq + 2 * {_STORE_RUN} FROM {{points}} WHERE write_seq % 7 = 0
+        UNION ALL
+        SELECT tier, measurement, time, field, value - 1, write_seq - {_STORE_RUN} FROM {{points}}
+        WHERE epoch_us(time) >= (SELECT epoch_us(max(ts)) FROM events) - 86400000000),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY tier, measurement, time, field ORDER BY write_seq DESC) AS rn
+               FROM written)
+    SELECT tier, measurement, time, field, value, write_seq FROM ranked WHERE rn = 1
+    """,
+)
+def store_upsert(v: Views):
+    """Writes appended to the store as they come, also older ones; some days are compacted in between."""
+    points, root = v.points, work_dir(v.spark, "store_upsert") + "/points"
+
+    def again(seq: int, by: int):
+        return points.withColumns({"value": F.col("value") + by, "write_seq": F.col("write_seq") + F.lit(seq).cast("bigint")})
+
+    store.append_points(points, root)
+    store.append_points(again(_STORE_RUN, 1).where("write_seq % 5 = 0"), root)
+    store.compact_days(v.spark, root)
+    store.append_points(again(2 * _STORE_RUN, 2).where(f"(write_seq - {2 * _STORE_RUN}) % 7 = 0"), root)
+    newest = v.events.agg(F.max("ts")).scalar()
+    store.append_points(again(-_STORE_RUN, -1).where(F.col("time") >= newest - F.expr("INTERVAL 1 DAY")), root)
+    return store.read_newest(v.spark, root).select("tier", "measurement", "time", "field", "value", "write_seq")
+
+
 @query(
     "backfill_copy",
     """

@@ -215,6 +215,25 @@ VALVE_LOG = {
     "code": "CASE WHEN event_type = 'error' THEN CAST(1 + event_id % 6 AS INT) END",
 }
 
+# What a valve measures itself.
+VALVE_MEASUREMENTS = {
+    "device": "CAST(user_id % 10 AS INT)",
+    "ts": "ts",
+    "seq": "event_id",
+    "temp_in": f"CASE WHEN event_type = 'view' THEN CAST(CAST({_V} % 4000 AS DOUBLE) / 100 AS DOUBLE) END",
+    "temp_out": f"CASE WHEN event_type = 'purchase' THEN CAST(CAST({_V} % 5000 - 2000 AS DOUBLE) / 100 AS DOUBLE) END",
+    "light": f"CASE WHEN event_type = 'signup' THEN CAST({_V} AS DOUBLE) END",
+}
+
+# Keys pressed at a valve.
+PRESSES = {
+    "device": "CAST(user_id % 10 AS INT)",
+    "ts": "ts",
+    "seq": "event_id",
+    "press": "CASE WHEN event_id % 11 = 0 THEN 'auto' WHEN event_type IN ('click', 'view') THEN 'up' "
+    "WHEN event_type IN ('purchase', 'signup') THEN 'down' ELSE 'other' END",
+}
+
 # A log of tier changes: a tier per user, altered with every event.
 TIER_LOG = {
     "tier": "'tier_' || CAST(user_id AS STRING)",
@@ -262,6 +281,8 @@ SQL = {
     "radio": sql(RADIO, "events"),
     "commands": sql(COMMANDS, "events"),
     "valve_log": sql(VALVE_LOG, "events"),
+    "valve_measurements": sql(VALVE_MEASUREMENTS, "events"),
+    "presses": sql(PRESSES, "events"),
     "tier_log": sql(TIER_LOG, "events"),
     "specs_created": sql(SPECS_CREATED, "(SELECT * FROM events WHERE event_type IN ('click', 'view')) e"),
     "specs_dropped": sql(SPECS_DROPPED, "(SELECT * FROM events WHERE event_type = 'error') e"),

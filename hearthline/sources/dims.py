@@ -44,3 +44,10 @@ def rollup_specs(spark: SparkSession, rows: list[tuple] = ROLLUP_SPECS) -> DataF
         ["name", "agg", "src_field", "dst_field", "src_tier", "dst_tier", "measurement", "width_s"],
         rows,
     )
+
+
+def scheduled_specs(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    """Definitions with their schedule, which may be missing: seconds from run to run and seconds that a run looks back."""
+    columns = ["name", "agg", "src_field", "dst_field", "src_tier", "dst_tier", "measurement", "width_s", "every_s", "for_s"]
+    table = literal_table(spark, columns, [(*row, None, None)[: len(columns)] for row in rows])
+    return table.withColumns({c: table[c].cast("bigint") for c in columns[7:]})

@@ -68,6 +68,43 @@ def write_points(points: DataFrame, root: str) -> None:
     _replace_days(upsert(touched_days(points, root).drop("day"), points), root)
 
 
+def append_points(points: DataFrame, root: str) -> None:
+    """Add writes to the store without reading or rewriting anything: a late point costs its own row.
+
+    A key may be stored several times then; ``read_newest`` gives the write in force, and ``compact_days`` brings a day back
+    to one row per key. Appending the same writes twice changes nothing, so a job that is repeated does no harm.
+    """
+    order = [*PARTITION, "measurement", "field", "time"]
+    # ranges, so that a day is in few files, and a heavy one in several tasks
+    _with_day(points).repartitionByRange(*order).write.partitionBy(*PARTITION).mode("append").parquet(root)
+
+
+def read_newest(
+    spark: SparkSession,
+    root: str,
+    tiers: Sequence[str] | None = None,
+    t0: datetime | None = None,
+    t1: datetime | None = None,
+) -> DataFrame:
+    """``read_points`` of a store that was appended to: the last write of each key."""
+    return last_write(read_points(spark, root, tiers, t0, t1))
+
+
+def compact_days(spark: SparkSession, root: str, least_files: int = 2) -> int:
+    """Rewrite the days that are in ``least_files`` files or more as one row per key; the number of days rewritten.
+
+    Only the names of files are looked at to choose the days; the others are not read. The commit replaces whole days; it may
+    be repeated after a failure, as old and new files hold the same newest writes. No writer may append to a day meanwhile.
+    """
+    # one row per tier and day
+    files = spark.read.parquet(root).select(*PARTITION, F.col("_metadata.file_path").alias("file")).distinct()
+    days = files.groupBy(*PARTITION).count().where(F.col("count") >= least_files).collect()
+    if days:
+        stored = spark.read.parquet(root)
+        _replace_days(last_write(stored.where(_folders(days)).drop("day")), root)
+    return len(days)
+
+
 def touched_days(points: DataFrame, root: str) -> DataFrame:
     """The stored points of the tiers and days that ``points`` falls in; no other folder is listed for reading."""
     # one row per folder that is written

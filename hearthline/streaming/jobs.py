@@ -6,17 +6,23 @@ The transformations are the batch operators; a job adds the watermark, the sink
 from __future__ import annotations
 
 import time
+from collections.abc import Callable, Iterator
+from datetime import datetime
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from hearthline.operators.control import set_point_in_force
 from hearthline.operators.health import sample_last
 from hearthline.operators.ordered import micros, order_key
 from hearthline.operators.rollup import SERIES, rollup
 from hearthline.operators.tiers import into
-from hearthline.sources.points_store import write_points
+from hearthline.session import ship
+from hearthline.sources.points_store import append_points, compact_days
 
 
 def run_available(stream: DataFrame, output: str, checkpoint: str) -> None:
@@ -32,6 +38,43 @@ def run_available(stream: DataFrame, output: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
+#: A time after every window.
+END = datetime(9999, 1, 1)
+
+
+def run_to_end(
+    transform: Callable[[DataFrame], DataFrame],
+    source: DataFrame,
+    event_time: str,
+    output: str,
+    work: str,
+    until: datetime = END,
+    marker: dict[str, object] | None = None,
+) -> DataFrame:
+    """Run over a finished source and give what its state still holds: no window stays open for want of a later row.
+
+    After everything is processed, one row with ``until`` as its event time, and nothing else but ``marker``, passes through a
+    second input of the same query; it moves the watermark past all that is open, and what it opens itself is never given.
+    ``transform`` sets the watermark and must let that row reach it. The stream is returned, for ``read_output``. Rows that
+    arrive afterwards are late.
+    """
+    stream = run_open(transform, source, output, work)
+    row = {event_time: until, **(marker or {})}
+    last = source.sparkSession.range(1).select(*[F.lit(row.get(f.name)).cast(f.dataType).alias(f.name) for f in source.schema.fields])
+    last.write.mode("append").parquet(f"{work}/end")
+    run_available(stream, output, f"{work}/checkpoint")
+    return stream
+
+
+def run_open(transform: Callable[[DataFrame], DataFrame], source: DataFrame, output: str, work: str) -> DataFrame:
+    """``run_available`` of a query that ``run_to_end`` will close: its second input is there, and empty."""
+    spark = source.sparkSession
+    spark.createDataFrame([], source.schema).write.mode("ignore").parquet(f"{work}/end")
+    stream = transform(source.unionByName(spark.readStream.schema(source.schema).parquet(f"{work}/end")))
+    run_available(stream, output, f"{work}/checkpoint")
+    return stream
+
+
 def run_continuously(stream: DataFrame, output: str, checkpoint: str, every: str = "5 minutes"):
     """The same sink on a schedule (``RESAMPLE EVERY``); returns the running query."""
     return (
@@ -54,11 +97,13 @@ def rollup_stream(points: DataFrame, agg: str, width_s: int, late: str = "2 hour
     return rollup(points.withWatermark("time", late), agg, width_s, by)
 
 
-def run_into_tier(stream: DataFrame, root: str, tier: str, checkpoint: str) -> None:
+def run_into_tier(stream: DataFrame, root: str, tier: str, checkpoint: str, compact: bool = True) -> None:
     """Store what each trigger changed as points of a tier, newest write first in force.
 
     Writes are numbered by the microsecond of their commit, so that a bucket which late points changed, or a repeated
     trigger, replaces what was stored before, whoever wrote that. Batch writers number below that or by the same clock.
+    A trigger appends its own rows only; the days they fall in are rewritten once at the end, or, without ``compact``, whenever
+    ``points_store.compact_days`` is run (``read_newest`` reads the store at any time).
     """
 
     def store(changed: DataFrame, number: int) -> None:
@@ -70,10 +115,7 @@ def run_into_tier(stream: DataFrame, root: str, tier: str, checkpoint: str) -> N
             "value",
             F.lit(time.time_ns() // 1000).cast("bigint").alias("write_seq"),
         )
-        # the store looks at the rows several times; the state must be read only once
-        rows.persist()
-        write_points(rows, root)
-        rows.unpersist()
+        append_points(rows, root)
 
     query = (
         stream.writeStream.outputMode("update")
@@ -83,6 +125,8 @@ def run_into_tier(stream: DataFrame, root: str, tier: str, checkpoint: str) -> N
         .start()
     )
     query.awaitTermination()
+    if compact:
+        compact_days(stream.sparkSession, root)
 
 
 def sample_stream(readings: DataFrame, width_s: int = 15, late: str = "1 minute") -> DataFrame:
@@ -94,7 +138,8 @@ def silence_stream(readings: DataFrame, limit_s: int, late: str = "10 minutes",
 
     A session of readings ends once the sensor has been silent for longer than the limit: that is the alarm. The
     window is a microsecond longer than the limit, for a gap of exactly the limit is no silence. Sensors without any
-    capability raise no alarm. Each reading after a silence opens the next session, which clears the alarm.
+    capability raise no alarm. Each reading after a silence opens the next session, which clears the alarm; ``alarm_stream``
+    says when, and repeats the alarm until then.
     """
     sessions = (
         readings.where(F.col("caps") != 0)
@@ -104,7 +149,7 @@ def silence_stream(readings: DataFrame, limit_s: int, late: str = "10 minutes",
     )
     return sessions.select(
         F.col(key),
-        F.col("_session.start").alias("cleared_at"),
+        F.col("_session.start").alias("heard_from"),
         "silent_from",
         (F.col("silent_from") + F.make_dt_interval(secs=F.lit(limit_s))).alias("alarm_at"),
         "readings",
@@ -113,6 +158,69 @@ def silence_stream(readings: DataFrame, limit_s: int, late: str = "10 minutes",
     )
 
 
+def alarm_stream(readings: DataFrame, limit_s: int, every_s: int, late: str = "10 minutes", key: str = "channel") -> DataFrame:
+    """Alarms of silent sensors as they fall due: (key, ts, topic, payload).
+
+    Payload 1 once a sensor has been silent for the limit, again every ``every_s`` while it stays so, and 0 at the reading
+    that ends the silence. Keyed state with an event-time timer: a row is given when the watermark has reached its time, so
+    readings up to ``late`` behind the newest are taken in order and nothing is taken back. The state of a sensor is the
+    last reading that is settled, the alarm that is due next, and the ends of the stretches heard since.
+    """
+    limit, every = limit_s * 1_000_000, every_s * 1_000_000
+    kind = readings.schema[key].dataType
+
+    def advance(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, due, heard = state.get if state.exists else (None, None, [])
+        new = [] if state.hasTimedOut else [p["at"].to_numpy(dtype=np.int64) for p in parts]
+        waiting = _stretch_ends(np.unique(np.concatenate([np.array(heard, np.int64), *new])), limit)
+        upto = state.getCurrentWatermarkMs() * 1000
+        out: list[tuple[int, str]] = []
+
+        def alarms(until: int) -> None:
+            nonlocal due
+            if due is not None and due <= until:
+                n = (until - due) // every + 1
+                out.extend((due + k * every, "1") for k in range(n))
+                due += n * every
+
+        settled = waiting[waiting <= upto]
+        for at in settled.tolist():
+            if last is None or at > last:
+                if last is not None and at - last > limit:
+                    alarms(at)
+                    out.append((at, "0"))
+                last, due = at, at + limit
+        alarms(upto)
+        waiting = waiting[len(settled) :]
+        state.update((last, due, waiting.tolist()))
+        wake = min([t for t in (due, *waiting[:1].tolist()) if t is not None])
+        state.setTimeoutTimestamp(max(-(-wake // 1000) - 1, upto // 1000 + 1))
+        if out:
+            yield pd.DataFrame(
+                {
+                    key: [name[0]] * len(out),
+                    "ts": pd.to_datetime([t for t, _ in out], unit="us", utc=True),
+                    "topic": f"Sensor{name[0]}/Err",
+                    "payload": [p for _, p in out],
+                }
+            )
+
+    schema = T.StructType([T.StructField(key, kind), T.StructField("ts", T.TimestampType()), T.StructField("topic", T.StringType()), T.StructField("payload", T.StringType())])
+    ship(readings.sparkSession)
+    timed = readings.where(F.col("caps") != 0).withWatermark("ts", late).select(key, "ts", micros(F.col("ts")).alias("at"))
+    alarms = timed.groupBy(key).applyInPandasWithState(
+        advance, schema, "last bigint, due bigint, heard array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
+    )
+    return alarms.where(F.col(key).isNotNull())
+
+
+def _stretch_ends(times: np.ndarray, limit: int) -> np.ndarray:
+    """Of rising times, the first and last of each stretch without a silence: those between can be no alarm's."""
+    far = np.diff(times) > limit
+    ends = np.concatenate([[True], far]) | np.concatenate([far, [True]]) if len(times) else np.zeros(0, bool)
+    return times[ends]
+
+
 def setpoint_stream(commands: DataFrame) -> DataFrame:
     """The set-point in force per device, kept up to date; one row per changed device and trigger."""
     at = order_key(micros(F.col("ts")), F.col("seq"))

@@ -8,6 +8,7 @@ import sys
 import time
 
 import duckdb
+import pyarrow as pa
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -39,6 +40,12 @@ def rows_of(table) -> list[tuple]:
     return sorted(zip(*columns), key=lambda r: [(x is None, str(type(x)) if x is None else "", str(x)) for x in r])
 
 
+def _sorted(table):
+    names = sorted(table.column_names)
+    plain = [n for n in names if not pa.types.is_nested(table.schema.field(n).type)]
+    return table.select(names).sort_by([(n, "ascending") for n in plain]).replace_schema_metadata().combine_chunks()
+
+
 def compare(spark_table, duck_table) -> str | None:
     """What differs, or None."""
     a, b = sorted(spark_table.column_names), sorted(duck_table.column_names)
@@ -53,6 +60,8 @@ def compare(spark_table, duck_table) -> str | None:
         return f"types {types}"
     if spark_table.num_rows != duck_table.num_rows:
         return f"rows {spark_table.num_rows} != {duck_table.num_rows}"
+    if _sorted(spark_table).equals(_sorted(duck_table)):
+        return None
     ours, theirs = rows_of(spark_table), rows_of(duck_table)
     different = [(x, y) for x, y in zip(ours, theirs) if x != y]
     if different:

@@ -6,6 +6,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from hearthline.constants import ERROR_TEXTS
 from hearthline.operators import control as C
 
 START = datetime(2024, 1, 1, 0, 0, 30)
@@ -76,6 +77,75 @@ def test_timeline_equals_simulation(spark, slice_ticks):
         assert got == simulate(own, ticks)
 
 
+def test_one_valve_is_spread_over_parts(spark):
+    """The maps of slices are composed in three levels, whatever the cut."""
+    ticks = 1200
+    own = random_commands(9, 150, ticks * 60)
+    commands = spark.createDataFrame(own, "device int, ts timestamp_ntz, seq bigint, set_pos int, manual int, on_ticks int")
+    end = START + timedelta(seconds=60 * (ticks - 1))
+    spans = spark.createDataFrame([(1, START, end)], "device int, first_ts timestamp_ntz, last_ts timestamp_ntz")
+    expected = simulate(own, ticks)
+    for slice_ticks, part_slices in ((5, 3), (7, 1), (40, 100)):
+        timeline = C.valve_timeline(commands, spans, slice_ticks=slice_ticks, part_slices=part_slices).collect()
+        assert sorted((r["ts"], r["set_point"], r["position"]) for r in timeline) == expected
+
+
+def test_ticks_count_from_the_first_command(spark):
+    last = START + timedelta(days=3, seconds=59)
+    spans = spark.createDataFrame(
+        [(1, START, last), (2, START, START), (3, START, START - timedelta(seconds=1)), (4, None, None)],
+        "device int, first_ts timestamp_ntz, last_ts timestamp_ntz",
+    )
+    got = C.minute_ticks(spans, "device").collect()
+    assert sorted(r["ts"] for r in got if r["device"] == 1) == [START + timedelta(minutes=k) for k in range(3 * 1440 + 1)]
+    assert [r["ts"] for r in got if r["device"] == 2] == [START] and {r["device"] for r in got} == {1, 2}
+
+
+@pytest.mark.parametrize("width", [1, 50_000_000, 10**13])
+def test_manual_from_presses(spark, width):
+    rng = random.Random(width)
+    rows = []
+    for seq in range(600):
+        press = rng.choice(["up", "up", "down", "down", "auto", "light", None]) if rng.random() < 0.5 else rng.choice(["up", "down"])
+        rows.append((rng.choice([1, 1, 1, 2, None]), START + timedelta(seconds=rng.randrange(0, 400)), seq, press))
+    expected = {}
+    mode = {}
+    for device, _, seq, press in sorted(rows, key=lambda r: (r[1], r[2])):
+        m = mode.get(device, 6)
+        mode[device] = {"up": min(m + 1, 5), "down": max(m - 1, 0), "auto": 6}.get(press, m)
+        expected[seq] = mode[device]
+    frame = spark.createDataFrame(rows, "device int, ts timestamp_ntz, seq bigint, press string")
+    got = {r["seq"]: r["manual"] for r in C.manual_from_presses(frame, width=width).collect()}
+    # presses of no known device come to nothing
+    assert got == {seq: expected[seq] for device, _, seq, _ in rows if device is not None}
+    assert C.manual_from_presses(frame.limit(0)).count() == 0
+
+
+def test_report_from_several_logs(spark):
+    at = lambda s: START + timedelta(seconds=s)
+    timeline = spark.createDataFrame(
+        [(1, at(60 * k), 3, 2457, "MAN") for k in range(5)], "device int, ts timestamp_ntz, set_point int, dac int, mode string"
+    )
+    measured = spark.createDataFrame(
+        [(1, at(10), 1, 21.456, None, None), (1, at(60), 2, None, -3.5, None), (1, at(130), 3, 22.0, None, 812.4), (2, at(0), 4, 9.0, 9.0, 9.0)],
+        "device int, ts timestamp_ntz, seq bigint, temp_in double, temp_out double, light double",
+    )
+    log = spark.createDataFrame(
+        [(1, at(70), 5, "error", 2), (1, at(80), 6, "tick", None), (1, at(185), 7, "error", 3), (1, at(230), 8, "ack", None)],
+        "device int, ts timestamp_ntz, seq bigint, kind string, code int",
+    )
+    got = {}
+    for r in C.valve_report(C.report_state(timeline, measured, log)).collect():
+        got.setdefault(int((r["ts"] - START).total_seconds()) // 60, {})[r["topic"].split("/")[1]] = r["payload"]
+    always = {"ActPos": "2457", "Mode": "3", "ManAuto": "MAN"}
+    assert got[0] == always
+    assert got[1] == always | {"TempIn": "21.46", "TempOut": "-3.50"}
+    # the text of an error is sent one report late
+    assert got[2] == got[1] | {"Err": ""}
+    assert got[3] == got[2] | {"TempIn": "22.00", "Light": "812", "Err": ERROR_TEXTS[2]}
+    assert got[4] == {k: v for k, v in got[3].items() if k != "Err"}
+
+
 def test_modes_by_hand(spark):
     """Modes 0, 1, 2, 5, 1 with the interval changed on the way."""
     at = lambda tick: START + timedelta(seconds=60 * tick)

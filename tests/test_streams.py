@@ -79,6 +79,67 @@ def test_silence_alarms_match_batch_gaps(spark, tmp_path):
     assert {r["topic"] for r in alarms.collect()} == {"Sensor1/Err", "Sensor2/Err"}
 
 
+def alarms_by_hand(times, limit, every, until):
+    """Alarms and clearing rows of one sensor, seconds since the start."""
+    out = []
+    for at, following in zip(times, [*times[1:], None]):
+        end = until if following is None else following
+        if end - at > limit:
+            out += [(t, "1") for t in range(at + limit, end + 1, every)]
+            if following is not None:
+                out.append((following, "0"))
+    return sorted(out)
+
+
+def test_alarms_repeat_until_the_next_reading(spark, tmp_path):
+    """Several runs, readings out of order within and between them, and the end of the log."""
+    seconds = {1: [0, 100, 281, 300, 2000, 2180, 9000, 9100], 2: [50, 3000], 3: [10]}
+    arrivals = [
+        [(1, 281), (1, 0), (1, 100), (2, 50), (3, 10)],
+        [(1, 2180), (2, 3000)],
+        [(1, 2000), (1, 300)],  # 300 is too late for its hour, 2000 is not
+        [(1, 9100), (1, 9000)],
+    ]
+    schema = "channel int, caps int, ts timestamp"
+    source, out, work = (str(tmp_path / n) for n in ("in", "out", "work"))
+    late = lambda r: jobs.alarm_stream(r, 180, 600, "30 minutes")
+    for k, rows in enumerate(arrivals):
+        made = [(c, 1, T0 + timedelta(seconds=s)) for c, s in rows] + [(9, 0, T0 + timedelta(seconds=rows[0][1]))]
+        spark.createDataFrame(made, schema).write.mode("append").parquet(source)
+        arriving = spark.readStream.schema(schema).parquet(source)
+        if k < len(arrivals) - 1:
+            jobs.run_open(late, arriving, out, work)
+    until = 12_000
+    stream = jobs.run_to_end(late, arriving, "ts", out, work, until=T0 + timedelta(seconds=until + 1800), marker={"caps": 1})
+    found = jobs.read_output(spark, stream, out).collect()
+    for channel, own in seconds.items():
+        got = sorted((int((r["ts"] - T0).total_seconds()), r["payload"]) for r in found if r["channel"] == channel)
+        expected = own if channel != 1 else [s for s in own if s != 300]
+        # 300 came behind the watermark
+        assert got == alarms_by_hand(expected, 180, 600, until), channel
+    assert {r["topic"] for r in found} == {"Sensor1/Err", "Sensor2/Err", "Sensor3/Err"}
+
+
+def test_end_of_a_source_gives_open_windows(spark, tmp_path):
+    rows = [(m, m % 7) for m in range(0, 600, 3)]
+    frame = late_points(spark, rows)
+    frame.write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    stream = jobs.run_to_end(lambda p: jobs.rollup_stream(p, "mean", 300), source, "time", out, str(tmp_path / "work"))
+    got = sorted(map(tuple, jobs.read_output(spark, stream, out).collect()))
+    assert got == sorted(map(tuple, rollup(frame, "mean", 300).collect()))
+
+
+def test_an_empty_source_ends(spark, tmp_path):
+    frame = late_points(spark, [(0, 1)]).limit(0)
+    frame.write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    stream = jobs.run_to_end(lambda p: jobs.rollup_stream(p, "mean", 300), source, "time", out, str(tmp_path / "work"))
+    assert jobs.read_output(spark, stream, out).count() == 0
+
+
 def test_sampling_stream(spark, tmp_path):
     rows = [(1, T0 + timedelta(seconds=s), i, 10 * s) for i, s in enumerate([0, 5, 14, 15, 40, 600])]
     frame = spark.createDataFrame(rows, "channel int, ts timestamp, seq bigint, iTempA int")
