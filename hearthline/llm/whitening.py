@@ -27,14 +27,16 @@ from hearthline.session import ship
 
 @dataclass(frozen=True)
 class Settings:
-    """``step``: entries are counted in 1/step. The driver holds the number of each block, so more rows want larger blocks."""
+    """``step``: entries are counted in 1/step. A block has ``block_rows`` rows at most; the driver holds the number of each block."""
 
     components: int = 4
     step: int = 256
-    block_rows: int = 4096
+    block_rows: int = 1024
 
 
 _WIDTHS = (2, 4, 8)
+#: Blocks whose products one task adds up.
+SPLIT_BLOCKS = 16
 
 
 def _packed(x: np.ndarray) -> list[bytes]:
@@ -191,16 +193,16 @@ def whiten(vectors: DataFrame, settings: Settings = Settings(), id_column: str =
     )
     distinct = rows.select("dims", "x").distinct()
     blocks = stored(_blocks(distinct, settings.block_rows), "vectors")
-    top = blocks.groupBy("dims").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), F.desc("dims")).first()
+    top = blocks.groupBy("dims").agg(F.sum("n").alias("n"), F.max("n").alias("height")).orderBy(F.desc("n"), F.desc("dims")).first()
     if top is None:
         return spark.createDataFrame([], schema), None
-    dims, n, height = top["dims"], top["n"], settings.block_rows
+    dims, n, height = top["dims"], top["n"], top["height"]
     own = blocks.where(F.col("dims") == dims)
     totals = map_arrow(own.select("dims", "x"), _sums, "place int, total decimal(38,0)").groupBy("place").agg(F.sum("total").alias("total")).collect()
     sums = [int(r["total"]) for r in sorted(totals, key=lambda r: r["place"])]
     own, n_blocks = _indexed(own)
     matrix = _block_matrix(own, n_blocks, height, n, sums)
-    splits = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    splits = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_blocks // SPLIT_BLOCKS))
     scatter = _times(matrix.transpose(), matrix, splits).toLocalMatrix().toArray() / n
     values, eigen = np.linalg.eigh((scatter + scatter.T) / 2)
     found = Whitening(n, tuple(sums), np.maximum(values[::-1], 0), eigen[:, ::-1])
