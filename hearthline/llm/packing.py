@@ -6,8 +6,8 @@ open bin with the least free space that holds it; there are at most ``open_bins`
 fullest closes. Free spaces with an open bin are the bits of one integer, so the best bin is the lowest bit at or above the
 piece's length.
 
-Pieces are dealt by hash to packers of about ``packer_tokens`` tokens each, which run side by side. A packer is fed the longest
-pieces first; ``open_bins`` is about twice the sequences a packer fills, so bins seldom close before the short pieces come.
+Pieces are dealt by hash to packers of about ``packer_tokens`` tokens each, which run side by side. A packer takes its pieces as
+they come, in the order of their hashes, and bins close all the time: ``open_bins`` is an eighth of the sequences it fills.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from hearthline.session import ship
 class Settings:
     length: int = 2048
     end_id: int = 0
-    open_bins: int = 4096
+    open_bins: int = 256
     packer_tokens: int = 1 << 22
     vocabulary: str = "byte_bpe_50k.json"
 
@@ -46,8 +46,10 @@ _LETTER, _NUMBER, _BLANK, _OTHER, _EDGE = range(5)
 _EDGE_POINT = 0x110000
 #: White space of the vocabulary's pattern. Fixed values.
 _BLANKS = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-#: Pieces whose ids a worker remembers.
-REMEMBERED = 300_000
+#: Pieces whose ids a worker remembers; when there are more, the half that was met most often stays.
+REMEMBERED = 500_000
+#: Words that are encoded as one text.
+JOINED = 500
 SLOT_BITS = 20
 #: Code points tokenized at once; a longer text is a block of its own.
 BLOCK_POINTS = 1 << 18
@@ -109,11 +111,37 @@ class Tokenizer:
         #: Tokens that take in blanks or look at their neighbours are left to the vocabulary.
         plain = self._vocabulary.normalizer is None and not any(t.lstrip or t.rstrip or t.single_word for t in added.values())
         self._whole = None if plain else Vocabulary.from_file(vocabulary)
-        self._forget()
+        #: Bytes of each token: the vocabulary writes a byte as a character.
+        names = self._vocabulary.get_vocab(with_added_tokens=False)
+        self._bytes = np.zeros(max(names.values()) + 1, dtype=np.int64)
+        for name, i in names.items():
+            self._bytes[i] = len(name)
+        self._keys, self._at = np.zeros(1 << SLOT_BITS, dtype=np.uint64), np.zeros(1 << SLOT_BITS, dtype=np.int32)
+        self._known = self._filled = 0
+        self._hash = np.zeros(1 << 10, dtype=np.uint64)
+        self._begin, self._count, self._pool, self._met = (np.zeros(1 << 10, dtype=np.int64) for _ in range(4))
 
     def _forget(self) -> None:
-        self._keys, self._at, self._used = np.zeros(1 << SLOT_BITS, dtype=np.uint64), np.zeros(1 << SLOT_BITS, dtype=np.int32), 0
-        self._begin, self._count, self._pool = (np.zeros(0, dtype=np.int64) for _ in range(3))
+        """Keep the half of the pieces that was met most often, in half as many times as counted."""
+        kept = np.sort(np.argsort(-self._met[: self._known], kind="stable")[: self._known // 2])
+        hashes, counts, met = self._hash[kept], self._count[kept], self._met[kept] // 2
+        upto = np.cumsum(counts)
+        ids = self._pool[np.repeat(self._begin[kept] - upto + counts, counts) + np.arange(upto[-1])]
+        self._known = self._filled = 0
+        self._keys[:] = 0
+        self._add(hashes, counts, ids)
+        self._met[: len(met)] = met
+
+    def _insert(self, rows: np.ndarray) -> None:
+        """Put rows into the table of slots: in each round one row takes each free slot, the others step on."""
+        slots = (self._hash[rows] >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        while len(rows):
+            place, first = np.unique(slots, return_index=True)
+            first = first[self._keys[place] == 0]
+            self._keys[slots[first]], self._at[slots[first]] = self._hash[rows[first]], rows[first]
+            left = np.ones(len(rows), bool)
+            left[first] = False
+            rows, slots = rows[left], (slots[left] + 1) & ((1 << SLOT_BITS) - 1)
 
     def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids as the vocabulary gives them without added special tokens: its added tokens in a text have their own ids."""
@@ -143,9 +171,12 @@ class Tokenizer:
         edge = np.array([_EDGE_POINT], dtype=np.uint32)
         parts: list[np.ndarray] = []
         for text in texts:
-            # lone surrogates cannot be written as UTF-8 and are read as the replacement character
-            own = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-            parts += [np.where((own >= 0xD800) & (own < 0xE000), np.uint32(0xFFFD), own), edge]
+            try:
+                own = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+            except UnicodeEncodeError:  # lone surrogates cannot be written as UTF-8 and are read as the replacement character
+                own = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+                own = np.where((own >= 0xD800) & (own < 0xE000), np.uint32(0xFFFD), own)
+            parts += [own, edge]
         points = np.concatenate([*parts, edge, edge])
         starts, stops = cut_points(points)
         if not len(starts):
@@ -160,13 +191,15 @@ class Tokenizer:
         hashes = wordhash.mix((sums[ends] - sums[starts]) * wordhash._power(wordhash._INVERSE, n)[starts] + (ends - starts).astype(np.uint64))
         rows = self._find(hashes)
         if (rows < 0).any():
-            if self._used > REMEMBERED:
+            if self._known > REMEMBERED:
                 self._forget()
-                rows[:] = -1
-            unique, example = np.unique(hashes[rows < 0], return_index=True)
-            at = np.flatnonzero(rows < 0)[example]
-            self._learn(unique, [points[a:b].tobytes().decode("utf-32-le") for a, b in zip(starts[at].tolist(), ends[at].tolist())])
+                rows = self._find(hashes)
+            unknown = np.flatnonzero(rows < 0)
+            unique, example = np.unique(hashes[unknown], return_index=True)
+            at = unknown[example]
+            self._learn(unique, points, starts[at], ends[at])
             rows = self._find(hashes)
+        self._met[: self._known] += np.bincount(rows, minlength=self._known)
         counts = self._count[rows]
         upto = np.cumsum(counts)
         ids = self._pool[np.repeat(self._begin[rows] - upto + counts, counts) + np.arange(upto[-1])].astype("<u4")
@@ -188,17 +221,52 @@ class Tokenizer:
             left, slots = left[go], (slots[go] + 1) & ((1 << SLOT_BITS) - 1)
         return rows
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        made = [x.ids for x in self._vocabulary.encode_batch_fast(words, add_special_tokens=False)]
-        counts = np.array([len(m) for m in made])
-        self._begin = np.concatenate((self._begin, len(self._pool) + np.cumsum(counts) - counts))
-        self._count = np.concatenate((self._count, counts))
-        self._pool = np.concatenate((self._pool, np.array([x for m in made for x in m], dtype=np.int64)))
-        for h, slot in zip(hashes, (hashes >> np.uint64(64 - SLOT_BITS)).tolist()):
-            while self._keys[slot]:
-                slot = (slot + 1) & ((1 << SLOT_BITS) - 1)
-            self._keys[slot], self._at[slot] = h, self._used
-            self._used += 1
+    def _learn(self, hashes: np.ndarray, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Ids of new pieces. Words with a space before them are encoded many at a time, as a text is cut there anyway."""
+        outside = np.concatenate([[0], np.cumsum(_kinds()[0][points] != _LETTER)])
+        words = (points[starts] == 32) & (ends - starts > 1) & (outside[ends] == outside[starts + 1])
+        if words.any():
+            self._learn_joined(hashes[words], points, starts[words], ends[words])
+        rest = np.flatnonzero(~words)
+        if len(rest):
+            texts = [points[a:b].tobytes().decode("utf-32-le") for a, b in zip(starts[rest].tolist(), ends[rest].tolist())]
+            self._add(hashes[rest], *self._each(texts))
+
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        made = [x.ids for x in self._vocabulary.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([len(m) for m in made], dtype=np.int64), np.array([x for m in made for x in m], dtype=np.int64)
+
+    def _learn_joined(self, hashes: np.ndarray, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        sizes = ends - starts
+        upto = np.cumsum(sizes)
+        own = points[np.repeat(starts - upto + sizes, sizes) + np.arange(upto[-1])]
+        cuts = np.concatenate([[0], upto[JOINED - 1 : -1 : JOINED], [upto[-1]]])
+        texts = [own[a:b].tobytes().decode("utf-32-le") for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()) if b > a]
+        _, ids = self._each(texts)
+        # a token belongs to the word in whose bytes it ends
+        width = 1 + (own >= 0x80) + (own >= 0x800) + (own >= 0x10000)
+        stops = np.cumsum(width)[upto - 1]
+        reached = np.cumsum(self._bytes[ids])
+        word = np.searchsorted(stops, reached)
+        counts = np.bincount(word, minlength=len(stops))
+        last = np.cumsum(counts) - 1
+        if len(counts) != len(stops) or not (counts > 0).all() or (reached[last] != stops).any():  # a vocabulary that lacks bytes
+            counts, ids = self._each([own[b - n : b].tobytes().decode("utf-32-le") for b, n in zip(upto.tolist(), sizes.tolist())])
+        self._add(hashes, counts, ids)
+
+    def _add(self, hashes: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        """Write behind what is known; arrays are made twice as long when they are full."""
+        known, filled = self._known, self._filled
+        upto, end = known + len(hashes), filled + len(ids)
+        if upto > len(self._hash):
+            self._hash, self._begin, self._count, self._met = (np.resize(x, 2 * upto) for x in (self._hash, self._begin, self._count, self._met))
+        if end > len(self._pool):
+            self._pool = np.resize(self._pool, 2 * end)
+        self._hash[known:upto], self._count[known:upto], self._met[known:upto] = hashes, counts, 0
+        self._begin[known:upto] = filled + np.cumsum(counts) - counts
+        self._pool[filled:end] = ids
+        self._known, self._filled = upto, end
+        self._insert(np.arange(known, upto))
 
 
 @lru_cache(1)
@@ -254,7 +322,7 @@ class BestFit:
         self.length, self.limit = length, open_bins
         self.free = 0  # bit f: some open bin has f free
         self.bins: dict[int, list[int]] = {}
-        self.open = self.opened = 0
+        self.open = self.opened = self.closed = 0
 
     def add(self, size: int) -> tuple[int, int]:
         """(bin, offset) of a piece of ``size``."""
@@ -267,6 +335,7 @@ class BestFit:
                 # the fullest closes
                 self._leave((self.free & -self.free).bit_length() - 1)
                 self.open -= 1
+                self.closed += 1
             space, name = self.length, self.opened
             self.opened += 1
             self.open += 1
@@ -287,7 +356,7 @@ class BestFit:
 
 
 def _pack(part: pd.DataFrame, settings: Settings) -> pd.DataFrame:
-    part = part.sort_values(["length", "turn", "doc_id", "piece"], ascending=[False, True, True, True], kind="stable")
+    part = part.sort_values(["turn", "doc_id", "piece"], kind="stable")
     fit = BestFit(settings.length, settings.open_bins)
     placed = [fit.add(n) for n in part["length"].tolist()]
     return part.assign(bin=[b for b, _ in placed], offset=[o for _, o in placed])

@@ -9,7 +9,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from hearthline.llm import line_dedup, periodic, whitening
+from hearthline.llm import line_dedup, packing, periodic, whitening
 from hearthline.llm.queries import QUERIES, with_run
 from tests.llm.test_operators import SMALL, nothing, odd_documents
 
@@ -287,3 +287,75 @@ def test_blocks_of_any_height_agree(spark):
     a = {r["vec_id"]: r["z"] for r in one.collect()}
     for r in other.collect():
         assert np.allclose(np.abs(a[r["vec_id"]]), np.abs(r["z"]))
+
+
+# ---------------------------------------------------------------- packing
+
+
+def plain_best_fit(sizes, length, limit):
+    """(bin, offset) of each size: among the open bins that hold it the fullest, the last one of equals."""
+    used, waiting, places, opened, closed = {}, [], [], 0, 0
+    for size in sizes:
+        holding = [b for b in waiting if used[b] + size <= length]
+        if holding:
+            most = max(used[b] for b in holding)
+            chosen = [b for b in holding if used[b] == most][-1]
+            waiting.remove(chosen)
+        else:
+            if len(waiting) >= limit:
+                most = max(used[b] for b in waiting)
+                waiting.remove([b for b in waiting if used[b] == most][-1])
+                closed += 1
+            chosen, opened = opened, opened + 1
+            used[chosen] = 0
+        places.append((chosen, used[chosen]))
+        used[chosen] += size
+        if used[chosen] < length:
+            waiting.append(chosen)
+    return places, closed
+
+
+@pytest.mark.parametrize("limit", [1, 2, 7, 40, 10_000])
+def test_best_fit_is_brute_force(limit):
+    rng = random.Random(limit)
+    for length, most in ((10, 9), (64, 63), (64, 20), (500, 499)):
+        sizes = [rng.randrange(1, most + 1) for _ in range(700)]
+        fit = packing.BestFit(length, limit)
+        places = [fit.add(n) for n in sizes]
+        expected, closed = plain_best_fit(sizes, length, limit)
+        assert places == expected and fit.closed == closed
+        assert closed > 0 or limit >= 40
+
+
+def test_bins_close_with_production_parameters():
+    """What a packer gets makes bins close by the bound, and few sequences more than the least possible."""
+    settings = packing.Settings()
+    rng = random.Random(4)
+    sizes = []
+    while sum(sizes) < settings.packer_tokens:
+        sizes.append(min(settings.length - 1, int(rng.lognormvariate(6, 1))))
+    fit = packing.BestFit(settings.length, settings.open_bins)
+    for n in sizes:
+        fit.add(n)
+    assert fit.closed > 100
+    assert fit.opened <= 1.02 * sum(sizes) / settings.length
+
+
+def test_a_full_table_keeps_what_is_met_often(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    library = Tokenizer.from_file(path)
+    monkeypatch.setattr(packing, "REMEMBERED", 300)
+    monkeypatch.setattr(packing, "BLOCK_POINTS", 2000)
+    rng = random.Random(6)
+    letters = "abcdeéß日ж"
+    often = ["".join(rng.choice(letters) for _ in range(5)) for _ in range(20)]
+    texts = []
+    for _ in range(400):
+        words = [rng.choice(often) if rng.random() < 0.5 else "".join(rng.choice(letters) for _ in range(rng.randrange(1, 12))) for _ in range(30)]
+        texts.append(rng.choice(["", " ", "\n", "12 "]) + rng.choice([" ", "  ", " - ", "\n "]).join(words))
+    made = packing.Tokenizer(path)
+    assert [x.tolist() for x in made.ids(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert made._known < 2500  # far fewer than there are different words
