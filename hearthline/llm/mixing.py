@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import stored
+from hearthline.llm.common import free_name, stored
 
 WORDS = "[^\\x20\\x09-\\x0D]+"
 SLICES = 1024
@@ -145,14 +145,18 @@ def _cuts(rows: DataFrame, slices: DataFrame, certain: DataFrame) -> DataFrame:
 def take(documents: DataFrame, **settings) -> DataFrame:
     """The mix itself: rows of ``documents``, each as often as it is taken, with the columns of ``documents``.
 
-    Copies are decided by id and text, so they come back to the rows by id and draw.
+    Copies are decided by id and text, so they come back to the rows by id and draw. Columns of any name come through; null
+    ids, texts and sources are values like others, a null or empty text is never taken, and an empty table gives no rows.
     """
     identifier, text = settings.get("id_column", "doc_id"), settings.get("text_column", "text")
-    decided = mix(documents, **settings).where("copies > 0").groupBy(F.col("doc_id").alias("__id"), F.col("draw").alias("__draw"), F.col("source").alias("__source")).agg(F.max("copies").alias("__copies"))
+    own, id_, draw, source_, copies = (free_name(documents, f"mix_{n}") for n in ("own", "id", "draw", "source", "copies"))
+    decided = mix(documents, **settings).where("copies > 0")
+    decided = decided.groupBy(F.col("doc_id").alias(id_), F.col("draw").alias(draw), F.col("source").alias(source_)).agg(F.max("copies").alias(copies))
     source = settings.get("source_column", "source")
-    marked = documents.withColumn("__own", _draw(F.col(identifier), F.col(text).cast("string")))
+    marked = documents.withColumn(own, _draw(F.col(identifier), F.col(text).cast("string")))
     both = marked.join(
         decided,
-        (F.col("__own") == F.col("__draw")) & F.col(identifier).eqNullSafe(F.col("__id")) & F.col(source).cast("string").eqNullSafe(F.col("__source")),
+        (F.col(own) == F.col(draw)) & F.col(identifier).eqNullSafe(F.col(id_)) & F.col(source).cast("string").eqNullSafe(F.col(source_)),
     )
-    return both.withColumn("__copy", F.explode(F.expr("sequence(1L, __copies)"))).select(*documents.columns)
+    columns = [F.col(c) for c in documents.columns]
+    return both.select(*columns, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias(copies)).drop(copies)

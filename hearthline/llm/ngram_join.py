@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthline.llm import wordhash
-from hearthline.llm.common import give_back, map_arrow, stored
+from hearthline.llm.common import free_name, give_back, map_arrow, stored
 from hearthline.llm.components import components, stars
 from hearthline.llm.neardup_vectors import _runs
 from hearthline.session import ship
@@ -34,13 +34,17 @@ from hearthline.session import ship
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample_rows`` documents and ``frequent`` shingles bound the table of frequent shingles; it only affects speed."""
+    """``sample_rows`` documents and ``frequent`` shingles bound the table of frequent shingles; it only affects speed.
+
+    ``compare`` sketches are compared with as many others in a piece of work, ``block`` sets with others by a trie.
+    """
 
     width: int = 5
     percent: int = 80
     sample_rows: int = 16_384
     frequent: int = 1 << 18
     block: int = 64
+    compare: int = 1024
     remembered: int = 1 << 16
 
 
@@ -252,14 +256,37 @@ def _candidates(found: DataFrame, s: Settings) -> DataFrame:
     open_ = named.groupBy("shingle").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 < g1")
     left_over = named.join(open_.select("shingle"), "shingle")
     main = left_over.where("node = centre").select("shingle", F.col("group").alias("main")).distinct()
-    # sets outside the centre's group come first and are compared with all that follow
     rows = left_over.join(main, "shingle").select("shingle", "node", "group", (F.col("group") == F.col("main")).cast("int").alias("late"))
-    carried = rows.distinct().join(bodies, "node")
-    dealt = carried.repartition("shingle").sortWithinPartitions("shingle", "late", "node")
+    return stars(groups, "a", "b").unionByName(_compared(_cells(rows.distinct().join(bodies, "node"), s), s))
+
+
+def _cells(rows: DataFrame, s: Settings) -> DataFrame:
+    """Pieces of work for the sets of open shingles (shingle, node, group, late, n, sketch): those outside the centre's group
+    (``probe``) against all, a block of the ones and a block of the others in each cell.
+
+    Sets are kept by classes of size, of which only neighbours can hold similar sets. However many sets share a shingle, a cell
+    has about ``compare`` of each kind.
+    """
+    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / s.percent))).cast("int")
+    kept = rows.withColumn("class", size)
+    probes = rows.where("late = 0").withColumn("class", F.explode(F.array(size - 1, size, size + 1)))
+    key = ["shingle", "class"]
+    counts = kept.groupBy(*key).agg(F.ceil(F.count("*") / s.compare).cast("int").alias("blocks"))
+    counts = counts.join(probes.groupBy(*key).agg(F.ceil(F.count("*") / s.compare).cast("int").alias("of_probes")), key)
+    deal = lambda parts: F.pmod(F.xxhash64("node"), F.col(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    columns = [*key, "i", "j", "probe", "node", "group", "n", "sketch"]
+    stay = kept.join(counts, key).withColumn("probe", F.lit(0)).withColumn("j", deal("blocks")).withColumn("i", every("of_probes"))
+    move = probes.join(counts, key).withColumn("probe", F.lit(1)).withColumn("i", deal("of_probes")).withColumn("j", every("blocks"))
+    return stay.select(columns).unionByName(move.select(columns))
+
+
+def _compared(cells: DataFrame, s: Settings) -> DataFrame:
+    """(a, b): pairs of each cell that their sketches do not tell apart, without those that are connected already."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, waiting = None, []
-        above: dict[int, int] = {}  # groups that pairs of this task have connected
+        cell, kept = None, []
+        above: dict[int, int] = {}  # groups that pairs of this cell have connected
 
         def top(group: int) -> int:
             while group in above:
@@ -269,21 +296,25 @@ def _candidates(found: DataFrame, s: Settings) -> DataFrame:
         for part in batches:
             out = []
             columns = {n: part.column(k).to_pylist() for k, n in enumerate(part.schema.names)}
-            for key, node, group, late, n, bits in zip(*(columns[c] for c in ("shingle", "node", "group", "late", "n", "sketch"))):
-                if key != shingle:
-                    shingle, waiting = key, []
+            own_cells = zip(*(columns[c] for c in ("shingle", "class", "i", "j")))
+            for own_cell, probe, node, group, n, bits in zip(own_cells, *(columns[c] for c in ("probe", "node", "group", "n", "sketch"))):
+                if own_cell != cell:
+                    cell, kept = own_cell, []
+                    above.clear()
                 own = np.frombuffer(bits, dtype=np.uint8)
-                for other, g, m, b in waiting:
-                    if 100 * min(n, m) >= s.percent * max(n, m) and top(g) != top(group) and may_match(n, own, m, b, s.percent):
+                if not probe:
+                    kept.append((node, group, n, own))
+                    continue
+                for other, g, m, b in kept:
+                    if other != node and 100 * min(n, m) >= s.percent * max(n, m) and top(g) != top(group) and may_match(n, own, m, b, s.percent):
                         out.append((node, other))
                         above[max(top(g), top(group))] = min(top(g), top(group))
-                if not late:
-                    waiting.append((node, group, n, own))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
         give_back()
 
-    more = dealt.mapInArrow(compare, "a bigint, b bigint").distinct()
-    return stars(groups, "a", "b").unionByName(more)
+    dealt = cells.withColumn("deal", F.xxhash64("shingle", "class", "i", "j")).repartition("deal")
+    ordered = dealt.sortWithinPartitions("deal", "shingle", "class", "i", "j", "probe", "node")
+    return ordered.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def _sketched(pairs: DataFrame, s: Settings) -> DataFrame:
@@ -316,11 +347,11 @@ def _linked(cells: DataFrame, s: Settings) -> DataFrame:
 
 
 def jaccard_groups(documents: DataFrame, settings: Settings = Settings(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, text_key, n_shingles, component_id) of every row; component_id is the smallest doc_id reachable by links.
+    """(doc_id, text_key, n_shingles, component_id, component) of every row; component_id is the smallest doc_id reachable by links.
 
     Words are lower-cased in A-Z. A text with fewer words than a shingle has its whole sequence as one; a null text or one without
-    words has an empty set and is a component of its own. Equal sets are linked. A null id is never the smallest; a component
-    without any id has none. Rows that share an id are linked each by its own text. Empty table: no rows.
+    words has an empty set and is a component of its own. Equal sets are linked. A null id is never the smallest, but links go
+    through its text; a component without any id has none, and ``component`` (null for empty sets) tells it apart. Rows that share an id are linked each by its own text. Empty table: no rows.
     """
     s = settings
     ship(documents.sparkSession)
@@ -332,19 +363,24 @@ def jaccard_groups(documents: DataFrame, settings: Settings = Settings(), id_col
     some = found.where("n_shingles > 0").groupBy("low", "high", "n_shingles").agg(F.min("doc_id").alias("id"))
     named = some.join(member.withColumnRenamed("node", "low"), "low", "left").withColumn("component", F.coalesce("component", "low"))
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))
-    known = named.join(least, "component").select(F.col("low").alias("l"), F.col("high").alias("h"), F.col("n_shingles").alias("n"), "component_id")
+    known = named.join(least, "component").select(F.col("low").alias("l"), F.col("high").alias("h"), F.col("n_shingles").alias("n"), "component_id", "component")
     on = (F.col("low") == F.col("l")) & (F.col("high") == F.col("h")) & (F.col("n_shingles") == F.col("n"))
     out = found.select("doc_id", "text_key", "n_shingles", "low", "high").join(known, on, "left")
-    return out.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "component")
 
 
 def _join(documents: DataFrame, found: DataFrame, groups: DataFrame, frequent: tuple, s: Settings, id_column: str, text_column: str) -> DataFrame:
     """Step 3: (node, component) by the exact links among the sets of each candidate group."""
     counts = groups.groupBy("component").agg(F.count("*").alias("members"))
     cells = groups.join(counts, "component").withColumn("parts", F.ceil(F.col("members") / s.block).cast("int"))
-    # one document for each set that is in a group
-    ids = found.where("n_shingles > 0").join(groups.select(F.col("node").alias("low")), "low").groupBy("low").agg(F.min("doc_id").alias("doc_id"))
-    chosen = documents.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).cast("string").alias("text")).join(ids, "doc_id")
+    # one document for each set that is in a group: by its id, or by its text where no row of the set has an id
+    wanted = found.where("n_shingles > 0").join(groups.select(F.col("node").alias("low")), "low")
+    ids = wanted.groupBy("low").agg(F.min("doc_id").alias("id"), F.min(F.when(F.col("doc_id").isNull(), F.col("text_key"))).alias("key"))
+    texts = documents.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).cast("string").alias("text"))
+    named = texts.where("id IS NOT NULL").join(ids.where("id IS NOT NULL").select("id", "low"), "id")
+    nameless = texts.where("id IS NULL").withColumn("key", F.xxhash64("text")).groupBy("key").agg(F.first("text").alias("text"))
+    nameless = nameless.join(ids.where("id IS NULL").select("key", "low"), "key")
+    chosen = named.select("low", "text").unionByName(nameless.select("low", "text"))
 
     def batch(part: pa.RecordBatch) -> pa.RecordBatch:
         names = part.schema.names
@@ -368,11 +404,15 @@ def _join(documents: DataFrame, found: DataFrame, groups: DataFrame, frequent: t
     apart = large.join(main, "component").where("linked <> main").select("node", "component", "parts")
     if apart.isEmpty():
         return member
-    visits = bodies.join(apart, "node").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    needed_cells = apart.select("component").distinct()
-    hosts = placed.join(needed_cells, "component", "left_semi")
-    rows = visits.select(F.col("component").alias("cell"), "part", "node", F.lit(True).alias("probe"), F.lit(False).alias("kept"), "body").unionByName(
-        hosts.select(F.col("component").alias("cell"), "part", "node", F.lit(False).alias("probe"), F.lit(True).alias("kept"), "body")
+    # a block of them and a block of the group's sets in each cell
+    sizes = apart.groupBy("component").agg(F.ceil(F.count("*") / (4 * s.block)).cast("int").alias("rounds"))
+    apart = apart.join(sizes, "component")
+    place = F.col("round") * F.col("parts") + F.col("part")
+    round_ = F.pmod(F.xxhash64("node", F.lit(1)), F.col("rounds")).cast("int")
+    visits = bodies.join(apart, "node").withColumn("round", round_).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    hosts = placed.join(sizes, "component").withColumn("round", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)))
+    rows = visits.select(F.col("component").alias("cell"), place.alias("part"), "node", F.lit(True).alias("probe"), F.lit(False).alias("kept"), "body").unionByName(
+        hosts.select(F.col("component").alias("cell"), place.alias("part"), "node", F.lit(False).alias("probe"), F.lit(True).alias("kept"), "body")
     )
     return components(stars(member, "a", "b").unionByName(_linked(rows, s)), "a", "b")
 
@@ -380,13 +420,18 @@ def _join(documents: DataFrame, found: DataFrame, groups: DataFrame, frequent: t
 def keep_one(documents: DataFrame, settings: Settings = Settings(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Rows of ``documents`` of which one of each group stays: the one with the group's smallest id.
 
-    Rows without words, and rows of groups without an id, all stay. Of rows that agree in id and text one stays.
+    Rows without words all stay. Of a group without any id a row with the smallest hash of its text stays. Of rows that agree
+    in id and text one stays. Columns of any name come through.
     """
     found = stored(jaccard_groups(documents, settings, id_column, text_column).where("n_shingles > 0"), "kept")
-    name = {"doc_id": "__id", "text_key": "__key"}
-    gone = found.where("component_id IS NOT NULL AND NOT doc_id <=> component_id").select("doc_id", "text_key").distinct().withColumnsRenamed(name)
-    twice = found.where("doc_id = component_id").groupBy("doc_id", "text_key").count().where("count > 1").drop("count").withColumnsRenamed(name)
-    same = F.col(id_column).cast("bigint").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_column).cast("string")) == F.col("__key"))
+    least = found.where("component_id IS NULL").groupBy("component").agg(F.min("text_key").alias("least"))
+    judged = found.join(least, "component", "left")
+    stays = F.when(F.col("component_id").isNull(), F.col("text_key") == F.col("least")).otherwise(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    id_, key = free_name(documents, "kept_id"), free_name(documents, "kept_key")
+    name = {"doc_id": id_, "text_key": key}
+    gone = judged.where(~stays).select("doc_id", "text_key").distinct().withColumnsRenamed(name)
+    twice = judged.where(stays).groupBy("doc_id", "text_key").count().where("count > 1").drop("count").withColumnsRenamed(name)
+    same = F.col(id_column).cast("bigint").eqNullSafe(F.col(id_)) & (F.xxhash64(F.col(text_column).cast("string")) == F.col(key))
     if twice.isEmpty():
         return documents.join(gone, same, "left_anti")
     repeated = documents.join(twice, same, "left_semi").dropDuplicates([id_column, text_column])

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from hearthline.llm import line_dedup, packing, periodic, whitening
+from hearthline.llm import line_dedup, mixing, ngram_join, packing, periodic, whitening
 from hearthline.llm.queries import QUERIES, with_run
-from tests.llm.test_operators import SMALL, nothing, odd_documents
+from tests.llm.test_operators import SMALL, nothing, odd_documents, shingles, smallest_reachable
 
 # ---------------------------------------------------------------- periodic runs
 
@@ -359,3 +359,77 @@ def test_a_full_table_keeps_what_is_met_often(monkeypatch):
     made = packing.Tokenizer(path)
     assert [x.tolist() for x in made.ids(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
     assert made._known < 2500  # far fewer than there are different words
+
+
+# ---------------------------------------------------------------- n-gram join
+
+
+def linked_documents():
+    """Bridges through rows without an id, and groups of which no row has one."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    left = [word() for _ in range(60)]
+    middle = [word() for _ in range(5)] + left[5:]
+    right = middle[:-5] + [word() for _ in range(5)]
+    alone = [word() for _ in range(40)]
+    near = [*alone[:-1], word()]
+    rows = [(5, left), (None, middle), (9, right), (None, alone), (None, near), (None, near), (30, ["other", "words"]), (None, ["other", "words"])]
+    # many sets that have one shingle in common and nothing else
+    common = [word() for _ in range(5)]
+    rows += [(100 + k, common + [word() for _ in range(9)]) for k in range(60)]
+    rows += [(200, rows[20][1][:-1]), (201, rows[20][1] + [word()])]
+    return [(i, " ".join(words)) for i, words in rows]
+
+
+def groups_by_hand(rows):
+    sets = [shingles(text) for _, text in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    group = smallest_reachable(range(len(rows)), links)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[group[k]] = min(i, least.get(group[k], i))
+    return group, [least.get(group[k]) for k in range(len(rows))]
+
+
+def test_links_go_through_rows_without_an_id(spark):
+    rows = linked_documents()
+    frame = spark.createDataFrame([(*r, 1, "x", 7) for r in rows], "doc_id bigint, text string, kept_id int, kept_key string, low int")
+    group, want = groups_by_hand(rows)
+    assert want[2] == 5 and want[3] is None
+    for settings in (ngram_join.Settings(), ngram_join.Settings(block=2, frequent=4, compare=3)):
+        got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_groups(frame, settings).collect())
+        assert got == Counter((i, len(shingles(text)), c) for (i, text), c in zip(rows, want))
+    kept = ngram_join.keep_one(frame)
+    assert kept.columns == frame.columns
+    found = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert len(found) == len(set(group.values()))
+    # one of each group, the one with the smallest id
+    members = {}
+    for k, row in enumerate(rows):
+        members.setdefault(group[k], []).append((row, want[k]))
+    for own in members.values():
+        assert sum((i, text) in [r for r, _ in own] and (c is None or i == c) for i, text in found for c in [own[0][1]]) == 1
+
+
+def test_cells_are_bounded(spark):
+    """Thousands of sets that share one shingle, none in the centre's group: every piece of work stays small."""
+    n = 3000
+    rows = spark.range(n).selectExpr("1L AS shingle", "id AS node", "id AS `group`", "cast(id = 0 AS int) AS late", "20 + id % 30 AS n", "cast('x' AS binary) AS sketch")
+    cells = ngram_join._cells(rows, ngram_join.Settings(compare=50))
+    sizes = cells.groupBy("class", "i", "j").count()
+    assert sizes.agg({"count": "max"}).first()[0] <= 4 * 50
+    # every similar pair meets: each probe is with all sets of its class and of the neighbouring ones
+    met = cells.where("probe = 1").alias("p").join(cells.where("probe = 0").alias("k"), ["class", "i", "j"]).where("p.node < 40 AND p.node <> k.node")
+    pairs = {(r[0], r[1]) for r in met.select("p.node", "k.node").collect()}
+    size = lambda x: 20 + x % 30
+    assert {(a, b) for a in range(1, 40) for b in range(n) if a != b and 100 * min(size(a), size(b)) >= 80 * max(size(a), size(b))} <= pairs
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    frame = odd_documents(spark).selectExpr("*", "1 AS mix_copies", "2 AS mix_id", "3 AS mix_own", "4 AS __copies")
+    taken = mixing.take(frame)
+    assert taken.columns == frame.columns
+    counts = mixing.mix(frame).agg({"copies": "sum"}).first()[0]
+    assert taken.count() == counts > 0
+    assert mixing.take(frame.limit(0)).count() == 0
