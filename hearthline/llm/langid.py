@@ -6,8 +6,9 @@ text, with each run of other characters as one blank. A text's margins are decod
 has the smallest sum of weighted logistic losses is chosen, and the gap to the next one says how ambiguous the text is.
 Weights of bits come from the accuracy of their classifiers.
 
-Classifiers are fitted on the driver from a bounded sample (``Settings.sample_rows`` documents and ``sample_chars``
-characters of each language, and pieces of them, so that short texts are known too); prediction is one narrow pass.
+Classifiers are fitted on the driver from a bounded sample of every language (``Settings``): a stretch of each sampled
+document, and pieces of it, so that short texts are known too. The sample takes two passes, however many languages there are;
+prediction is one narrow pass.
 """
 
 from __future__ import annotations
@@ -17,16 +18,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import bounded_sample, crc_fold, map_arrow
+from hearthline.llm.common import crc_fold, map_arrow
 
 
 @dataclass(frozen=True)
 class Settings:
+    """The sample: ``sample_rows`` documents of each language, of each at most ``sample_chars`` characters in a row.
+
+    Where there are many languages each has fewer, so that all have ``most_rows`` together, but ``least_rows`` at least.
+    """
+
     sample_rows: int = 200
-    sample_chars: int = 200_000
+    sample_chars: int = 1000
+    most_rows: int = 20_000
+    least_rows: int = 8
     pieces: tuple[int, ...] = (15, 40, 120, 400)
     buckets: int = 1 << 14
     most_bits: int = 31
@@ -50,12 +58,15 @@ class Model:
 
 
 def codewords(n: int, most_bits: int) -> np.ndarray:
-    """Codes of n languages: all splits of them in two (the exhaustive code) where these fit, else random ones far apart."""
+    """Codes of n languages: all splits of them in two (the exhaustive code) where these fit, else random ones far apart.
+
+    Two and three languages have too few splits to correct an error, so each of these is there more than once; see ``fit``.
+    """
     if n == 1:
         return np.ones((1, 1))
     if 2 ** (n - 1) - 1 <= most_bits:
         bits = [[1, *rest] for rest in itertools.product((1, -1), repeat=n - 1) if -1 in rest]
-        return np.array(bits, dtype=float).T
+        return np.tile(np.array(bits, dtype=float).T, (1, {2: 3, 3: 2}.get(n, 1)))
     rng, best = np.random.Generator(np.random.PCG64(7)), None
     for _ in range(200):
         trial = rng.choice([-1.0, 1.0], size=(n, most_bits))
@@ -98,6 +109,7 @@ def grams(text: str | None, buckets: int) -> np.ndarray:
 def fit(texts: list[str], languages: list[str], settings: Settings = Settings()) -> Model:
     """Logistic classifiers of all bits at once, by gradient descent on whole texts and pieces of them.
 
+    Bits of one split learn from different thirds less of the texts, so that they can be wrong one by one.
     One language only: it is always chosen. No text at all: a model without languages, which predicts ``und``.
     """
     names = sorted(set(languages))
@@ -105,8 +117,8 @@ def fit(texts: list[str], languages: list[str], settings: Settings = Settings())
     if not names:
         return Model([], np.zeros((0, 1)), empty, np.zeros(1), np.ones(1), settings.buckets, 1.0, settings.ambiguous)
     codes = codewords(len(names), settings.most_bits)
-    rows, labels = [], []
-    for text, name in zip(texts, languages):
+    rows, labels, texts_of = [], [], []
+    for at, (text, name) in enumerate(zip(texts, languages)):
         parts = [text]
         for k, n in enumerate(settings.pieces):
             begin = (len(text) * (k + 1)) // (len(settings.pieces) + 2)
@@ -116,6 +128,7 @@ def fit(texts: list[str], languages: list[str], settings: Settings = Settings())
             if len(found):
                 rows.append(np.unique(found, return_counts=True))
                 labels.append(names.index(name))
+                texts_of.append(at)
     if not rows:
         return Model([], np.zeros((0, 1)), empty, np.zeros(1), np.ones(1), settings.buckets, 1.0, settings.ambiguous)
     owner = np.repeat(np.arange(len(rows)), [len(f) for f, _ in rows])
@@ -129,6 +142,10 @@ def fit(texts: list[str], languages: list[str], settings: Settings = Settings())
     memory = np.full((settings.buckets, bits), 1e-8)
     begins = np.concatenate(([0], np.flatnonzero(np.diff(owner)) + 1))
     balance = (1.0 / counts[labels] / len(names))[:, None]
+    same = np.array([(codes[:, :k] == codes[:, k : k + 1]).all(axis=0).sum() for k in range(bits)])
+    if same.any():
+        learned = (np.array(texts_of)[:, None] + same[None, :]) % 3 != 0
+        balance = balance * learned
     order = np.argsort(what, kind="stable")
     used, first = np.unique(what[order], return_index=True)
     for _ in range(settings.rounds):
@@ -139,7 +156,7 @@ def fit(texts: list[str], languages: list[str], settings: Settings = Settings())
         weights[used] += 0.3 * slope / np.sqrt(memory[used])
         bias += 0.5 * pull.sum(axis=0)
     margin = scale * np.add.reduceat(weights[what] * share[:, None], begins, axis=0) + bias
-    right = np.clip((balance * (sides * margin > 0)).sum(axis=0), 0.5, 1 - 1e-3)
+    right = np.clip((balance * (sides * margin > 0)).sum(axis=0) / np.maximum(balance.sum(axis=0), 1e-9), 0.5, 1 - 1e-3)
     trust = np.log(right / (1 - right)) + 1e-3
     return Model(names, codes, weights, bias, trust / trust.sum(), settings.buckets, scale, settings.ambiguous)
 
@@ -166,26 +183,28 @@ def predict_texts(model: Model, texts: list[str | None]) -> list[tuple[str, floa
 
 
 def training_sample(documents: DataFrame, settings: Settings = Settings()) -> tuple[list[str], list[str]]:
-    """Texts and languages of at most ``sample_rows`` documents of each language outside the held-out fold."""
+    """Stretches of text and their languages, of each language's documents with the smallest hashes outside the held-out fold.
+
+    Every language that has a document with an id and a text is there. A stretch of a longer document begins at a place
+    drawn by hash. A language's rows are cut to its share inside each task before they are shuffled, without whole texts.
+    """
     usable = documents.where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").where(crc_fold(F.col("doc_id"), 3) != 1)
-    texts, languages = [], []
-    for name in [r.lang for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256).collect()]:
-        own = usable.where(F.col("lang") == name)
-        sizes = own.select("doc_id", F.length("text").alias("n"))
-        ids, room = [], settings.sample_chars
-        for row in bounded_sample(sizes, settings.sample_rows, F.col("doc_id")).collect():
-            if row.n <= room:
-                room -= row.n
-                ids.append(row.doc_id)
-        if ids:
-            found = own.where(F.col("doc_id").isin(sorted(set(ids)))).select("doc_id", "text").collect()
-            chosen = sorted({(r.doc_id, r.text) for r in found})
-            texts += [t for _, t in chosen]
-            languages += [name] * len(chosen)
-    return texts, languages
+    n = usable.agg(F.count_distinct("lang")).first()[0]
+    if not n:
+        return [], []
+    own = max(settings.least_rows, min(settings.sample_rows, settings.most_rows // n))
+    draw = F.xxhash64("doc_id", "lang")
+    room = F.greatest(F.length("text") - settings.sample_chars, F.lit(0)) + 1
+    stretch = F.substring("text", (F.pmod(draw, room) + 1).cast("int"), F.lit(settings.sample_chars))
+    rows = usable.select(F.col("lang").cast("string").alias("lang"), "doc_id", draw.alias("draw"), stretch.alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "text"))
+    found = rows.withColumn("place", place).where(F.col("place") <= own).select("lang", "doc_id", "text").collect()
+    chosen = sorted({(r.lang, r.doc_id, r.text) for r in found})
+    return [t for _, _, t in chosen], [name for name, _, _ in chosen]
 
 
 def train(documents: DataFrame, settings: Settings = Settings()) -> Model:
+    """A model of every language outside the held-out fold; rows without id, text or language teach nothing."""
     return fit(*training_sample(documents, settings), settings)
 
 
