@@ -1,9 +1,11 @@
 """Main text of web pages: site template removal.
 
 Pages become trees. Every element with text gets a hash of its whole subtree; Spark counts, for each host, on how many of its
-different pages a subtree occurs, and subtrees that recur on many of them are the site's template. Pages whose articles are
-copies or near copies of each other have one vote together. A second pass deletes these, along
-with elements that are no article by their tag, class or role (menus, adverts, forms, notices, comments ...) unless they hold
+different pages a subtree occurs, and subtrees that recur on many of them are the site's template. A menu, an advert or a footer
+has other words on each page, so there is a second hash, of an element's place and shape: tags, classes and where links and
+texts are, runs of equal parts as one. A shape counts only beside the way that leads down to most of a page's text (on the
+host's pages), never on it or below it. Pages whose articles are copies or near copies of each other have one vote together. A
+second pass deletes what recurs and then chooses the article, along with elements that are no article by their tag, class or role (menus, adverts, forms, notices, comments ...) unless they hold
 most of the text, takes the article if the page marks one, and joins its blocks.
 """
 
@@ -76,6 +78,9 @@ _ENDS = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select", "datalist"}),
 }
+#: Elements whose shape may be a template's, if they are of the first kind, have a class or id, or hold links.
+_PARTS = set("aside dialog footer form header menu nav".split())
+_HOLDERS = _PARTS | set("article body center details div dl fieldset html main ol section table tbody td tr ul #root".split())
 _SCOPE = {"td", "th", "table", "article", "body", "html", "button", "object", "caption"}
 
 _TAG = re.compile(
@@ -94,6 +99,8 @@ class Node:
     #: Strings and nodes in page order.
     inside: list = field(default_factory=list)
     key: int = 0
+    #: Hash of tags, classes and the places of links and texts.
+    shape: int = 0
     #: Hidden, and named as no part of an article.
     dropped: bool = False
     aside: bool = False
@@ -224,6 +231,13 @@ def _finish(node: Node, parent: Node) -> None:
     if node.tag == "a":
         node.links += 1
         node.linked = node.size
+    if node.tag in _BLOCK or node.tag == "a":
+        shapes = [x.shape if not isinstance(x, str) else -1 if x.strip() else 0 for x in node.inside]
+        shapes = [x for x in shapes if x]
+        runs = [x for k, x in enumerate(shapes) if not k or x != shapes[k - 1]]
+        node.shape = xxhash.xxh3_64_intdigest(f"{node.tag}\x1f{_even_marks(node.marks)}\x1f{runs}".encode("utf-8", "surrogatepass")) | 1
+    else:
+        node.shape = -1 if node.size else 0  # text, marked up or not
     node.key = xxhash.xxh3_64_intdigest("\x1f".join(parts).encode("utf-8", "surrogatepass"))
     parent.size += node.size
     if not (node.dropped or node.aside or node.tag in _DROP or node.tag in _SOFT):
@@ -245,6 +259,65 @@ def subtree_keys(root: Node) -> set[int]:
     return {_signed(x.key) for x in walk(root) if x.size and x.tag in _BLOCK and x.tag not in _WHOLE}
 
 
+@lru_cache(1 << 14)
+def _even_marks(marks: str) -> str:
+    """Classes and ids without their numbers: post-12 and post-13 are one."""
+    return re.sub(r"\d+", "0", marks.strip())
+
+
+def _address(above: int, node: Node) -> int:
+    return xxhash.xxh3_64_intdigest(f"{above}\x1f{node.tag}\x1f{_even_marks(node.marks)}")
+
+
+def _shape_key(address: int, node: Node) -> int:
+    return _signed(xxhash.xxh3_64_intdigest(f"{address}\x1e{node.shape}"))
+
+
+def _may_be_part(x: Node) -> bool:
+    return x.size > 0 and x.tag in _HOLDERS and x.tag not in _WHOLE and (x.tag in _PARTS or bool(x.marks) or x.links > 0)
+
+
+def shape_keys(root: Node) -> tuple[set[int], set[int], set[int]]:
+    """(shapes, places, ways) of a page: shapes with their place beside the way down to most of its text, places of all elements
+    that hold others, and those of them that hold at least half of the text."""
+    shapes, sizes = set(), {}
+    waiting = [(root, _address(0, root), True)]
+    while waiting:
+        node, address, on_way = waiting.pop()
+        sizes[_signed(address)] = sizes.get(_signed(address), 0) + node.size
+        for x in node.inside:
+            if not isinstance(x, str) and x.size and x.tag in _HOLDERS:
+                own = _address(address, x)
+                way = on_way and 2 * x.size >= root.size
+                if on_way and not way and _may_be_part(x):
+                    shapes.add(_shape_key(own, x))
+                waiting.append((x, own, way))
+    return shapes, set(sizes), {a for a, n in sizes.items() if 2 * n >= root.size > 0}
+
+
+def drop_shapes(root: Node, template: set[int], way: set[int]) -> int:
+    """Mark the elements whose shape is template as dropped, beside the host's way to the text; how many there are.
+
+    The children of the last element on the way are the text and stay.
+    """
+    found = 0
+    node, address, above = root, _address(0, root), []
+    while True:
+        children = [(x, _address(address, x)) for x in node.inside if not isinstance(x, str) and x.size and x.tag in _HOLDERS]
+        following = [(x, a) for x, a in children if _signed(a) in way]
+        if not following:
+            return found
+        above.append(node)
+        for x, a in children:
+            if _signed(a) not in way and _may_be_part(x) and _shape_key(a, x) in template:
+                x.dropped = True
+                found += 1
+                lost = 0 if x.aside or x.tag in _DROP or x.tag in _SOFT else x.plain
+                for y in above:
+                    y.size, y.plain, y.linked, y.links = y.size - x.size, y.plain - lost, y.linked - x.linked, y.links - x.links
+        node, address = max(following, key=lambda f: f[0].size)
+
+
 def voter(root: Node) -> tuple[str, bool]:
     """The text that a page's vote is made of, and whether it is that of a marked article."""
     start = _article(root)
@@ -268,12 +341,15 @@ def _signed(key: int) -> int:
     return key - (1 << 64) if key >> 63 else key
 
 
-def main_text(page: str, template: set[int], s: Settings = Settings(), copies: bool = False) -> str:
+def main_text(page: str, template: set[int], s: Settings = Settings(), copies: bool = False, way: set[int] | frozenset[int] = frozenset()) -> str:
     """Text of the article, blocks joined by line ends. A page all of which is template keeps its text.
 
-    On a host that consists of ``copies``, what recurs may be the article: a marked one most of which is template stays whole.
+    Shapes beside the ``way`` are deleted before the article is chosen. On a host that consists of ``copies``, what recurs may be
+    the article: a marked one most of which is template stays whole.
     """
     root = parse(page)
+    if way and drop_shapes(root, template, way) and not root.size:
+        root = parse(page)
     start = _article(root)
     text = _blocks(start, template, s)
     if not template or text and not (copies and start.tag not in _WHOLE):
@@ -359,33 +435,44 @@ def host_of(url):
 
 
 def site_templates(pages: DataFrame, s: Settings = Settings(), url_column: str = "url", html_column: str = "html") -> DataFrame:
-    """(host, keys, copies): subtrees that recur on many different pages of each host, and whether most of its pages are copies.
+    """(host, keys, copies, way): subtrees and shapes that recur on many different pages of each host, whether most of its pages
+    are copies, and the places that hold most of the text where they occur.
 
-    Counted by (host, subtree, vote) and then by (host, subtree), so a large host is spread, and combined before each
-    shuffle. A host's keys are few: all of them are on a share of its different pages, so there are at most 1 / share times
-    as many as a page has elements on average.
+    Counted by (host, key, vote) and then by (host, key), so a large host is spread, and combined before each shuffle. A host's
+    keys are few: all of them are on a share of its different pages, so there are at most 1 / share times as many as a page has
+    elements on average. Hosts without such a key have no row; null urls are host ''; an empty table gives no rows.
     """
     rows = pages.select(host_of(F.col(url_column)).alias("host"), F.col(html_column).cast("string").alias("html"))
 
     def batch(part: pa.RecordBatch) -> pa.RecordBatch:
-        hosts, keys, counts, voters = [], [], [], []
+        hosts, keys, most, counts, voters = [], [], [], [], []
         for host, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
             root = parse(page or "")
-            found = subtree_keys(root)
+            shapes, places, ways = shape_keys(root)
+            found = subtree_keys(root) | shapes
             voters.append(voter(root))
-            counts.append(len(found) + 1)
+            counts.append(len(found) + len(places) + 1)
             hosts.extend([host] * counts[-1])
             keys.append(None)  # the page itself
+            most.append(None)
             keys.extend(found)
+            most.extend([None] * len(found))
+            keys.extend(places)
+            most.extend(int(p in ways) for p in places)
         own = np.repeat(np.array(votes(voters), dtype=np.int64), counts)
-        return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(own)], ["host", "key", "vote"])
+        return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(own), pa.array(most, pa.int32())], ["host", "key", "vote", "most"])
 
-    single = map_arrow(rows, batch, "host string, key bigint, vote bigint").groupBy("host", "key", "vote").agg(F.count("*").alias("n"))
-    counted = single.groupBy("host", "key").agg(F.count("*").alias("n"), F.sum("n").alias("pages"))
-    kept = stored(counted.where((F.col("n") >= s.least_pages) | F.col("key").isNull()), "recurring")
+    single = map_arrow(rows, batch, "host string, key bigint, vote bigint, most int").groupBy("host", "key", "vote").agg(F.count("*").alias("n"), F.max("most").alias("most"))
+    counted = single.groupBy("host", "key").agg(F.count("*").alias("n"), F.sum("n").alias("pages"), F.sum("most").alias("most"))
+    kept = stored(counted.where((F.col("n") >= s.least_pages) & (F.col("most").isNull() | (F.col("most") > 0)) | F.col("key").isNull()), "recurring")
     sizes = kept.where("key IS NULL").select(F.col("host").alias("of"), F.col("n").alias("different"), F.col("pages").alias("all"))
-    often = kept.where("key IS NOT NULL").join(sizes, F.col("host") == F.col("of")).where(F.col("n") >= s.least_share * F.col("different"))
-    return often.groupBy("host").agg(F.collect_set("key").alias("keys"), F.first(2 * F.col("different") < F.col("all")).alias("copies"))
+    named = kept.where("key IS NOT NULL").join(sizes, F.col("host") == F.col("of"))
+    often = named.where(F.when(F.col("most").isNull(), F.col("n") >= s.least_share * F.col("different")).otherwise(2 * F.col("most") >= F.col("n")))
+    return often.groupBy("host").agg(
+        F.collect_set(F.when(F.col("most").isNull(), F.col("key"))).alias("keys"),
+        F.first(2 * F.col("different") < F.col("all")).alias("copies"),
+        F.collect_set(F.when(F.col("most").isNotNull(), F.col("key"))).alias("way"),
+    )
 
 
 def extract(
@@ -404,16 +491,16 @@ def extract(
     # they are; no other host is large enough to be a burden to one task of a join
     total = pages.count()
     sizes = rows.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") * HEAVY > total).select(F.col("host").alias("big"))
-    heavy = stored(sizes.join(named, F.col("big") == F.col("of"), "left").select("big", "keys", "copies"), "heavy-hosts")
-    columns = ["page_id", "url", "host", "html", "keys", "copies"]
+    heavy = stored(sizes.join(named, F.col("big") == F.col("of"), "left").select("big", "keys", "copies", "way"), "heavy-hosts")
+    columns = ["page_id", "url", "host", "html", "keys", "copies", "way"]
     large = rows.join(F.broadcast(heavy), F.col("host") == F.col("big")).select(*columns)
     small = rows.join(F.broadcast(heavy.select("big")), F.col("host") == F.col("big"), "left_anti")
     light = named.join(F.broadcast(heavy.select("big")), F.col("of") == F.col("big"), "left_anti")
     joined = large.unionByName(small.join(light, F.col("host") == F.col("of"), "left").select(*columns))
 
     def batch(part: pa.RecordBatch) -> pa.RecordBatch:
-        html, keys, copies = (part.column(k).to_pylist() for k in (3, 4, 5))
-        texts = [main_text(page, set(own or ()), settings, bool(same)) if page else "" for page, own, same in zip(html, keys, copies)]
+        html, keys, copies, ways = (part.column(k).to_pylist() for k in (3, 4, 5, 6))
+        texts = [main_text(page, set(own or ()), settings, bool(same), set(way or ())) if page else "" for page, own, same, way in zip(html, keys, copies, ways)]
         columns = [*part.columns[:3], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
         return pa.RecordBatch.from_arrays(columns, ["page_id", "url", "host", "text", "n_chars"])
 

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from hearthline.llm import line_dedup, mixing, ngram_join, packing, periodic, whitening
+from hearthline.llm import extraction, langid, line_dedup, mixing, ngram_join, packing, periodic, whitening
 from hearthline.llm.queries import QUERIES, with_run
 from tests.llm.test_operators import SMALL, nothing, odd_documents, shingles, smallest_reachable
 
@@ -433,3 +435,172 @@ def test_mixing_keeps_columns_of_any_name(spark):
     counts = mixing.mix(frame).agg({"copies": "sum"}).first()[0]
     assert taken.count() == counts > 0
     assert mixing.take(frame.limit(0)).count() == 0
+
+
+# ---------------------------------------------------------------- languages
+
+
+def plain_grams(text, buckets):
+    """Buckets of all 1- to 3-grams, one character after the other."""
+    mask = (1 << 64) - 1
+    letters = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+    letters = re.sub(" +", " ", letters)
+    out = []
+    for k in range(len(letters)):
+        for n, factors in ((1, ()), (2, (0xC2B2AE3D27D4EB4F,)), (3, (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))):
+            gram = letters[k - n + 1 : k + 1] if k - n + 1 >= 0 else ""
+            if not gram or gram == " ":
+                continue
+            value = ord(gram[-1]) * 0x9E3779B97F4A7C15
+            value += sum(ord(c) * f for c, f in zip(gram[-2::-1], factors))
+            value &= mask
+            value = ((value ^ (value >> 29)) * 0xBF58476D1CE4E5B9) & mask
+            out.append((value >> 40) % buckets)
+    return Counter(out)
+
+
+@pytest.mark.parametrize("n", [2, 3, 4, 9])
+def test_decoding_is_brute_force(n):
+    rng = np.random.default_rng(n)
+    codes = langid.codewords(n, 31)
+    bits = codes.shape[1]
+    apart = min((codes[a] != codes[b]).sum() for a in range(n) for b in range(a))
+    assert apart >= 3
+    trust = rng.random(bits)
+    model = langid.Model([f"l{k}" for k in range(n)], codes, rng.normal(size=(64, bits)), rng.normal(size=bits), trust / trust.sum(), 64, 3.0, 0.05)
+    texts = ["Häuser und Bäume", "a", "x1y2  z", "ÀÉ--ß", "the quick brown fox " * 9]
+    for text, (name, score, ambiguous) in zip(texts, langid.predict_texts(model, texts)):
+        counted = plain_grams(text, 64)
+        total = sum(counted.values())
+        losses = []
+        for k in range(n):
+            loss = 0.0
+            for b in range(bits):
+                margin = model.bias[b] + sum(model.scale * c / total * model.weights[g, b] for g, c in counted.items())
+                loss += model.trust[b] * math.log1p(math.exp(-codes[k, b] * margin))
+            losses.append(loss)
+        low, following = sorted(losses)[:2]
+        assert name == f"l{losses.index(low)}" and ambiguous == (following - low < 0.05)
+        assert score == pytest.approx(1 / sum(math.exp((low - x) * bits) for x in losses))
+
+
+def test_one_wrong_bit_is_corrected():
+    """Two languages have three bits: a classifier that is wrong does not decide."""
+    words = {"de": "der hund und das haus zwischen grünen wiesen fließt".split(), "en": "the dog and house which through thorough weather why".split()}
+    rng = random.Random(2)
+    names = ["de", "en"] * 30
+    made = langid.fit([" ".join(rng.choices(words[name], k=12)) for name in names], names)
+    assert made.codes.shape == (2, 3) and not np.allclose(made.weights[:, 0], made.weights[:, 1])
+    made.weights[:, 1] *= -1
+    made.bias[1] *= -1
+    assert [r[0] for r in langid.predict_texts(made, ["das haus und der hund", "the house and the dog"])] == ["de", "en"]
+
+
+def test_every_language_is_learned(spark):
+    """Hundreds of languages, one of long documents only, one that holds most rows; the number of jobs stays the same."""
+    rng = random.Random(8)
+    alphabets = ["".join(rng.sample("abcdefghijklmnopqrstuvwxyzäöüéèßñøå", 5)) for _ in range(300)]
+    rows, k = [], 0
+    for i, letters in enumerate(alphabets):
+        for _ in range(400 if i == 0 else 14):
+            words = 20_000 if i == 1 else 30
+            rows.append((k, " ".join("".join(rng.choice(letters) for _ in range(4)) for _ in range(words)), f"x{i:03d}"))
+            k += 1
+    frame = spark.createDataFrame([*rows, (None, "a b", "none"), (k, None, "none"), (k + 1, "a", None)], "doc_id bigint, text string, lang string")
+    texts, names = langid.training_sample(frame)
+    assert len(set(names)) == 300 and max(map(len, texts)) <= 1000
+    assert Counter(names).most_common(1)[0][1] == 66  # 20,000 rows among 300 languages
+    tracker, before = spark.sparkContext.statusTracker(), "languages"
+    spark.sparkContext.setJobGroup(before, "")
+    langid.training_sample(frame)
+    many = len(tracker.getJobIdsForGroup(before))
+    spark.sparkContext.setJobGroup("few", "")
+    langid.training_sample(frame.where("lang < 'x003'"))
+    assert many <= len(tracker.getJobIdsForGroup("few")) + 1
+    spark.sparkContext.setJobGroup("", "")
+
+
+# ---------------------------------------------------------------- page extraction
+
+
+def sf_pages(spark):
+    return spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+
+
+def test_templates_are_counted_by_brute_force(spark):
+    s = extraction.Settings()
+    found = {r["host"]: (set(r["keys"]), set(r["way"])) for r in extraction.site_templates(sf_pages(spark), s).collect()}
+    hosts = defaultdict(list)
+    for r in sf_pages(spark).collect():
+        host = re.match("[a-z]+://([^/?#:]*)", r["url"])[1].lower()
+        hosts[host].append(extraction.parse(r["html"] or ""))
+    expected = {}
+    for host, roots in hosts.items():
+        votes = extraction.votes([extraction.voter(x) for x in roots])
+        keys, places, ways = defaultdict(set), defaultdict(set), defaultdict(set)
+        for root, vote in zip(roots, votes):
+            shapes, own, most = extraction.shape_keys(root)
+            for k in extraction.subtree_keys(root) | shapes:
+                keys[k].add(vote)
+            for k in own:
+                places[k].add(vote)
+            for k in most:
+                ways[k].add(vote)
+        often = {k for k, v in keys.items() if len(v) >= max(s.least_pages, s.least_share * len(set(votes)))}
+        way = {k for k, v in ways.items() if len(places[k]) >= s.least_pages and 2 * len(v) >= len(places[k])}
+        if often or way:
+            expected[host] = (often, way)
+    assert found == expected and any(keys for keys, _ in found.values())
+
+
+def test_menus_go_by_templates_alone(spark, monkeypatch):
+    """Without any list of names and without the preference for a marked article, recurring shapes alone leave the article."""
+    templates = {r["host"]: r for r in extraction.site_templates(sf_pages(spark)).collect()}
+    rows = [(r, re.match("[a-z]+://([^/?#:]*)", r["url"])[1].lower()) for r in sf_pages(spark).collect()]
+    want = {r["page_id"]: extraction.main_text(r["html"] or "", set()) for r, _ in rows}
+    for name in ("_WORDS", "_SOFT", "_BESIDE"):
+        monkeypatch.setattr(extraction, name, set())
+    monkeypatch.setattr(extraction, "_article", lambda root: root)
+    monkeypatch.setattr(extraction.Settings, "least_links", 10**9)
+    extraction._names_aside.cache_clear()
+    many = changed = exact = 0
+    try:
+        for r, host in rows:
+            own = templates.get(host)
+            if own is None or not own["keys"]:
+                continue
+            many += 1
+            plain = extraction.main_text(r["html"] or "", set())
+            text = extraction.main_text(r["html"] or "", set(own["keys"]), way=set(own["way"]))
+            changed += text != plain
+            exact += text == want[r["page_id"]]
+    finally:
+        extraction._names_aside.cache_clear()
+    assert many >= 30 and changed >= 0.95 * many and exact >= 0.9 * many, (many, changed, exact)
+
+
+def site(k, article, extra=""):
+    links = "".join(f"<li><a href='/{k}-{i}'>{k} word {i}</a></li>" for i in range(3 + k % 4))
+    return f"<body><div class='top'><ul>{links}</ul></div><div class='wrap w-{k}'>{article}</div>{extra}<div class='low'><p>text {k} of the foot</p></div></body>"
+
+
+def test_shapes_beside_the_text_only(spark):
+    """What differs from page to page goes by its shape; headings, first paragraphs and boxes in the text stay."""
+    body = lambda k: f"<h1>Title {k}</h1><div class='lead'><p>Lead {k} " + f"w{k} " * 30 + "</p></div>" + "".join(f"<p>Par {k} {i} " + f"v{k * i} " * 30 + "</p>" for i in range(3))
+    pages = [(k, f"http://a.example/{k}", site(k, body(k))) for k in range(8)]
+    pages += [(100 + k, f"http://b.example/{k}", site(k, body(k))) for k in range(3)]  # too few pages
+    pages += [(200 + k, f"http://c.example/{k}", site(1, body(1))) for k in range(9)]  # copies of one page
+    got = {r["page_id"]: r["text"] for r in extraction.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    for k in range(8):
+        text = got[k]
+        assert text.startswith(f"Title {k}\nLead {k} ") and "foot" not in text and " word " not in text and f"Par {k} 2" in text
+    assert all("foot" in got[100 + k] and f"Lead {k}" in got[100 + k] for k in range(3))
+    assert all("Lead 1" in got[200 + k] for k in range(9))
+
+
+def test_long_and_odd_pages(spark):
+    long = "<body><article>" + "<p>" + "word " * 300_000 + "</p><div>" * 3000 + "</article></body>"
+    rows = [(1, None, None), (2, "http://h.example/", ""), (None, "x", "<p>a"), (3, "http://h.example/", long), (3, "http://h.example/", long)]
+    frame = spark.createDataFrame([(*r, "z", 5) for r in rows], "page_id bigint, url string, html string, host string, keys int")
+    got = [(r["page_id"], r["n_chars"]) for r in extraction.extract(frame).collect()]
+    assert sorted(got, key=str) == sorted([(1, 0), (2, 0), (None, 1), (3, 5 * 300_000 - 1), (3, 5 * 300_000 - 1)], key=str)
