@@ -257,28 +257,41 @@ def _candidates(found: DataFrame, s: Settings) -> DataFrame:
     left_over = named.join(open_.select("shingle"), "shingle")
     main = left_over.where("node = centre").select("shingle", F.col("group").alias("main")).distinct()
     rows = left_over.join(main, "shingle").select("shingle", "node", "group", (F.col("group") == F.col("main")).cast("int").alias("late"))
-    return stars(groups, "a", "b").unionByName(_compared(_cells(rows.distinct().join(bodies, "node"), s), s))
+    cells = _cells(rows.distinct().join(bodies.select("node", "n"), "node"), s)
+    return stars(groups, "a", "b").unionByName(_compared(cells.join(bodies.select("node", "sketch"), "node"), s))
 
 
 def _cells(rows: DataFrame, s: Settings) -> DataFrame:
-    """Pieces of work for the sets of open shingles (shingle, node, group, late, n, sketch): those outside the centre's group
-    (``probe``) against all, a block of the ones and a block of the others in each cell.
+    """Pieces of work for the sets of open shingles (shingle, node, group, late, n): those outside the centre's group (``probe``)
+    against all, a block of the ones and a block of the others in each cell.
 
-    Sets are kept by classes of size, of which only neighbours can hold similar sets. However many sets share a shingle, a cell
-    has about ``compare`` of each kind.
+    Sets are kept by classes of size, of which only neighbours can hold similar sets; classes in which all are connected, and
+    those with the same sets as another shingle's, are left out. However many sets share a shingle, a cell has about ``compare`` of each kind.
     """
     size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / s.percent))).cast("int")
-    kept = rows.withColumn("class", size)
-    probes = rows.where("late = 0").withColumn("class", F.explode(F.array(size - 1, size, size + 1)))
     key = ["shingle", "class"]
-    counts = kept.groupBy(*key).agg(F.ceil(F.count("*") / s.compare).cast("int").alias("blocks"))
-    counts = counts.join(probes.groupBy(*key).agg(F.ceil(F.count("*") / s.compare).cast("int").alias("of_probes")), key)
+    # a set outside is there for its own class, and as a probe for three
+    kinds = F.when(F.col("late") == 0, F.array(*[F.struct(F.lit(p).alias("probe"), (size + k).alias("class")) for p, k in ((0, 0), (1, -1), (1, 0), (1, 1))]))
+    kinds = F.coalesce(kinds, F.array(F.struct(F.lit(0).alias("probe"), size.alias("class"))))
+    both = rows.select("shingle", "node", "group", "n", F.inline(kinds))
+    counts = both.groupBy(*key).agg(
+        F.ceil(F.sum(1 - F.col("probe")) / s.compare).cast("int").alias("blocks"),
+        F.ceil(F.sum("probe") / s.compare).cast("int").alias("of_probes"),
+        F.min("group").alias("g0"),
+        F.max("group").alias("g1"),
+        F.count("*").alias("sets"),
+        *[F.bit_xor(F.xxhash64("node", "probe", F.lit(k))).alias(f"x{k}") for k in (1, 2)],
+    )
+    # sets that share one rare shingle share many: shingles of the very same sets are one piece of work
+    work = counts.where("blocks > 0 AND of_probes > 0 AND g0 < g1")
+    work = work.groupBy("class", "blocks", "of_probes", "sets", "x1", "x2").agg(F.min("shingle").alias("shingle"))
+    open_ = both.join(work.select(*key, "blocks", "of_probes"), key)
     deal = lambda parts: F.pmod(F.xxhash64("node"), F.col(parts)).cast("int")
-    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
-    columns = [*key, "i", "j", "probe", "node", "group", "n", "sketch"]
-    stay = kept.join(counts, key).withColumn("probe", F.lit(0)).withColumn("j", deal("blocks")).withColumn("i", every("of_probes"))
-    move = probes.join(counts, key).withColumn("probe", F.lit(1)).withColumn("i", deal("of_probes")).withColumn("j", every("blocks"))
-    return stay.select(columns).unionByName(move.select(columns))
+    others = F.sequence(F.lit(0), F.when(F.col("probe") == 1, F.col("blocks")).otherwise(F.col("of_probes")) - 1)
+    placed = open_.select(*key, "probe", "node", "group", "n", "blocks", "of_probes", F.explode(others).alias("other"))
+    i = F.when(F.col("probe") == 1, deal("of_probes")).otherwise(F.col("other"))
+    j = F.when(F.col("probe") == 1, F.col("other")).otherwise(deal("blocks"))
+    return placed.select(*key, i.alias("i"), j.alias("j"), "probe", "node", "group", "n")
 
 
 def _compared(cells: DataFrame, s: Settings) -> DataFrame:
