@@ -76,19 +76,35 @@ def silence_alarms(
     """
     first = F.col("silent_from") + F.make_dt_interval(secs=F.lit(limit_s))
     until = F.col("silent_to") if as_of is None else F.coalesce("silent_to", as_of)
-    times = F.sequence(first, until, F.make_dt_interval(secs=F.lit(every_s)))
-    return spread(gaps, key, "silent_from").select(key, F.explode(times).alias("ts")).select(
-        "ts", topic(F.col(key), F.lit("Err")).alias("topic"), F.lit("1").alias("payload")
+    day = max(1, 86_400 // every_s)
+    count = F.floor((micros(until) - micros(first)) / F.lit(every_s * 1_000_000)) + 1
+    # by day first, so that no row becomes a long array
+    due = gaps.select(key, "silent_from", count.alias("_n")).where("_n > 0")
+    days = due.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / day))).alias("_day"))
+    begin = F.col("_day") * day
+    alarms = spread(days, key, "silent_from", "_day").select(
+        "*", F.explode(F.sequence(begin, F.least(begin + day, F.col("_n")) - 1)).alias("_k")
     )
+    return alarms.select(
+        (first + F.make_dt_interval(secs=F.col("_k") * every_s)).alias("ts"),
+        topic(F.col(key), F.lit("Err")).alias("topic"),
+        F.lit("1").alias("payload"),
+    )
+
 
+def stale_sensors(
+    readings: DataFrame, sensors: DataFrame, as_of: Column, limits_s: dict[str, int], used_only: Sequence[str] = ()
+) -> DataFrame:
+    """Sensors of the registry whose last reading is older than a board's limit, or that were never seen.
 
-def stale_sensors(readings: DataFrame, sensors: DataFrame, as_of: Column, limits_s: dict[str, int]) -> DataFrame:
-    """Sensors of the registry whose last reading is older than a board's limit, or that were never seen."""
+    Boards in ``used_only`` leave out channels without any capability.
+    """
     last_seen = readings.groupBy("channel").agg(F.max("ts").alias("last_seen"))
     known = sensors.join(last_seen, "channel", "left")
     age = seconds_between(F.col("last_seen"), as_of)
     boards = F.array(*[F.struct(F.lit(b).alias("board"), F.lit(s).alias("limit_s")) for b, s in limits_s.items()])
-    judged = known.select("channel", "last_seen", age.alias("age_s"), F.inline(boards))
+    judged = known.select("channel", "static_caps", "last_seen", age.alias("age_s"), F.inline(boards))
+    judged = judged.where(~F.col("board").isin(list(used_only)) | (F.col("static_caps") != 0))
     stale = judged.where(F.col("last_seen").isNull() | (F.col("age_s") > F.col("limit_s")))
     return stale.select("board", "channel", "last_seen", "age_s")
 

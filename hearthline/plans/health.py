@@ -91,8 +91,9 @@ def silence_open_alarms(v: Views):
            (epoch_us((SELECT max(ts) FROM events)) + 150000000 - epoch_us(l.last_seen)) / CAST(1000000 AS DOUBLE) AS age_s
     FROM {REGISTRY_SQL} LEFT JOIN (SELECT channel, max(ts) AS last_seen FROM {{readings}} GROUP BY channel) l
          ON s.channel = l.channel
-    WHERE l.last_seen IS NULL
-       OR epoch_us((SELECT max(ts) FROM events)) + 150000000 - epoch_us(l.last_seen) > {limit} * 1000000
+    WHERE (l.last_seen IS NULL
+       OR epoch_us((SELECT max(ts) FROM events)) + 150000000 - epoch_us(l.last_seen) > {limit} * 1000000)
+      {"AND s.static_caps <> 0" if board == "bridge" else ""}
     """
         for board, limit in (("hub", STALE_HUB_S), ("bridge", STALE_BRIDGE_S), ("display", STALE_DISPLAY_S))
     ),
@@ -101,7 +102,7 @@ def stale_sensors(v: Views):
     readings = v.readings.select("channel", "ts")
     as_of = v.events.agg(F.max("ts")).scalar() + F.expr("INTERVAL 150 SECONDS")
     limits_s = {"hub": STALE_HUB_S, "bridge": STALE_BRIDGE_S, "display": STALE_DISPLAY_S}
-    return H.stale_sensors(readings, dims.sensors(v.spark), as_of, limits_s)
+    return H.stale_sensors(readings, dims.sensors(v.spark), as_of, limits_s, used_only=["bridge"])
 
 
 @query(

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import struct
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthline.constants import LIMITS
@@ -295,6 +300,24 @@ def wide_snapshot(v: Views):
     return snapshot(plausible(v.readings), _SLOTS)
 
 
+# The order and types of the members as the senders have them, padding included, written here a second time so that the
+# decoder is not checked against itself (fixed values).
+_SENT_V1, _SENT_V0, _SENT_LORA = "<iffffiHxxiiiiii", "<iffff", "<iii"
+_COLOURS = {"nColor": 5003, "nLux": 1009, "nRed": 251, "nGreen": 241, "nBlue": 239, "nClear": 997}
+
+
+def _sent(df: DataFrame, form: str, columns: list[str]) -> DataFrame:
+    """``seq`` and the bytes a sender makes of the columns, member by member."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*[c.to_pylist() for c in batch.columns[1:]])
+            made = pa.array([struct.pack(form, *row) for row in rows], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), made], names=["seq", "payload"])
+
+    return df.select("seq", *columns).mapInArrow(pack, "seq bigint, payload binary")
+
+
 def _packed(v: Views):
     """The readings as radio packets: version 1 for even numbers, version 0 for odd ones."""
     floats = v.readings.select(
@@ -306,29 +329,47 @@ def _packed(v: Views):
             for n, c in (("temp_a", "iTempA"), ("temp_b", "iTempB"), ("humi", "iHumi"), ("volt", "iVolt"))
         ],
     )
-    colours = [F.lit(0).alias(c) for c in ("nColor", "nLux", "nRed", "nGreen", "nBlue", "nClear")]
+    colours = [(F.col("seq") % n).cast("int").alias(c) for c, n in _COLOURS.items()]
     v1 = floats.where("seq % 2 = 0").select("*", F.lit(1).alias("version"), *colours)
-    v0 = floats.where("seq % 2 = 1").drop("caps")
-    return P.encode(v1, P.RADIO_V1).unionByName(P.encode(v0, P.RADIO_V0))
+    measured = ["channel", "temp_a", "temp_b", "humi", "volt"]
+    new = _sent(v1, _SENT_V1, [*measured, "version", "caps", *_COLOURS])
+    return new.unionByName(_sent(floats.where("seq % 2 = 1"), _SENT_V0, measured))
 
 
 @query(
     "decode_packets",
-    """
+    f"""
     SELECT seq, channel, CAST(1 - seq % 2 AS INT) AS version, CASE WHEN seq % 2 = 0 THEN caps END AS caps,
            coalesce(iTempA, 0) AS "iTempA", coalesce(iTempB, 0) AS "iTempB", coalesce(iHumi, 0) AS "iHumi",
-           coalesce(iVolt, 0) AS "iVolt", CAST(CASE WHEN seq % 2 = 0 THEN 0 END AS INT) AS "nLux"
-    FROM {readings}
+           coalesce(iVolt, 0) AS "iVolt",
+           {', '.join(f'CAST(CASE WHEN seq % 2 = 0 THEN seq % {n} END AS INT) AS "{c}"' for c, n in _COLOURS.items())}
+    FROM {{readings}}
     """,
 )
 def decode_packets(v: Views):
     decoded = P.decode_packets(_packed(v))
     scaled = (("iTempA", "temp_a"), ("iTempB", "temp_b"), ("iHumi", "humi"), ("iVolt", "volt"))
     return decoded.select(
-        "seq", "channel", "version", "caps", *[fixed_point(F.col(c)).alias(n) for n, c in scaled], "nLux"
+        "seq", "channel", "version", "caps", *[fixed_point(F.col(c)).alias(n) for n, c in scaled], *_COLOURS
     )
 
 
+@query(
+    "undecodable_packets",
+    """
+    SELECT seq, CAST(CASE WHEN seq % 10 <> 3 THEN CASE WHEN seq % 2 = 0 THEN 51 ELSE 19 END END AS INT) AS n_bytes
+    FROM {readings} WHERE seq % 9 = 0 OR seq % 10 = 3
+    """,
+)
+def undecodable_packets(v: Views):
+    """Packets that lost their last byte, and packets without content, as output beside the decoded ones."""
+    whole = F.col("payload")
+    damaged = F.when(F.col("seq") % 10 == 3, F.lit(None)).when(F.col("seq") % 9 == 0, F.substring(whole, F.lit(1), F.length(whole) - 1))
+    kept = F.when((F.col("seq") % 10 == 3) | (F.col("seq") % 9 == 0), damaged).otherwise(whole)
+    packets = _packed(v).withColumn("payload", kept)
+    return P.undecodable(packets, "payload", [P.RADIO_V1, P.RADIO_V0]).select("seq", F.length("payload").alias("n_bytes"))
+
+
 @query(
     "decode_lora",
     """
@@ -345,4 +386,4 @@ def decode_lora(v: Views):
         (F.col("user_id") % 10).cast("int").alias("channel"),
         F.expr("CAST(floor(value * 100) AS INT) - 20000").alias("value"),
     )
-    return P.decode_lora(P.encode(messages, P.LORA)).drop("source_code")
+    return P.decode_lora(_sent(messages, _SENT_LORA, ["source_code", "channel", "value"])).drop("source_code")

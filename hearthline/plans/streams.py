@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthline.constants import STALE_BRIDGE_S
+from hearthline.operators.control import minute_ticks
 from hearthline.operators.ingest import frames_to_points
 from hearthline.plans.registry import CHECKS, query
 from hearthline.plans.rollups import DIGITS, rounded
@@ -196,3 +197,39 @@ def stream_late(v: Views):
             jobs.run_open(hourly, arriving(f"{folder}/in"), f"{folder}/out", folder)
     stream = jobs.run_to_end(hourly, arriving(f"{folder}/in"), "time", f"{folder}/out", folder)
     return rounded(_without_zone(jobs.read_output(v.spark, stream, f"{folder}/out")))
+
+
+# A port's log in three runs; each cut lies inside a frame.
+_PART_RUN = "CASE WHEN seq <= {0} THEN 0 WHEN seq <= 2 * {0} THEN 1 ELSE 2 END"
+
+
+@query("stream_frames", CHECKS["split_frames_across_rows"])
+def stream_frames(v: Views):
+    """Frames of a serial log that comes in several runs and pieces."""
+    folder = work_dir(v.spark, "stream_frames")
+    newest_id = v.events.agg(F.max("event_id")).first()[0] or 0
+    parts = v.frame_parts.select("port", "seq", "text")
+    # even numbers are the first halves of frames
+    runs = parts.withColumn("run", F.expr(_PART_RUN.format(2 * (newest_id // 3))))
+    for run in range(3):
+        runs.where(F.col("run") == run).drop("run").write.mode("append").parquet(f"{folder}/in")
+        stream = jobs.frame_stream(v.spark.readStream.schema(parts.schema).parquet(f"{folder}/in"))
+        jobs.run_available(stream, f"{folder}/out", f"{folder}/checkpoint")
+    return jobs.read_output(v.spark, stream, f"{folder}/out").drop("seq")
+
+
+@query("stream_effective", CHECKS["effective_setpoint"])
+def stream_effective(v: Views):
+    """Set-points in force at every tick, from a stream of ticks and one of commands."""
+    folder = work_dir(v.spark, "stream_effective")
+    commands = v.over_events(COMMANDS)
+    spans = commands.groupBy("device").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    ticks = event_time(minute_ticks(spans, "device"), "ts")
+    ticks.write.parquet(f"{folder}/ticks")
+    arriving = v.spark.readStream.schema(ticks.schema).parquet(f"{folder}/ticks")
+
+    def transform(rows: DataFrame) -> DataFrame:
+        return jobs.effective_stream(arriving, rows)
+
+    stream = jobs.run_to_end(transform, v.stream(COMMANDS, "ts"), "ts", f"{folder}/out", folder)
+    return _without_zone(jobs.read_output(v.spark, stream, f"{folder}/out"))

@@ -5,6 +5,7 @@ The transformations are the batch operators; a job adds the watermark, the sink
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterator
 from datetime import datetime
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from hearthline.constants import AUTO_MODE, DEFAULT_SET_POINT
 from hearthline.operators.control import set_point_in_force
 from hearthline.operators.health import sample_last
 from hearthline.operators.ordered import micros, order_key
@@ -38,8 +40,8 @@ def run_available(stream: DataFrame, output: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-#: A time after every window.
-END = datetime(9999, 1, 1)
+#: A time after every window; pandas knows times up to 2262.
+END = datetime(2250, 1, 1)
 
 
 def run_to_end(
@@ -221,6 +223,92 @@ def _stretch_ends(times: np.ndarray, limit: int) -> np.ndarray:
     return times[ends]
 
 
+def frame_stream(log: DataFrame, key: str = "port") -> DataFrame:
+    """Frames of a port's log (key, seq, text) whose text comes in any pieces, also cut between triggers: (key, seq, payload).
+
+    Equal to ``split_frames_across_rows``: ``seq`` is that of the row in which a frame ends. What a port has open, the text after
+    a start marker, is the state of its key. Rows of a port must arrive in the order of ``seq`` from trigger to trigger.
+    """
+    kind = log.schema[key].dataType
+
+    def advance(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([p[["seq", "text"]] for p in parts]).dropna(subset=["text"]).sort_values("seq", kind="stable")
+        begun = state.get[0] if state.exists else None
+        before = "" if begun is None else "%" + begun
+        text = before + "".join(rows["text"])
+        ends = len(before) + np.cumsum(rows["text"].str.len().to_numpy(dtype=np.int64))
+        payloads, seqs, at = [], [], 0
+        for m in _FRAME.finditer(text):
+            payloads.append(m[1])
+            seqs.append(int(rows["seq"].iloc[int(np.searchsorted(ends, m.end()))]))
+            at = m.end()
+        opened = text.find("%", text.rfind("$") + 1)
+        state.update((None if opened < 0 else text[opened + 1 :],))
+        if payloads:
+            yield pd.DataFrame({key: [name[0]] * len(payloads), "seq": seqs, "payload": payloads})
+
+    schema = T.StructType([T.StructField(key, kind), T.StructField("seq", T.LongType()), T.StructField("payload", T.StringType())])
+    ship(log.sparkSession)
+    return log.select(key, "seq", "text").groupBy(key).applyInPandasWithState(advance, schema, "begun string", "append", GroupStateTimeout.NoTimeout)
+
+
+_FRAME = re.compile(r"%([^$]*)\$")
+#: A value that is not there, in state.
+_NONE = -(1 << 62)
+
+
+def effective_stream(ticks: DataFrame, commands: DataFrame, late: str = "10 minutes", key: str = "device") -> DataFrame:
+    """The set-point in force at each tick or reading of a stream: (key, ts, set_point, mode).
+
+    Commands (key, ts, seq, set_pos, manual) and ticks (key, ts) are two inputs with one state per device: what is in force,
+    and the rows of both that the watermark has not reached. They are taken in order of time; a command of the same instant
+    as a tick counts. Equal to ``effective_setpoint`` once the sources have ended.
+    """
+    kind = commands.schema[key].dataType
+    number = lambda c: F.coalesce(F.col(c).cast("bigint"), F.lit(_NONE)).alias(c)
+    both = commands.select(key, "ts", F.col("seq").cast("bigint").alias("seq"), number("set_pos"), number("manual"), F.lit(0).cast("bigint").alias("tick"))
+    at_ticks = ticks.select(key, "ts", F.lit(1 << 62).alias("seq"), *[F.lit(_NONE).alias(c) for c in ("set_pos", "manual")], F.lit(1).cast("bigint").alias("tick"))
+    rows = both.unionByName(at_ticks).withWatermark("ts", late).withColumn("at", micros(F.col("ts")))
+    names = ["at", "seq", "set_pos", "manual", "tick"]
+
+    def advance(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        force = dict(zip(("set_pos", "manual"), state.get[:2])) if state.exists else {"set_pos": _NONE, "manual": _NONE}
+        held = state.get[2:] if state.exists else [[] for _ in names]
+        new = [] if state.hasTimedOut else [p[names].to_numpy(dtype=np.int64) for p in parts]
+        own = np.concatenate([np.array(held, np.int64).reshape(len(names), -1).T, *new])
+        own = own[np.lexsort((own[:, 1], own[:, 0]))]
+        upto = state.getCurrentWatermarkMs() * 1000
+        done = own[own[:, 0] <= upto]
+        known = {}
+        for c in ("set_pos", "manual"):
+            values = np.concatenate([[force[c]], done[:, names.index(c)]])
+            last = np.maximum.accumulate(np.where(values != _NONE, np.arange(len(values)), 0))
+            known[c] = values[last][1:]
+            force[c] = int(values[last[-1]])
+        waiting = own[len(done) :]
+        state.update((force["set_pos"], force["manual"], *[waiting[:, k].tolist() for k in range(len(names))]))
+        if len(waiting):
+            state.setTimeoutTimestamp(max(-(-int(waiting[0, 0]) // 1000) - 1, upto // 1000 + 1))
+        at = done[:, 4] == 1
+        if at.any():
+            manual, remote = known["manual"][at], known["set_pos"][at]
+            by_hand = (manual != _NONE) & (manual < AUTO_MODE)
+            yield pd.DataFrame(
+                {
+                    key: [name[0]] * int(at.sum()),
+                    "ts": pd.to_datetime(done[at, 0], unit="us", utc=True),
+                    "set_point": np.where(by_hand, manual, np.where(remote == _NONE, DEFAULT_SET_POINT, remote)),
+                    "mode": np.where(by_hand, "MAN", "AUTO"),
+                }
+            )
+
+    schema = T.StructType([T.StructField(key, kind), T.StructField("ts", T.TimestampType()), T.StructField("set_point", T.IntegerType()), T.StructField("mode", T.StringType())])
+    kept = "set_pos bigint, manual bigint, " + ", ".join(f"held_{n} array<bigint>" for n in names)
+    ship(commands.sparkSession)
+    made = rows.groupBy(key).applyInPandasWithState(advance, schema, kept, "append", GroupStateTimeout.EventTimeTimeout)
+    return made.where(F.col(key).isNotNull())
+
+
 def setpoint_stream(commands: DataFrame) -> DataFrame:
     """The set-point in force per device, kept up to date; one row per changed device and trigger."""
     at = order_key(micros(F.col("ts")), F.col("seq"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from hearthline.operators import ingest as I
+from hearthline.operators.control import effective_setpoint
 from hearthline.operators.health import silence_gaps
 from hearthline.operators.rollup import rollup
 from hearthline.sources import messages as M
@@ -120,6 +122,54 @@ def test_alarms_repeat_until_the_next_reading(spark, tmp_path):
     assert {r["topic"] for r in found} == {"Sensor1/Err", "Sensor2/Err", "Sensor3/Err"}
 
 
+def test_frames_cut_between_runs(spark, tmp_path):
+    """A log cut at random bytes, some cuts between triggers, gives the frames of the whole log."""
+    rng = random.Random(5)
+    parts, runs = [], []
+    for port in (1, 2):
+        text = "".join(rng.choice(["%{a}$", "%", "$", "noise", "%long " + "x" * 40 + "$", "%%$", "%\n$", "é"]) for _ in range(200))
+        cuts = sorted(rng.sample(range(1, len(text)), 60))
+        for k, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(text)])):
+            parts.append((port, 2 * k + port, text[a:b]))
+            runs.append(k // 16)
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    schema = "port int, seq bigint, text string"
+    for run in range(4):
+        rows = [p for p, r in zip(parts, runs) if r == run]
+        rng.shuffle(rows)
+        spark.createDataFrame([*rows, (1, 0, None)], schema).write.mode("append").parquet(source)
+        stream = jobs.frame_stream(spark.readStream.schema(schema).parquet(source))
+        jobs.run_available(stream, out, checkpoint)
+    got = sorted(map(tuple, jobs.read_output(spark, stream, out).collect()))
+    log = spark.createDataFrame(parts, schema)
+    batch = I.split_frames_across_rows(log, ["port"], F.col("seq"), width=10).select("port", "seq", "payload")
+    assert got == sorted(map(tuple, batch.collect())) and len(got) > 100
+
+
+def test_set_points_of_two_streams(spark, tmp_path):
+    rng = random.Random(6)
+    at = lambda s: T0 + timedelta(seconds=s)
+    commands = [
+        (rng.choice([1, 2]), at(rng.randrange(0, 3000)), k, rng.choice([None, 0, 3, 5]), rng.choice([None, None, 2, 6])) for k in range(80)
+    ]
+    ticks = [(d, at(60 * k)) for d in (1, 2, 3) for k in range(50)]
+    command_schema, tick_schema = "device int, ts timestamp, seq bigint, set_pos int, manual int", "device int, ts timestamp"
+    folders = [str(tmp_path / n) for n in ("commands", "ticks", "out", "work")]
+    for low, high in ((0, 1000), (1000, 2000), (2000, 4000)):  # three runs, out of order inside each
+        within = lambda r: low <= (r[1] - T0).total_seconds() < high  # noqa: B023, E731
+        spark.createDataFrame(list(filter(within, commands)), command_schema).write.mode("append").parquet(folders[0])
+        spark.createDataFrame(list(filter(within, ticks)), tick_schema).write.mode("append").parquet(folders[1])
+        arriving = spark.readStream.schema(tick_schema).parquet(folders[1])
+        transform = lambda c: jobs.effective_stream(arriving, c)  # noqa: B023, E731
+        source = spark.readStream.schema(command_schema).parquet(folders[0])
+        if high < 4000:
+            jobs.run_open(transform, source, folders[2], folders[3])
+    stream = jobs.run_to_end(transform, source, "ts", folders[2], folders[3])
+    got = sorted(map(tuple, jobs.read_output(spark, stream, folders[2]).collect()))
+    batch = effective_setpoint(spark.createDataFrame(ticks, tick_schema), spark.createDataFrame(commands, command_schema))
+    assert got == sorted(map(tuple, batch.select("device", "ts", "set_point", "mode").collect())) and len(got) == 150
+
+
 def test_end_of_a_source_gives_open_windows(spark, tmp_path):
     rows = [(m, m % 7) for m in range(0, 600, 3)]
     frame = late_points(spark, rows)
