@@ -11,7 +11,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from hearthline.llm import extraction, langid, line_dedup, mixing, ngram_join, packing, periodic, whitening
+from hearthline.llm import extraction, langid, line_dedup, mixing, neardup_vectors, ngram_join, packing, periodic, whitening
+from hearthline.llm.common import stored
 from hearthline.llm.queries import QUERIES, with_run
 from tests.llm.test_operators import SMALL, nothing, odd_documents, shingles, smallest_reachable
 
@@ -604,3 +605,63 @@ def test_long_and_odd_pages(spark):
     frame = spark.createDataFrame([(*r, "z", 5) for r in rows], "page_id bigint, url string, html string, host string, keys int")
     got = [(r["page_id"], r["n_chars"]) for r in extraction.extract(frame).collect()]
     assert sorted(got, key=str) == sorted([(1, 0), (2, 0), (None, 1), (3, 5 * 300_000 - 1), (3, 5 * 300_000 - 1)], key=str)
+
+
+# ---------------------------------------------------------------- the pipeline
+
+
+def test_odd_rows_go_through_every_stage(spark):
+    """Nulls in any column, repeated rows, very long texts, and columns that operators use themselves."""
+    import corpus_pipeline as p
+
+    names = ["mix_id", "mix_own", "mix_copies", "kept_id", "kept_key", "low", "group", "probe", "text_key", "component", "length", "piece", "ratio", "__toxic"]
+    docs = odd_documents(spark).selectExpr("*", *[f"{k} AS {n}" for k, n in enumerate(names)])
+    for name, stage in p.STAGES:
+        before, docs = docs, stored(stage(spark, docs, SMALL), name.replace(" ", "-"))
+        if name == "packing":
+            break
+        assert docs.columns == before.columns, name
+        rows = Counter((r["doc_id"], r["text"]) for r in docs.collect())
+        given = Counter((r["doc_id"], r["text"]) for r in before.collect())
+        assert rows and set(rows) <= set(given), name
+        if name == "quality rules":
+            assert all(len((text or "").split()) >= 20 for _, text in rows)
+        if name in ("quality rules", "toxicity"):
+            assert all(rows[k] == given[k] for k in rows), name  # repeated rows stay or go together
+        if name == "n-gram join":
+            assert max(rows.values()) == 1
+            _, want = groups_by_hand(list(given))
+            assert {i for i, _ in rows if i is not None} == {i for (i, _), c in zip(given, want) if i is not None and i == c}
+        if name == "mixing":
+            assert max(rows.values()) <= 2
+    placed = docs.groupBy("doc_id", "piece").count()
+    assert placed.count() > 0 and docs.agg({"length": "max"}).first()[0] <= 2048
+
+
+def test_an_empty_table_stays_empty(spark):
+    import corpus_pipeline as p
+
+    docs = nothing(spark)
+    for name, stage in p.STAGES:
+        docs = stored(stage(spark, docs, SMALL), name.replace(" ", "-"))
+        assert docs.count() == 0, name
+
+
+@pytest.mark.parametrize("size", [3, 8, 24, 64, 128, 384, 768])
+def test_recall_of_vectors_at_the_limit(spark, size):
+    """Pairs at a cosine of little above 0.98: at least 99 of 100 are linked, and none below the limit."""
+    rng = np.random.default_rng(size)
+    n, rows = 400, []
+    for k in range(n):
+        a = rng.normal(size=size)
+        a /= np.linalg.norm(a)
+        b = rng.normal(size=size)
+        b -= (a @ b) * a
+        b /= np.linalg.norm(b)
+        cosine = 0.9801 if k % 2 else 0.9799
+        rows += [(2 * k, a.tolist(), k), (2 * k + 1, (cosine * a + math.sqrt(1 - cosine**2) * b).tolist(), k)]
+    # one label for all: every vector is compared with every other
+    frame = spark.createDataFrame([(i, v, 1 if size > 8 else k) for i, v, k in rows], "vec_id bigint, embedding array<double>, label int")
+    links = {r["vec_id"]: r["n_links"] for r in neardup_vectors.near_duplicates(frame).collect()}
+    assert sum(links[2 * k] > 0 for k in range(1, n, 2)) >= 0.99 * n / 2
+    assert sum(links[2 * k] > 0 for k in range(0, n, 2)) == 0
