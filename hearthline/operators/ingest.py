@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +27,7 @@ from hearthline.functions.scalar import (
     with_unit,
 )
 from hearthline.operators.normalize import null_sentinels, plausible, row_sum, with_channel_check, with_checksum
-from hearthline.operators.ordered import carry_last
-from hearthline.session import cut_lineage
+from hearthline.operators.ordered import carry_last, order_key
 
 FRAME_SCHEMA = ", ".join(f"{name} INT" for name in FRAME_FIELDS)
 
@@ -58,58 +59,56 @@ def split_frames_across_rows(
 ) -> DataFrame:
     """Payloads of frames that may begin in one row of a port's log and end in a later one, with the row they end in.
 
-    Rows of a port (``keys``) are ordered by ``position`` and ``seq``. Whether a frame is open when a row begins
-    follows from the last marker before the row, for after a start marker a frame is open and after an end marker
-    none is. The parts of a frame share the last row with an end marker before them.
+    Rows of a port (``keys``) are ordered by ``position`` and ``seq``. What follows the first end marker of a row is cut in one
+    narrow pass. Only the edges of rows, up to the first end marker and after the last one, are shuffled: whether a frame is open
+    when a row begins follows from the last marker before the row, for after a start marker a frame is open and after an end
+    marker none is. The parts of a frame share the last row with an end marker before them; what follows a port's last end
+    marker is never put together.
     """
     keys = list(keys)
-    whole = F.col(text)
+    whole, ends = F.col(text), F.col(text).contains("$")
+    frames = lambda column: F.regexp_extract_all(column, F.lit(r"%([^$]*)\$"), F.lit(1))
+    opened_in = lambda column: F.regexp_extract(column, r"(?s)^[^%]*%(.*)$", 1)
+    after_first = F.regexp_extract(whole, r"(?s)^[^$]*\$(.*)$", 1)
+    inside = log.where(ends).select(*keys, "seq", F.explode(frames(after_first)).alias("payload"))
+    edges = log.select(
+        *keys,
+        "seq",
+        position.alias("_at"),
+        ends.alias("_ends"),
+        F.regexp_extract(whole, r"^([^$]*)", 1).alias("_head"),
+        F.when(ends, opened_in(F.regexp_extract(whole, r"(?s)([^$]*)$", 1))).alias("_tail"),
+        F.nullif(F.regexp_extract(whole, r"([%$])[^%$]*$", 1), F.lit("")).alias("_last"),
+    )
+    at = order_key(F.col("_at"), F.col("seq"))
+    # the row with a port's last end marker
+    closed = edges.where("_ends").groupBy(*keys).agg(F.max_by("seq", at).alias("_closed"))
     known = carry_last(
-        log.select(*keys, "seq", text, position.alias("_at")),
+        edges,
         keys,
         F.col("_at"),
         F.col("seq"),
-        {
-            "_marker": F.nullif(F.regexp_extract(whole, r"([%$])[^%$]*$", 1), F.lit("")),
-            "_ended": F.when(whole.contains("$"), F.col("seq")),
-        },
+        {"_marker": F.col("_last"), "_ended": F.when(F.col("_ends"), F.col("seq"))},
         strict=True,
         **options,
     )
     is_open = F.coalesce(F.col("_marker") == "%", F.lit(False))
-    ends = whole.contains("$")
-    after_first = F.when(is_open, F.regexp_extract(whole, r"(?s)^[^$]*\$(.*)$", 1)).otherwise(whole)
-    after_last = F.regexp_extract(whole, r"(?s)([^$]*)$", 1)
-    opened = F.regexp_extract(F.when(~ends & is_open, F.lit("")).otherwise(after_last), r"(?s)^[^%]*%(.*)$", 1)
-    complete = known.select(
-        *keys, "seq", F.explode(F.regexp_extract_all(after_first, F.lit(r"%([^$]*)\$"), F.lit(1))).alias("payload")
-    )
     part = "STRUCT<group: BIGINT, part: STRING, ends_at: BIGINT>"
-    continuing = F.struct(
-        F.col("_ended"), F.regexp_extract(whole, r"^([^$]*)", 1), F.when(ends, F.col("seq"))
-    ).cast(part)
-    opening = F.struct(F.when(ends, F.col("seq")).otherwise(F.col("_ended")), opened, F.lit(None)).cast(part)
-    pieces = known.select(
-        *keys,
-        "_at",
-        "seq",
-        F.inline(F.array_compact(F.array(F.when(is_open, continuing), F.when(opened != "", opening)))),
+    # a frame that lies before the first end marker of its row is one part
+    head = F.when(F.col("_ends") & F.col("_head").contains("%"), opened_in(F.col("_head")))
+    beginning = F.when(is_open, F.col("_head")).otherwise(head)
+    tail = F.when(F.col("_ends"), F.col("_tail")).when(~is_open, opened_in(F.col("_head")))
+    first = F.struct(F.col("_ended"), beginning, F.when(F.col("_ends"), F.col("seq"))).cast(part)
+    second = F.struct(F.when(F.col("_ends"), F.col("seq")).otherwise(F.col("_ended")), tail, F.lit(None)).cast(part)
+    parts = known.select(
+        *keys, "_at", "seq", F.inline(F.array_compact(F.array(F.when(beginning.isNotNull(), first), F.when(tail != "", second))))
     )
-    # only what lies at the edges of rows
-    pieces = cut_lineage(pieces.withColumn("group", F.coalesce("group", F.lit(-1))))
-    # a frame is put together only if it is complete
-    frames = (
-        pieces.groupBy(*keys, "group")
-        .agg(F.sum(F.length("part")).alias("_n"), F.max("ends_at").alias("_end"))
-        .where(F.col("_end").isNotNull())
-    )
-    texts = pieces.where(F.col("part") != "").join(frames, [*keys, "group"], "left_semi")
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    of_port = closed.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    complete = parts.join(of_port, reduce(and_, same)).where(~F.col("group").eqNullSafe(F.col("_closed")))
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("_at", "seq", "part"))), lambda p: p["part"])
-    joined = texts.groupBy(*keys, "group").agg(F.concat_ws("", in_order).alias("payload"))
-    spanning = frames.join(joined, [*keys, "group"], "left").select(
-        *keys, F.col("_end").alias("seq"), F.coalesce("payload", F.lit("")).alias("payload")
-    )
-    return complete.unionByName(spanning)
+    spanning = complete.groupBy(*keys, "group").agg(F.max("ends_at").alias("seq"), F.concat_ws("", in_order).alias("payload"))
+    return inside.unionByName(spanning.where("seq IS NOT NULL").select(*keys, "seq", "payload"))
 
 
 def parse_frames(frames: DataFrame, payload: str = "payload") -> DataFrame:
