@@ -244,7 +244,10 @@ def _signed(x: int) -> int:
 def _candidates(found: DataFrame, s: Settings) -> DataFrame:
     """(a, b): pairs of sets (by low key) that connect all sets which may be similar, as stars where known. See step 2."""
     bodies = stored(found.where("prefix IS NOT NULL").select(F.col("low").alias("node"), F.col("n_shingles").alias("n"), "sketch").groupBy("node", "n").agg(F.first("sketch").alias("sketch")), "sketches")
-    entries = found.where("prefix IS NOT NULL").select(F.col("low").alias("node"), F.explode("prefix").alias("shingle"))
+    entries = found.where("prefix IS NOT NULL").select(F.col("low").alias("node"), "n_shingles", F.posexplode("prefix").alias("place", "shingle"))
+    # a set whose first common shingle is this one cannot be similar to a larger one than that
+    most = F.expr(f"CAST((n_shingles - place) * {100 + s.percent} div {s.percent} - n_shingles AS INT)")
+    entries = entries.select("node", "shingle", most.alias("most"))
     ends = entries.groupBy("shingle").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last")
     shared = stored(entries.join(ends.select("shingle", "centre"), "shingle"), "shared")
     pairs = shared.where("node <> centre").select("node", "centre").distinct()
@@ -252,28 +255,31 @@ def _candidates(found: DataFrame, s: Settings) -> DataFrame:
     both = left.join(bodies.withColumnsRenamed({"node": "centre", "n": "m", "sketch": "other"}), "centre")
     close = stored(_sketched(both, s), "close")
     groups = components(close, "a", "b")
-    named = shared.join(groups, "node", "left").withColumn("group", F.coalesce("component", "node")).select("shingle", "node", "centre", "group")
+    named = shared.join(groups, "node", "left").withColumn("group", F.coalesce("component", "node")).select("shingle", "node", "centre", "group", "most")
     open_ = named.groupBy("shingle").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 < g1")
     left_over = named.join(open_.select("shingle"), "shingle")
     main = left_over.where("node = centre").select("shingle", F.col("group").alias("main")).distinct()
-    rows = left_over.join(main, "shingle").select("shingle", "node", "group", (F.col("group") == F.col("main")).cast("int").alias("late"))
+    rows = left_over.join(main, "shingle").select("shingle", "node", "group", "most", (F.col("group") == F.col("main")).cast("int").alias("late"))
     cells = _cells(rows.distinct().join(bodies.select("node", "n"), "node"), s)
     return stars(groups, "a", "b").unionByName(_compared(cells.join(bodies.select("node", "sketch"), "node"), s))
 
 
 def _cells(rows: DataFrame, s: Settings) -> DataFrame:
-    """Pieces of work for the sets of open shingles (shingle, node, group, late, n): those outside the centre's group (``probe``)
-    against all, a block of the ones and a block of the others in each cell.
+    """Pieces of work for the sets of open shingles (shingle, node, group, most, late, n): those outside the centre's group
+    (``probe``) against all, a block of the ones and a block of the others in each cell.
 
     Sets are kept by classes of size, of which only neighbours can hold similar sets; classes in which all are connected, and
-    those with the same sets as another shingle's, are left out. However many sets share a shingle, a cell has about ``compare`` of each kind.
+    those with the same sets as another shingle's, are left out, and so is a set where all of a class are larger than ``most``. However many sets share a shingle, a cell has about ``compare`` of each kind.
     """
     size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / s.percent))).cast("int")
     key = ["shingle", "class"]
     # a set outside is there for its own class, and as a probe for three
     kinds = F.when(F.col("late") == 0, F.array(*[F.struct(F.lit(p).alias("probe"), (size + k).alias("class")) for p, k in ((0, 0), (1, -1), (1, 0), (1, 1))]))
     kinds = F.coalesce(kinds, F.array(F.struct(F.lit(0).alias("probe"), size.alias("class"))))
-    both = rows.select("shingle", "node", "group", "n", F.inline(kinds))
+    both = rows.select("shingle", "node", "group", "n", "most", F.inline(kinds))
+    # the smallest size that a set of the class, or one that is compared with the class, can have
+    least = F.floor(F.pow(F.lit(100 / s.percent), F.col("class") - F.when(F.col("probe") == 1, 0).otherwise(1)) - 1e-6)
+    both = both.where(F.col("most") >= least).drop("most")
     counts = both.groupBy(*key).agg(
         F.ceil(F.sum(1 - F.col("probe")) / s.compare).cast("int").alias("blocks"),
         F.ceil(F.sum("probe") / s.compare).cast("int").alias("of_probes"),

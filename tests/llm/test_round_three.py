@@ -418,7 +418,7 @@ def test_links_go_through_rows_without_an_id(spark):
 def test_cells_are_bounded(spark):
     """Thousands of sets that share one shingle, none in the centre's group: every piece of work stays small."""
     n = 3000
-    rows = spark.range(n).selectExpr("1L AS shingle", "id AS node", "id AS `group`", "cast(id = 0 AS int) AS late", "20 + id % 30 AS n")
+    rows = spark.range(n).selectExpr("1L AS shingle", "id AS node", "id AS `group`", "cast(id = 0 AS int) AS late", "20 + id % 30 AS n", "1000 AS most")
     cells = ngram_join._cells(rows, ngram_join.Settings(compare=50))
     sizes = cells.groupBy("class", "i", "j").count()
     assert sizes.agg({"count": "max"}).first()[0] <= 4 * 50
