@@ -166,7 +166,7 @@ def alarm_stream(readings: DataFrame, limit_s: int, every_s: int, late: str = "1
     Payload 1 once a sensor has been silent for the limit, again every ``every_s`` while it stays so, and 0 at the reading
     that ends the silence. Keyed state with an event-time timer: a row is given when the watermark has reached its time, so
     readings up to ``late`` behind the newest are taken in order and nothing is taken back. The state of a sensor is the
-    last reading that is settled, the alarm that is due next, and the ends of the stretches heard since.
+    end of what was heard last, the alarm that is due next, and first and last reading of the stretches heard since.
     """
     limit, every = limit_s * 1_000_000, every_s * 1_000_000
     kind = readings.schema[key].dataType
@@ -174,7 +174,7 @@ def alarm_stream(readings: DataFrame, limit_s: int, every_s: int, late: str = "1
     def advance(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, due, heard = state.get if state.exists else (None, None, [])
         new = [] if state.hasTimedOut else [p["at"].to_numpy(dtype=np.int64) for p in parts]
-        waiting = _stretch_ends(np.unique(np.concatenate([np.array(heard, np.int64), *new])), limit)
+        first, final = _stretches(np.array(heard, np.int64), np.concatenate([np.zeros(0, np.int64), *new]), limit)
         upto = state.getCurrentWatermarkMs() * 1000
         out: list[tuple[int, str]] = []
 
@@ -185,17 +185,18 @@ def alarm_stream(readings: DataFrame, limit_s: int, every_s: int, late: str = "1
                 out.extend((due + k * every, "1") for k in range(n))
                 due += n * every
 
-        settled = waiting[waiting <= upto]
-        for at in settled.tolist():
-            if last is None or at > last:
-                if last is not None and at - last > limit:
-                    alarms(at)
-                    out.append((at, "0"))
-                last, due = at, at + limit
+        settled = int(np.searchsorted(first, upto, side="right"))
+        for begin, end in zip(first[:settled].tolist(), final[:settled].tolist()):
+            if last is not None and begin - last > limit:
+                alarms(begin)
+                out.append((begin, "0"))
+            if last is None or end > last:
+                # a stretch that the watermark cuts has no silence in it: its end counts at once
+                last, due = end, end + limit
         alarms(upto)
-        waiting = waiting[len(settled) :]
-        state.update((last, due, waiting.tolist()))
-        wake = min([t for t in (due, *waiting[:1].tolist()) if t is not None])
+        first, final = first[settled:], final[settled:]
+        state.update((last, due, np.stack([first, final], axis=1).ravel().tolist()))
+        wake = min([t for t in (due, *first[:1].tolist()) if t is not None])
         state.setTimeoutTimestamp(max(-(-wake // 1000) - 1, upto // 1000 + 1))
         if out:
             yield pd.DataFrame(
@@ -216,11 +217,13 @@ def alarm_stream(readings: DataFrame, limit_s: int, every_s: int, late: str = "1
     return alarms.where(F.col(key).isNotNull())
 
 
-def _stretch_ends(times: np.ndarray, limit: int) -> np.ndarray:
-    """Of rising times, the first and last of each stretch without a silence: those between can be no alarm's."""
-    far = np.diff(times) > limit
-    ends = np.concatenate([[True], far]) | np.concatenate([far, [True]]) if len(times) else np.zeros(0, bool)
-    return times[ends]
+def _stretches(known: np.ndarray, times: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Firsts and lasts of the stretches without a silence, from those known (first, last, first, ...) and single readings."""
+    first, last = np.concatenate([known[::2], times]), np.concatenate([known[1::2], times])
+    order = np.argsort(first, kind="stable")
+    first, upto = first[order], np.maximum.accumulate(last[order])
+    begins = np.flatnonzero(np.concatenate([[True], first[1:] - upto[:-1] > limit])) if len(first) else np.zeros(0, np.int64)
+    return first[begins], upto[np.append(begins[1:], len(first)) - 1] if len(first) else upto
 
 
 def frame_stream(log: DataFrame, key: str = "port") -> DataFrame:

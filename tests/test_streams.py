@@ -122,6 +122,32 @@ def test_alarms_repeat_until_the_next_reading(spark, tmp_path):
     assert {r["topic"] for r in found} == {"Sensor1/Err", "Sensor2/Err", "Sensor3/Err"}
 
 
+def test_alarms_of_a_watermark_inside_a_stretch(spark, tmp_path):
+    """Readings come in many runs; the watermark often lies between readings that belong together."""
+    rng = random.Random(11)
+    times, at = [], 0
+    while at < 20_000:
+        at += rng.choice([20, 60, 100, 150, 179, 180, 181, 700, 2500]) if rng.random() < 0.4 else rng.randrange(1, 120)
+        times.append(at)
+    schema = "channel int, caps int, ts timestamp"
+    source, out, work = (str(tmp_path / n) for n in ("in", "out", "work"))
+    transform = lambda r: jobs.alarm_stream(r, 180, 600, "300 seconds")
+    cuts = [0, *sorted(rng.sample(range(1, len(times)), 4)), len(times)]
+    arrivals = [times[a:b] for a, b in zip(cuts, cuts[1:])]
+    for before, after in zip(arrivals, arrivals[1:]):  # some readings come a run late, but not too late
+        moved = [t for t in before if t > before[-1] - 250 and rng.random() < 0.5 and t != before[-1]]
+        before[:], after[:] = [t for t in before if t not in moved], moved + after
+    for k, own in enumerate(arrivals):
+        spark.createDataFrame([(1, 1, T0 + timedelta(seconds=t)) for t in own], schema).write.mode("append").parquet(source)
+        arriving = spark.readStream.schema(schema).parquet(source)
+        if k < len(arrivals) - 1:
+            jobs.run_open(transform, arriving, out, work)
+    until = times[-1] + 3000
+    stream = jobs.run_to_end(transform, arriving, "ts", out, work, until=T0 + timedelta(seconds=until + 300), marker={"caps": 1})
+    got = sorted((int((r["ts"] - T0).total_seconds()), r["payload"]) for r in jobs.read_output(spark, stream, out).collect())
+    assert got == alarms_by_hand(times, 180, 600, until) and len(got) > 30
+
+
 def test_frames_cut_between_runs(spark, tmp_path):
     """A log cut at random bytes, some cuts between triggers, gives the frames of the whole log."""
     rng = random.Random(5)
