@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthline.constants import LIMITS, ROLLUP_SPECS, SENSORS, TIERS
+from hearthline.constants import ROLLUP_SPECS, SENSORS, TIERS
 
 
 def _literal(value) -> str:
@@ -29,11 +29,6 @@ def sensors(spark: SparkSession) -> DataFrame:
     )
 
 
-def limits(spark: SparkSession) -> DataFrame:
-    rows = [(field, lo, inclusive, hi) for field, (lo, inclusive, hi) in LIMITS.items()]
-    return literal_table(spark, ["field", "lo", "lo_inclusive", "hi"], rows)
-
-
 def tiers(spark: SparkSession) -> DataFrame:
     return literal_table(spark, ["tier", "duration_hours", "shard_hours"], TIERS)
 
