@@ -20,6 +20,7 @@ from hearthline.operators import tiers as T
 from hearthline.operators.dashboard import dashboard
 from hearthline.operators.fill import fill
 from hearthline.operators.ordered import micros
+from hearthline.plans import registry
 from hearthline.sources import dims
 from hearthline.sources import packets as P
 
@@ -249,6 +250,19 @@ def test_stale_limits(spark):
     assert sorted((r["channel"], r["age_s"]) for r in stale) == [(2, 241.0), (3, None)]
 
 
+def test_stale_channels_of_every_board(spark, tmp_path):
+    """The query lists each silent channel for all boards, also those to which the registry gives no capability."""
+    spark.createDataFrame(
+        [(0, T0, 1, "click", 1.0), (1, T0 + timedelta(hours=1), 6, "click", 1.0), (2, T0, 7, "click", 1.0)],
+        "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double",
+    ).write.parquet(str(tmp_path / "events.parquet"))
+    registry.load_all()
+    rows = registry.QUERIES["stale_sensors"](spark, str(tmp_path)).collect()
+    boards = {c: {r["board"] for r in rows if r["channel"] == c} for c in range(10)}
+    # 150 seconds after its last reading channel 6 is stale for the display alone
+    assert boards == {c: {"display"} if c == 6 else {"hub", "bridge", "display"} for c in range(10)}
+
+
 def test_gaps(spark):
     times = [0, 60, 240, 421, 422]
     readings = spark.createDataFrame(
