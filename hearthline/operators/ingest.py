@@ -68,17 +68,20 @@ def split_frames_across_rows(
     keys = list(keys)
     whole, ends = F.col(text), F.col(text).contains("$")
     frames = lambda column: F.regexp_extract_all(column, F.lit(r"%([^$]*)\$"), F.lit(1))
-    opened_in = lambda column: F.regexp_extract(column, r"(?s)^[^%]*%(.*)$", 1)
-    after_first = F.regexp_extract(whole, r"(?s)^[^$]*\$(.*)$", 1)
-    inside = log.where(ends).select(*keys, "seq", F.explode(frames(after_first)).alias("payload"))
+    # cuts at markers are searches of a byte: a pattern that looks for the last marker would start anew at every character
+    beyond = lambda column, mark: F.substr(column, F.instr(column, mark) + 1)
+    opened_in = lambda column: F.when(column.contains("%"), beyond(column, "%")).otherwise("")
+    log = log.withColumns({"_ends": ends, "_tail": F.when(ends, F.substring_index(whole, "$", -1))})
+    inside = log.where("_ends").select(*keys, "seq", F.explode(frames(beyond(whole, "$"))).alias("payload"))
+    last = F.when(F.coalesce("_tail", whole).contains("%"), "%").when(F.col("_ends"), "$")
     edges = log.select(
         *keys,
         "seq",
         position.alias("_at"),
-        ends.alias("_ends"),
-        F.regexp_extract(whole, r"^([^$]*)", 1).alias("_head"),
-        F.when(ends, opened_in(F.regexp_extract(whole, r"(?s)([^$]*)$", 1))).alias("_tail"),
-        F.nullif(F.regexp_extract(whole, r"([%$])[^%$]*$", 1), F.lit("")).alias("_last"),
+        "_ends",
+        F.substring_index(whole, "$", 1).alias("_head"),
+        F.when(F.col("_ends"), opened_in(F.col("_tail"))).alias("_tail"),
+        last.alias("_last"),
     )
     at = order_key(F.col("_at"), F.col("seq"))
     # the row with a port's last end marker

@@ -94,6 +94,17 @@ def test_frames_split_across_rows(spark, width):
     assert sorted((r["port"], r["payload"]) for r in got.collect()) == sorted(expected)
 
 
+def test_frames_of_long_rows_are_cut_by_search(spark, capsys):
+    """A pattern for what follows the last marker starts anew at every character of a row."""
+    x, y = "x" * 50_000, "y\n" * 25_000
+    rows = [(1, T0, 0, "a%" + x), (1, T0 + timedelta(hours=3), 1, y + "$b%c$%%d\n"), (1, T0 + timedelta(hours=3), 2, "e%$\n"), (1, T0, 3, None)]
+    log = spark.createDataFrame(rows, "port int, ts timestamp_ntz, seq bigint, text string")
+    got = I.split_frames_across_rows(log, ["port"], micros(F.col("ts")))
+    assert sorted((r["seq"], r["payload"]) for r in got.collect()) == [(1, "c"), (1, x + y), (2, "%d\ne%")]
+    got.explain()
+    assert "regexp_extract(" not in capsys.readouterr().out
+
+
 def test_parse_frames(spark):
     payloads = [
         '{"sensor":1,"time":7,"SensCap":5,"iTempA":-250,"iCSum":-245}',
