@@ -12,6 +12,8 @@ from datetime import datetime
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -226,35 +228,96 @@ def _stretches(known: np.ndarray, times: np.ndarray, limit: int) -> tuple[np.nda
     return first[begins], upto[np.append(begins[1:], len(first)) - 1] if len(first) else upto
 
 
-def frame_stream(log: DataFrame, key: str = "port") -> DataFrame:
+def frame_stream(log: DataFrame, key: str = "port", width: int = 1 << 16) -> DataFrame:
     """Frames of a port's log (key, seq, text) whose text comes in any pieces, also cut between triggers: (key, seq, payload).
 
-    Equal to ``split_frames_across_rows``: ``seq`` is that of the row in which a frame ends. What a port has open, the text after
-    a start marker, is the state of its key. Rows of a port must arrive in the order of ``seq`` from trigger to trigger.
+    Equal to ``split_frames_across_rows``: ``seq`` is that of the row in which a frame ends. Rows of a port must arrive in the
+    order of ``seq`` from trigger to trigger.
+
+    In each trigger slices of ``width`` numbers of a port are put together side by side, and frames between two end markers
+    of a slice are given at once. Only the edge of a slice, its text up to the first end marker and what is open after the last
+    one, goes to the port's task; what the port has open, the text after a start marker, is the state of its key. So a task
+    holds some slices, or the edges of a port, however long its log is. ``width`` changes how the work is cut, never the result.
     """
     kind = log.schema[key].dataType
+    frame = T.StructType([T.StructField(key, kind), T.StructField("seq", T.LongType()), T.StructField("payload", T.StringType())])
+    edge = T.StructType([T.StructField(key, kind), T.StructField("seq", T.LongType()), T.StructField("text", T.StringType())])
+
+    def inner(slice_: pa.Table) -> tuple[list, list]:
+        text, ends = _joined(slice_)
+        begin, end = text.find("$") + 1, text.rfind("$") + 1
+        found = list(_FRAME.finditer(text, begin, end)) if 0 < begin < end else []
+        at = np.searchsorted(ends, np.array([m.end() for m in found], np.int64))
+        return slice_.column("seq").take(pa.array(at)).to_pylist(), [m[1] for m in found]
+
+    def outer(slice_: pa.Table) -> tuple[list, list]:
+        text, ends = _joined(slice_)
+        begin, tail = text.find("$") + 1, text[text.rfind("$") + 1 :]
+        if not begin:
+            return slice_.column("seq")[-1:].to_pylist(), [text]
+        opened = tail.find("%")
+        at = int(np.searchsorted(ends, begin))
+        return slice_.column("seq")[at : at + 1].to_pylist(), [text[:begin] + (tail[opened:] if opened >= 0 else "")]
 
     def advance(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([p[["seq", "text"]] for p in parts]).dropna(subset=["text"]).sort_values("seq", kind="stable")
+        rows = pd.concat([p[["seq", "text"]] for p in parts]).sort_values("seq", kind="stable")
         begun = state.get[0] if state.exists else None
         before = "" if begun is None else "%" + begun
         text = before + "".join(rows["text"])
         ends = len(before) + np.cumsum(rows["text"].str.len().to_numpy(dtype=np.int64))
-        payloads, seqs, at = [], [], 0
-        for m in _FRAME.finditer(text):
-            payloads.append(m[1])
-            seqs.append(int(rows["seq"].iloc[int(np.searchsorted(ends, m.end()))]))
-            at = m.end()
+        found = list(_FRAME.finditer(text))
         opened = text.find("%", text.rfind("$") + 1)
         state.update((None if opened < 0 else text[opened + 1 :],))
-        if payloads:
-            yield pd.DataFrame({key: [name[0]] * len(payloads), "seq": seqs, "payload": payloads})
+        if found:
+            seqs = [int(x) for x in rows["seq"].to_numpy()[np.searchsorted(ends, [m.end() for m in found])]]
+            yield pd.DataFrame({key: [name[0]] * len(found), "seq": seqs, "payload": [m[1] for m in found]})
 
-    schema = T.StructType([T.StructField(key, kind), T.StructField("seq", T.LongType()), T.StructField("payload", T.StringType())])
     ship(log.sparkSession)
-    return log.select(key, "seq", "text").groupBy(key).applyInPandasWithState(advance, schema, "begun string", "append", GroupStateTimeout.NoTimeout)
-
-
+    slices = log.select(key, F.col("seq").cast("bigint").alias("seq"), F.floor(F.col("seq") / width).alias("slice"), "text").where(F.col("text").isNotNull())
+    parts = max(_SLICE_PARTS, int(log.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = slices.repartition(parts, key, "slice")
+    inside = dealt.mapInArrow(_by_slice(inner, frame.names), frame)
+    edges = dealt.mapInArrow(_by_slice(outer, edge.names), edge)
+    across = edges.groupBy(key).applyInPandasWithState(advance, frame, "begun string", "append", GroupStateTimeout.NoTimeout)
+    return inside.unionByName(across)
+
+
+def _by_slice(cut: Callable[[pa.Table], tuple[list, list]], names: list[str]) -> Callable:
+    """For each slice of a key, its rows in order, the rows (key, seq, text) that ``cut`` gives of it."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = list(batches)
+        if not sum(b.num_rows for b in own):
+            return
+        rows = pa.Table.from_batches(own)
+        own.clear()
+        rows = rows.set_column(3, "text", rows.column(3).cast(pa.large_string()))
+        # the text last, so that rows of one number have one order in all passes
+        order = pc.sort_indices(rows, [(name, "ascending") for name in (rows.column_names[0], "slice", "seq", "text")])
+        rows = rows.take(order).combine_chunks()
+        new = np.zeros(len(rows) - 1, bool)
+        for column in (rows.column(0), rows.column("slice")):
+            codes = column.combine_chunks().dictionary_encode("encode").indices.to_numpy()
+            new |= codes[1:] != codes[:-1]
+        first = [0, *(np.flatnonzero(new) + 1).tolist()]
+        for a, b in zip(first, [*first[1:], len(rows)]):
+            seqs, texts = cut(rows.slice(a, b - a))
+            if seqs:
+                name = rows.column(0)[a].as_py()
+                columns = [pa.array([name] * len(seqs), rows.schema.field(0).type), pa.array(seqs, rows.schema.field("seq").type), pa.array(texts, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return each
+
+
+def _joined(rows: pa.Table) -> tuple[str, np.ndarray]:
+    """The text of rows put together, and where each row ends in it."""
+    texts = rows.column("text").to_pylist()
+    return "".join(texts), np.cumsum([len(t) for t in texts])
+
+
+#: Least number of tasks that slices are dealt to; a task holds the text of its slices.
+_SLICE_PARTS = 96
 _FRAME = re.compile(r"%([^$]*)\$")
 #: A value that is not there, in state.
 _NONE = -(1 << 62)

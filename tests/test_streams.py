@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import random
+import re
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from hearthline.operators import ingest as I
@@ -172,6 +174,38 @@ def test_frames_cut_between_runs(spark, tmp_path):
     assert got == sorted(map(tuple, batch.collect())) and len(got) > 100
 
 
+@pytest.mark.parametrize("width", [1, 16, 1 << 16])
+def test_frames_of_slices_and_their_edges(spark, tmp_path, width):
+    """Slices of any width, with empty texts, repeated numbers, ports without markers and a null port, give the same frames."""
+    rng = random.Random(9)
+    parts = []
+    for port in (1, 2, None):
+        for k in range(240):
+            text = "".join(rng.choice(["%{a}$", "%", "$", "n", "%%$", "%\n$", "é", ""]) for _ in range(rng.randrange(4)))
+            parts += [(port, 3 * k, text)] * rng.choice([1, 1, 1, 2])
+        parts.append((port, None, None))
+    parts += [(3, k, "%x") for k in range(50)]
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    schema = "port int, seq bigint, text string"
+    for low, high in ((-1, 200), (200, 421), (421, 1000)):
+        rows = [p for p in parts if low <= (-1 if p[1] is None else p[1]) < high]
+        rng.shuffle(rows)
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
+        stream = jobs.frame_stream(spark.readStream.schema(schema).parquet(source), width=width)
+        jobs.run_available(stream, out, checkpoint)
+    got = [tuple(r) for r in jobs.read_output(spark, stream, out).collect()]
+    expected = []
+    for port in (1, 2, None):
+        own = sorted((p for p in parts if p[0] == port and p[2] is not None), key=lambda p: p[1])
+        text, ends = "", []
+        for _, seq, piece in own:
+            text += piece
+            ends.append((len(text), seq))
+        expected += [(port, next(q for e, q in ends if e >= m.end()), m[1]) for m in re.finditer(r"%([^$]*)\$", text)]
+    order = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+    assert sorted(got, key=order) == sorted(expected, key=order) and len(got) > 200
+
+
 def test_set_points_of_two_streams(spark, tmp_path):
     rng = random.Random(6)
     at = lambda s: T0 + timedelta(seconds=s)
