@@ -79,15 +79,17 @@ def mix(
         ).withColumn("w", F.expr("1D / shiftleft(1L, CAST(floor(length(bin(size)) / 4) AS INT))")),
         "mix",
     )
-    bands = narrow.groupBy("source", "w").agg(F.sum("size").alias("words"))
+    # tables of a few rows per source are stored where two others are made from them: a plan that nests them all has
+    # hundreds of nodes, and the driver holds it again for every stage that ends
+    bands = stored(narrow.groupBy("source", "w").agg(F.sum("size").alias("words")), "mix-bands")
     sizes = bands.groupBy("source").agg(F.sum("words").alias("source_size"))
-    targets = source_targets(sizes, weights, share, most_copies)
-    plan = _plan(bands, targets, most_copies)
+    targets = stored(source_targets(sizes, weights, share, most_copies), "mix-targets")
+    plan = stored(_plan(bands, targets, most_copies), "mix-plan")
     rows = narrow.join(plan, narrow.source.eqNullSafe(plan.plan_source), "left").drop("plan_source")
     rows = _ranked(rows, most_copies)
     slices = rows.where("p > 0 AND size > 0").groupBy("source", "slice").agg(F.sum("size").alias("words"))
     certain = rows.groupBy("source").agg(F.sum(F.col("whole") * F.col("size")).alias("certain"), F.first("target").alias("target"))
-    cuts = _cuts(rows, slices, certain)
+    cuts = stored(_cuts(rows, slices, certain), "mix-cuts")
     done = rows.join(cuts, rows.source.eqNullSafe(cuts.cut_source), "left")
     more = (F.col("p") > 0) & (F.col("size") > 0) & ((F.col("slice") < F.col("cut_slice")) | (F.col("rank") <= F.col("cut_rank")))
     copies = F.when(F.col("size") > 0, F.col("whole") + F.when(F.coalesce(more, F.lit(False)), 1).otherwise(0)).otherwise(0)
@@ -126,10 +128,13 @@ def _cuts(rows: DataFrame, slices: DataFrame, certain: DataFrame) -> DataFrame:
     sums = slices.withColumn("upto", F.sum("words").over(order)).withColumn("before", F.col("upto") - F.col("words"))
     placed = named.join(sums, named.cut_source.eqNullSafe(sums.source), "left")
     # slices that fit whole lie below the cut; a source whose slices all fit has its cut above the last
-    at = placed.groupBy("cut_source").agg(
-        F.first("room").alias("room"),
-        F.coalesce(F.min(F.when(F.col("upto") > F.col("room"), F.col("slice"))), F.lit(SLICES)).alias("cut_slice"),
-        F.max(F.when(F.col("upto") <= F.col("room"), F.col("upto"))).alias("fits"),
+    at = stored(
+        placed.groupBy("cut_source").agg(
+            F.first("room").alias("room"),
+            F.coalesce(F.min(F.when(F.col("upto") > F.col("room"), F.col("slice"))), F.lit(SLICES)).alias("cut_slice"),
+            F.max(F.when(F.col("upto") <= F.col("room"), F.col("upto"))).alias("fits"),
+        ),
+        "mix-at",
     )
     within = at.where(F.col("cut_slice") < SLICES)
     inside = rows.where("p > 0 AND size > 0").select("source", "slice", "rank", "size", "doc_id").join(

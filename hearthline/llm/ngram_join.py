@@ -260,7 +260,9 @@ def _candidates(found: DataFrame, s: Settings) -> DataFrame:
     left_over = named.join(open_.select("shingle"), "shingle")
     main = left_over.where("node = centre").select("shingle", F.col("group").alias("main")).distinct()
     rows = left_over.join(main, "shingle").select("shingle", "node", "group", "most", (F.col("group") == F.col("main")).cast("int").alias("late"))
-    cells = _cells(rows.distinct().join(bodies.select("node", "n"), "node"), s)
+    # read twice below: nested in itself, its plan would have hundreds of nodes, held by the driver again for every stage
+    rows = stored(rows.distinct().join(bodies.select("node", "n"), "node"), "open")
+    cells = _cells(rows, s)
     return stars(groups, "a", "b").unionByName(_compared(cells.join(bodies.select("node", "sketch"), "node"), s))
 
 
@@ -391,7 +393,7 @@ def jaccard_groups(documents: DataFrame, settings: Settings = Settings(), id_col
 def _join(documents: DataFrame, found: DataFrame, groups: DataFrame, frequent: tuple, s: Settings, id_column: str, text_column: str) -> DataFrame:
     """Step 3: (node, component) by the exact links among the sets of each candidate group."""
     counts = groups.groupBy("component").agg(F.count("*").alias("members"))
-    cells = groups.join(counts, "component").withColumn("parts", F.ceil(F.col("members") / s.block).cast("int"))
+    cells = stored(groups.join(counts, "component").withColumn("parts", F.ceil(F.col("members") / s.block).cast("int")), "cells")
     # one document for each set that is in a group: by its id, or by its text where no row of the set has an id
     wanted = found.where("n_shingles > 0").join(groups.select(F.col("node").alias("low")), "low")
     ids = wanted.groupBy("low").agg(F.min("doc_id").alias("id"), F.min(F.when(F.col("doc_id").isNull(), F.col("text_key"))).alias("key"))
@@ -420,7 +422,7 @@ def _join(documents: DataFrame, found: DataFrame, groups: DataFrame, frequent: t
     member = components(links, "a", "b")
     large = cells.where("parts > 1").join(member.withColumnRenamed("component", "linked"), "node", "left").withColumn("linked", F.coalesce("linked", "node"))
     main = large.where("node = component").select("component", F.col("linked").alias("main"))
-    apart = large.join(main, "component").where("linked <> main").select("node", "component", "parts")
+    apart = stored(large.join(main, "component").where("linked <> main").select("node", "component", "parts"), "apart")
     if apart.isEmpty():
         return member
     # a block of them and a block of the group's sets in each cell
